@@ -85,23 +85,34 @@ _LETTERWISE = ((0x80, 0x6FF), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0x20A0, 0x20B
                (0x4E00, 0x9FFF))
 
 
+def _ranges(codes: Iterable[int]) -> str:
+    """Code points as the inside of a regex class, neighbours joined."""
+    spans: list[list[int]] = []
+    for code in sorted(codes):
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in spans)
+
+
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, str]:
-    """(letters to replace, replacements then deletions, regex class of text the table cannot fold)."""
+def _fold_table() -> tuple[str, str, str, str]:
+    """(letters to replace, replacements then deletions, quick and full class of what is left to Python)."""
     single, gone, hard = [], [], []
     for low, high in _LETTERWISE:
         for code in range(low, high + 1):
             char = chr(code)
             folded = fold_python(char)
             if len(folded) > 1:
-                hard.append(char)
+                hard.append(code)
             elif not folded:
                 gone.append(char)
             elif folded != char:
                 single.append((char, folded))
-    safe = r"\x{0}-\x{7f}" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in _LETTERWISE)
-    hard_class = f"[^{safe}]|[{''.join(rf'\x{{{ord(c):x}}}' for c in hard)}]"
-    return "".join(a for a, _ in single) + "".join(gone), "".join(b for _, b in single), hard_class
+    easy = {c for low, high in ((0, 0x7F), *_LETTERWISE) for c in range(low, high + 1)} - set(hard)
+    quick = f"[^{_ranges(c for c in easy if c <= 0xFF)}]"
+    return "".join(a for a, _ in single) + "".join(gone), "".join(b for _, b in single), quick, f"[^{_ranges(easy)}]"
 
 
 @lru_cache(maxsize=1)
@@ -125,15 +136,16 @@ def fold(value: Column) -> Column:
     ASCII text is kept, text whose letters fold one by one goes through a translation table, and only
     what is left is sent to Python (the others go there as nulls).
     """
-    source, target, hard = _fold_table()
-    is_hard = (F.octet_length(value) != F.length(value)) & value.rlike(hard)
+    source, target, quick, full = _fold_table()
+    # Western text is settled by the quick class, a bit set of 256 letters.
+    is_hard = (F.octet_length(value) != F.length(value)) & value.rlike(quick) & value.rlike(full)
     easy = F.when(F.octet_length(value) == F.length(value), value).otherwise(F.translate(value, source, target))
     return F.coalesce(_fold_batch()(F.when(is_hard, value)), easy)
 
 
 def fold_letterwise(value: Column) -> Column:
     """Like `fold`, without the Python part; for text known to hold no ligatures or rare scripts."""
-    source, target, _ = _fold_table()
+    source, target, *_ = _fold_table()
     return F.when(F.octet_length(value) == F.length(value), value).otherwise(F.translate(value, source, target))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
+from narrascope.operators.rows import explode_rows
 
 LEXICON_SCHEMA = "category string, priority int, keyword string, match_mode string"
 # Above this many keywords, match by join.
@@ -119,7 +120,10 @@ def category_conditions(entries: Sequence[Entry], normalised: Column, raw: Colum
 
 
 def with_normalised(df: DataFrame, text: str = "text", to: str = "normalised", compat: bool = False) -> DataFrame:
-    return df.withColumn(to, X.normalise_text(F.col(text), compat=compat))
+    """Add the form in which keywords are searched, in two projections, so that the first is not
+    worked out again for every use in the second."""
+    lowered = X.strip_tag_marks(F.lower(X.split_glued_acronyms(X.text_or_empty(F.col(text)), compat=compat)))
+    return df.withColumn("_lowered", lowered).withColumn(to, X.fold(F.col("_lowered"))).drop("_lowered")
 
 
 def categorise(df: DataFrame, entries: Sequence[Entry] | None = None, text: str = "text",
@@ -176,9 +180,9 @@ def categorise_ngram(df: DataFrame, lexicon: DataFrame, id_column: str, text: st
     grams, heads = [F.array_distinct("words")], F.col("units")
     for n in range(2, max_words + 1):
         length = F.greatest(F.size("words") - (n - 1), F.lit(0))
-        grams.append(F.array_distinct(F.zip_with(F.slice(heads, 1, length), F.slice("words", n, length), F.concat)))
-        heads = F.zip_with(F.slice(heads, 1, length), F.slice("units", n, length), F.concat)
-    exploded = cut.select(id_column, F.explode(F.flatten(F.array(*grams))).alias("gram"))
+        grams.append(F.array_distinct(F.zip_with(F.slice(heads, 1, length), F.slice("words", n, length), lambda a, b: F.concat(a, b))))
+        heads = F.zip_with(F.slice(heads, 1, length), F.slice("units", n, length), lambda a, b: F.concat(a, b))
+    exploded = explode_rows(cut, F.flatten(F.array(*grams)), "gram", id_column)
     hits = exploded.join(keys, "gram").select(id_column, "category").distinct()
     return hits.groupBy(id_column).agg(F.array_sort(F.collect_list("category")).alias("categories"))
 

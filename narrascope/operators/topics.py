@@ -16,7 +16,9 @@ from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
 from narrascope.functions import time as TM
 from narrascope.operators.aggregates import topic_counts
+from narrascope.operators.rows import explode_rows
 from narrascope.operators.windows import first_k
+from narrascope.session import cut_lineage
 
 
 @lru_cache(maxsize=1)
@@ -46,7 +48,7 @@ def tokenise_ngrams(df: DataFrame, text: str = "clean_text", stop_words: Iterabl
 
 def class_term_frequency(df: DataFrame, keys: Sequence[str] = ("topic",), terms: str = "terms") -> DataFrame:
     """(keys, term, n). Counted map side, so common terms and large topics shuffle one row per task."""
-    return df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    return explode_rows(df, terms, "term", *keys).groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def document_frequency(term_counts: DataFrame) -> DataFrame:
@@ -64,9 +66,10 @@ def ctfidf(term_counts: DataFrame, vocabulary: DataFrame | None = None) -> DataF
     """(topic, term, n, idf, weight): weight = n / words of the topic * ln(1 + A / f).
 
     f is the count of the term over all topics and A the mean number of words per topic, rounded down.
+    The counts of kept terms are written out, as the weights, the topic sizes and A all read them.
     """
     vocabulary = prune_vocabulary(term_counts) if vocabulary is None else vocabulary
-    kept = term_counts.join(vocabulary.select("term", "f"), "term")
+    kept = cut_lineage(term_counts.join(vocabulary.select("term", "f"), "term"))
     sizes = kept.groupBy("topic").agg(F.sum("n").alias("_words"))
     mean = sizes.agg(F.floor(F.avg("_words")).cast("double")).scalar()
     return (kept.join(sizes, "topic")
@@ -95,7 +98,7 @@ def doc_similarity(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id",
     The join is on (topic, term); the planner broadcasts the weights if they are small and splits
     skewed keys if not. Docs are summed right after it.
     """
-    counted = (docs.select(doc_id, "topic", F.explode(terms).alias("term"))
+    counted = (explode_rows(docs, terms, "term", doc_id, "topic")
                .groupBy(doc_id, "topic", "term").agg(F.count("*").alias("tf")))
     joined = counted.join(weights.select("topic", "term", "idf", "weight"), ["topic", "term"])
     part = F.col("tf") * F.col("idf")
@@ -203,7 +206,7 @@ def topics_over_time(docs: DataFrame, weights: DataFrame, time: str = "ts", bins
 def assign_by_terms(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", terms: str = "terms",
                     noise: int = -1) -> DataFrame:
     """(doc_id, topic, similarity) of new docs: the topic with the nearest weights, or noise."""
-    counted = (docs.select(doc_id, F.explode(terms).alias("term"))
+    counted = (explode_rows(docs, terms, "term", doc_id)
                .groupBy(doc_id, "term").agg(F.count("*").alias("tf")))
     real = weights.where(F.col("topic") != noise)
     norms = real.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))

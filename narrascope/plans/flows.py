@@ -120,7 +120,7 @@ def narrative_tables(docs: DataFrame, time: str = "tweetcreatedts", stop_words:
         docs = sentiment(docs)
     docs = cut_lineage(docs)
 
-    counts = T.class_term_frequency(docs)
+    counts = cut_lineage(T.class_term_frequency(docs))
     weights = cut_lineage(T.ctfidf(counts))
     representative = cut_lineage(T.with_text(T.representative_docs(docs, weights), docs))
     plain = docs.drop("terms", "embedding")

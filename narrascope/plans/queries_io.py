@@ -1 +1,328 @@
-"""Queries."""
+"""Source, sink and streaming queries.
+
+Each writes files made from the given tables below the shared folder, reads them back through the
+reader under test and returns what was read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from narrascope import fixed_values as fixed
+from narrascope.functions import text as X
+from narrascope.operators import aggregates as A
+from narrascope.operators import predicates as R
+from narrascope.operators import windows as W
+from narrascope.operators.joins import anti_processed_files
+from narrascope.operators.models import fit_language_model
+from narrascope.operators.rows import explode_rows
+from narrascope.operators.sets import concat_tables
+from narrascope.plans import flows
+from narrascope.plans.queries_tables import SQL_STATUS, status_table
+from narrascope.plans.queries_text import CATEGORY_ORDER, LEXICON, SQL_TAGGED, tagged
+from narrascope.plans.registry import load, query
+from narrascope.session import scratch_path
+from narrascope.sinks import writers as O
+from narrascope.sources import ids as I
+from narrascope.sources import lexicons
+from narrascope.sources import posts as S
+from narrascope.streaming import jobs as J
+
+
+def write_csv(df: DataFrame, path: str, *by: str) -> None:
+    writer = df.write.options(**O.CSV_OPTIONS).option("quoteAll", True)
+    (writer.partitionBy(*by) if by else writer).csv(path)
+
+
+def posts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the layout of a post file."""
+    docs = load(spark, sf_dir, "documents", "doc_id")
+    time = F.date_format(F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 60), "yyyy-MM-dd HH:mm:ss")
+    known = {"tweetid": F.col("doc_id").cast("string"), "text": F.col("text"), "language": F.col("lang"),
+             "username": F.when(F.col("doc_id") % 5 == 0, "N/A").otherwise(F.col("source")),
+             "tweetcreatedts": F.when(F.col("doc_id") % 11 == 0, "soon").otherwise(time)}
+    return docs.select("source", *[known.get(c, F.lit(None).cast("string")).alias(c) for c in fixed.POST_COLUMNS])
+
+
+@query("read_posts_csv", """
+select doc_id::varchar as tweetid, md5(text) as text_md5, lang as language,
+case when doc_id % 5 = 0 then '' else source end as username,
+case when doc_id % 11 = 0 then null else (1700000000 + doc_id * 60)::bigint end as seconds, false as is_duplicate,
+case when doc_id % 2 = 0 then 'UTC' else 'UTC' end as timezone_assumed from documents""")
+def read_posts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts written as CSV, quotes and newlines included, and read, renamed, filled and dated."""
+    path = scratch_path(spark, "posts")
+    write_csv(posts_of(spark, sf_dir).withColumnRenamed("text", "Tweet_Text").drop("source"), path)
+    posts = S.read_posts_csv(spark, path, S.text_schema(["Tweet_Text" if c == "text" else c for c in fixed.POST_COLUMNS]))
+    posts = R.add_lineage(R.fill_blank(R.rename_text(posts)))
+    return posts.select("tweetid", F.md5("text").alias("text_md5"), "language", "username",
+                        F.unix_seconds("tweetcreatedts").alias("seconds"), "is_duplicate", "timezone_assumed")
+
+
+@query("scan_tree", "select count(distinct source) as folders from documents")
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files of a tree, outputs and cleaned copies left out."""
+    path = scratch_path(spark, "tree")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang").repartition(4, "source")
+    write_csv(docs, f"{path}/data", "source")
+    write_csv(docs.select("doc_id"), f"{path}/filtered_output")
+    write_csv(docs.select("doc_id"), f"{path}/logs")
+    files = S.scan_tree(spark, path)
+    folder = F.element_at(F.split("file", "/"), -2)
+    return files.select(folder.alias("f")).distinct().agg(F.count("*").alias("folders"))
+
+
+@query("read_id_list", """
+select strftime(ts, '%Y-%m-') || day(ts) as source_date, user_id::varchar as id, count(*) over () as ids
+from (select distinct date_trunc('day', ts) as ts, user_id from events where event_type <> 'error')""")
+def read_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated id lists with repeats, junk lines and a tail after the end line: distinct ids per list."""
+    path = scratch_path(spark, "lists")
+    events = load(spark, sf_dir, "events")
+    day = F.concat(F.date_format("ts", "yyyy-MM-"), F.dayofmonth("ts").cast("string"))
+    number = F.col("user_id").cast("string")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), number)).otherwise(number)
+    lines = events.select(day.alias("day"), F.lit(0).alias("part"), "ts", line.alias("value"))
+    days = lines.select("day").distinct()
+    tail = [days.select("day", F.lit(i + 1).alias("part"), F.lit(None).cast("timestamp").alias("ts"), F.lit(v).alias("value"))
+            for i, v in enumerate((fixed.ID_LIST_END, "999999"))]
+    ordered = concat_tables(lines, *tail).repartition("day").sortWithinPartitions("day", "part", "ts")
+    ordered.select(F.concat(F.lit("tweet_ids_"), "day").alias("name"), "value").write.partitionBy("name").text(path)
+    # The writer names files itself; the folder carries the date here.
+    listed = I.read_id_lines(spark.read.option("recursiveFileLookup", True).text(path), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    found = listed.select("source_date", "id")
+    return found.withColumn("ids", found.agg(F.count("*")).scalar())
+
+
+@query("read_status_map", f"with {SQL_STATUS} select id::varchar as id, status_code, status_text from status")
+def read_status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`id,status` lines with numbers and words."""
+    path = scratch_path(spark, "status")
+    status = status_table(spark, sf_dir).select("id", F.coalesce(F.col("status_code").cast("string"), "status_text").alias("s"))
+    status.write.csv(path)
+    return I.read_status_map(spark, path)
+
+
+@query("read_lexicon", """
+select lang as category, dense_rank() over (order by lang)::int - 1 as priority, source as keyword, 'word' as match_mode
+from (select distinct lang, source from documents)""")
+def read_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword file made of the languages and sources of the documents."""
+    path = scratch_path(spark, "lexicon")
+    docs = load(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("k"))
+    blocks = docs.select(F.struct("lang", F.concat("lang", F.lit("\n"), F.array_join("k", ", ")).alias("b")).alias("s"))
+    file = blocks.agg(F.array_sort(F.collect_list("s")).alias("all")).select(
+        F.array_join(F.transform("all", lambda s: s["b"]), "\n\n").alias("value"))
+    file.write.text(path)
+    return lexicons.read_lexicon(spark, path)
+
+
+def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fetched records in two overlapping shards."""
+    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = docs.withColumn("shard", F.explode(F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(0), F.lit(1)))
+                                              .otherwise(F.array((F.col("doc_id") % 2).cast("int")))))
+    score = (F.col("doc_id") % 8).cast("string")
+    known = {"tweet_id": F.col("doc_id").cast("string"), "text": F.substring("text", 1, 200), "language": F.col("lang"),
+             "fail_reason": F.when(F.col("doc_id") % 6 == 0, "deleted").otherwise(""), "hydration_score": score}
+    return docs.select("shard", "doc_id", *[known.get(c, F.lit(None).cast("string")).alias(c) for c in fixed.RECORD_COLUMNS])
+
+
+@query("read_shards", """
+select doc_id::varchar as tweet_id, case when doc_id % 4 = 0 then 2 else 1 end as copies, 'N/A' as views,
+'''' || doc_id as guarded from documents""")
+def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written for a spreadsheet and read as one table."""
+    path = scratch_path(spark, "shards")
+    write_csv(O.spreadsheet_safe(records_of(spark, sf_dir).drop("doc_id")), path, "shard")
+    records = S.read_shards(spark, path, glob="*.csv").select(F.col("tweet_id").alias("guarded"), F.lit("N/A").alias("views"))
+    return records.groupBy("guarded", "views").agg(F.count("*").cast("int").alias("copies")).withColumn(
+        "tweet_id", X.strip_guard(F.col("guarded")))
+
+
+@query("read_seen_ids", "select distinct doc_id::varchar as id from documents")
+def read_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ids of all shards."""
+    path = scratch_path(spark, "shards")
+    write_csv(O.spreadsheet_safe(records_of(spark, sf_dir).drop("doc_id")), path, "shard")
+    return S.read_seen_ids(spark, path, glob="*.csv")
+
+
+@query("read_failures", """
+select id, reason, rank() over (order by id) as position from (select user_id::varchar as id, min('navigation error ' || event_id % 3) as reason
+from events where event_type = 'error' group by user_id)""")
+def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure lines, written and read; distinct ids in text order with one reason each."""
+    path = scratch_path(spark, "failures")
+    failed = load(spark, sf_dir, "events").where("event_type = 'error'").select(
+        F.col("user_id").cast("string").alias("id"), F.concat(F.lit("navigation error "), (F.col("event_id") % 3).cast("string")).alias("reason"))
+    O.failure_lines(failed).write.text(path)
+    reasons = I.read_failures(spark, path, "*").groupBy("id").agg(F.min("reason").alias("reason"))
+    ones = reasons.withColumn("one", F.lit(1).cast("long"))
+    return W.running_totals(ones, "id", ["one"], F.substring("id", 1, 1)).select("id", "reason", F.col("running_one").alias("position"))
+
+
+@query("dead_letters", "select distinct user_id::varchar as id from events where event_type = 'error'")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters appended twice; the recovery list holds each id once, in text order."""
+    path = scratch_path(spark, "dead")
+    failed = load(spark, sf_dir, "events").where("event_type = 'error'").select(
+        F.col("user_id").cast("string").alias("id"), F.lit("navigation error").alias("reason"))
+    O.write_dead_letters(failed, path)
+    O.write_dead_letters(failed.limit(1), path)
+    return O.recovery_list(spark.read.parquet(path))
+
+
+@query("append_ledger", f"""with {SQL_TAGGED} select source as file, count(*) as total, count(*) filter (len(categories) > 0) as matched,
+count(*) filter (len(categories) > 1) as multi_category from tagged group by source""")
+def append_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows appended in two runs, the second for the files the first left out."""
+    path = scratch_path(spark, "ledger")
+    tally = A.file_tally(tagged(spark, sf_dir), "source").persist()
+    O.append_ledger(tally.where("file < 'src3'"), path)
+    O.append_ledger(anti_processed_files(tally, I.read_ledger(spark, path)), path)
+    return I.read_ledger(spark, path).select("file", "total", "matched", "multi_category")
+
+
+@query("write_routed", f"""with {SQL_TAGGED} select category, lang_bucket, count(*) as n, count(distinct doc_id) as posts
+from (select unnest(categories) as category, lang_bucket, doc_id from tagged) group by all""")
+def write_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts written to every category and language they belong to, and read back."""
+    path = scratch_path(spark, "routed")
+    posts = flows.categorise_posts(posts_of(spark, sf_dir), LEXICON, ("surely no such term",))
+    O.write_routed(posts, path)
+    routed = spark.read.parquet(path)
+    return A.dedup_report(routed, ["category", "lang_bucket"], "tweetid").select(
+        "category", "lang_bucket", F.col("before").alias("n"), F.col("after").alias("posts"))
+
+
+@query("ensure_outputs", f"select unnest({CATEGORY_ORDER!r}) as category, 0::bigint as n")
+def ensure_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty output has the output schema and counts as 0 in every category."""
+    path = scratch_path(spark, "empty")
+    posts = flows.categorise_posts(posts_of(spark, sf_dir), LEXICON, ("surely no such term",))
+    O.ensure_outputs(posts, path)
+    counts = spark.read.parquet(path).groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
+    grid = A.category_grid(counts, CATEGORY_ORDER, ["en", "ru", "other"])
+    return grid.groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@query("deduplicate_outputs", f"""with {SQL_TAGGED}
+select category, lang_bucket, min(doc_id) as first_doc, false as is_duplicate
+from (select unnest(categories) as category, lang_bucket, source, doc_id from tagged) group by category, lang_bucket, source""")
+def deduplicate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row per output and key; the source stands in for a repeated post id."""
+    posts = tagged(spark, sf_dir).select("categories", "lang_bucket", "doc_id", F.col("source").alias("tweetid"))
+    routed = explode_rows(posts, "categories", "category", "lang_bucket", "doc_id", "tweetid")
+    firsts = flows.deduplicate_outputs(routed, ["doc_id"])
+    return firsts.select("category", "lang_bucket", F.col("doc_id").alias("first_doc"), "is_duplicate")
+
+
+@query("write_merged", """
+select doc_id::varchar as tweet_id, '2024-3-' || (doc_id % 3 + 1) as source_date,
+case when doc_id % 6 = 0 or doc_id % 8 <= 2 then 0 else length(substr(text, 1, 200)) end as kept_chars from documents""")
+def write_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records merged from overlapping shards, decluttered, written per date and read back."""
+    path = scratch_path(spark, "merged")
+    merged, _ = flows.merge_records(records_of(spark, sf_dir), ["shard", "doc_id"])
+    dated = merged.withColumn("source_date", F.concat(F.lit("2024-3-"), (F.col("doc_id") % 3 + 1).cast("string")))
+    O.write_merged(O.spreadsheet_safe(dated.drop("shard", "doc_id")), path)
+    read = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .schema(S.text_schema([*fixed.RECORD_COLUMNS, "source_date"])).csv(path))
+    return read.select(X.strip_guard(F.col("tweet_id")).alias("tweet_id"), "source_date",
+                       F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"))
+
+
+@query("run_summary", """
+select (select 'Languages: {' || string_agg('''' || lang || ''': ' || n, ', ' order by lang) || '}' from
+    (select lang, count(*) as n from documents group by lang)) || ' | ' ||
+(select 'Failures: {''deleted'': ' || count(*) || '}' from documents where doc_id % 6 = 0) as summary""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line with the language and failure counts of merged records."""
+    _, summary = flows.merge_records(records_of(spark, sf_dir), ["shard", "doc_id"])
+    return summary.select("summary")
+
+
+@query("extract_records")
+def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched-record flow over the stored pages, with a language model fitted on the documents."""
+    model = fit_language_model(load(spark, sf_dir, "documents", "doc_id").select("text", "lang"))
+    pages = load(spark, sf_dir, "pages", "page_id").withColumnRenamed("page_id", "id")
+    records = flows.add_language(flows.extract_records(pages, text_tag="article", text_attribute=""), model)
+    return records.groupBy("language", "media", "fail_reason", "hydration_score").agg(F.count("*").alias("n"))
+
+
+@query("write_analysis_tables", """
+select lang, count(*) as n, string_agg(distinct source, ', ' order by source) as sources from documents group by lang""")
+def write_analysis_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with arrays, written as Parquet and as CSV; the CSV is read back."""
+    path = scratch_path(spark, "tables")
+    docs = load(spark, sf_dir, "documents")
+    table = docs.groupBy("lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source")).alias("sources"))
+    O.write_analysis_tables({"languages": table}, path, csv=True)
+    return spark.read.option("header", True).schema("lang string, n long, sources string").csv(f"{path}/languages_csv")
+
+
+# Streams -------------------------------------------------------------------------------------
+
+@query("stream_ingest", f"""with {SQL_TAGGED} select category, lang_bucket, count(*) as n,
+(select count(distinct source) from documents) as files from (select unnest(categories) as category, lang_bucket from tagged) group by all""")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumable ingest of CSV files: routed posts and a ledger row per file; a second run adds nothing."""
+    path = scratch_path(spark, "ingest")
+    posts = posts_of(spark, sf_dir)
+    write_csv(posts.repartition(4, "source"), f"{path}/in", "source")
+    for _ in range(2):
+        stream = J.stream_posts(spark, f"{path}/in", files_per_batch=12)
+        J.start_ingest(stream, f"{path}/out", f"{path}/checkpoint", LEXICON, general_terms=("surely no such term",)).awaitTermination()
+    routed = spark.read.parquet(f"{path}/out/posts")
+    ledger = I.read_ledger(spark, f"{path}/out/ledger")
+    counts = routed.groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
+    return counts.withColumn("files", ledger.agg(F.count("*")).scalar())
+
+
+def event_files(spark: SparkSession, sf_dir: str, path: str, parts: int = 3) -> DataFrame:
+    """Events as files that arrive in time order, one batch after the other; returns their stream."""
+    events = load(spark, sf_dir, "events")
+    bounds = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    width = (bounds["high"] - bounds["low"]) // parts + 1
+    for part in range(parts):
+        low = bounds["low"] + part * width
+        chunk = events.where((F.col("event_id") >= low) & (F.col("event_id") < low + width))
+        chunk.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_dedup", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per key over all batches of a stream."""
+    path = scratch_path(spark, "dedup")
+    stream = event_files(spark, sf_dir, f"{path}/in").withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+    J.run_to_table(J.dedup_stream(stream, "key"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_streak", """
+with islands as (select *, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id) as island
+from events)
+select event_id, user_id, streak, streak >= 3 as tripped from (select event_id, user_id,
+(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, island order by ts, event_id))::bigint as streak from islands)""")
+def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks kept as state over the batches of a stream."""
+    path = scratch_path(spark, "streak")
+    stream = event_files(spark, sf_dir, f"{path}/in")
+    J.run_to_table(J.streak_stream(stream, "user_id", "ts", "event_id", F.col("event_type") == "error", 3),
+                   f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("stream_tally", "select event_type, count(*) as total, count(*) filter (value > 10) as large from events group by event_type")
+def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals per key; the last state of each is kept."""
+    path = scratch_path(spark, "tally")
+    stream = event_files(spark, sf_dir, f"{path}/in")
+    totals = stream.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("large"))
+    J.run_each_batch(totals, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint", "complete")
+    states = spark.read.parquet(f"{path}/out")
+    return states.groupBy("event_type").agg(F.max_by("total", "batch").alias("total"), F.max_by("large", "batch").alias("large"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.operators import aggregates as A
 from narrascope.operators import joins as J
 from narrascope.operators import sets as S
+from narrascope.operators import topics as T
 from narrascope.operators import windows as W
 from narrascope.plans import queries_text as QT
 from narrascope.plans.registry import load, query
@@ -261,8 +262,6 @@ else any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 5 end)::bigint as s
 from binned group by topic, bin""")
 def topic_frequency_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per topic and equal-width time bin."""
-    from narrascope.operators.topics import add_time_bin, topic_frequency_over_time as frequency
-
     events = load(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "ts")
-    return frequency(add_time_bin(events, "ts", 5)).select("topic", "bin", "frequency",
+    return T.topic_frequency_over_time(T.add_time_bin(events, "ts", 5)).select("topic", "bin", "frequency",
                                                            F.unix_micros("bin_start").alias("start_micros"))

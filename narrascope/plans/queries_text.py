@@ -13,6 +13,7 @@ from narrascope.operators import lexicon as L
 from narrascope.operators import models as M
 from narrascope.operators import predicates as R
 from narrascope.operators import windows as W
+from narrascope.operators.rows import explode_rows
 from narrascope.plans.registry import load, query
 
 # Pieces of SQL that mirror the expressions of `functions.text`.
@@ -127,7 +128,7 @@ select category, lang_bucket, count(*) as n from (select unnest(categories) as c
 group by all""")
 def categorise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per category and language bucket: clean, bucket, match, explode, count."""
-    routed = tagged(spark, sf_dir).select(F.explode("categories").alias("category"), "lang_bucket")
+    routed = explode_rows(tagged(spark, sf_dir), "categories", "category", "lang_bucket")
     return routed.groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
 
 
@@ -155,7 +156,7 @@ and {sql_words("t", [X.normalise_keyword(t) for t in GENERAL])}""")
 def uncategorised_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of no category that mention a general term."""
     docs = L.assign_fallback(tagged(spark, sf_dir), "normalised", GENERAL)
-    return docs.where(L.in_category(F.col("categories"), "uncategorized")).select("doc_id", "lang_bucket")
+    return explode_rows(docs, "categories", "category").where("category = 'uncategorized'").select("doc_id", "lang_bucket")
 
 
 @query("category_language_grid", f"""with {SQL_TAGGED}, counted as (select category, lang_bucket, count(*) as n

@@ -39,7 +39,7 @@ def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.ctfidf(T.class_term_frequency(topic_docs(spark, sf_dir)))
+    return T.ctfidf(cut_lineage(T.class_term_frequency(topic_docs(spark, sf_dir))))
 
 
 @query("tokenise_ngrams", f"""with {SQL_TERMS}
@@ -51,10 +51,13 @@ def tokenise_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size(F.array_distinct("terms")).cast("long").alias("distinct_terms"))
 
 
-@query("class_term_frequency", f"with {SQL_COUNTS} select topic, term, n from counts where n >= 5")
+@query("class_term_frequency", f"""with {SQL_COUNTS}
+select topic, count(*) as terms, sum(n)::bigint as occurrences, sum(n * length(term))::bigint as chars, max(n) as most from counts group by topic""")
 def class_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term counts per topic; the report shows terms seen at least five times."""
-    return T.class_term_frequency(topic_docs(spark, sf_dir)).where("n >= 5")
+    """Term counts per topic, added up by topic."""
+    counts = T.class_term_frequency(topic_docs(spark, sf_dir))
+    return counts.groupBy("topic").agg(F.count("*").alias("terms"), F.sum("n").alias("occurrences"),
+                                       F.sum(F.col("n") * F.length("term")).alias("chars"), F.max("n").alias("most"))
 
 
 @query("document_frequency", f"""with {SQL_COUNTS}
@@ -80,9 +83,9 @@ def ctfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_SIMILAR = f"""{SQL_TOP}, tf as (select doc_id, topic, term, count(*) as tf from terms group by all),
 norms as (select topic, sum(weight * weight) as topic2 from weights group by topic),
-similar as (select doc_id, topic, round(sum(tf * idf * weight) / sqrt(sum((tf * idf) * (tf * idf)) * any_value(topic2)), 9) as similarity
+sims as (select doc_id, topic, round(sum(tf * idf * weight) / sqrt(sum((tf * idf) * (tf * idf)) * any_value(topic2)), 9) as similarity
 from tf join weights using (topic, term) join norms using (topic) group by doc_id, topic),
-best as (select *, row_number() over (partition by topic order by similarity desc, doc_id) as doc_rank from similar)"""
+best as (select *, row_number() over (partition by topic order by similarity desc, doc_id) as doc_rank from sims)"""
 
 
 @query("representative_docs", f"""with {SQL_SIMILAR}
@@ -175,7 +178,7 @@ def density_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CELLS = """points as (select vec_id, [embedding[1]::double, embedding[2]::double] as x from embeddings),
 box as (select min(x[1]) as l1, min(x[2]) as l2, greatest(max(x[1]) - min(x[1]), max(x[2]) - min(x[2])) as s from points),
-placed as (select vec_id, least(floor((x[1] - l1) / s * 16), 15)::int as a, least(floor((x[2] - l2) / s * 16), 15)::int as b from points, box),
+placed as (select vec_id, least(floor((x[1] - l1) / s * 32), 31)::int as a, least(floor((x[2] - l2) / s * 32), 31)::int as b from points, box),
 cells as (select a, b, count(*) as n from placed group by a, b),
 dense as (select c.a, c.b, any_value(c.n) as n from cells c join cells d on abs(c.a - d.a) <= 1 and abs(c.b - d.b) <= 1
     group by c.a, c.b having sum(d.n) >= 8),
@@ -189,7 +192,7 @@ select count(*) as cells, sum(n)::bigint as points from regions join dense using
 def density_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected dense regions of one grid level, over the first two vector dimensions: cells and points of each."""
     points = load(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 2).alias("x"))
-    regions = C.level_regions(points, "x", dims=2, level=4, min_points=8)
+    regions = C.level_regions(points, "x", dims=2, level=5, min_points=8)
     return regions.groupBy("region").agg(F.count("*").alias("cells"), F.sum("n").alias("points")).drop("region")
 
 

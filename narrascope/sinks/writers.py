@@ -9,13 +9,16 @@ from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
 from narrascope.functions.page import metric_or_na
 from narrascope.operators.predicates import project_output
+from narrascope.operators.rows import explode_rows
 
 ROUTE = ("category", "lang_bucket")
+# The CSV writer would trim white space off every text by default.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def route(df: DataFrame) -> DataFrame:
     """One row per category of a post, with its output columns and route."""
-    routed = df.withColumn("category", F.explode("categories"))
+    routed = explode_rows(df, "categories", "category")
     return project_output(routed, fixed.POST_COLUMNS + fixed.LINEAGE_COLUMNS + ROUTE)
 
 
@@ -49,8 +52,7 @@ def spreadsheet_safe(records: DataFrame) -> DataFrame:
 def write_merged(records: DataFrame, path: str, one_file: bool = False) -> None:
     """Merged records as CSV per input date; a single file per run only for a small hand-off."""
     table = records.coalesce(1) if one_file else records
-    (table.write.mode("overwrite").partitionBy("source_date").option("header", True).option("quote", '"')
-     .option("escape", '"').csv(path))
+    table.write.mode("overwrite").partitionBy("source_date").options(**CSV_OPTIONS).csv(path)
 
 
 def write_dead_letters(failed: DataFrame, path: str) -> None:
@@ -74,4 +76,4 @@ def write_analysis_tables(tables: dict[str, DataFrame], path: str, csv: bool = F
             kinds = dict(table.dtypes)
             flat = table.select(*[F.array_join(c, ", ").alias(c) if kinds[c].startswith("array<string") else
                                   F.col(c).cast("string").alias(c) for c in table.columns])
-            flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{name}_csv")
+            flat.write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{path}/{name}_csv")

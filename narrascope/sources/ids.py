@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -22,14 +22,19 @@ def list_id_files(spark: SparkSession, folder: str, glob: str = fixed.ID_LIST_GL
 
 
 def read_id_list(spark: SparkSession, path: str, glob: str = fixed.ID_LIST_GLOB) -> DataFrame:
+    """(source_file, source_date, id, pos) of the id lists of a folder."""
+    return read_id_lines(spark.read.option("pathGlobFilter", glob).text(path), F.col("_metadata.file_name"))
+
+
+def read_id_lines(lines: DataFrame, name: Column) -> DataFrame:
     """(source_file, source_date, id, pos): distinct ids per list, in first-seen order.
 
     Lines that are not all digits are dropped, and everything from the end line on. Lists are read
     line by line, so that a long one is split over tasks: the position of a line is its file block
     and its number in the block, and the end line's position comes from an aggregate per file.
     """
-    lines = spark.read.option("pathGlobFilter", glob).text(path).select(
-        F.col("_metadata.file_name").alias("source_file"),
+    lines = lines.select(
+        name.alias("source_file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"),
         X.strip(F.col("value")).alias("id"))
     ends = lines.where(F.col("id") == fixed.ID_LIST_END).groupBy("source_file").agg(F.min("pos").alias("end"))

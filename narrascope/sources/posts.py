@@ -62,17 +62,17 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
             .select("file", "name", "length"))
 
 
-def read_shards(spark: SparkSession, folder: str, tolerant: bool = True) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, tolerant: bool = True, glob: str = fixed.SHARD_GLOB) -> DataFrame:
     """All shards of fetched records as one scan; unreadable ones are skipped if tolerant."""
     reader = (spark.read.schema(text_schema(fixed.RECORD_COLUMNS)).option("header", True).option("multiLine", True)
               .option("quote", '"').option("escape", '"').option("ignoreCorruptFiles", tolerant)
-              .option("ignoreMissingFiles", tolerant).option("pathGlobFilter", fixed.SHARD_GLOB))
+              .option("ignoreMissingFiles", tolerant).option("recursiveFileLookup", True).option("pathGlobFilter", glob))
     return null_tokens(reader.csv(folder))
 
 
-def read_seen_ids(spark: SparkSession, folder: str) -> DataFrame:
+def read_seen_ids(spark: SparkSession, folder: str, glob: str = fixed.SHARD_GLOB) -> DataFrame:
     """Distinct ids of all shards, without their spreadsheet guard."""
-    return read_shards(spark, folder).select(X.strip_guard(F.col("tweet_id")).alias("id")).where("id is not null").distinct()
+    return read_shards(spark, folder, glob=glob).select(X.strip_guard(F.col("tweet_id")).alias("id")).where("id is not null").distinct()
 
 
 def read_page_snapshots(spark: SparkSession, path: str, id_column: str = "page_id") -> DataFrame:

@@ -5,7 +5,7 @@ Progress is kept in the checkpoint folder of each query; a rerun takes up only n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from narrascope import fixed_values as fixed
-from narrascope.functions import text as X
 from narrascope.operators.aggregates import file_tally
 from narrascope.operators.lexicon import Entry
 from narrascope.plans.flows import categorise_posts
-from narrascope.sinks.writers import append_ledger, write_routed
+from narrascope.sinks.writers import write_routed
 from narrascope.sources.posts import text_schema
 
 
@@ -31,10 +30,9 @@ def stream_posts(spark: SparkSession, folder: str, schema: StructType | None = N
              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
              .option("maxFilesPerTrigger", files_per_batch).csv(folder))
     file = F.col("_metadata.file_path")
-    parent = F.regexp_replace(file, "/[^/]*$", "")
     posts = posts.select("*", F.col("_metadata.file_name").alias("source_file"), file.alias("source_path"))
-    return posts.where(~F.col("source_file").contains("_cleaned")).where(
-        ~F.regexp_replace("source_path", "/[^/]*$", "").rlike("logs|filtered_output"))
+    folder = F.regexp_replace("source_path", "/[^/]*$", "")
+    return posts.where(~F.col("source_file").contains("_cleaned") & ~folder.rlike("logs|filtered_output"))
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType, glob: str | None = None) -> DataFrame:
@@ -46,7 +44,7 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, glob: str |
 
 
 def start_ingest(posts: DataFrame, output: str, checkpoint: str, entries: Iterable[Entry] | None = None,
-                 compat: bool = False) -> StreamingQuery:
+                 general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False) -> StreamingQuery:
     """Categorise and route new files, and add them to the ledger, once each.
 
     A batch is written below its own number and overwrites what a failed attempt left there, so a
@@ -55,7 +53,7 @@ def start_ingest(posts: DataFrame, output: str, checkpoint: str, entries: Iterab
     entries = None if entries is None else list(entries)
 
     def write(batch: DataFrame, number: int) -> None:
-        done = categorise_posts(batch, entries, compat=compat).persist()
+        done = categorise_posts(batch, entries, general_terms, compat).persist()
         try:
             write_routed(done, f"{output}/posts/batch={number}", mode="overwrite")
             tally = file_tally(done, "source_path")
