@@ -6,6 +6,8 @@ reader under test and returns what was read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,7 +172,7 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = load(spark, sf_dir, "events").where("event_type = 'error'").select(
         F.col("user_id").cast("string").alias("id"), F.lit("navigation error").alias("reason"))
     O.write_dead_letters(failed, path)
-    O.write_dead_letters(failed.limit(1), path)
+    O.write_dead_letters(failed, path)
     return O.recovery_list(spark.read.parquet(path))
 
 
@@ -282,24 +284,29 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("files", ledger.agg(F.count("*")).scalar())
 
 
-def event_files(spark: SparkSession, sf_dir: str, path: str, parts: int = 3) -> DataFrame:
-    """Events as files that arrive in time order, one batch after the other; returns their stream."""
+def feed_events(spark: SparkSession, sf_dir: str, path: str, run: Callable[[DataFrame], None], parts: int = 3) -> None:
+    """Events arrive in consecutive parts of the time range; after each the stream takes up what is new."""
     events = load(spark, sf_dir, "events")
-    bounds = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
-    width = (bounds["high"] - bounds["low"]) // parts + 1
+    bounds = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    width = (bounds["high"] - bounds["low"]) / parts
     for part in range(parts):
-        low = bounds["low"] + part * width
-        chunk = events.where((F.col("event_id") >= low) & (F.col("event_id") < low + width))
-        chunk.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        chunk = events.where(F.col("ts") >= bounds["low"] + part * width)
+        if part < parts - 1:
+            chunk = chunk.where(F.col("ts") < bounds["low"] + (part + 1) * width)
+        chunk.write.mode("append").parquet(path)
+        run(J.stream_table(spark, path, events.schema))
 
 
 @query("stream_dedup", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per key over all batches of a stream."""
     path = scratch_path(spark, "dedup")
-    stream = event_files(spark, sf_dir, f"{path}/in").withColumn("key", F.concat_ws(":", "user_id", "event_type"))
-    J.run_to_table(J.dedup_stream(stream, "key"), f"{path}/out", f"{path}/checkpoint")
+
+    def run(stream: DataFrame) -> None:
+        keyed = stream.withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+        J.run_to_table(J.dedup_stream(keyed, "key"), f"{path}/out", f"{path}/checkpoint")
+
+    feed_events(spark, sf_dir, f"{path}/in", run)
     return spark.read.parquet(f"{path}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -311,9 +318,8 @@ select event_id, user_id, streak, streak >= 3 as tripped from (select event_id,
 def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaks kept as state over the batches of a stream."""
     path = scratch_path(spark, "streak")
-    stream = event_files(spark, sf_dir, f"{path}/in")
-    J.run_to_table(J.streak_stream(stream, "user_id", "ts", "event_id", F.col("event_type") == "error", 3),
-                   f"{path}/out", f"{path}/checkpoint")
+    feed_events(spark, sf_dir, f"{path}/in", lambda stream: J.run_to_table(
+        J.streak_stream(stream, "user_id", "ts", "event_id", F.col("event_type") == "error", 3), f"{path}/out", f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/out")
 
 
@@ -321,8 +327,12 @@ def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals per key; the last state of each is kept."""
     path = scratch_path(spark, "tally")
-    stream = event_files(spark, sf_dir, f"{path}/in")
-    totals = stream.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("large"))
-    J.run_each_batch(totals, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint", "complete")
+
+    def run(stream: DataFrame) -> None:
+        totals = stream.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("large"))
+        J.run_each_batch(totals, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"),
+                         f"{path}/checkpoint", "complete")
+
+    feed_events(spark, sf_dir, f"{path}/in", run)
     states = spark.read.parquet(f"{path}/out")
     return states.groupBy("event_type").agg(F.max_by("total", "batch").alias("total"), F.max_by("large", "batch").alias("large"))
