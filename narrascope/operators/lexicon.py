@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
-from narrascope.operators.rows import explode_rows
+from narrascope.operators.rows import compute_once, explode_rows
 
 LEXICON_SCHEMA = "category string, priority int, keyword string, match_mode string"
 # Above this many keywords, match by join.
@@ -120,10 +120,9 @@ def category_conditions(entries: Sequence[Entry], normalised: Column, raw: Colum
 
 
 def with_normalised(df: DataFrame, text: str = "text", to: str = "normalised", compat: bool = False) -> DataFrame:
-    """Add the form in which keywords are searched, in two projections, so that the first is not
-    worked out again for every use in the second."""
+    """Add the form in which keywords are searched."""
     lowered = X.strip_tag_marks(F.lower(X.split_glued_acronyms(X.text_or_empty(F.col(text)), compat=compat)))
-    return df.withColumn("_lowered", lowered).withColumn(to, X.fold(F.col("_lowered"))).drop("_lowered")
+    return compute_once(compute_once(df, _lowered=lowered), **{to: X.fold(F.col("_lowered"))}).drop("_lowered")
 
 
 def categorise(df: DataFrame, entries: Sequence[Entry] | None = None, text: str = "text",
@@ -141,7 +140,7 @@ def categorise(df: DataFrame, entries: Sequence[Entry] | None = None, text: str
         df = with_normalised(df, text, normalised, compat)
     conditions = category_conditions(entries, F.col(normalised), X.text_or_empty(F.col(text)), compat)
     hits = F.array(*[F.when(condition, F.lit(category)) for category, condition in sorted(conditions.items())])
-    df = df.withColumn("categories", F.array_compact(hits))
+    df = compute_once(df, categories=F.array_compact(hits))
     df = df.withColumn("multi_category_match", F.size("categories") > 1)
     return df.drop(normalised) if added else df
 

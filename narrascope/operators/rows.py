@@ -1,4 +1,4 @@
-"""One row per array element."""
+"""Rows from arrays, and columns that are worked out once."""
 
 from __future__ import annotations
 
@@ -14,3 +14,13 @@ def explode_rows(df: DataFrame, array: Column | str, to: str, *keep: str) -> Dat
     """
     kept = [F.col(c) for c in keep] if keep else [F.col("*")]
     return df.select(*kept, F.explode_outer(array).alias(to)).where(F.col(to).isNotNull())
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row, whatever filters follow.
+
+    The planner pushes a filter on a computed column below its projection and so evaluates the
+    expression twice. It cannot do so through the generator used here, which yields one row per row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))

@@ -18,7 +18,7 @@ from narrascope.functions import time as TM
 from narrascope.operators.aggregates import topic_counts
 from narrascope.operators.rows import explode_rows
 from narrascope.operators.windows import first_k
-from narrascope.session import cut_lineage
+from narrascope.session import broadcast_small, cut_lineage
 
 
 @lru_cache(maxsize=1)
@@ -53,12 +53,18 @@ def class_term_frequency(df: DataFrame, keys: Sequence[str] = ("topic",), terms:
 
 def document_frequency(term_counts: DataFrame) -> DataFrame:
     """(term, df, f): number of topics with the term, and its count over all topics."""
-    return term_counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("f"))
+    return term_counts.groupBy("term").agg(F.count("topic").alias("df"), F.sum("n").alias("f"))
 
 
-def prune_vocabulary(term_counts: DataFrame, min_df: int = fixed.MIN_DF, max_df: float = fixed.MAX_DF) -> DataFrame:
+def topic_number(term_counts: DataFrame) -> Column:
+    """Number of topics, as a scalar subquery."""
+    return term_counts.select("topic").distinct().agg(F.count("*")).scalar()
+
+
+def prune_vocabulary(term_counts: DataFrame, min_df: int = fixed.MIN_DF, max_df: float = fixed.MAX_DF,
+                     topics: Column | None = None) -> DataFrame:
     """(term, df, f) of terms in at least min_df topics and at most a share max_df of them."""
-    topics = term_counts.select("topic").distinct().agg(F.count("*")).scalar()
+    topics = topic_number(term_counts) if topics is None else topics
     return document_frequency(term_counts).where((F.col("df") >= min_df) & (F.col("df") <= topics * F.lit(max_df)))
 
 
@@ -68,7 +74,10 @@ def ctfidf(term_counts: DataFrame, vocabulary: DataFrame | None = None) -> DataF
     f is the count of the term over all topics and A the mean number of words per topic, rounded down.
     The counts of kept terms are written out, as the weights, the topic sizes and A all read them.
     """
-    vocabulary = prune_vocabulary(term_counts) if vocabulary is None else vocabulary
+    # By term once, for counting and joining alike; a term has no more rows than there are topics.
+    topics = topic_number(term_counts)
+    term_counts = term_counts.repartition("term")
+    vocabulary = prune_vocabulary(term_counts, topics=topics) if vocabulary is None else vocabulary
     kept = cut_lineage(term_counts.join(vocabulary.select("term", "f"), "term"))
     sizes = kept.groupBy("topic").agg(F.sum("n").alias("_words"))
     mean = sizes.agg(F.floor(F.avg("_words")).cast("double")).scalar()
@@ -95,12 +104,14 @@ def topic_name(topic: Column, terms: Column, n: int = fixed.NAME_TERMS) -> Colum
 def doc_similarity(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", terms: str = "terms") -> DataFrame:
     """(doc_id, topic, similarity): cosine of a doc's term vector with the weights of its own topic.
 
-    The join is on (topic, term); the planner broadcasts the weights if they are small and splits
-    skewed keys if not. Docs are summed right after it.
+    Docs are brought together by id before their terms are counted, which moves less than counting
+    across tasks would. Weights below the broadcast limit meet the terms where they are; beyond it
+    the join shuffles, and adaptive execution splits skewed keys. Docs are summed right after it.
     """
-    counted = (explode_rows(docs, terms, "term", doc_id, "topic")
+    gathered = docs.select(doc_id, "topic", terms).repartition(doc_id)
+    counted = (explode_rows(gathered, terms, "term", doc_id, "topic")
                .groupBy(doc_id, "topic", "term").agg(F.count("*").alias("tf")))
-    joined = counted.join(weights.select("topic", "term", "idf", "weight"), ["topic", "term"])
+    joined = counted.join(broadcast_small(weights.select("topic", "term", "idf", "weight")), ["topic", "term"])
     part = F.col("tf") * F.col("idf")
     sums = joined.groupBy(doc_id, "topic").agg(F.sum(part * F.col("weight")).alias("_dot"),
                                                F.sum(part * part).alias("_doc2"))
@@ -165,13 +176,14 @@ def bin_weights(binned: DataFrame, weights: DataFrame, blend_previous: bool = Fa
     keys = ["topic", "bin"]
     counts = class_term_frequency(binned, keys, terms)
     # The idf of a term is the same in all topics; the topic's own row carries it.
-    local = counts.join(weights.select("topic", "term", "idf"), ["topic", "term"])
-    local = _unit_sum(local.select(*keys, "term", (F.col("n") * F.col("idf")).alias("weight")), keys)
+    local = counts.join(broadcast_small(weights.select("topic", "term", "idf")), ["topic", "term"])
+    local = cut_lineage(local.select(*keys, "term", (F.col("n") * F.col("idf")).alias("weight")))
+    cells, local = local, _unit_sum(local, keys)
     if not (blend_previous or blend_global):
         return local
 
     along = Window.partitionBy("topic").orderBy("bin")
-    cells = local.select(*keys).distinct()
+    cells = cells.select(*keys).distinct()
     cells = cells.withColumn("_follows", F.coalesce(F.lag("bin").over(along) == F.col("bin") - 1, F.lit(False)))
     own = F.lit(1.0)
     if blend_previous:

@@ -20,6 +20,7 @@ from narrascope.operators import models as M
 from narrascope.operators import predicates as R
 from narrascope.operators import topics as T
 from narrascope.operators import windows as W
+from narrascope.operators.rows import compute_once
 from narrascope.session import cut_lineage
 
 
@@ -29,9 +30,9 @@ def extract_records(pages: DataFrame, id_column: str = "id", text_tag: str = r"\
                     text_attribute: str = f'data-testid="{fixed.TEXT_TESTID}"', compat: bool = False) -> DataFrame:
     """Records from stored pages (id, html): text, tags, media, links, metrics, score, failure."""
     html = F.col("html")
-    table = pages.select(F.col(id_column).cast("string").alias("tweet_id"), "html",
-                         P.page_fields(html, text_tag, text_attribute).alias("_fields"))
-    table = table.withColumn("_found", P.extraction_cascade(F.col("_fields"), compat=compat))
+    table = pages.select(F.col(id_column).cast("string").alias("tweet_id"), "html")
+    table = compute_once(table, _fields=P.page_fields(html, text_tag, text_attribute))
+    table = compute_once(table, _found=P.extraction_cascade(F.col("_fields"), compat=compat))
     table = table.withColumn("text", F.col("_found.text"))
     table = table.withColumn("hydration_score", P.quality_score(F.col("text"), F.col("_found.points")))
     reason = L.classify_failure(P.page_search_text(html), F.col("hydration_score"))
@@ -94,7 +95,7 @@ def prepare_corpus(corpus: DataFrame, keep_languages: Iterable[str] = ("en",), t
     docs = R.drop_flagged_duplicates(docs)
     if drop_reposts:
         docs = R.drop_reposts(docs, mode=repost_mode)
-    docs = R.min_length(docs.withColumn("clean_text", X.clean_text(F.col("text"))), chars=min_chars)
+    docs = R.min_length(compute_once(docs, clean_text=X.clean_text(F.col("text"))), chars=min_chars)
     return W.keep_first(docs, "clean_text", list(order))
 
 

@@ -13,7 +13,7 @@ from narrascope.operators import lexicon as L
 from narrascope.operators import models as M
 from narrascope.operators import predicates as R
 from narrascope.operators import windows as W
-from narrascope.operators.rows import explode_rows
+from narrascope.operators.rows import compute_once, explode_rows
 from narrascope.plans.registry import load, query
 
 # Pieces of SQL that mirror the expressions of `functions.text`.
@@ -84,7 +84,7 @@ select doc_id, length(c) as clean_chars, md5(c) as clean_md5 from (select doc_id
 where length(c) >= 5""")
 def clean_text_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning and minimum length."""
-    docs = load(spark, sf_dir, "documents", "doc_id").withColumn("clean_text", X.clean_text(F.col("text")))
+    docs = compute_once(load(spark, sf_dir, "documents", "doc_id"), clean_text=X.clean_text(F.col("text")))
     return R.min_length(docs).select("doc_id", F.length("clean_text").cast("long").alias("clean_chars"), F.md5("clean_text").alias("clean_md5"))
 
 
@@ -94,7 +94,7 @@ from documents where length({sql_clean()}) >= 5) where r = 1""")
 def keep_first_by_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document per cleaned text."""
     docs = load(spark, sf_dir, "documents", "doc_id")
-    docs = R.min_length(docs.select("doc_id", "lang", X.clean_text(F.col("text")).alias("clean_text")))
+    docs = R.min_length(compute_once(docs.select("doc_id", "lang", "text"), clean_text=X.clean_text(F.col("text"))))
     return W.keep_first(docs, "clean_text", ["doc_id"]).select("doc_id", "lang")
 
 
