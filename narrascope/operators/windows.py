@@ -12,26 +12,32 @@ def _columns(names: Sequence[str] | str) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def _digested(df: DataFrame, keys: list[str], by_digest: bool) -> list[Column]:
+    """Grouping keys; long texts may stand as their SHA-256, which is shorter to move and to compare."""
+    kinds = dict(df.dtypes)
+    return [F.sha2(F.col(k), 256) if by_digest and kinds[k] == "string" else F.col(k) for k in keys]
+
+
 def first_k(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Column | str], k: int = 1,
-            rank: str | None = None) -> DataFrame:
+            rank: str | None = None, by_digest: bool = False) -> DataFrame:
     """The first k rows of each group, with their rank if a name is given.
 
     The planner applies the limit within each input partition before the shuffle, so a group that
-    holds a third of all rows sends k rows per task.
+    holds a third of all rows sends k rows per task. Set `by_digest` for keys that are whole texts.
     """
     name = rank or "_rank"
-    window = Window.partitionBy(*_columns(keys)).orderBy(*order)
+    window = Window.partitionBy(*_digested(df, _columns(keys), by_digest)).orderBy(*order)
     kept = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
     return kept if rank else kept.drop(name)
 
 
-def keep_first(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Column | str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Column | str], by_digest: bool = False) -> DataFrame:
     """First row per key in the given order."""
-    return first_k(df, keys, order, 1)
+    return first_k(df, keys, order, 1, by_digest=by_digest)
 
 
 def flag_duplicates(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str,
-                    to: str = "is_duplicate") -> DataFrame:
+                    to: str = "is_duplicate", by_digest: bool = False) -> DataFrame:
     """Whether a row is not the first of its key; False for all rows if a key column is missing.
 
     The order columns must tell rows apart. The first of each key is found by a map-side combined
@@ -40,10 +46,11 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str] | str, order: Sequence[st
     keys, order = _columns(keys), _columns(order)
     if not set(keys) <= set(df.columns):
         return df.withColumn(to, F.lit(False))
+    groups = df.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(_digested(df, keys, by_digest))])
     if len(order) == 1:
-        firsts = df.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(order[0])
+        firsts = groups.agg(F.min(order[0]).alias(order[0])).select(order[0])
     else:
-        firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
+        firsts = groups.agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
     firsts = firsts.withColumn("_is_first", F.lit(True))
     return df.join(firsts, order, "left").withColumn(to, F.col("_is_first").isNull()).drop("_is_first")
 
@@ -55,36 +62,45 @@ def share_within_group(counts: DataFrame, group: Sequence[str] | str, n: str = "
 
 
 def running_totals(df: DataFrame, order: Sequence[str] | str, values: Sequence[str],
-                   coarse: Column, prefix: str = "running_") -> DataFrame:
-    """Cumulative sums along the order, in two levels.
-
-    `coarse` cuts the order into consecutive pieces (a date, a name prefix): it must never decrease
-    along it. Sums run within each piece, and only the totals of the pieces run over all of them.
+                   coarse: Column | Sequence[Column], prefix: str = "running_") -> DataFrame:
+    """Cumulative sums along the order, in levels.
+
+    `coarse` cuts the order into consecutive pieces (a date, a name prefix), and pieces into smaller
+    ones if it has several columns: none may decrease along the order within the one before. Sums
+    run within the smallest pieces; of larger pieces only the totals are added up. No task holds
+    more than a smallest piece, or the pieces of one larger piece. The input is read once per level,
+    so write out a costly one first.
     """
     order = _columns(order)
-    df = df.withColumn("_piece", coarse)
-    within = Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("_piece").agg(*[F.sum(v).alias(v) for v in values])
-    offsets = totals.select("_piece", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}")
-                                        for v in values])
-    summed = df.select("*", *[F.sum(v).over(within).alias(f"_within_{v}") for v in values])
-    joined = summed.join(offsets, summed["_piece"].eqNullSafe(offsets["_piece"])).drop(offsets["_piece"])
-    for v in values:
-        joined = joined.withColumn(prefix + v, F.col(f"_within_{v}") + F.col(f"_before_{v}"))
-    return joined.drop("_piece", *[f"_within_{v}" for v in values], *[f"_before_{v}" for v in values])
+    levels = [coarse] if isinstance(coarse, Column) else list(coarse)
+    names = [f"_piece{i}" for i in range(len(levels))]
+    df = df.select("*", *[c.alias(n) for n, c in zip(names, levels)])
+    within = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    result = df.select("*", *[F.sum(v).over(within).alias(prefix + v) for v in values])
+    for depth in range(len(names), 0, -1):
+        keys = names[:depth]
+        # Totals of the pieces at this level that come before, inside the same larger piece.
+        before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        totals = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+        offsets = totals.select(*[F.col(k).alias(f"{k}_") for k in keys],
+                                *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+        result = result.join(offsets, same).drop(*[f"{k}_" for k in keys])
+        for v in values:
+            result = result.withColumn(prefix + v, F.col(prefix + v) + F.col(f"_before_{v}")).drop(f"_before_{v}")
+    return result.drop(*names)
 
 
 def renumber_by_size(sizes: DataFrame, cluster: str = "cluster", size: str = "n", tie: str = "min_id",
                      to: str = "topic", noise: int = -1, tie_width: int = 1 << 20) -> DataFrame:
     """Clusters numbered from 0, largest first, ties by the id; noise keeps -1.
 
-    A global numbering in two levels: the pieces are (size, range of ids).
+    A global numbering in levels: by size (of n points there are fewer than sqrt(2n) sizes), then by
+    range of ids.
     """
-    real = sizes.where(F.col(cluster) != noise).withColumn("_one", F.lit(1).cast("long"))
-    piece = F.struct((-F.col(size)).alias("s"), F.floor(F.col(tie) / tie_width).alias("t"))
-    real = real.withColumn("_descending", -F.col(size))
-    numbered = running_totals(real, ["_descending", tie], ["_one"], piece, prefix="_n")
+    real = sizes.where(F.col(cluster) != noise).withColumn("_one", F.lit(1).cast("long")).withColumn("_descending", -F.col(size))
+    pieces = [-F.col(size), F.floor(F.col(tie) / tie_width)]
+    numbered = running_totals(real, ["_descending", tie], ["_one"], pieces, prefix="_n")
     numbered = numbered.withColumn(to, (F.col("_n_one") - 1).cast("int")).drop("_n_one", "_one", "_descending")
     return numbered.unionByName(sizes.where(F.col(cluster) == noise).withColumn(to, F.lit(noise)))
 
@@ -97,27 +113,29 @@ def failure_streak(df: DataFrame, worker: str, order: Sequence[str], failed: Col
     within parts, and one row per part carries the open streak on, so that no task holds more than
     one part of a busy worker.
     """
-    df = df.withColumn("_piece", piece).withColumn("_failed", F.coalesce(failed, F.lit(False)))
-    part = Window.partitionBy(worker, "_piece").orderBy(*order)
+    # As structs the keys are never null and match field by field, so rows without worker or time stay.
+    df = df.select("*", F.struct(worker).alias("_who"), F.struct(piece).alias("_piece"),
+                   F.coalesce(failed, F.lit(False)).alias("_failed"))
+    part = Window.partitionBy("_who", "_piece").orderBy(*order)
     so_far = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = df.withColumn("_resets", F.sum((~F.col("_failed")).cast("long")).over(so_far))
-    island = Window.partitionBy(worker, "_piece", "_resets").orderBy(*order).rowsBetween(
+    island = Window.partitionBy("_who", "_piece", "_resets").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     marked = marked.withColumn("_local", F.sum(F.col("_failed").cast("long")).over(island))
 
     # One row per part: did it reset, and how many failures stand at its end.
-    counts = marked.groupBy(worker, "_piece", "_resets").agg(F.max("_local").alias("_open"))
-    tails = counts.groupBy(worker, "_piece").agg(F.max("_resets").alias("_total"),
+    counts = marked.groupBy("_who", "_piece", "_resets").agg(F.max("_local").alias("_open"))
+    tails = counts.groupBy("_who", "_piece").agg(F.max("_resets").alias("_total"),
                                                  F.max_by("_open", "_resets").alias("_tail"))
-    along = Window.partitionBy(worker).orderBy("_piece")
+    along = Window.partitionBy("_who").orderBy("_piece")
     up_to = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tails = tails.withColumn("_island", F.sum((F.col("_total") > 0).cast("long")).over(up_to))
-    in_island = Window.partitionBy(worker, "_island").orderBy("_piece").rowsBetween(
+    in_island = Window.partitionBy("_who", "_island").orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     tails = tails.withColumn("_run", F.sum("_tail").over(in_island))
-    carry = tails.select(worker, "_piece", F.coalesce(F.lag("_run").over(along), F.lit(0)).alias("_carry"))
+    carry = tails.select("_who", "_piece", F.coalesce(F.lag("_run").over(along), F.lit(0)).alias("_carry"))
 
-    joined = marked.join(carry, [worker, "_piece"])
+    joined = marked.join(carry, ["_who", "_piece"])
     streak = F.col("_local") + F.when(F.col("_resets") == 0, F.col("_carry")).otherwise(0)
     return (joined.withColumn(to, streak).withColumn("tripped", F.col(to) >= limit)
-            .drop("_piece", "_failed", "_resets", "_local", "_carry"))
+            .drop("_who", "_piece", "_failed", "_resets", "_local", "_carry"))

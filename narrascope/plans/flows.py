@@ -96,7 +96,7 @@ def prepare_corpus(corpus: DataFrame, keep_languages: Iterable[str] = ("en",), t
     if drop_reposts:
         docs = R.drop_reposts(docs, mode=repost_mode)
     docs = R.min_length(compute_once(docs, clean_text=X.clean_text(F.col("text"))), chars=min_chars)
-    return W.keep_first(docs, "clean_text", list(order))
+    return W.keep_first(docs, "clean_text", list(order), by_digest=True)
 
 
 def narrative_tables(docs: DataFrame, time: str = "tweetcreatedts", stop_words: Iterable[str] | None = None,

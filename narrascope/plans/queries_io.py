@@ -17,12 +17,14 @@ from narrascope.operators import aggregates as A
 from narrascope.operators import predicates as R
 from narrascope.operators import windows as W
 from narrascope.operators.joins import anti_processed_files
+from narrascope.operators.lexicon import categories_of, failure_phrases
 from narrascope.operators.models import fit_language_model
 from narrascope.operators.rows import explode_rows
 from narrascope.operators.sets import concat_tables
 from narrascope.plans import flows
 from narrascope.plans.queries_tables import SQL_STATUS, status_table
-from narrascope.plans.queries_text import CATEGORY_ORDER, LEXICON, SQL_TAGGED, tagged
+from narrascope.plans.queries_text import (CATEGORY_ORDER, LEXICON, SQL_TAGGED, WORD, sql_element, sql_inner, sql_score, sql_strip,
+                                           tagged)
 from narrascope.plans.registry import load, query
 from narrascope.session import scratch_path
 from narrascope.sinks import writers as O
@@ -62,6 +64,37 @@ def read_posts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.unix_seconds("tweetcreatedts").alias("seconds"), "is_duplicate", "timezone_assumed")
 
 
+@query("read_corpus", """
+select doc_id, lang, n_chars, epoch_us(date_trunc('second', ts)) as micros, (doc_id % 2 = 0) as flagged from documents left join events on event_id = doc_id""")
+def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus written as CSV and read with typed columns."""
+    path = scratch_path(spark, "corpus")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", (F.col("doc_id") % 2 == 0).alias("flagged"))
+    times = load(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts"))
+    docs.join(times, "doc_id", "left").write.options(**O.CSV_OPTIONS).csv(path)
+    corpus = S.read_corpus(spark, path, "doc_id long, lang string, n_chars long, flagged boolean, ts timestamp")
+    return corpus.select("doc_id", "lang", "n_chars", F.unix_micros("ts").alias("micros"), "flagged")
+
+
+@query("read_page_snapshots", "select page_id, url, length(html) as chars from pages")
+def read_page_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages as the input of extraction."""
+    return S.read_page_snapshots(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.length("html").cast("long").alias("chars"))
+
+
+@query("coerce_numbers", """
+select doc_id, case when doc_id % 3 = 2 then 0 else doc_id end::int as n, doc_id % 3 = 1 as truthy, length(coalesce(lang, '')) as lang_chars
+from documents""")
+def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, fractions and junk as whole numbers; flags as booleans; nulls as empty text."""
+    kind = F.col("doc_id") % 3
+    written = (F.when(kind == 0, F.col("doc_id").cast("string")).when(kind == 1, F.concat(F.col("doc_id").cast("string"), F.lit(".0")))
+               .otherwise(F.concat(F.lit("x"), F.col("doc_id").cast("string"))))
+    flag = F.when(kind == 1, "True").otherwise("no")
+    return load(spark, sf_dir, "documents").select("doc_id", X.int_or_zero(written).alias("n"), X.truthy_text(flag).alias("truthy"),
+                                                   F.length(X.text_or_empty(F.col("lang"))).cast("long").alias("lang_chars"))
+
+
 @query("scan_tree", "select count(distinct source) as folders from documents")
 def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV files of a tree, outputs and cleaned copies left out."""
@@ -246,13 +279,35 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select("summary")
 
 
-@query("extract_records")
+SQL_RECORDS = f"""found as (select page_id, html, {sql_inner(sql_element('article'))} as a, {sql_inner(sql_element('title'))} as raw from pages),
+titled as (select *, case when q <> '' then q else {sql_strip('raw')} end as title from
+    (select *, regexp_extract(raw, '[“"]([^\n]+?)[”"]', 1) as q from found)),
+texts as (select page_id, html, coalesce(nullif(a, ''), title, '') as text,
+    case when coalesce(a, '') <> '' then 3 when coalesce(title, '') <> '' then 2 else 0 end as points from titled),
+scored as (select *, {sql_score('text', 'points')} as score, lower(html || ' ' || {sql_inner('html')}) as search from texts)"""
+SQL_REASON = "case when score > 2 then '' " + " ".join(
+    "when " + " or ".join(f"contains(search, '{e.keyword.lower().replace(chr(39), chr(39) * 2)}')" for e in failure_phrases() if e.category == s) + f" then '{s}'"
+    for s in categories_of(failure_phrases())) + " else '' end"
+
+
+@query("extract_records", f"""with {SQL_RECORDS} select page_id::varchar as tweet_id, md5(text) as text_md5,
+array_to_string(regexp_extract_all(text, '#{WORD}+'), ', ') as hashtags, 'no' as media,
+case when contains(text, 'http://') or contains(text, 'https://') or contains(text, 't.co/') then 'yes' else 'no' end as has_link,
+'https://twitter.com/i/web/status/' || page_id as "URL", {SQL_REASON} as fail_reason, score as hydration_score from scored""")
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched-record flow over the stored pages, with a language model fitted on the documents."""
+    """Fetched-record flow over the stored pages, the article as text element."""
+    pages = load(spark, sf_dir, "pages", "page_id").withColumnRenamed("page_id", "id")
+    records = flows.extract_records(pages, text_tag="article", text_attribute="")
+    return records.select("tweet_id", F.md5("text").alias("text_md5"), "hashtags", "media", "has_link", "URL", "fail_reason", "hydration_score")
+
+
+@query("record_languages")
+def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guarded language of the fetched records, by a model fitted on the documents."""
     model = fit_language_model(load(spark, sf_dir, "documents", "doc_id").select("text", "lang"))
     pages = load(spark, sf_dir, "pages", "page_id").withColumnRenamed("page_id", "id")
     records = flows.add_language(flows.extract_records(pages, text_tag="article", text_attribute=""), model)
-    return records.groupBy("language", "media", "fail_reason", "hydration_score").agg(F.count("*").alias("n"))
+    return records.groupBy("language", "fail_reason").agg(F.count("*").alias("n"))
 
 
 @query("write_analysis_tables", """

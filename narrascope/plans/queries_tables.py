@@ -12,6 +12,7 @@ from narrascope.operators import topics as T
 from narrascope.operators import windows as W
 from narrascope.plans import queries_text as QT
 from narrascope.plans.registry import load, query
+from narrascope.session import cut_lineage
 
 SQL_STATUS = """status as (select event_id as id, case event_type when 'click' then 200 when 'error' then 404
 when 'view' then 403 when 'purchase' then 500 end as status_code,
@@ -75,7 +76,8 @@ from tally window w as (order by file)""")
 def running_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tallies added up in file order, with the match rate so far."""
     # A name prefix never decreases along the names, so it can cut the order into pieces.
-    running = W.running_totals(file_tally(spark, sf_dir), "file", ["total", "matched"], F.substring("file", 1, 4))
+    tally = cut_lineage(file_tally(spark, sf_dir))
+    running = W.running_totals(tally, "file", ["total", "matched"], F.substring("file", 1, 4))
     rated = A.with_match_rate(running, "running_matched", "running_total")
     return rated.select("file", "total", "running_total", "running_matched", F.round("match_rate", 6).alias("match_rate"))
 
@@ -249,7 +251,7 @@ def renumber_topics_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic 0 is the largest; outliers keep -1."""
     sizes = load(spark, sf_dir, "events").groupBy((F.col("user_id") % 40 - 1).alias("cluster")).agg(
         F.count("*").alias("n"), F.min("event_id").alias("min_id"))
-    return W.renumber_by_size(sizes).select("cluster", "n", "topic")
+    return W.renumber_by_size(cut_lineage(sizes)).select("cluster", "n", "topic")
 
 
 @query("topic_frequency_over_time", """

@@ -95,7 +95,7 @@ def keep_first_by_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document per cleaned text."""
     docs = load(spark, sf_dir, "documents", "doc_id")
     docs = R.min_length(compute_once(docs.select("doc_id", "lang", "text"), clean_text=X.clean_text(F.col("text"))))
-    return W.keep_first(docs, "clean_text", ["doc_id"]).select("doc_id", "lang")
+    return W.keep_first(docs, "clean_text", ["doc_id"], by_digest=True).select("doc_id", "lang")
 
 
 @query("flag_duplicates", """
@@ -103,7 +103,7 @@ select doc_id, row_number() over (partition by text order by doc_id) > 1 as is_d
 def flag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text was seen before."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return W.flag_duplicates(docs, "text", "doc_id").select("doc_id", "is_duplicate")
+    return W.flag_duplicates(docs, "text", "doc_id", by_digest=True).select("doc_id", "is_duplicate")
 
 
 @query("fold_text", f"select doc_id, md5({sql_fold()}) as folded_md5 from documents")

@@ -13,7 +13,7 @@ from narrascope.operators import topics as T
 from narrascope.plans import flows
 from narrascope.plans.queries_text import WORD, sql_clean
 from narrascope.plans.registry import load, query
-from narrascope.session import cut_lineage
+from narrascope.session import cut_lineage, scratch_path
 
 # Query parameter: a short stop list in the languages of the documents.
 STOP_WORDS = ("the", "and", "of", "in", "de", "la", "le", "und", "die", "der", "que", "les", "en")
@@ -221,7 +221,23 @@ def assign_by_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.assign_by_terms(docs, weights).select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("embed_text")
+@query("save_topic_model", f"with {SQL_WEIGHTS} select topic, count(*) as terms, round(sum(weight), 6) as weight from weights group by topic")
+def save_topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic weights saved as a model and loaded again."""
+    path = scratch_path(spark, "model")
+    flows.save_topic_model(topic_weights(spark, sf_dir), path)
+    weights = flows.load_topic_weights(spark, path)
+    return weights.groupBy("topic").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("reduce_dimensions")
+def reduce_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first principal components of every vector."""
+    reduced = C.reduce_dimensions(load(spark, sf_dir, "embeddings"), 3)
+    return reduced.select("vec_id", *[F.round(F.abs(F.col("reduced")[i]), 6).alias(f"pc{i}") for i in range(3)])
+
+
+@query("embed_text", f"with {SQL_TERMS} select doc_id, 256 as dims, case when len(toks) > 0 then 1.0 else 0.0 end::double as square from docs")
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed TF-IDF vectors of unit length: size and squared length."""
     docs = topic_docs(spark, sf_dir)

@@ -18,16 +18,18 @@ def text_schema(columns: Sequence[str]) -> StructType:
 
 
 def read_posts_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
-                   multiline: bool = True, lineage: bool = True, glob: str | None = None) -> DataFrame:
+                   multiline: bool = True, lineage: bool = True, glob: str | None = None,
+                   tolerant: bool = False) -> DataFrame:
     """UTF-8 CSV with a header, all columns as text, missing-value tokens as null.
 
     Without a schema the header names the columns; no data is read to infer types. Quoted newlines
     need `multiline`, which makes one task per file: switch it off where posts hold none, so that
     large files are split, and land the result as Parquet once. `lineage` adds the file name and
     the position of a row in the input as `source_file` and `ingest_order`, taken before any shuffle.
+    `tolerant` skips files that cannot be read instead of failing the run.
     """
     reader = (spark.read.option("header", True).option("multiLine", multiline).option("quote", '"')
-              .option("escape", '"').option("encoding", "UTF-8"))
+              .option("escape", '"').option("encoding", "UTF-8").option("ignoreCorruptFiles", tolerant))
     if glob:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     if schema is not None:

@@ -10,7 +10,8 @@ def test_contract(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 70
     # Queries without SQL are the fitted models and what depends on them.
-    assert names - set(entry.oracle_sql()) == {"language_id", "density_cluster", "embed_text", "sentiment_model", "narrative_analysis", "extract_records"}
+    assert names - set(entry.oracle_sql()) == {"language_id", "density_cluster", "sentiment_model", "narrative_analysis",
+                                               "record_languages", "reduce_dimensions"}
 
 
 def test_entry(spark):

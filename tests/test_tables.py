@@ -57,7 +57,7 @@ def test_streaks_equal_a_plain_loop(spark):
     rng = random.Random(2)
     rows, expected, state = [], {}, {}
     for i in range(600):
-        worker = "hot" if i % 3 else f"w{i % 5}"
+        worker = "hot" if i % 3 else None if i % 2 else f"w{i % 5}"
         bad = rng.random() < 0.7
         rows.append((i, worker, i * 97, bad))
         state[worker] = state.get(worker, 0) + 1 if bad else 0
