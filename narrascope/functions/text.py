@@ -82,40 +82,52 @@ def fold_python(text: str) -> str:
     return unicodedata.normalize("NFKC", marks_gone)
 
 
-# Blocks in which folding works letter by letter: Latin to Arabic, Latin and Greek extensions,
-# punctuation, currency, CJK punctuation, kana and ideographs.
-_LETTERWISE = ((0x80, 0x6FF), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x3000, 0x30FF),
-               (0x4E00, 0x9FFF))
-
-
-def _ranges(codes: Iterable[int]) -> str:
-    """Code points as the inside of a regex class, neighbours joined."""
+def _ranges(codes: Iterable[int], gap: int = 0) -> str:
+    """Code points as the inside of a regex class; neighbours, or all within a gap, are joined."""
     spans: list[list[int]] = []
     for code in sorted(codes):
-        if spans and code == spans[-1][1] + 1:
+        if spans and code - spans[-1][1] <= gap + 1:
             spans[-1][1] = code
         else:
             spans.append([code, code])
     return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in spans)
 
 
+_LAST_LETTER = 0x2FFFF
+
+
+def _is_jamo(code: int) -> bool:
+    return 0x1100 <= code <= 0x11FF
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str, str, str]:
-    """(letters to replace, replacements then deletions, quick and full class of what is left to Python)."""
-    single, gone, hard = [], [], []
-    for low, high in _LETTERWISE:
-        for code in range(low, high + 1):
-            char = chr(code)
-            folded = fold_python(char)
-            if len(folded) > 1:
-                hard.append(code)
-            elif not folded:
-                gone.append(char)
-            elif folded != char:
-                single.append((char, folded))
-    easy = {c for low, high in ((0, 0x7F), *_LETTERWISE) for c in range(low, high + 1)} - set(hard)
-    quick = f"[^{_ranges(c for c in easy if c <= 0xFF)}]"
-    return "".join(a for a, _ in single) + "".join(gone), "".join(b for _, b in single), quick, f"[^{_ranges(easy)}]"
+    """(letters to replace, replacements then deletions, coarse and exact class of letters left to Python).
+
+    Folding works letter by letter except for letters that become several, and for those that can
+    join the letter before them: Hangul jamo, and vowel signs that are the second part of another.
+    """
+    single, gone, hard = [], [], set(range(0x1100, 0x1200))
+    for code in range(0x80, _LAST_LETTER + 1):
+        char = chr(code)
+        parts = unicodedata.decomposition(char)
+        if parts and "<" not in parts and len(pair := parts.split()) == 2 and not unicodedata.combining(chr(int(pair[1], 16))):
+            hard.add(int(pair[1], 16))
+        if not parts and not unicodedata.combining(char):
+            continue
+        folded = fold_python(char)
+        if len(folded) > 1 or folded and _is_jamo(ord(folded)):
+            hard.add(code)
+        elif not folded:
+            gone.append(char)
+        elif folded != char:
+            single.append((char, folded))
+    # Letters of the first 256 are told apart exactly, by bit set; others by a few wide ranges at first.
+    coarse = _ranges(c for c in hard if c <= 0xFF) + _ranges((c for c in hard if c > 0xFF), gap=64)
+    replaced = [(a, b) for a, b in single if ord(a) not in hard]
+    removed = [c for c in gone if ord(c) not in hard]
+    return ("".join(a for a, _ in replaced) + "".join(removed), "".join(b for _, b in replaced),
+            f"[{coarse}]", f"[{_ranges(hard)}]")
 
 
 @lru_cache(maxsize=1)
@@ -139,9 +151,8 @@ def fold(value: Column) -> Column:
     ASCII text is kept, text whose letters fold one by one goes through a translation table, and only
     what is left is sent to Python (the others go there as nulls).
     """
-    source, target, quick, full = _fold_table()
-    # Western text is settled by the quick class, a bit set of 256 letters.
-    is_hard = (F.octet_length(value) != F.length(value)) & value.rlike(quick) & value.rlike(full)
+    source, target, coarse, exact = _fold_table()
+    is_hard = (F.octet_length(value) != F.length(value)) & value.rlike(coarse) & value.rlike(exact)
     easy = F.when(F.octet_length(value) == F.length(value), value).otherwise(F.translate(value, source, target))
     return F.coalesce(_fold_batch()(F.when(is_hard, value)), easy)
 

@@ -43,11 +43,29 @@ def test_fold_equals_unicode_rules(spark, texts):
 
 
 def test_letter_table_equals_unicode_rules(spark):
-    letters = [chr(c) for low, high in X._LETTERWISE for c in range(low, high + 1)]
-    texts = ["".join(letters[i:i + 50]) for i in range(0, len(letters), 50)]
+    # Every letter, between plain ones so that none can join another.
+    letters = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF and c not in (10, 13)]
+    texts = ["".join(f"a{c}b" for c in letters[i:i + 400]) for i in range(0, len(letters), 400)]
     assert column(spark, texts, X.fold) == [X.fold_python(t) for t in texts]
 
 
+def test_letter_table_alone(spark):
+    """Texts without the letters left to Python come out right from the table."""
+    import re
+    exact = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", X._fold_table()[3]))
+    letters = [c for c in map(chr, range(1, 0x30000)) if not 0xD800 <= ord(c) <= 0xDFFF and not exact.match(c)]
+    rng = random.Random(9)
+    texts = ["".join(letters[i:i + 300]) for i in range(0, len(letters), 300)]
+    texts += ["".join(rng.choice(letters[:12000]) for _ in range(60)) for _ in range(400)]
+    assert column(spark, texts, X.fold_letterwise) == [X.fold_python(t) for t in texts]
+
+
+def test_common_scripts_stay_in_the_jvm():
+    import re
+    exact = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", X._fold_table()[3]))
+    assert not exact.search("médecins красный крест الصليب الأحمر 红十字会 מגן דוד 😀🇺🇦❤️ カキ ２０２２ हिन्दी")
+
+
 def test_split_acronyms(spark):
     def plain(c):
         return X.split_glued_acronyms(c)
