@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
+from narrascope.operators.rows import explode_rows
 
 
 def value_counts(df: DataFrame, column: str, n: str = "n") -> DataFrame:
@@ -29,12 +30,13 @@ def summary_text(counts: Column, title: str) -> Column:
 
 
 def run_summary(records: DataFrame) -> DataFrame:
-    """One row: counts of languages and of failures, as maps and as one line of text."""
-    def counted(column: str, to: str) -> DataFrame:
-        return counts_as_map(value_counts(records, column), column, to=to)
-
-    languages, failures = counted("language", "language_counts"), counted("fail_reason", "failure_counts")
-    row = languages.select("language_counts", failures.scalar().alias("failure_counts"))
+    """One row: counts of languages and of failures, as maps and as one line of text. One pass over the records."""
+    kinds = {"language_counts": "language", "failure_counts": "fail_reason"}
+    values = F.array(*[F.struct(F.lit(to).alias("kind"), F.col(c).cast("string").alias("value")) for to, c in kinds.items()])
+    counts = (explode_rows(records.select(*kinds.values()), values, "p").select("p.*").where("value is not null and value != ''")
+              .groupBy("kind", "value").agg(F.count("*").alias("n")))
+    row = counts.agg(*[F.map_from_entries(F.array_sort(F.collect_list(
+        F.when(F.col("kind") == to, F.struct(F.col("value").alias("k"), F.col("n").alias("v")))))).alias(to) for to in kinds])
     return row.withColumn("summary", F.concat_ws(" | ", summary_text(F.col("language_counts"), "Languages"),
                                                  summary_text(F.col("failure_counts"), "Failures")))
 

@@ -15,7 +15,7 @@ def _columns(names: Sequence[str] | str) -> list[str]:
 def _digested(df: DataFrame, keys: list[str], by_digest: bool) -> list[Column]:
     """Grouping keys; long texts may stand as their SHA-256, which is shorter to move and to compare."""
     kinds = dict(df.dtypes)
-    return [F.sha2(F.col(k), 256) if by_digest and kinds[k] == "string" else F.col(k) for k in keys]
+    return [F.unhex(F.sha2(F.col(k), 256)) if by_digest and kinds[k] == "string" else F.col(k) for k in keys]
 
 
 def first_k(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Column | str], k: int = 1,

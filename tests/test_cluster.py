@@ -123,6 +123,13 @@ def test_equal_points_and_too_few_points(spark):
     assert {r.topic for r in C.density_cluster(frame.limit(3), dims=2, levels=3, allow_single=True).collect()} == {-1}
 
 
+def test_points_without_vector_are_outliers(spark):
+    rows = [(i, list(p)) for i, p in enumerate(planted(0))] + [(1000, None)]
+    found = C.density_cluster(spark.createDataFrame(rows, "doc_id long, reduced array<double>"), dims=2, levels=5)
+    assert found.count() == len(rows)
+    assert [(r.topic, r.prob) for r in found.where("doc_id = 1000").collect()] == [(-1, 0.0)]
+
+
 def test_reduction_and_membership(spark):
     rng = random.Random(7)
     rows = [(i, [rng.gauss(0, 5), rng.gauss(0, 1), rng.gauss(0, 0.01)], i % 2 - 1) for i in range(100)]
