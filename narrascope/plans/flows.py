@@ -65,10 +65,25 @@ def merge_records(records: DataFrame, order: Sequence[str]) -> tuple[DataFrame,
 
 # Categorised posts ---------------------------------------------------------------------------
 
+def add_fallback_language(posts: DataFrame, model: PipelineModel) -> DataFrame:
+    """Add candidate languages, the likeliest of them and whether there are several; blank languages take the likeliest."""
+    posts = M.candidate_languages(posts, model)
+    known = F.nullif(F.col("language"), F.lit("")) if "language" in posts.columns else F.lit(None).cast("string")
+    posts = posts.withColumn("fallback_language", X.primary_language(F.col("detected_languages")))
+    return (posts.withColumn("multi_language", X.is_multi_language(F.col("detected_languages")))
+            .withColumn("language", F.coalesce(known, F.col("fallback_language"))))
+
+
 def categorise_posts(posts: DataFrame, entries: Iterable[L.Entry] | None = None,
-                     general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False) -> DataFrame:
-    """Posts with language bucket, UTC time, categories and fallback; one pass, no shuffle."""
+                     general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False,
+                     language_model: PipelineModel | None = None) -> DataFrame:
+    """Posts with language bucket, UTC time, categories and fallback; one pass, no shuffle.
+
+    With a language model, posts without language are put in the bucket of the detected one.
+    """
     posts = R.fill_blank(R.rename_text(posts))
+    if language_model is not None:
+        posts = add_fallback_language(posts, language_model)
     posts = R.add_lang_bucket(R.add_lineage(posts))
     posts = posts.withColumn("language", F.col("lang_bucket"))
     posts = L.with_normalised(posts, compat=compat)

@@ -28,6 +28,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load(spark: SparkSession, sf_dir: str, table: str, *spread_by: str) -> DataFrame:
     """A table; zone-less times become UTC times. `spread_by` spreads a small table over all cores by id."""
+    # The tables carry zone-less UTC times.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":

@@ -28,17 +28,22 @@ def build_session(app: str = "narrascope", master: str | None = None, **settings
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in `spark.checkpoint.dir`.
 
-    Only where that is unset (a local test session) a temporary folder is made, once per session.
+    Only where that is unset (a local test session) a temporary folder is made, once per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="narrascope-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if context.applicationId not in _LOCAL_DIRS:
+            _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="narrascope-")
+        named = _LOCAL_DIRS[context.applicationId]
     return named.rstrip("/")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from narrascope.operators import models as M
 from narrascope.operators import topics as T
+from narrascope.plans import flows
 
 SAMPLES = {"en": "the people and the war with help of red cross that is", "fr": "les gens et la guerre avec une aide de la croix que les",
            "ru": "люди и война с помощью красного креста что это"}
@@ -28,6 +29,14 @@ def test_language(spark):
     assert tuple(codes) == ("en", "", "")
 
 
+def test_language_fallback_of_posts(spark):
+    posts = spark.createDataFrame([("1", SAMPLES["ru"], ""), ("2", SAMPLES["en"], None), ("3", SAMPLES["en"], "FR"), ("4", SAMPLES["fr"], "")],
+                                  "tweetid string, text string, language string")
+    done = flows.categorise_posts(posts, language_model=M.fit_language_model(labelled(spark)))
+    assert {r.tweetid: r.lang_bucket for r in done.collect()} == {"1": "ru", "2": "en", "3": "other", "4": "other"}
+    assert {r.tweetid: (r.fallback_language, r.multi_language) for r in done.collect()}["4"] == ("fr", False)
+
+
 def test_embeddings(spark):
     docs = T.tokenise_ngrams(labelled(spark), "text", ())
     out = M.embed_text(docs, M.fit_embedding(docs, features=32)).collect()
