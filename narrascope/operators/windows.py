@@ -105,14 +105,9 @@ def renumber_by_size(sizes: DataFrame, cluster: str = "cluster", size: str = "n"
     return numbered.unionByName(sizes.where(F.col(cluster) == noise).withColumn(to, F.lit(noise)))
 
 
-def failure_streak(df: DataFrame, worker: str, order: Sequence[str], failed: Column, piece: Column,
-                   limit: int, to: str = "streak") -> DataFrame:
-    """Number of failures in a row up to each event of a worker, and whether it reached the limit.
-
-    `piece` cuts a worker's time line into consecutive parts (an hour, a day). Streaks are counted
-    within parts, and one row per part carries the open streak on, so that no task holds more than
-    one part of a busy worker.
-    """
+def _streak_parts(df: DataFrame, worker: str, order: Sequence[str], failed: Column, piece: Column,
+                  opening: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(events with their streak within a part, parts with the streak before and after them)."""
     # As structs the keys are never null and match field by field, so rows without worker or time stay.
     df = df.select("*", F.struct(worker).alias("_who"), F.struct(piece).alias("_piece"),
                    F.coalesce(failed, F.lit(False)).alias("_failed"))
@@ -133,9 +128,39 @@ def failure_streak(df: DataFrame, worker: str, order: Sequence[str], failed: Col
     in_island = Window.partitionBy("_who", "_island").orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     tails = tails.withColumn("_run", F.sum("_tail").over(in_island))
-    carry = tails.select("_who", "_piece", F.coalesce(F.lag("_run").over(along), F.lit(0)).alias("_carry"))
+    opened = F.lit(0).cast("long")
+    if opening is not None:
+        first = opening.select(F.struct(F.col(worker)).alias("_who"), F.col("open").alias("_opened"))
+        tails = tails.join(first, "_who", "left")
+        opened = F.coalesce("_opened", opened)
+    # An opening streak goes on as long as nothing has reset it.
+    carry = F.coalesce(F.lag("_run").over(along), F.lit(0)) + F.when(F.coalesce(F.lag("_island").over(along), F.lit(0)) == 0, opened).otherwise(0)
+    close = F.col("_run") + F.when(F.col("_island") == 0, opened).otherwise(0)
+    return marked, tails.select("_who", "_piece", carry.alias("_carry"), close.alias("_close"))
 
-    joined = marked.join(carry, ["_who", "_piece"])
+
+def failure_streak(df: DataFrame, worker: str, order: Sequence[str], failed: Column, piece: Column,
+                   limit: int, to: str = "streak", opening: DataFrame | None = None) -> DataFrame:
+    """Number of failures in a row up to each event of a worker, and whether it reached the limit.
+
+    `piece` cuts a worker's time line into consecutive parts (an hour, a day). Streaks are counted
+    within parts, and one row per part carries the open streak on, so that no task holds more than
+    one part of a busy worker. `opening` (worker, open) gives streaks left open before these events.
+    """
+    marked, parts = _streak_parts(df, worker, order, failed, piece, opening)
+    joined = marked.join(parts.drop("_close"), ["_who", "_piece"])
     streak = F.col("_local") + F.when(F.col("_resets") == 0, F.col("_carry")).otherwise(0)
     return (joined.withColumn(to, streak).withColumn("tripped", F.col(to) >= limit)
             .drop("_who", "_piece", "_failed", "_resets", "_local", "_carry"))
+
+
+def open_streaks(df: DataFrame, worker: str, order: Sequence[str], failed: Column, piece: Column,
+                 opening: DataFrame | None = None) -> DataFrame:
+    """(worker, open): the streak each worker ends with, workers without new events included."""
+    _, parts = _streak_parts(df, worker, order, failed, piece, opening)
+    ends = parts.groupBy("_who").agg(F.max_by("_close", "_piece").alias("open")).select(F.col(f"_who.{worker}").alias(worker), "open")
+    if opening is None:
+        return ends
+    seen = ends.select(F.struct(worker).alias("_who"))
+    rest = opening.withColumn("_who", F.struct(worker)).join(seen, "_who", "left_anti").drop("_who")
+    return ends.unionByName(rest.select(worker, "open"))

@@ -365,11 +365,14 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_streak", """
+SQL_STREAK = """
 with islands as (select *, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id) as island
 from events)
 select event_id, user_id, streak, streak >= 3 as tripped from (select event_id, user_id,
-(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, island order by ts, event_id))::bigint as streak from islands)""")
+(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, island order by ts, event_id))::bigint as streak from islands)"""
+
+
+@query("stream_streak", SQL_STREAK)
 def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaks kept as state over the batches of a stream."""
     path = scratch_path(spark, "streak")
@@ -378,6 +381,16 @@ def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
+@query("stream_streak_pieces", SQL_STREAK)
+def stream_streak_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streaks without holding a worker in one task: parts of a day, carried from batch to batch."""
+    path = scratch_path(spark, "streak")
+    feed_events(spark, sf_dir, f"{path}/in", lambda stream: J.start_streaks(
+        stream, f"{path}/out", f"{path}/checkpoint", "user_id", ["ts", "event_id"], F.col("event_type") == "error",
+        F.date_trunc("day", "ts"), 3).awaitTermination())
+    return spark.read.parquet(f"{path}/out/streaks").select("event_id", "user_id", "streak", "tripped")
+
+
 @query("stream_tally", "select event_type, count(*) as total, count(*) filter (value > 10) as large from events group by event_type")
 def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals per key; the last state of each is kept."""

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from narrascope import fixed_values as fixed
 from narrascope.operators.aggregates import file_tally
 from narrascope.operators.lexicon import Entry
+from narrascope.operators.windows import failure_streak, open_streaks
 from narrascope.plans.flows import categorise_posts
 from narrascope.sinks.writers import write_routed
 from narrascope.sources.posts import text_schema
@@ -77,7 +78,8 @@ def streak_stream(df: DataFrame, worker: str, time: str, event: str, failed: Col
                   limit: int = fixed.STREAK_LIMIT) -> DataFrame:
     """(worker, event, streak, tripped) with one count of state per worker.
 
-    Batches have to come in time order; rows are put in order within a batch.
+    Batches have to come in time order; rows are put in order within a batch, for which a worker's
+    rows of one batch are held together: keep batches small, or use `start_streaks`.
     """
     kinds = dict(df.dtypes)
     schema = f"{worker} {kinds[worker]}, {event} {kinds[event]}, streak long, tripped boolean"
@@ -96,6 +98,24 @@ def streak_stream(df: DataFrame, worker: str, time: str, event: str, failed: Col
                                                          GroupStateTimeout.NoTimeout)
 
 
+def start_streaks(df: DataFrame, output: str, checkpoint: str, worker: str, order: Sequence[str], failed: Column,
+                  piece: Column, limit: int = fixed.STREAK_LIMIT) -> StreamingQuery:
+    """Streaks batch by batch, for workers too busy to be held in one task.
+
+    Every batch counts within parts of the time line and starts from the streaks the batch before
+    left open. Both outputs are written below the batch's number, so a replay changes nothing.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        opening = spark.read.parquet(f"{output}/open/batch={number - 1}") if number else None
+        done = failure_streak(batch, worker, order, failed, piece, limit, opening=opening)
+        done.write.mode("overwrite").parquet(f"{output}/streaks/batch={number}")
+        ends = open_streaks(batch, worker, order, failed, piece, opening)
+        ends.write.mode("overwrite").parquet(f"{output}/open/batch={number}")
+
+    return (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def live_tally(posts: DataFrame) -> DataFrame:
     """Running totals per file, for update or complete mode."""
     return file_tally(posts)

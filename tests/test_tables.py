@@ -68,6 +68,17 @@ def test_streaks_equal_a_plain_loop(spark):
         assert {r.id: (r.streak, r.tripped) for r in out.collect()} == expected
 
 
+def test_streaks_go_on_from_open_ones(spark):
+    rows = [("a", 1, True), ("a", 2, True), ("a", 30, False), ("a", 31, True), ("b", 5, True), ("b", 25, True), ("c", 9, False)]
+    df = spark.createDataFrame(rows, "w string, t int, bad boolean")
+    opening = spark.createDataFrame([("a", 4), ("b", 1), ("c", 7), ("z", 2)], "w string, open long")
+    options = (["t"], F.col("bad"), F.floor(F.col("t") / 10))
+    out = W.failure_streak(df, "w", *options, 5, opening=opening)
+    assert {(r.w, r.t): (r.streak, r.tripped) for r in out.collect()} == {
+        ("a", 1): (5, True), ("a", 2): (6, True), ("a", 30): (0, False), ("a", 31): (1, False), ("b", 5): (2, False), ("b", 25): (3, False), ("c", 9): (0, False)}
+    assert {r.w: r.open for r in W.open_streaks(df, "w", *options, opening).collect()} == {"a": 1, "b": 3, "c": 0, "z": 2}
+
+
 def test_running_totals_and_numbering(spark):
     names = sorted(f"f{i}" for i in range(120))
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, n int").repartition(4)
