@@ -158,30 +158,38 @@ def _word_runs(value: Column) -> tuple[Column, Column]:
 
 def categorise_ngram(df: DataFrame, lexicon: DataFrame, id_column: str, text: str = "text",
                      max_words: int | None = None, normalised: str | None = None) -> DataFrame:
-    """(id, categories) by equi-join of word n-grams with a lexicon of any size.
+    """(id, categories) of categorised texts, by equi-join of word n-grams with a lexicon of any size.
 
     An n-gram is cut from the text as it stands, signs between its words included, so the result is
-    that of word matching for every keyword that starts and ends with a word character; signs around
-    other keywords are ignored. The lexicon is broadcast only if the planner finds it under the
+    that of `categorise`. Keywords that are not word n-grams (substring or case-sensitive ones, and
+    those that start or end in a sign) are matched by regex on the way; there may be
+    `REGEX_KEYWORD_LIMIT` of them. The lexicon is broadcast only if the planner finds it under the
     broadcast threshold. N-grams are made distinct per text before the join, and only matches are
     shuffled. `max_words` defaults to the longest keyword.
     """
     if normalised is None:
         normalised = "_normalised"
         df = with_normalised(df, text, normalised)
-    edges = f"^{X.NOT_WORD_CHAR}+|{X.NOT_WORD_CHAR}+$"
-    keys = lexicon.select("category", F.regexp_replace(X.fold(X.strip_tag_marks(F.lower("keyword"))), edges, "")
-                          .alias("gram")).where("gram != ''").distinct()
+    edge = f"^{X.NOT_WORD_CHAR}|{X.NOT_WORD_CHAR}$"
+    is_gram = (F.col("match_mode") == "word") & ~F.col("keyword").rlike(edge)
+    keys = lexicon.where(is_gram).select("category", X.fold(X.strip_tag_marks(F.lower("keyword"))).alias("gram")).distinct()
+    others = lexicon_entries(lexicon.where(~is_gram))
     if max_words is None:
         max_words = keys.agg(F.max(F.size(_word_runs(F.col("gram"))[0]))).first()[0] or 1
     words, units = _word_runs(F.col(normalised))
-    cut = df.select(id_column, words.alias("words"), units.alias("units"))
+    # Categories matched by regex join the n-grams as marks, which no n-gram can equal.
+    marks = F.array().cast("array<string>")
+    if others:
+        conditions = category_conditions(others, F.col(normalised), X.text_or_empty(F.col(text)))
+        marks = F.array_compact(F.array(*[F.when(c, F.lit("=" + k)) for k, c in conditions.items()]))
+        keys = keys.union(keys.sparkSession.createDataFrame([(k, "=" + k) for k in conditions], "category string, gram string"))
+    cut = df.select(id_column, words.alias("words"), units.alias("units"), marks.alias("marks"))
     grams, heads = [F.array_distinct("words")], F.col("units")
     for n in range(2, max_words + 1):
         length = F.greatest(F.size("words") - (n - 1), F.lit(0))
         grams.append(F.array_distinct(F.zip_with(F.slice(heads, 1, length), F.slice("words", n, length), lambda a, b: F.concat(a, b))))
         heads = F.zip_with(F.slice(heads, 1, length), F.slice("units", n, length), lambda a, b: F.concat(a, b))
-    exploded = explode_rows(cut, F.flatten(F.array(*grams)), "gram", id_column)
+    exploded = explode_rows(cut, F.flatten(F.array("marks", *grams)), "gram", id_column)
     hits = exploded.join(keys, "gram").select(id_column, "category").distinct()
     return hits.groupBy(id_column).agg(F.array_sort(F.collect_list("category")).alias("categories"))
 

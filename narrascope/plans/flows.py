@@ -120,18 +120,20 @@ def narrative_tables(docs: DataFrame, time: str = "tweetcreatedts", stop_words:
                      labels: Sequence[str] = fixed.SENTIMENT_LABELS) -> dict[str, DataFrame]:
     """All analysis tables of prepared docs (doc_id, clean_text, time [, embedding] [, topic]).
 
-    Docs are cut from their lineage after clustering, as every table reads them. A given `topic`
-    column skips clustering, a given `embedding` column the built-in embedding. `sentiment` adds a
-    `sentiment` column to the docs.
+    Docs are written out after the filters, after embedding and after clustering, as each of these
+    results is read several times. A given `topic` column skips clustering, a given `embedding` column
+    the built-in embedding. `sentiment` adds a `sentiment` column to the docs.
     """
-    docs = T.tokenise_ngrams(docs, "clean_text", stop_words)
     if "topic" not in docs.columns:
+        docs = cut_lineage(docs)
         if "embedding" not in docs.columns:
-            docs = M.embed_text(docs, M.fit_embedding(docs))
+            tokenised = T.tokenise_ngrams(docs, "clean_text", stop_words)
+            docs = cut_lineage(M.embed_text(tokenised, M.fit_embedding(tokenised)).drop("terms"))
         docs = C.reduce_dimensions(docs, dims)
         docs = C.density_cluster(docs, "reduced", "doc_id", dims, levels, min_cluster_size).drop("reduced")
     elif "prob" not in docs.columns:
         docs = docs.withColumn("prob", F.when(F.col("topic") >= 0, 1.0).otherwise(0.0))
+    docs = T.tokenise_ngrams(docs, "clean_text", stop_words)
     if sentiment is not None:
         docs = sentiment(docs)
     docs = cut_lineage(docs)

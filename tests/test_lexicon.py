@@ -45,6 +45,16 @@ def test_ngram_join_equals_regex(spark):
     assert regex == joined and len(regex) > 50
 
 
+def test_ngram_join_equals_regex_on_the_whole_lexicon(spark):
+    texts = ["Médecins Sans Frontières, the U.N. and @UN", "WHO knows", "who knows", "我爱红十字会的人", "croix-rouge; samaritan's purse", "ACTED", "acted",
+             "UN-led aid", "un-led", "the dt  global", "dt global!", "u.n", "nothing at all", "الصليب الأحمر"]
+    posts = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    entries = L.organisation_lexicon()
+    regex = {r.i: r.categories for r in L.categorise(posts, entries).collect() if r.categories}
+    joined = {r.i: r.categories for r in L.categorise_ngram(posts, L.lexicon_frame(spark, entries), "i").collect()}
+    assert regex == joined
+
+
 def test_large_lexicon_is_refused_by_the_regex_form(spark):
     posts = spark.createDataFrame([(1, "x")], "i int, text string")
     with pytest.raises(ValueError):
