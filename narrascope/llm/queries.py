@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrascope.llm import language_codes, toxic_neighbours
+from narrascope.llm import bpe_transducer, language_codes, shingle_join, toxic_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,4 +23,21 @@ def _register(name: str, run: Callable[..., DataFrame], *tables: str, sql: str |
 
 
 _register("op1_language_codes", language_codes.language_query, "documents")
+_register("op2_shingle_join", shingle_join.near_duplicate_query, "documents", sql="""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+    range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM worded),
+rows_ AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM rows_ a JOIN rows_ b ON a.s = b.s AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.g
+""")
+_register("op3_bpe_transducer", bpe_transducer.bpe_query, "documents")
 _register("op6_toxic_neighbours", toxic_neighbours.toxicity_query, "documents", "labels")
