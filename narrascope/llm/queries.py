@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrascope.llm import bpe_transducer, language_codes, shingle_join, toxic_neighbours
+from narrascope.llm import bpe_transducer, language_codes, shingle_join, source_mix, toxic_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,4 @@ FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.g
 """)
 _register("op3_bpe_transducer", bpe_transducer.bpe_query, "documents")
 _register("op6_toxic_neighbours", toxic_neighbours.toxicity_query, "documents", "labels")
+_register("op8_source_mix", source_mix.mix_query, "documents", sql=source_mix.MIX_SQL)

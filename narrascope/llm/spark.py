@@ -50,17 +50,37 @@ def class_counts(df: DataFrame, label: str) -> dict[Any, int]:
     return {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
+def _drawn(label: str, key: Column, counts: dict[Any, int], per_class: int) -> Column:
+    """Whether a hash of the key falls within the share that makes about `per_class` rows of each class."""
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
+    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+
+
 def bounded_sample(df: DataFrame, label: str, text: str, counts: dict[Any, int], per_class: int) -> DataFrame:
-    """About `per_class` rows of each class, drawn by a hash of the text, so that reruns agree.
+    """(label, text) of about `per_class` rows of each class, drawn by a hash of the text, so that reruns agree.
 
     A class with fewer rows is taken whole. Copies of a text are drawn together, so a class made of few texts can
     go over or under the figure; texts are made distinct, which keeps the sample bounded even then.
     """
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(text), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (draw < share)).select(label, text).distinct()
+    return df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & _drawn(label, F.col(text), counts, per_class)).select(
+        label, text).distinct()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[Any, int]]:
+    """(label, text) of about `per_class` distinct labelled texts of each of the classes 0 and 1, and the labels' counts.
+
+    Ids are drawn from the label table, so only the drawn texts move: the drawn ids, at most about `per_class` for
+    each class, are sent to the scan of docs. An id labelled twice takes its largest label; null ids and labels and
+    texts, and other labels, take no part.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
+        F.max(label).cast("int").alias(label))
+    counts = class_counts(own, label)
+    drawn = own.where(_drawn(label, F.col("doc_id"), counts, per_class))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
+    return found.select(label, "text").distinct(), counts
 
 
 def write_table(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.spark import bounded_sample, class_counts, drop_table, remainder, small_batches, with_scores, write_table
+from narrascope.llm.spark import drop_table, labelled_sample, remainder, small_batches, with_scores, write_table
 from narrascope.llm.texts import char_grams, code_points
 
 ORDERS = (5, 6)
@@ -155,19 +155,18 @@ def _blocks(index: ToxicIndex) -> tuple[list[np.ndarray], np.ndarray]:
     return _once(index, "blocks", make)
 
 
-def fit_toxicity(labelled: DataFrame, label: str = "toxic", text: str = "text", per_class: int = 1500, terms: int = 2048,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, terms: int = 2048,
                  least_z: float = 5.0) -> ToxicIndex:
-    """Index a hashed sample of about `per_class` labelled texts of each class (labels 0 and 1; other rows are left out).
+    """Index a hashed sample of about `per_class` labelled texts of each class (labels 0 and 1).
 
     Terms are the character n-grams held by significantly more toxic than other examples (`least_z` standard errors,
     at most the `terms` strongest). Their document frequencies are summed by Spark; the driver gets the chosen
     terms and the examples' vectors over them, both bounded by the parameters.
     """
-    small_batches(labelled.sparkSession)
-    labelled = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).withColumn(label, F.col(label).cast("int"))
-    counts = class_counts(labelled, label)
-    sample, path = write_table(bounded_sample(labelled, label, text, counts, per_class)
-                               .withColumn("example", F.xxhash64(label, text)))
+    small_batches(docs.sparkSession)
+    found, counts = labelled_sample(docs, labels, label, per_class)
+    text = "text"
+    sample, path = write_table(found.withColumn("example", F.xxhash64(label, text)))
     drawn = {r[0]: r[1] for r in sample.groupBy(label).count().collect()}
     n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
     rates = sample.select(label, text).mapInPandas(_document_frequencies, "gram long, other long, toxic long").groupBy("gram").agg(
@@ -186,7 +185,7 @@ def fit_toxicity(labelled: DataFrame, label: str = "toxic", text: str = "text",
                                 "terms": [index.vector(t)[0].tolist() for t in batch.iloc[:, 1]]})
 
     rows = sample.select(label, text, "example").mapInPandas(vectors, "label int, example long, terms array<long>").toPandas()
-    drop_table(labelled.sparkSession, path)
+    drop_table(docs.sparkSession, path)
     return _indexed(index, rows, n0, n1)
 
 
@@ -222,18 +221,9 @@ def score_toxicity(docs: DataFrame, index: ToxicIndex, text: str = "text", out:
     return with_scores(docs, text, out, make, SCHEMA)
 
 
-def attach_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Labelled rows (text, label) to learn from: those whose id leaves no remainder 1. An id labelled twice takes
-    its largest label; null ids and labels take no part."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
-        F.max(label).alias(label))
-    return docs.select("doc_id", "text").where(remainder(F.col("doc_id"), 3) != 1).join(
-        own.where(remainder(F.col("doc_id"), 3) != 1), "doc_id").select("text", label)
-
-
 def toxicity_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The contract of op6: learn from labelled documents whose id leaves a remainder other than 1, score all."""
-    index = fit_toxicity(attach_label(docs, labels, "toxic"))
+    index = fit_toxicity(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
     scored = score_toxicity(docs.select("doc_id", "text"), index)
     return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "toxicity.score",
                          (F.col("toxicity.score") >= threshold).cast("int").alias("predicted"),
