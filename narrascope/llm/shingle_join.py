@@ -182,32 +182,41 @@ def _check_centers(candidates: DataFrame, sets: DataFrame, percent: int) -> Data
         probe, "u string, v string")
 
 
-def _check_nodes(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (u, v) between sets of different components that meet at a node: groups has node, key, component.
+def _families(opened: DataFrame) -> DataFrame:
+    """(key, component, family) of the sets that meet, at any node, one of another component; families share no node."""
+    least = opened.groupBy("node").agg(F.min(_name()).alias("v"))
+    edges = opened.join(least, "node").select(_name().alias("u"), "v").distinct()
+    family = connected_components(edges).select(F.col("node").alias("u"), F.col("component").alias("family"))
+    return opened.select(*KEY, "component").distinct().join(family, _name() == F.col("u")).select(*KEY, "component", "family")
 
-    A node's sets are cut into blocks; each pair of blocks is a task's tree and queries.
+
+def _check_families(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (u, v) between sets of different components in a family.
+
+    A family is cut into blocks; each pair of blocks is a task's tree and queries.
     """
-    sizes = groups.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64(*KEY), "blocks").cast("int"))
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64(*KEY), "blocks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", *KEY, "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = paired.join(sets, KEY).select("node", "i", "j", "own", "component", _name().alias("u"), "grams")
+        "family", *KEY, "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = paired.join(sets, KEY).select("family", "i", "j", "own", "component", _name().alias("u"), "grams")
 
     def probe(block: pd.DataFrame) -> pd.DataFrame:
         i, j = block["i"].iloc[0], block["j"].iloc[0]
         stored, asked = block[block["own"] == i].reset_index(drop=True), block[block["own"] == j].reset_index(drop=True)
         tree, found = PrefixTree([np.frombuffer(g, np.uint64) for g in stored["grams"]]), []
         group, names = stored["component"].to_numpy(), stored["u"].to_numpy()
-        joined: dict[tuple[str, str], None] = {}
+        joined: set[tuple[str, str]] = set()
         for g, c, u in zip(asked["grams"], asked["component"], asked["u"], strict=True):
             for k in tree.linked(np.frombuffer(g, np.uint64), percent):
                 # One link is enough for two components.
-                if group[k] != c and (min(group[k], c), max(group[k], c)) not in joined:
-                    joined[(min(group[k], c), max(group[k], c))] = None
+                pair = (min(group[k], c), max(group[k], c))
+                if group[k] != c and pair not in joined:
+                    joined.add(pair)
                     found.append((u, names[k]))
         return pd.DataFrame(found, columns=["u", "v"], dtype=str)
 
-    return rows.groupBy("node", "i", "j").applyInPandas(probe, "u string, v string")
+    return rows.groupBy("family", "i", "j").applyInPandas(probe, "u string, v string")
 
 
 def _components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -228,7 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described, described_at = write_table(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
         _describe(words, percent), "doc_id long, text_hash long, n long, hi long, lo long, nodes array<long>"), "described")
-    at = described.where("nodes is not null").select(F.explode("nodes").alias("node"), *KEY)
+    # Both uses of the dealt nodes read the same shuffle.
+    at = described.where("nodes is not null").select(F.explode("nodes").alias("node"), *KEY).repartition("node")
     met = at.groupBy("node").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).where("a != b").select("node")
     members, members_at = write_table(at.join(met, "node").distinct(), "members")
     keys = members.select(*KEY).distinct()
@@ -242,16 +252,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     links, _ = write_table(_check_centers(candidates, sets, percent), "links")
     component = _components(spark, links)
 
-    # Then all nodes where different components still meet. Nodes with the same sets are looked at once.
+    # Then all sets that meet one of another component.
     labelled = members.join(component, _name() == F.col("u"), "left").select(
         "node", *KEY, F.coalesce("component", _name()).alias("component"))
-    open_nodes = labelled.groupBy("node").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64(*KEY)).alias("x"), F.bit_xor(F.xxhash64("lo", "hi")).alias("y")).where("a != b").groupBy("n", "x", "y").agg(
-        F.min("node").alias("node")).select("node")
-    more, _ = write_table(_check_nodes(labelled.join(open_nodes, "node", "left_semi"), sets, percent), "links")
+    several = labelled.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("node")
+    opened, opened_at = write_table(labelled.join(several, "node", "left_semi"), "opened")
+    more, _ = write_table(_check_families(_families(opened), sets, percent), "links")
     if not more.isEmpty():
         component = _components(spark, links.union(more))
+    drop_table(spark, opened_at)
     for path in (members_at, sets_at):
         drop_table(spark, path)
     return _label(described, component)
