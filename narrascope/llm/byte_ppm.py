@@ -1,6 +1,6 @@
 """Language-model scores by prediction by partial matching (Cleary and Witten 1984; Moffat's escape method C).
 
-A trie of byte contexts up to four bytes long holds how often each byte followed. A byte is coded in the longest known
+A trie of byte contexts up to five bytes long holds how often each byte followed. A byte is coded in the longest known
 context that has seen it; each context that has not costs an escape, and the bytes it has seen are excluded from the
 shorter ones. Counts come from all training texts. Nodes are kept by their share of the corpus, which bounds their
 number whatever its size; as a context's bytes are then always kept in its suffixes too, what is excluded at a level
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from narrascope.llm.spark import remainder, small_batches, write_table
 from narrascope.llm.texts import LOWER_BYTES, mix, word_hashes
 
-ORDER = 6
+ORDER = 5
 #: Bytes that UTF-8 never holds: before the start of a text, and its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
 #: Bounds on the grams kept of each order, and on the words whose counts are sent to all tasks.
-NODES, HEAD = 1 << 19, 1 << 20
+NODES, HEAD = 1 << 21, 1 << 20
 #: Values that a task gathers before it hands them on, and bytes of a text worked on at once.
 GATHER, PIECE = 1 << 20, 1 << 18
 
@@ -66,7 +66,7 @@ def lowered(text: str | None) -> np.ndarray:
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
-    """For each byte of the lower-cased text and its end, the four bytes before it and itself, packed; in pieces."""
+    """For each byte of the lower-cased text and its end, the five bytes before it and itself, packed; in pieces."""
     raw = np.concatenate((np.full(ORDER, START, np.uint8), lowered(text), np.full(1, END, np.uint8)))
     for at in range(0, len(raw) - ORDER, PIECE):
         part = raw[at:at + PIECE + ORDER].astype(np.uint64)
@@ -144,15 +144,18 @@ class Level:
     contexts: np.ndarray
     total: np.ndarray
     distinct: np.ndarray
-    #: Total and distinct of the next shorter context without the bytes that this one has seen.
+    #: Occurrences whose gram was not kept. They count as escapes, as do the distinct bytes (method C).
+    lost: np.ndarray
+    #: Total and escapes of the next shorter context without the bytes that this one has seen.
     rest_total: np.ndarray
-    rest_distinct: np.ndarray
+    rest_escapes: np.ndarray
 
 
 class Ppm:
-    """The trie, from packed grams and counts of each order. Log10 probabilities of texts."""
+    """The trie, from the kept packed grams of each order with their counts, and the number of all occurrences.
+    Gives log10 probabilities of texts."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], everything: int = 0):
         self.levels: list[Level] = []
         for k, (packed, counts) in enumerate(orders):
             order = np.argsort(packed)
@@ -161,14 +164,20 @@ class Ppm:
             first = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1]))) if len(packed) else np.empty(0, np.int64)
             total = np.add.reduceat(counts, first) if len(first) else np.empty(0)
             distinct = np.diff(np.append(first, len(packed))).astype(np.float64)
-            level = Level(packed, counts, above[first], total, distinct, np.zeros(len(first)), np.zeros(len(first)))
+            zero = np.zeros(len(first))
+            level = Level(packed, counts, above[first], total, distinct, np.maximum(0, everything - total) if k == 0 else zero,
+                          zero, zero)
             if k and len(first):
                 shorter = self.levels[-1]
+                # The context is itself a gram of the next shorter order, with all its occurrences.
+                whole = np.searchsorted(shorter.grams, level.contexts)
+                same = shorter.grams[np.minimum(whole, len(shorter.grams) - 1)] == level.contexts
+                level.lost = np.where(same, np.maximum(0, shorter.counts[np.minimum(whole, len(shorter.grams) - 1)] - total), 0)
                 below = np.uint64((1 << (8 * (k - 1))) - 1)
                 parent = np.searchsorted(shorter.contexts, level.contexts & below)
                 inner = np.searchsorted(shorter.grams, packed & np.uint64((1 << (8 * k)) - 1))
                 level.rest_total = np.maximum(0, shorter.total[parent] - np.add.reduceat(shorter.counts[inner], first))
-                level.rest_distinct = shorter.distinct[parent] - distinct
+                level.rest_escapes = shorter.distinct[parent] - distinct + shorter.lost[parent]
             self.levels.append(level)
         self._tables: list[tuple[Table, Table]] | None = None
 
@@ -187,7 +196,7 @@ class Ppm:
         result = np.zeros(len(packed))
         left = np.arange(len(packed))
         # Sums of the context at hand, where a longer one has excluded its bytes from it; nan where none has.
-        total, distinct = np.full(len(packed), np.nan), np.full(len(packed), np.nan)
+        total, escapes = np.full(len(packed), np.nan), np.full(len(packed), np.nan)
         for k in range(len(self.levels) - 1, -1, -1):
             if not len(left):
                 return result
@@ -197,15 +206,16 @@ class Ppm:
             context = by_context.find(part >> np.uint64(8))
             known = context >= 0
             fresh = known & np.isnan(total[left])
-            t, d = total[left], distinct[left]
-            t[fresh], d[fresh] = level.total[context[fresh]], level.distinct[context[fresh]]
+            t, e = total[left], escapes[left]
+            t[fresh] = level.total[context[fresh]]
+            e[fresh] = level.distinct[context[fresh]] + level.lost[context[fresh]]
             hit = gram >= 0
-            result[left[hit]] += np.log10(level.counts[gram[hit]] / (t[hit] + d[hit]))
+            result[left[hit]] += np.log10(level.counts[gram[hit]] / (t[hit] + e[hit]))
             missed = known & ~hit
-            escaped = missed & (d > 0)
-            result[left[escaped]] += np.log10(d[escaped] / (t[escaped] + d[escaped]))
+            escaped = missed & (e > 0)
+            result[left[escaped]] += np.log10(e[escaped] / (t[escaped] + e[escaped]))
             total[left[missed]] = level.rest_total[context[missed]]
-            distinct[left[missed]] = level.rest_distinct[context[missed]]
+            escapes[left[missed]] = level.rest_escapes[context[missed]]
             left = left[~hit]
         seen = self.levels[0].distinct[0] if self.levels and len(self.levels[0].distinct) else 0
         result[left] -= np.log10(max(1, SYMBOLS - seen))
@@ -234,7 +244,7 @@ def fit_ppm(counts: DataFrame, nodes: int = NODES) -> Ppm:
         shorter = packed.groupBy(F.col("value").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("value")).agg(F.sum("n").alias("n"))
         kept = shorter.where(F.col("n") >= max(1, -(-total // nodes))).toPandas()
         orders.append((kept["value"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)))
-    return Ppm(orders)
+    return Ppm(orders, total)
 
 
 def _score_rows(ppm: Ppm, head: np.ndarray, head_logs: np.ndarray, end_log: float, end_known: int):
