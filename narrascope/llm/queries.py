@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrascope.llm import bpe_transducer, language_codes, shingle_join, source_mix, toxic_neighbours
+from narrascope.llm import (
+    bpe_transducer,
+    byte_ppm,
+    language_codes,
+    quality_svm,
+    shingle_join,
+    source_mix,
+    toxic_neighbours,
+    winnowing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,5 +49,8 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.y) AS component_i
 FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.g
 """)
 _register("op3_bpe_transducer", bpe_transducer.bpe_query, "documents")
+_register("op4_winnowing", winnowing.fingerprint_query, "documents")
 _register("op6_toxic_neighbours", toxic_neighbours.toxicity_query, "documents", "labels")
 _register("op8_source_mix", source_mix.mix_query, "documents", sql=source_mix.MIX_SQL)
+_register("op9_byte_ppm", byte_ppm.ppm_query, "documents")
+_register("op10_quality_svm", quality_svm.quality_query, "documents", "labels")
