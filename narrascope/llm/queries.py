@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from narrascope.llm import (
+    ball_tree,
     bpe_transducer,
     byte_ppm,
     language_codes,
@@ -14,6 +15,7 @@ from narrascope.llm import (
     shingle_join,
     source_mix,
     toxic_neighbours,
+    warc_index,
     winnowing,
 )
 
@@ -50,7 +52,9 @@ FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.g
 """)
 _register("op3_bpe_transducer", bpe_transducer.bpe_query, "documents")
 _register("op4_winnowing", winnowing.fingerprint_query, "documents")
+_register("op5_ball_tree", ball_tree.search_query, "embeddings", sql=ball_tree.SEARCH_SQL)
 _register("op6_toxic_neighbours", toxic_neighbours.toxicity_query, "documents", "labels")
+_register("op7_warc_index", warc_index.warc_query, "pages", sql=warc_index.WARC_SQL)
 _register("op8_source_mix", source_mix.mix_query, "documents", sql=source_mix.MIX_SQL)
 _register("op9_byte_ppm", byte_ppm.ppm_query, "documents")
 _register("op10_quality_svm", quality_svm.quality_query, "documents", "labels")
