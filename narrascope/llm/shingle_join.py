@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrascope.llm.spark import drop_table, small_batches, write_table
@@ -224,7 +224,7 @@ def _components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, component) for each row of docs (doc_id, text).
+    """One row (doc_id, text_hash, n_shingles, component_id, component) for each row of docs (doc_id, text).
 
     Texts link when 100 * |A and B| >= percent * |A or B| over their sets of distinct word n-grams, words being
     `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. component_id is the smallest doc_id that links reach, component a
@@ -273,8 +273,8 @@ def _label(described: DataFrame, component: DataFrame) -> DataFrame:
         *KEY, "first", F.coalesce("component", "u").alias("component"))
     root = named.groupBy("component").agg(F.min("first").alias("component_id"))
     table = named.join(root, "component").select(*KEY, "component", "component_id")
-    return described.select("doc_id", "n", *KEY).join(table, KEY, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    return described.select("doc_id", "text_hash", "n", *KEY).join(table, KEY, "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
@@ -282,3 +282,19 @@ def _label(described: DataFrame, component: DataFrame) -> DataFrame:
 def near_duplicate_query(docs: DataFrame) -> DataFrame:
     """The contract of op2."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns kept, with one row of each component: the one of the smallest doc_id.
+
+    Of equal ids the smallest hash of the text stays, of repeated rows one. Rows without words all stay.
+    """
+    found = near_duplicates(docs)
+    first = found.where("component is not null").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("f"))
+    kept, _ = write_table(first.select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), F.lit(False).alias("__wordless"))
+                          .union(found.where("component is null").select("doc_id", "text_hash", F.lit(True))).distinct(), "kept")
+    own = docs.withColumn("__own_hash", F.xxhash64("text"))
+    joined = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")))
+    once = Window.partitionBy("__id", "__hash").orderBy(F.lit(1))
+    return joined.withColumn("__row", F.row_number().over(once)).where("__wordless or __row = 1").select(*docs.columns)

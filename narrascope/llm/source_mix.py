@@ -141,6 +141,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
         "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "row_hash")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns kept, each as often as passes of the mix take words of it; others are left out."""
+    same = ["doc_id", "source", "row_hash"]
+    taken = mix_sources(docs.select("doc_id", "text", "source")).where("taken > 0").groupBy(*same).agg(
+        F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).toDF("__id", "__source", "__hash", "__copies")
+    taken, _ = write_table(taken, "copies")
+    own = docs.withColumn("__own_hash", F.xxhash64("text"))
+    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+                      & (F.col("__own_hash") == F.col("__hash")))
+    # Repeated rows share their copies.
+    once = Window.partitionBy("__id", "__source", "__hash").orderBy(F.lit(1))
+    return joined.withColumn("__row", F.row_number().over(once)).where("__row = 1").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def mix_query(docs: DataFrame) -> DataFrame:
     """The contract of op8."""
     return mix_sources(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")

@@ -14,7 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.spark import drop_table, labelled_sample, remainder, small_batches, with_scores, write_table
@@ -66,7 +66,7 @@ class ToxicIndex:
     block: int = 64
     k: int = 15
     power: float = 2.0
-    smoothing: float = 1.0
+    smoothing: float = 0.4
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a text's unit vector; empty if it holds no term."""
@@ -156,11 +156,11 @@ def _blocks(index: ToxicIndex) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, terms: int = 2048,
-                 least_z: float = 5.0) -> ToxicIndex:
+                 least_ratio: float = 25.0) -> ToxicIndex:
     """Index a hashed sample of about `per_class` labelled texts of each class (labels 0 and 1).
 
-    Terms are the character n-grams held by significantly more toxic than other examples (`least_z` standard errors,
-    at most the `terms` strongest). Their document frequencies are summed by Spark; the driver gets the chosen
+    Terms are the character n-grams held by significantly more toxic than other examples (log-likelihood ratio of
+    `least_ratio` or more, at most the `terms` strongest). Their document frequencies are summed by Spark; the driver gets the chosen
     terms and the examples' vectors over them, both bounded by the parameters.
     """
     small_batches(docs.sparkSession)
@@ -171,9 +171,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
     rates = sample.select(label, text).mapInPandas(_document_frequencies, "gram long, other long, toxic long").groupBy("gram").agg(
         F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where("toxic >= 5")
-    p, q = (F.col("toxic") + 0.5) / (n1 + 1.0), (F.col("other") + 0.5) / (n0 + 1.0)
-    strong = rates.withColumn("z", (p - q) / F.sqrt(p * (1 - p) / (n1 + 1.0) + q * (1 - q) / (n0 + 1.0))).where(
-        (F.col("z") >= least_z) & (p >= 4 * q)).orderBy(F.desc("z"), "gram").limit(terms).select("gram").toPandas()
+    held, size = F.col("toxic") + F.col("other"), float(max(1, n0 + n1))
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+
+    # Log-likelihood ratio of a gram's presence in both classes (Dunning 1993).
+    ratio = 2 * (part(F.col("toxic"), held * n1 / size) + part(F.col("other"), held * n0 / size)
+                 + part(n1 - F.col("toxic"), (size - held) * n1 / size) + part(n0 - F.col("other"), (size - held) * n0 / size))
+    strong = rates.where((F.col("toxic") + 0.5) / (n1 + 1.0) >= 4 * (F.col("other") + 0.5) / (n0 + 1.0)).withColumn(
+        "ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "gram").limit(terms).select("gram").toPandas()
     grams = np.sort(strong["gram"].to_numpy(dtype=np.int64).view(np.uint64))
     index = ToxicIndex(grams, np.ones(len(grams) * len(LEVELS)), np.zeros(1, np.int64), np.empty(0, np.int64),
                        np.empty(0), np.empty(0, np.int8), np.empty(0, np.int64),
