@@ -153,9 +153,10 @@ def _name(hi: str = "hi", lo: str = "lo") -> Column:
 def _sets_of(docs: DataFrame, described: DataFrame, keys: DataFrame, words: int) -> tuple[DataFrame, str]:
     """The n-gram sets of the given keys, made again from one text for each key and partition."""
     chosen = described.where("nodes is not null").join(keys, KEY, "left_semi").groupBy(KEY).agg(
-        F.min("text_hash").alias("text_hash")).select("text_hash")
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(chosen, "text_hash", "left_semi").groupBy(
-        "text_hash").agg(F.first("text").alias("text")).select("text")
+        F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    # One text for each hash before anything moves, so that copies do not meet in one task.
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).groupBy("text_hash").agg(
+        F.first("text").alias("text")).join(chosen, "text_hash").select("text")
     return write_table(texts.mapInPandas(_sets(words), "hi long, lo long, grams binary").join(keys, KEY, "left_semi"), "sets")
 
 
