@@ -27,7 +27,7 @@ from narrascope.llm.spark import with_scores
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + SPACE + "]+")
 #: Words of a worker's memory, and the longest word kept there.
-MEMORY, KEPT = 250_000, 48
+MEMORY, KEPT = 400_000, 48
 
 
 @functools.cache
