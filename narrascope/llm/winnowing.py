@@ -116,14 +116,13 @@ def fingerprint_neighbours(docs: DataFrame, k: int = 4, w: int = 8) -> DataFrame
     descending doc_id. Null counts as the empty text. Equal doc_ids follow by text, null ids come last. A single
     document is its own next.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "own", fingerprint(F.col("text"), k, w))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"),
                       F.expr("substring(next_text, 1, char_length(text) div 2)"))
-    paired = with_next(own, "doc_id", ["text", "own"]).select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "own", F.col("next_own").alias("next"), edited.alias("edited_text"))
-    return paired.select("doc_id", "n_chars", F.sha2(F.col("edited_text"), 256).alias("edited_sha256"), "own",
-                         fingerprint(F.col("edited_text"), k, w).alias("edited"), "next")
+    paired = with_next(own, "doc_id", ["text"]).withColumn("edited_text", edited)
+    return paired.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text"), 256).alias("edited_sha256"),
+                         fingerprint(F.col("text"), k, w).alias("own"), fingerprint(F.col("edited_text"), k, w).alias("edited"),
+                         fingerprint(F.col("next_text"), k, w).alias("next"))
 
 
 def fingerprint_query(docs: DataFrame) -> DataFrame:
