@@ -43,7 +43,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
         Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     leveled = filled.withColumn("level", level)
     opened = F.min(F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "sid", "level"))).over(everything)
-    is_open = F.struct("full_at", "sid") >= F.struct("opened.full_at", "opened.sid")
+    is_open = F.col("opened").isNotNull() & (F.struct("full_at", "sid") >= F.struct("opened.full_at", "opened.sid"))
     return leveled.withColumn("opened", opened).withColumn("target", F.when(
         is_open, F.col("weight") * F.col("opened.level")).otherwise(F.col("cap").cast("double"))).drop(
         "opened", "level", "full_at", "cap")
