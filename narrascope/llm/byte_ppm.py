@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.spark import remainder, small_batches, write_table
-from narrascope.llm.texts import LOWER_BYTES, mix, word_hashes
+from narrascope.llm.texts import LOWER_BYTES, word_hashes
 
 ORDER = 5
 #: Bytes that UTF-8 never holds: before the start of a text, and its end.
@@ -30,6 +30,9 @@ NODES, HEAD = 1 << 21, 1 << 20
 GATHER, PIECE = 1 << 20, 1 << 18
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Table:
     """Places of 64-bit keys, looked up for whole arrays at once (open addressing)."""
 
@@ -47,7 +50,7 @@ class Table:
             left, at = left[lost], (at[lost] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> self.shift).astype(np.int64)
+        return ((keys ^ (keys >> np.uint64(29))) * _SPREAD >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is missing."""
@@ -149,6 +152,8 @@ class Level:
     #: Total and escapes of the next shorter context without the bytes that this one has seen.
     rest_total: np.ndarray
     rest_escapes: np.ndarray
+    #: log10 probability of each gram's last byte where no longer context is known.
+    logs: np.ndarray
 
 
 class Ppm:
@@ -166,18 +171,20 @@ class Ppm:
             distinct = np.diff(np.append(first, len(packed))).astype(np.float64)
             zero = np.zeros(len(first))
             level = Level(packed, counts, above[first], total, distinct, np.maximum(0, everything - total) if k == 0 else zero,
-                          zero, zero)
+                          zero, zero, np.empty(0))
             if k and len(first):
                 shorter = self.levels[-1]
                 # The context is itself a gram of the next shorter order, with all its occurrences.
                 whole = np.searchsorted(shorter.grams, level.contexts)
                 same = shorter.grams[np.minimum(whole, len(shorter.grams) - 1)] == level.contexts
                 level.lost = np.where(same, np.maximum(0, shorter.counts[np.minimum(whole, len(shorter.grams) - 1)] - total), 0)
-                below = np.uint64((1 << (8 * (k - 1))) - 1)
-                parent = np.searchsorted(shorter.contexts, level.contexts & below)
+                mask = np.uint64((1 << (8 * (k - 1))) - 1)
+                parent = np.searchsorted(shorter.contexts, level.contexts & mask)
                 inner = np.searchsorted(shorter.grams, packed & np.uint64((1 << (8 * k)) - 1))
                 level.rest_total = np.maximum(0, shorter.total[parent] - np.add.reduceat(shorter.counts[inner], first))
                 level.rest_escapes = shorter.distinct[parent] - distinct + shorter.lost[parent]
+            below = np.repeat(total + distinct + level.lost, distinct.astype(np.int64))
+            level.logs = np.log10(counts / below)
             self.levels.append(level)
         self._tables: list[tuple[Table, Table]] | None = None
 
@@ -203,26 +210,54 @@ class Ppm:
             level, (by_gram, by_context) = self.levels[k], self.tables[k]
             part = packed[left] & np.uint64((1 << (8 * (k + 1))) - 1)
             gram = by_gram.find(part)
-            context = by_context.find(part >> np.uint64(8))
+            hit = gram >= 0
+            rows, gram = left[hit], gram[hit]
+            t = total[rows]
+            late = np.flatnonzero(~np.isnan(t))
+            logs = level.logs[gram]
+            logs[late] = np.log10(level.counts[gram[late]] / (t[late] + escapes[rows[late]]))
+            result[rows] += logs
+            left = left[~hit]
+            context = by_context.find(part[~hit] >> np.uint64(8))
             known = context >= 0
-            fresh = known & np.isnan(total[left])
-            t, e = total[left], escapes[left]
+            rows, context = left[known], context[known]
+            t, e = total[rows], escapes[rows]
+            fresh = np.isnan(t)
             t[fresh] = level.total[context[fresh]]
             e[fresh] = level.distinct[context[fresh]] + level.lost[context[fresh]]
-            hit = gram >= 0
-            result[left[hit]] += np.log10(level.counts[gram[hit]] / (t[hit] + e[hit]))
-            missed = known & ~hit
-            escaped = missed & (e > 0)
-            result[left[escaped]] += np.log10(e[escaped] / (t[escaped] + e[escaped]))
-            total[left[missed]] = level.rest_total[context[missed]]
-            escapes[left[missed]] = level.rest_escapes[context[missed]]
-            left = left[~hit]
+            out = e > 0
+            result[rows[out]] += np.log10(e[out] / (t[out] + e[out]))
+            total[rows], escapes[rows] = level.rest_total[context], level.rest_escapes[context]
         seen = self.levels[0].distinct[0] if self.levels and len(self.levels[0].distinct) else 0
         result[left] -= np.log10(max(1, SYMBOLS - seen))
         return result
 
     def score(self, text: str | None) -> float:
-        return float(sum(self.log10(part).sum() for part in grams(text)))
+        return self.score_all([text])[0]
+
+    def score_all(self, texts: list[str | None]) -> np.ndarray:
+        """log10 probability of each text; short texts are worked on together."""
+        result, held, owners, size = np.zeros(len(texts)), [], [], 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                logs = self.log10(np.concatenate(held))
+                starts = np.cumsum([0, *map(len, held[:-1])])
+                np.add.at(result, owners, np.add.reduceat(logs, starts))
+            held.clear()
+            owners.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            for part in grams(text):
+                held.append(part)
+                owners.append(i)
+                size += len(part)
+                if size >= PIECE:
+                    flush()
+        flush()
+        return result
 
 
 def train_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
@@ -253,13 +288,13 @@ def _score_rows(ppm: Ppm, head: np.ndarray, head_logs: np.ndarray, end_log: floa
         table = Table(head)
         logs = np.append(head_logs, 0.0)
         for batch in batches:
-            rows = []
-            for doc, text in batch.itertuples(index=False):
+            rows, scores = [], ppm.score_all(list(batch.iloc[:, 1]))
+            for (doc, text), score in zip(batch.itertuples(index=False), scores, strict=True):
                 words = word_hashes(text) if text else np.empty(0, np.uint64)
                 at = table.find(words)
                 rare, times = np.unique(words[at < 0], return_counts=True)
                 rows.append((doc, len(words) + 1, int((at >= 0).sum()) + end_known, float(logs[at[at >= 0]].sum() + end_log),
-                             ppm.score(text), rare.view(np.int64), times))
+                             float(score), rare.view(np.int64), times))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "known", "base", "score", "rare", "times"]).astype(
                 {"doc_id": "Int64"})
 
