@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from narrascope.llm.spark import small_batches, write_table
 from narrascope.session import scratch_path
 
-#: Lines of an index block.
-LINES = 256
+#: Lines of an index block, and captures that a task looks up, about.
+LINES, LOOKUPS = 256, 8192
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -224,7 +224,9 @@ def read_captures(keys: DataFrame, folder: str, directory: str) -> DataFrame:
     Size and digest of a response are taken from its payload, those of a revisit from its headers. A key that stands in
     keys several times is looked up once.
     """
-    return keys.select(_sort_key().alias("sort_key")).distinct().repartitionByRange("sort_key").sortWithinPartitions(
+    found = keys.sparkSession.read.parquet(directory).agg(F.sum("captures")).first()[0] or 0
+    tasks = max(1, -(-found // LOOKUPS))
+    return keys.select(_sort_key().alias("sort_key")).distinct().repartitionByRange(tasks, "sort_key").sortWithinPartitions(
         "sort_key").mapInPandas(_read(folder, directory),
                                 "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
