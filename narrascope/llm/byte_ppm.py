@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.spark import remainder, small_batches, write_table
+from narrascope.llm.spark import bounded_rows, remainder, small_batches, write_table
 from narrascope.llm.texts import LOWER_BYTES, word_hashes
 
 ORDER = 5
@@ -277,7 +277,7 @@ def fit_ppm(counts: DataFrame, nodes: int = NODES) -> Ppm:
     orders = []
     for k in range(ORDER + 1):
         shorter = packed.groupBy(F.col("value").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("value")).agg(F.sum("n").alias("n"))
-        kept = shorter.where(F.col("n") >= max(1, -(-total // nodes))).toPandas()
+        kept = bounded_rows(shorter.where(F.col("n") >= max(1, -(-total // nodes))))
         orders.append((kept["value"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)))
     return Ppm(orders, total)
 
@@ -317,7 +317,7 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text") -> DataF
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     below = total + 0.5 * (distinct + 1)
-    head = words.where(F.col("n") >= max(1, -(-total // HEAD))).toPandas()
+    head = bounded_rows(words.where(F.col("n") >= max(1, -(-total // HEAD))))
     logs = np.log10((head["n"].to_numpy(np.float64) + 0.5) / below)
     end_log = float(np.log10((ends + 0.5) / below))
     run = _score_rows(fit_ppm(counts), head["value"].to_numpy(np.int64).view(np.uint64), logs, end_log, int(ends > 0))

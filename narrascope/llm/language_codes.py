@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.spark import bounded_sample, class_counts, drop_table, remainder, small_batches, with_scores, write_table
+from narrascope.llm.spark import bounded_rows, bounded_sample, class_counts, drop_table, remainder, small_batches, with_scores, write_table
 from narrascope.llm.texts import char_grams, code_points, letter_table
 
 ORDERS = (1, 2, 3)
@@ -125,7 +125,7 @@ def fit_languages(docs: DataFrame, label: str = "lang", text: str = "text", per_
     labelled = docs.where(F.col(text).isNotNull())
     sample, path = write_table(bounded_sample(labelled, label, text, class_counts(labelled, label), per_language))
     counted = sample.mapInPandas(_gram_counts, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()
+    table = bounded_rows(counted)
     languages = sorted(table["label"].unique())
     code = codewords(len(languages))
     rate = np.zeros((len(languages), 1 << BITS))

@@ -83,6 +83,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return found.select(label, "text").distinct(), counts
 
 
+def bounded_rows(df: DataFrame) -> pd.DataFrame:
+    """The rows of a frame on the driver. For models only, whose size a parameter bounds."""
+    return df.toArrow().to_pandas()
+
+
 def write_table(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write a table below the shared folder; give what reads it, and its path for `drop_table`."""
     path = scratch_path(df.sparkSession, name)

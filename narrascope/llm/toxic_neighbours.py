@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.spark import drop_table, labelled_sample, remainder, small_batches, with_scores, write_table
+from narrascope.llm.spark import bounded_rows, drop_table, labelled_sample, remainder, small_batches, with_scores, write_table
 from narrascope.llm.texts import char_grams, code_points
 
 ORDERS = (5, 6)
@@ -180,7 +180,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     ratio = 2 * (part(F.col("toxic"), held * n1 / size) + part(F.col("other"), held * n0 / size)
                  + part(n1 - F.col("toxic"), (size - held) * n1 / size) + part(n0 - F.col("other"), (size - held) * n0 / size))
     strong = rates.where((F.col("toxic") + 0.5) / (n1 + 1.0) >= 4 * (F.col("other") + 0.5) / (n0 + 1.0)).withColumn(
-        "ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "gram").limit(terms).select("gram").toPandas()
+        "ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "gram").limit(terms).select("gram")
+    strong = bounded_rows(strong)
     grams = np.sort(strong["gram"].to_numpy(dtype=np.int64).view(np.uint64))
     index = ToxicIndex(grams, np.ones(len(grams) * len(LEVELS)), np.zeros(1, np.int64), np.empty(0, np.int64),
                        np.empty(0), np.empty(0, np.int8), np.empty(0, np.int64),
@@ -191,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
             yield pd.DataFrame({"label": batch.iloc[:, 0], "example": batch.iloc[:, 2],
                                 "terms": [index.vector(t)[0].tolist() for t in batch.iloc[:, 1]]})
 
-    rows = sample.select(label, text, "example").mapInPandas(vectors, "label int, example long, terms array<long>").toPandas()
+    rows = bounded_rows(sample.select(label, text, "example").mapInPandas(vectors, "label int, example long, terms array<long>"))
     drop_table(docs.sparkSession, path)
     return _indexed(index, rows, n0, n1)
 
