@@ -26,14 +26,35 @@ def inner_text(html: Column) -> Column:
     return X.collapse_spaces(unescape(bare))
 
 
+def _closing(parts: Column, name: Column) -> Column:
+    """Of the parts of an element's rest, each of which but the first starts at a tag of its name: how many there are up
+    to the tag that closes the element, all if none does."""
+    def step(state: Column, part: Column) -> Column:
+        closes = F.startswith(part, F.lit("</"))
+        # A tag that closes itself opens nothing.
+        opens = F.startswith(F.lower(part), F.concat(F.lit("<"), name)) & ~part.rlike(r"^<[^>]*/>")
+        depth = state["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0)
+        return F.when(state["depth"] <= 0, state).otherwise(F.struct(
+            depth.alias("depth"), (state["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n")))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    return F.aggregate(parts, start, step, lambda s: s["n"])
+
+
+def _until_closed(rest: Column, name: Column) -> Column:
+    """Content of an element from what follows its opening tag: up to the close tag at its own depth."""
+    parts = F.split(rest, F.concat(F.lit(r"(?i)(?=</?"), name, F.lit(r"(?![\w-]))")))
+    return F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.slice(p, 1, _closing(p, name)), "")), 1)
+
+
 def element_html(html: Column, tag: str = r"\w+", attribute: str = "") -> Column:
-    """Content of the first element with this tag and attribute text, null where there is none."""
-    name = f"({tag})" if tag == r"\w+" else f"(?:{tag})"
-    close = r"\1" if tag == r"\w+" else f"(?:{tag})"
-    group = 2 if tag == r"\w+" else 1
+    """Content of the first element with this tag and attribute text, nested elements of its name included; null where
+    there is none. An element that is never closed reaches to the end."""
     inside = rf"[^>]*{X.quote_literal(attribute)}[^>]*" if attribute else r"(?:\s[^>]*)?"
-    pattern = rf"(?is)<{name}{inside}>(.*?)</{close}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, group))
+    opening = rf"(?is)<({tag}){inside}(?<!/)>"
+    name = F.lower(F.regexp_extract(html, opening, 1))
+    rest = F.regexp_replace(html, rf"(?is)^.*?<(?:{tag}){inside}(?<!/)>", "")
+    return F.when(html.rlike(opening), _until_closed(rest, name))
 
 
 def attribute_of(html: Column, tag: str, marker: str, attribute: str) -> Column:
@@ -45,8 +66,19 @@ def attribute_of(html: Column, tag: str, marker: str, attribute: str) -> Column:
 
 
 def spans(html: Column) -> Column:
-    """Visible texts of all span elements."""
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), F.lit(1)), inner_text)
+    """Visible texts of all span elements in the order of their opening tags, nested ones with and within the outer."""
+    def of(parts: Column) -> Column:
+        places = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(r"(?i)^<span(?![\w-])[^>]*(?<!/)>"), i + 1)), lambda i: i.isNotNull())
+
+        def content(i: Column) -> Column:
+            after = F.concat(F.array(F.regexp_replace(F.element_at(parts, i), "^<[^>]*>", "")),
+                             F.slice(parts, i + 1, F.size(parts)))
+            return F.element_at(F.transform(F.array(after), lambda a: inner_text(
+                F.array_join(F.slice(a, 1, _closing(a, F.lit("span"))), ""))), 1)
+
+        return F.transform(places, content)
+
+    return F.element_at(F.transform(F.array(F.split(html, r"(?i)(?=</?span(?![\w-]))")), of), 1)
 
 
 def page_fields(html: Column, text_tag: str = r"\w+", text_attribute: str = f'data-testid="{fixed.TEXT_TESTID}"') -> Column:

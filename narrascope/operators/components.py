@@ -30,7 +30,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return nodes.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of an edge table (u, v); the component is its least node.
 
     Edges are rewritten until each node points straight at its component. A round costs two
@@ -39,12 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     current = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .distinct())
-    for _ in range(max_rounds):
+    while not _is_star_forest(current):
         current = cut_lineage(_small_star(_large_star(current)))
-        if _is_star_forest(current):
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component")))

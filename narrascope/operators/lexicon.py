@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +16,7 @@ from narrascope.operators.rows import compute_once, explode_rows
 
 LEXICON_SCHEMA = "category string, priority int, keyword string, match_mode string"
 # Above this many keywords, match by join.
-REGEX_KEYWORD_LIMIT = 1000
+PATTERN_KEYWORDS = 500
 _NO_SPACES_SCRIPT = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 
 
@@ -62,12 +62,9 @@ def lexicon_frame(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
     return spark.createDataFrame([(e.category, e.priority, e.keyword, e.match_mode) for e in entries], LEXICON_SCHEMA)
 
 
-def lexicon_entries(lexicon: DataFrame, limit: int = REGEX_KEYWORD_LIMIT) -> list[Entry]:
-    """Lexicon rows on the driver, for pattern building; refuses one too large for a pattern."""
-    rows = lexicon.select("category", "priority", "keyword", "match_mode").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} keywords: use categorise_ngram")
-    return [Entry(*row) for row in rows]
+def lexicon_entries(lexicon: DataFrame) -> list[Entry]:
+    """Lexicon rows on the driver, for pattern building."""
+    return [Entry(*row) for row in lexicon.select("category", "priority", "keyword", "match_mode").collect()]
 
 
 def categories_of(entries: Iterable[Entry]) -> list[str]:
@@ -90,6 +87,15 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
+def any_match(value: Column, terms: Sequence[str], pattern: Callable[[Sequence[str]], str]) -> Column:
+    """Whether a text matches any of the terms: long lists are cut into several patterns."""
+    return any_of([value.rlike(pattern(terms[i:i + PATTERN_KEYWORDS])) for i in range(0, len(terms), PATTERN_KEYWORDS)])
+
+
+def literals(terms: Sequence[str]) -> str:
+    return "|".join(X.quote_literal(t) for t in terms)
+
+
 def category_conditions(entries: Sequence[Entry], normalised: Column, raw: Column,
                         compat: bool = False) -> dict[str, Column]:
     """Per category, whether a text belongs to it.
@@ -108,13 +114,13 @@ def category_conditions(entries: Sequence[Entry], normalised: Column, raw: Colum
                  if (e.match_mode == "word" or compat and e.match_mode == "substring") and e.keyword not in marked]
         parts = []
         if whole:
-            parts.append(normalised.rlike(word_pattern(whole, compat)))
+            parts.append(any_match(normalised, whole, lambda t: word_pattern(t, compat)))
         if inside:
-            parts.append(normalised.rlike("|".join(X.quote_literal(t) for t in inside)))
+            parts.append(any_match(normalised, inside, literals))
         if strict:
-            parts.append(raw.rlike(word_pattern(strict, compat)))
+            parts.append(any_match(raw, strict, lambda t: word_pattern(t, compat)))
         if marked:
-            parts.append(raw.rlike("(?iu)" + word_pattern(marked)))
+            parts.append(any_match(raw, marked, lambda t: "(?iu)" + word_pattern(t)))
         conditions[category] = any_of(parts)
     return conditions
 
@@ -132,8 +138,6 @@ def categorise(df: DataFrame, entries: Sequence[Entry] | None = None, text: str
     One pass over each row, no shuffle. Pass the name of an already normalised column to reuse it.
     """
     entries = organisation_lexicon() if entries is None else list(entries)
-    if len(entries) > REGEX_KEYWORD_LIMIT:
-        raise ValueError(f"over {REGEX_KEYWORD_LIMIT} keywords: use categorise_ngram")
     added = normalised is None
     if added:
         normalised = "_normalised"
@@ -161,9 +165,9 @@ def categorise_ngram(df: DataFrame, lexicon: DataFrame, id_column: str, text: st
     """(id, categories) of categorised texts, by equi-join of word n-grams with a lexicon of any size.
 
     An n-gram is cut from the text as it stands, signs between its words included, so the result is
-    that of `categorise`. Keywords that are not word n-grams (substring or case-sensitive ones, and
-    those that start or end in a sign) are matched by regex on the way; there may be
-    `REGEX_KEYWORD_LIMIT` of them. The lexicon is broadcast only if the planner finds it under the
+    that of `categorise`. Substring keywords (those of scripts without spaces) are joined by character
+    n-grams of their lengths, case-sensitive keywords and those that start or end in a sign are matched by
+    regex on the way. The lexicon is broadcast only if the planner finds it under the
     broadcast threshold. N-grams are made distinct per text before the join, and only matches are
     shuffled. `max_words` defaults to the longest keyword.
     """
@@ -173,7 +177,10 @@ def categorise_ngram(df: DataFrame, lexicon: DataFrame, id_column: str, text: st
     edge = f"^{X.NOT_WORD_CHAR}|{X.NOT_WORD_CHAR}$"
     is_gram = (F.col("match_mode") == "word") & ~F.col("keyword").rlike(edge)
     keys = lexicon.where(is_gram).select("category", X.fold(X.strip_tag_marks(F.lower("keyword"))).alias("gram")).distinct()
-    others = lexicon_entries(lexicon.where(~is_gram))
+    inside = lexicon.where("match_mode = 'substring'").select(
+        "category", F.concat(F.lit("~"), X.fold(X.strip_tag_marks(F.lower("keyword")))).alias("gram")).where("gram != '~'").distinct()
+    lengths = sorted(r[0] for r in inside.select((F.char_length("gram") - 1).alias("n")).distinct().collect())
+    others = lexicon_entries(lexicon.where(~is_gram & (F.col("match_mode") != "substring")))
     if max_words is None:
         max_words = keys.agg(F.max(F.size(_word_runs(F.col("gram"))[0]))).first()[0] or 1
     words, units = _word_runs(F.col(normalised))
@@ -183,7 +190,17 @@ def categorise_ngram(df: DataFrame, lexicon: DataFrame, id_column: str, text: st
         conditions = category_conditions(others, F.col(normalised), X.text_or_empty(F.col(text)))
         marks = F.array_compact(F.array(*[F.when(c, F.lit("=" + k)) for k, c in conditions.items()]))
         keys = keys.union(keys.sparkSession.createDataFrame([(k, "=" + k) for k in conditions], "category string, gram string"))
-    cut = df.select(id_column, words.alias("words"), units.alias("units"), marks.alias("marks"))
+    # Character n-grams are told from words by a sign in front; where no keyword starts, none is cut.
+    pieces = F.array().cast("array<string>")
+    if lengths:
+        keys = keys.union(inside)
+        heads = [r[0] for r in inside.select(F.substring("gram", 2, 1)).distinct().collect()]
+        chars = F.col("_chars")
+        df = df.withColumn("_chars", F.when(any_match(F.col(normalised), heads, literals), F.split(normalised, "")).otherwise(pieces))
+        pieces = F.flatten(F.transform(F.filter(
+            F.transform(chars, lambda c, i: F.when(c.isin(heads), i + 1)), lambda i: i.isNotNull()), lambda i: F.array(*[
+                F.concat(F.lit("~"), F.array_join(F.slice(chars, i, F.lit(n)), "")) for n in lengths])))
+    cut = df.select(id_column, words.alias("words"), units.alias("units"), F.concat(marks, F.array_distinct(pieces)).alias("marks"))
     grams, heads = [F.array_distinct("words")], F.col("units")
     for n in range(2, max_words + 1):
         length = F.greatest(F.size("words") - (n - 1), F.lit(0))

@@ -20,18 +20,20 @@ UNKNOWN_LANGUAGE = "unknown"
 
 def score_batches(df: DataFrame, loader: Callable[[], Callable[[Sequence[str]], Sequence]], text: str, to: str,
                   kind: str, batch_size: int) -> DataFrame:
-    """Add the outputs of a model over texts, in batches; `loader` runs once per Python worker task."""
-    fields = df.schema
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, `{to}` {kind}"
+    """Add the outputs of a model over texts, in batches; `loader` runs once per Python worker task.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the text goes through Python. The planner evaluates the model once, also where a filter on its output follows.
+    """
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loader()
         for part in parts:
+            found: list = []
             for start in range(0, len(part), batch_size):
-                piece = part.iloc[start:start + batch_size]
-                yield piece.assign(**{to: list(model(piece[text].tolist()))})
+                found += list(model(part.iloc[start:start + batch_size].tolist()))
+            yield pd.Series(found, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(to, F.pandas_udf(run, kind).asNondeterministic()(F.col(text)))
 
 
 # Language ------------------------------------------------------------------------------------

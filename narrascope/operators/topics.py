@@ -18,7 +18,7 @@ from narrascope.functions import time as TM
 from narrascope.operators.aggregates import topic_counts
 from narrascope.operators.rows import explode_rows
 from narrascope.operators.windows import first_k
-from narrascope.session import broadcast_small, cut_lineage
+from narrascope.session import cut_lineage
 
 
 @lru_cache(maxsize=1)
@@ -111,7 +111,7 @@ def doc_similarity(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id",
     gathered = docs.select(doc_id, "topic", terms).repartition(doc_id)
     counted = (explode_rows(gathered, terms, "term", doc_id, "topic")
                .groupBy(doc_id, "topic", "term").agg(F.count("*").alias("tf")))
-    joined = counted.join(broadcast_small(weights.select("topic", "term", "idf", "weight")), ["topic", "term"])
+    joined = counted.join(weights.select("topic", "term", "idf", "weight"), ["topic", "term"])
     part = F.col("tf") * F.col("idf")
     sums = joined.groupBy(doc_id, "topic").agg(F.sum(part * F.col("weight")).alias("_dot"),
                                                F.sum(part * part).alias("_doc2"))
@@ -147,13 +147,14 @@ def topic_info(docs: DataFrame, weights: DataFrame, representative: DataFrame |
 
 
 def add_time_bin(df: DataFrame, time: str, bins: int = fixed.TIME_BINS) -> DataFrame:
-    """Add `bin` and its left edge `bin_start`; the time range is a scalar subquery over the time column."""
+    """Add `bin` and its left edge `bin_start`; rows without time are left out. The time range is one scalar subquery."""
     micros = F.unix_micros(F.col(time)).cast("double")
-    bounds = df.select(micros.alias("_t"))
-    low, high = bounds.agg(F.min("_t")).scalar(), bounds.agg(F.max("_t")).scalar()
+    span = df.select(micros.alias("_t")).agg(F.struct(F.min("_t").alias("low"), F.max("_t").alias("high")).alias("span")).scalar()
+    df = df.where(F.col(time).isNotNull()).withColumn("_span", span)
+    low, high = F.col("_span.low"), F.col("_span.high")
     df = df.withColumn("bin", TM.equal_width_bin(micros, low, high, bins))
     edge = TM.bin_left_edge(F.col("bin"), low, high, bins)
-    return df.withColumn("bin_start", F.timestamp_micros(F.floor(edge).cast("long")))
+    return df.withColumn("bin_start", F.timestamp_micros(F.floor(edge).cast("long"))).drop("_span")
 
 
 def topic_frequency_over_time(binned: DataFrame) -> DataFrame:
@@ -166,52 +167,53 @@ def _unit_sum(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     return weights.join(sums, list(keys)).select(*keys, "term", (F.col("weight") / F.col("_sum")).alias("weight"))
 
 
-def bin_weights(binned: DataFrame, weights: DataFrame, blend_previous: bool = False, blend_global: bool = True,
-                terms: str = "terms") -> DataFrame:
-    """(topic, bin, term, weight): c-TF-IDF within each bin on the vocabulary and idf of all bins.
+def bin_weights(binned: DataFrame, weights: DataFrame, blend_previous: bool = True, blend_global: bool = True,
+                terms: str = "terms", k: int = fixed.BIN_TERMS) -> DataFrame:
+    """(topic, bin, term, weight): c-TF-IDF within each bin on the vocabulary and idf of all bins, blended.
 
-    `blend_previous` averages with the topic's own weights one bin earlier, `blend_global` with its
-    weights over all time. Both are sums of shares, so a term missing on one side counts as 0 there.
+    `blend_previous` averages with the topic's own weights one bin earlier, `blend_global` with its weights over all
+    time (both on, as in the method's usual settings). Both are sums of shares, so a term missing on one side counts
+    as 0 there. Of the terms that a bin and the one before lack, only the topic's k heaviest are listed: no other
+    can be among the bin's k heaviest.
     """
     keys = ["topic", "bin"]
     counts = class_term_frequency(binned, keys, terms)
     # The idf of a term is the same in all topics; the topic's own row carries it.
-    local = counts.join(broadcast_small(weights.select("topic", "term", "idf")), ["topic", "term"])
+    local = counts.join(weights.select("topic", "term", "idf"), ["topic", "term"])
     local = cut_lineage(local.select(*keys, "term", (F.col("n") * F.col("idf")).alias("weight")))
-    cells, local = local, _unit_sum(local, keys)
-    if not (blend_previous or blend_global):
-        return local
-
+    cells, local = local.select(*keys).distinct(), _unit_sum(local, keys)
     along = Window.partitionBy("topic").orderBy("bin")
-    cells = cells.select(*keys).distinct()
     cells = cells.withColumn("_follows", F.coalesce(F.lag("bin").over(along) == F.col("bin") - 1, F.lit(False)))
-    own = F.lit(1.0)
-    if blend_previous:
-        own = F.when(F.col("_follows"), 0.5).otherwise(1.0)
     outer = 0.5 if blend_global else 1.0
-    parts = [local.join(cells, keys).select(*keys, "term", (F.col("weight") * own * outer).alias("weight"))]
     if blend_previous:
+        own = F.when(F.col("_follows"), 0.5 * outer).otherwise(outer)
+        parts = local.join(cells, keys).select(*keys, "term", (F.col("weight") * own).alias("weight"))
         before = local.select("topic", (F.col("bin") + 1).alias("bin"), "term", "weight")
-        parts.append(before.join(cells.where("_follows"), keys)
-                     .select(*keys, "term", (F.col("weight") * 0.5 * outer).alias("weight")))
+        parts = parts.unionByName(before.join(cells.where("_follows"), keys).select(
+            *keys, "term", (F.col("weight") * 0.5 * outer).alias("weight")))
+    else:
+        parts = local.select(*keys, "term", (F.col("weight") * outer).alias("weight"))
     if blend_global:
-        overall = _unit_sum(weights.select("topic", "term", "weight"), ["topic"])
-        parts.append(overall.join(cells.select(*keys), "topic")
-                     .select(*keys, "term", (F.col("weight") * 0.5).alias("weight")))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    return both.groupBy(*keys, "term").agg(F.sum("weight").alias("weight"))
+        overall = _unit_sum(weights.select("topic", "term", "weight"), ["topic"]).withColumnRenamed("weight", "_all")
+        heaviest = first_k(overall.withColumn("_all", F.round(F.col("_all") * 0.5, 9)), ["topic"], [F.desc("_all"), F.col("term")], k)
+        parts = parts.unionByName(cells.join(heaviest.select("topic", "term"), "topic").select(*keys, "term", F.lit(0.0).alias("weight")))
+        summed = parts.groupBy(*keys, "term").agg(F.sum("weight").alias("weight"))
+        summed = summed.join(overall, ["topic", "term"], "left").select(
+            *keys, "term", (F.col("weight") + 0.5 * F.coalesce("_all", F.lit(0.0))).alias("weight"))
+    else:
+        summed = parts.groupBy(*keys, "term").agg(F.sum("weight").alias("weight"))
+    return summed
 
 
 def topics_over_time(docs: DataFrame, weights: DataFrame, time: str = "ts", bins: int = fixed.TIME_BINS,
-                     blend_previous: bool = False, blend_global: bool = True, k: int = fixed.BIN_TERMS) -> DataFrame:
-    """(topic, words, frequency, timestamp) per topic and non-empty bin."""
-    binned = add_time_bin(docs, time, bins)
-    frequency = topic_frequency_over_time(binned)
-    weighted = bin_weights(binned, weights, blend_previous, blend_global)
+                     blend_previous: bool = True, blend_global: bool = True, k: int = fixed.BIN_TERMS) -> DataFrame:
+    """(topic, bin, words, frequency, timestamp) per topic and non-empty bin. Rows without time are left out."""
+    # Written out, as the terms are read for the counts and the bins for the frequencies.
+    binned = cut_lineage(add_time_bin(docs, time, bins).select("topic", "bin", "bin_start", "terms"))
+    # Sums in changing order differ in their last places: rounded, equal weights rank by their term.
+    weighted = bin_weights(binned, weights, blend_previous, blend_global, k=k).withColumn("weight", F.round("weight", 9))
     words = terms_array(top_terms(weighted, k, ["topic", "bin"]), ["topic", "bin"], "words")
-    return (frequency.join(words, ["topic", "bin"], "left")
+    return (topic_frequency_over_time(binned).join(words, ["topic", "bin"], "left")
             .select("topic", "bin", "words", "frequency", F.col("bin_start").alias("timestamp")))
 
 

@@ -61,6 +61,18 @@ def share_within_group(counts: DataFrame, group: Sequence[str] | str, n: str = "
     return counts.withColumn(to, F.col(n) / F.sum(n).over(window))
 
 
+def range_piece(df: DataFrame, column: str, rows: int = 100_000) -> Column:
+    """Number of the range of a column's values that a row lies in, ranges in order with about `rows` rows each.
+
+    The bounds are values drawn by their hash, about one for `rows` rows.
+    """
+    drawn = df.where(F.pmod(F.xxhash64(column), F.lit(rows)) == 0).select(column).distinct().orderBy(column)
+    bounds = [r[0] for r in drawn.collect() if r[0] is not None]
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column)))
+
+
 def running_totals(df: DataFrame, order: Sequence[str] | str, values: Sequence[str],
                    coarse: Column | Sequence[Column], prefix: str = "running_") -> DataFrame:
     """Cumulative sums along the order, in levels.
@@ -92,14 +104,14 @@ def running_totals(df: DataFrame, order: Sequence[str] | str, values: Sequence[s
 
 
 def renumber_by_size(sizes: DataFrame, cluster: str = "cluster", size: str = "n", tie: str = "min_id",
-                     to: str = "topic", noise: int = -1, tie_width: int = 1 << 20) -> DataFrame:
+                     to: str = "topic", noise: int = -1) -> DataFrame:
     """Clusters numbered from 0, largest first, ties by the id; noise keeps -1.
 
     A global numbering in levels: by size (of n points there are fewer than sqrt(2n) sizes), then by
-    range of ids.
+    range of ids, which may be texts.
     """
     real = sizes.where(F.col(cluster) != noise).withColumn("_one", F.lit(1).cast("long")).withColumn("_descending", -F.col(size))
-    pieces = [-F.col(size), F.floor(F.col(tie) / tie_width)]
+    pieces = [-F.col(size), range_piece(real, tie)]
     numbered = running_totals(real, ["_descending", tie], ["_one"], pieces, prefix="_n")
     numbered = numbered.withColumn(to, (F.col("_n_one") - 1).cast("int")).drop("_n_one", "_one", "_descending")
     return numbered.unionByName(sizes.where(F.col(cluster) == noise).withColumn(to, F.lit(noise)))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
+from narrascope.functions.time import file_date
 from narrascope.operators import aggregates as A
+from narrascope.operators import models as M
 from narrascope.operators import predicates as R
 from narrascope.operators import windows as W
 from narrascope.operators.joins import anti_processed_files
@@ -23,8 +25,8 @@ from narrascope.operators.rows import explode_rows
 from narrascope.operators.sets import concat_tables
 from narrascope.plans import flows
 from narrascope.plans.queries_tables import SQL_STATUS, status_table
-from narrascope.plans.queries_text import (CATEGORY_ORDER, LEXICON, SQL_TAGGED, WORD, sql_element, sql_inner, sql_score, sql_strip,
-                                           tagged)
+from narrascope.plans.queries_text import (CATEGORY_ORDER, GENERAL, LEXICON, SQL_TAGGED, WORD, sql_element, sql_inner, sql_score,
+                                           sql_strip, sql_words, tagged)
 from narrascope.plans.registry import load, query
 from narrascope.session import scratch_path
 from narrascope.sinks import writers as O
@@ -41,7 +43,7 @@ def write_csv(df: DataFrame, path: str, *by: str) -> None:
 
 def posts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the layout of a post file."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     time = F.date_format(F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 60), "yyyy-MM-dd HH:mm:ss")
     known = {"tweetid": F.col("doc_id").cast("string"), "text": F.col("text"), "language": F.col("lang"),
              "username": F.when(F.col("doc_id") % 5 == 0, "N/A").otherwise(F.col("source")),
@@ -49,16 +51,25 @@ def posts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("source", *[known.get(c, F.lit(None).cast("string")).alias(c) for c in fixed.POST_COLUMNS])
 
 
+def write_layouts(posts: DataFrame, path: str) -> None:
+    """Posts by id into three file layouts: as they are, in another order with another text name, without language."""
+    third = F.col("tweetid").cast("long") % 3
+    order = ["language", "tweetid", "Tweet_Text", *[c for c in fixed.POST_COLUMNS if c not in ("language", "tweetid", "text")]]
+    parts = [posts, posts.withColumnRenamed("text", "Tweet_Text").select("source", *order), posts.drop("language")]
+    for i, part in enumerate(parts):
+        write_csv(part.where(third == i).repartition("source"), f"{path}/layout{i}", "source")
+
+
 @query("read_posts_csv", """
-select doc_id::varchar as tweetid, md5(text) as text_md5, lang as language,
+select doc_id::varchar as tweetid, md5(text) as text_md5, case when doc_id % 3 = 2 then '' else lang end as language,
 case when doc_id % 5 = 0 then '' else source end as username,
 case when doc_id % 11 = 0 then null else (1700000000 + doc_id * 60)::bigint end as seconds, false as is_duplicate,
-case when doc_id % 2 = 0 then 'UTC' else 'UTC' end as timezone_assumed from documents""")
+'UTC' as timezone_assumed from documents""")
 def read_posts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts written as CSV, quotes and newlines included, and read, renamed, filled and dated."""
+    """Posts in files of three layouts, quotes and newlines included, read by header, filled and dated."""
     path = scratch_path(spark, "posts")
-    write_csv(posts_of(spark, sf_dir).withColumnRenamed("text", "Tweet_Text").drop("source"), path)
-    posts = S.read_posts_csv(spark, path, S.text_schema(["Tweet_Text" if c == "text" else c for c in fixed.POST_COLUMNS]))
+    write_layouts(posts_of(spark, sf_dir), path)
+    posts = S.read_posts_csv(spark, path, S.text_schema(fixed.POST_COLUMNS), glob="*.csv")
     posts = R.add_lineage(R.fill_blank(R.rename_text(posts)))
     return posts.select("tweetid", F.md5("text").alias("text_md5"), "language", "username",
                         F.unix_seconds("tweetcreatedts").alias("seconds"), "is_duplicate", "timezone_assumed")
@@ -155,24 +166,25 @@ def read_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as fetched records in two overlapping shards."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = docs.withColumn("shard", F.explode(F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(0), F.lit(1)))
                                               .otherwise(F.array((F.col("doc_id") % 2).cast("int")))))
     score = (F.col("doc_id") % 8).cast("string")
-    known = {"tweet_id": F.col("doc_id").cast("string"), "text": F.substring("text", 1, 200), "language": F.col("lang"),
+    known = {"tweet_id": F.col("doc_id").cast("string"), "text": F.col("text"), "language": F.col("lang"),
              "fail_reason": F.when(F.col("doc_id") % 6 == 0, "deleted").otherwise(""), "hydration_score": score}
     return docs.select("shard", "doc_id", *[known.get(c, F.lit(None).cast("string")).alias(c) for c in fixed.RECORD_COLUMNS])
 
 
 @query("read_shards", """
 select doc_id::varchar as tweet_id, case when doc_id % 4 = 0 then 2 else 1 end as copies, 'N/A' as views,
-'''' || doc_id as guarded from documents""")
+'''' || doc_id as guarded, md5(text) as text_md5 from documents""")
 def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards written for a spreadsheet and read as one table."""
+    """Shards written for a spreadsheet and read as one table, landed once as Parquet."""
     path = scratch_path(spark, "shards")
-    write_csv(O.spreadsheet_safe(records_of(spark, sf_dir).drop("doc_id")), path, "shard")
-    records = S.read_shards(spark, path, glob="*.csv").select(F.col("tweet_id").alias("guarded"), F.lit("N/A").alias("views"))
-    return records.groupBy("guarded", "views").agg(F.count("*").cast("int").alias("copies")).withColumn(
+    write_csv(O.spreadsheet_safe(records_of(spark, sf_dir).drop("doc_id")), f"{path}/csv", "shard")
+    shards = S.land(S.read_shards(spark, f"{path}/csv", glob="*.csv"), f"{path}/landed")
+    records = shards.select(F.col("tweet_id").alias("guarded"), F.coalesce("views", F.lit("N/A")).alias("views"), F.md5("text").alias("text_md5"))
+    return records.groupBy("guarded", "views", "text_md5").agg(F.count("*").cast("int").alias("copies")).withColumn(
         "tweet_id", X.strip_guard(F.col("guarded")))
 
 
@@ -195,7 +207,7 @@ def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     O.failure_lines(failed).write.text(path)
     reasons = I.read_failures(spark, path, "*").groupBy("id").agg(F.min("reason").alias("reason"))
     ones = reasons.withColumn("one", F.lit(1).cast("long"))
-    return W.running_totals(ones, "id", ["one"], F.substring("id", 1, 1)).select("id", "reason", F.col("running_one").alias("position"))
+    return W.running_totals(ones, "id", ["one"], W.range_piece(ones, "id")).select("id", "reason", F.col("running_one").alias("position"))
 
 
 @query("dead_letters", "select distinct user_id::varchar as id from events where event_type = 'error'")
@@ -232,15 +244,35 @@ def write_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "category", "lang_bucket", F.col("before").alias("n"), F.col("after").alias("posts"))
 
 
-@query("ensure_outputs", f"select unnest({CATEGORY_ORDER!r}) as category, 0::bigint as n")
+SQL_GRID = f"""grid as (select * from (select unnest({CATEGORY_ORDER!r}) as category) cross join (select unnest(['en', 'ru', 'other']) as lang_bucket))"""
+
+
+@query("ensure_outputs", f"""with {SQL_TAGGED}, {SQL_GRID}, counted as (select category, lang_bucket, count(*) as n
+from (select unnest(categories) as category, lang_bucket from tagged) group by all)
+select category, lang_bucket, coalesce(n, 0) as n from grid left join counted using (category, lang_bucket)""")
 def ensure_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty output has the output schema and counts as 0 in every category."""
-    path = scratch_path(spark, "empty")
+    """Every category and language has an output, those without a match an empty one."""
+    path = scratch_path(spark, "outputs")
     posts = flows.categorise_posts(posts_of(spark, sf_dir), LEXICON, ("surely no such term",))
-    O.ensure_outputs(posts, path)
-    counts = spark.read.parquet(path).groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
-    grid = A.category_grid(counts, CATEGORY_ORDER, ["en", "ru", "other"])
-    return grid.groupBy("category").agg(F.sum("n").alias("n"))
+    O.ensure_outputs(posts, path, CATEGORY_ORDER)
+    O.write_routed(posts, path)
+    found = spark.read.parquet(path).groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
+    outputs = S.list_files(spark, path, "*.parquet")
+    grid = spark.createDataFrame([(f,) for f in outputs], "f string").select(
+        F.regexp_extract("f", "category=([^/]+)", 1).alias("category"), F.regexp_extract("f", "lang_bucket=([^/]+)", 1).alias("lang_bucket")).distinct()
+    return grid.join(found, ["category", "lang_bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query("write_uncategorised", f"""with {SQL_TAGGED}
+select category, lang_bucket, count(*) as n from (select unnest(case when len(categories) > 0 then categories
+    when {sql_words("t", [X.normalise_keyword(t) for t in GENERAL])} then ['{fixed.FALLBACK_CATEGORY}'] else []::varchar[] end) as category, lang_bucket
+    from tagged) group by all""")
+def write_uncategorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts without category that hold a general term take the fallback route."""
+    path = scratch_path(spark, "routed")
+    posts = flows.categorise_posts(posts_of(spark, sf_dir), LEXICON, GENERAL)
+    O.write_routed(posts, path)
+    return spark.read.parquet(path).groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
 
 
 @query("deduplicate_outputs", f"""with {SQL_TAGGED}
@@ -256,13 +288,18 @@ def deduplicate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("write_merged", """
 select doc_id::varchar as tweet_id, '2024-3-' || (doc_id % 3 + 1) as source_date,
-case when doc_id % 6 = 0 or doc_id % 8 <= 2 then 0 else length(substr(text, 1, 200)) end as kept_chars from documents""")
+case when doc_id % 6 = 0 or doc_id % 8 <= 2 then 0 else length(text) end as kept_chars from documents""")
 def write_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records merged from overlapping shards, decluttered, written per date and read back."""
+    """Records merged from overlapping shards, decluttered and written per date in two runs.
+
+    The second run brings a new date and an old one with other records: the old output stays.
+    """
     path = scratch_path(spark, "merged")
     merged, _ = flows.merge_records(records_of(spark, sf_dir), ["shard", "doc_id"])
-    dated = merged.withColumn("source_date", F.concat(F.lit("2024-3-"), (F.col("doc_id") % 3 + 1).cast("string")))
-    O.write_merged(O.spreadsheet_safe(dated.drop("shard", "doc_id")), path)
+    day = F.col("doc_id") % 3 + 1
+    dated = merged.withColumn("source_date", F.concat(F.lit("2024-3-"), day.cast("string")))
+    for part in (dated.where(day <= 2), dated.where(day >= 2).withColumn("text", F.when(day == 2, "other").otherwise(F.col("text")))):
+        O.write_merged(O.spreadsheet_safe(part.drop("shard", "doc_id")), path)
     read = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
             .schema(S.text_schema([*fixed.RECORD_COLUMNS, "source_date"])).csv(path))
     return read.select(X.strip_guard(F.col("tweet_id")).alias("tweet_id"), "source_date",
@@ -296,7 +333,7 @@ case when contains(text, 'http://') or contains(text, 'https://') or contains(te
 'https://twitter.com/i/web/status/' || page_id as "URL", {SQL_REASON} as fail_reason, score as hydration_score from scored""")
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched-record flow over the stored pages, the article as text element."""
-    pages = load(spark, sf_dir, "pages", "page_id").withColumnRenamed("page_id", "id")
+    pages = load(spark, sf_dir, "pages").withColumnRenamed("page_id", "id")
     records = flows.extract_records(pages, text_tag="article", text_attribute="")
     return records.select("tweet_id", F.md5("text").alias("text_md5"), "hashtags", "media", "has_link", "URL", "fail_reason", "hydration_score")
 
@@ -304,8 +341,8 @@ def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("record_languages")
 def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guarded language of the fetched records, by a model fitted on the documents."""
-    model = fit_language_model(load(spark, sf_dir, "documents", "doc_id").select("text", "lang"))
-    pages = load(spark, sf_dir, "pages", "page_id").withColumnRenamed("page_id", "id")
+    model = fit_language_model(load(spark, sf_dir, "documents").select("text", "lang"))
+    pages = load(spark, sf_dir, "pages").withColumnRenamed("page_id", "id")
     records = flows.add_language(flows.extract_records(pages, text_tag="article", text_attribute=""), model)
     return records.groupBy("language", "fail_reason").agg(F.count("*").alias("n"))
 
@@ -323,16 +360,16 @@ def write_analysis_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streams -------------------------------------------------------------------------------------
 
-@query("stream_ingest", f"""with {SQL_TAGGED} select category, lang_bucket, count(*) as n,
-(select count(distinct source) from documents) as files from (select unnest(categories) as category, lang_bucket from tagged) group by all""")
+@query("stream_ingest", f"""with {SQL_TAGGED} select category, case when doc_id % 3 = 2 then 'other' else lang_bucket end as lang_bucket, count(*) as n,
+(select count(*) from (select distinct source, doc_id % 3 from documents)) as files
+from (select unnest(categories) as category, lang_bucket, doc_id from tagged) group by all""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resumable ingest of CSV files: routed posts and a ledger row per file; a second run adds nothing."""
+    """Resumable ingest of CSV files of three layouts: routed posts and a ledger row per file; a second run adds nothing."""
     path = scratch_path(spark, "ingest")
-    posts = posts_of(spark, sf_dir)
-    write_csv(posts.repartition(4, "source"), f"{path}/in", "source")
+    write_layouts(posts_of(spark, sf_dir), f"{path}/in")
     for _ in range(2):
-        stream = J.stream_posts(spark, f"{path}/in", files_per_batch=12)
-        J.start_ingest(stream, f"{path}/out", f"{path}/checkpoint", LEXICON, general_terms=("surely no such term",)).awaitTermination()
+        files = J.stream_files(spark, f"{path}/in", files_per_batch=24)
+        J.start_ingest(files, f"{path}/out", f"{path}/checkpoint", LEXICON, general_terms=("surely no such term",)).awaitTermination()
     routed = spark.read.parquet(f"{path}/out/posts")
     ledger = I.read_ledger(spark, f"{path}/out/ledger")
     counts = routed.groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
@@ -374,16 +411,7 @@ select event_id, user_id, streak, streak >= 3 as tripped from (select event_id,
 
 @query("stream_streak", SQL_STREAK)
 def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaks kept as state over the batches of a stream."""
-    path = scratch_path(spark, "streak")
-    feed_events(spark, sf_dir, f"{path}/in", lambda stream: J.run_to_table(
-        J.streak_stream(stream, "user_id", "ts", "event_id", F.col("event_type") == "error", 3), f"{path}/out", f"{path}/checkpoint"))
-    return spark.read.parquet(f"{path}/out")
-
-
-@query("stream_streak_pieces", SQL_STREAK)
-def stream_streak_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same streaks without holding a worker in one task: parts of a day, carried from batch to batch."""
+    """Streaks over the batches of a stream: parts of a day, carried from part to part and from batch to batch."""
     path = scratch_path(spark, "streak")
     feed_events(spark, sf_dir, f"{path}/in", lambda stream: J.start_streaks(
         stream, f"{path}/out", f"{path}/checkpoint", "user_id", ["ts", "event_id"], F.col("event_type") == "error",
@@ -391,16 +419,53 @@ def stream_streak_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out/streaks").select("event_id", "user_id", "streak", "tripped")
 
 
-@query("stream_tally", "select event_type, count(*) as total, count(*) filter (value > 10) as large from events group by event_type")
-def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals per key; the last state of each is kept."""
-    path = scratch_path(spark, "tally")
+@query("stream_dedup_watermark", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")
+def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per key over all batches, each key remembered for a bounded time only (here longer than the data)."""
+    path = scratch_path(spark, "dedup")
 
     def run(stream: DataFrame) -> None:
-        totals = stream.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("large"))
-        J.run_each_batch(totals, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"),
-                         f"{path}/checkpoint", "complete")
+        keyed = stream.withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+        J.run_to_table(J.dedup_stream(keyed, "key", "ts", "3650 days"), f"{path}/out", f"{path}/checkpoint")
 
     feed_events(spark, sf_dir, f"{path}/in", run)
+    return spark.read.parquet(f"{path}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_tally", f"""with {SQL_TAGGED} select source as file, count(*) as total, count(*) filter (len(categories) > 0) as matched,
+count(*) filter (len(categories) > 1) as multi_category from tagged group by source""")
+def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals per file as posts come in; the last state of each is kept."""
+    path = scratch_path(spark, "tally")
+    posts = tagged(spark, sf_dir).select(F.col("source").alias("source_file"), "doc_id", "categories", "multi_category_match")
+    for part in range(3):
+        posts.where(F.pmod("doc_id", F.lit(3)) == part).write.mode("append").parquet(f"{path}/in")
+        J.run_each_batch(J.live_tally(J.stream_table(spark, f"{path}/in", posts.schema)),
+                         lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint", "complete")
     states = spark.read.parquet(f"{path}/out")
-    return states.groupBy("event_type").agg(F.max_by("total", "batch").alias("total"), F.max_by("large", "batch").alias("large"))
+    return states.groupBy("file").agg(*[F.max_by(c, "batch").alias(c) for c in ("total", "matched", "multi_category")])
+
+
+@query("order_files", """
+select 'tweet_ids_' || day || '.txt' as name, day as source_date, row_number() over (order by 'tweet_ids_' || day || '.txt') as position
+from (select distinct strftime(ts, '%Y-%m-') || day(ts) as day from events)""")
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id lists by name with the date in it, from the listing alone."""
+    path = scratch_path(spark, "lists")
+    day = F.concat(F.date_format("ts", "yyyy-MM-"), F.dayofmonth("ts").cast("string"))
+    days = load(spark, sf_dir, "events").select(F.concat(F.lit("tweet_ids_"), day, F.lit(".txt")).alias("name"), F.col("user_id").cast("string").alias("value"))
+    days.write.partitionBy("name").text(path)
+    # The writer names files itself; the folder carries the name here.
+    names = spark.createDataFrame([(f,) for f in S.list_files(spark, path)], "f string").select(
+        F.regexp_extract("f", "name=([^/]+)/", 1).alias("name")).distinct()
+    ones = names.select("name", file_date(F.col("name")).alias("source_date"), F.lit(1).cast("long").alias("one"))
+    return W.running_totals(ones, "name", ["one"], W.range_piece(ones, "name")).select(
+        "name", "source_date", F.col("running_one").alias("position"))
+
+
+@query("score_batches", "select doc_id, length(text) % 7 as score from documents")
+def score_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model plug-in called in batches; here one that counts characters."""
+    scored = M.score_batches(load(spark, sf_dir, "documents").select("doc_id", "text"),
+                             lambda: lambda texts: [len(t) % 7 for t in texts], "text", "score", "bigint", 64)
+    return scored.select("doc_id", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrascope import fixed_values as fixed
 from narrascope.functions import page as P
 from narrascope.functions import text as X
 from narrascope.functions.time import file_date, to_utc_timestamp
@@ -74,7 +75,7 @@ tagged as (select *, list_filter([{', '.join(f"case when {sql_category(c)} then
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = L.with_normalised(R.add_lang_bucket(docs, "lang"))
     return L.categorise(docs, LEXICON, normalised="normalised")
 
@@ -84,7 +85,7 @@ select doc_id, length(c) as clean_chars, md5(c) as clean_md5 from (select doc_id
 where length(c) >= 5""")
 def clean_text_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning and minimum length."""
-    docs = compute_once(load(spark, sf_dir, "documents", "doc_id"), clean_text=X.clean_text(F.col("text")))
+    docs = compute_once(load(spark, sf_dir, "documents"), clean_text=X.clean_text(F.col("text")))
     return R.min_length(docs).select("doc_id", F.length("clean_text").cast("long").alias("clean_chars"), F.md5("clean_text").alias("clean_md5"))
 
 
@@ -93,7 +94,7 @@ select doc_id, lang from (select doc_id, lang, row_number() over (partition by {
 from documents where length({sql_clean()}) >= 5) where r = 1""")
 def keep_first_by_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document per cleaned text."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = R.min_length(compute_once(docs.select("doc_id", "lang", "text"), clean_text=X.clean_text(F.col("text"))))
     return W.keep_first(docs, "clean_text", ["doc_id"], by_digest=True).select("doc_id", "lang")
 
@@ -109,7 +110,7 @@ def flag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fold_text", f"select doc_id, md5({sql_fold()}) as folded_md5 from documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks off, lower case, accents folded."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(X.fold(X.strip_tag_marks(F.lower("text")))).alias("folded_md5"))
 
 
@@ -118,7 +119,7 @@ select doc_id, length(s) - length(text) as splits, md5(s) as split_md5 from (sel
 '(?i)(^|{EDGE})(the|der|que)([a-z])', '\\1\\2 \\3', 'g') as s from documents)""")
 def split_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A blank after an acronym glued to a word, for acronyms that occur in the documents."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", X.split_glued_acronyms(F.col("text"), ("the", "der", "que")).alias("s"))
     return docs.select("doc_id", (F.length("s") - F.length("text")).cast("long").alias("splits"), F.md5("s").alias("split_md5"))
 
@@ -145,7 +146,7 @@ def multi_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, array_to_string(categories, ',') as categories from tagged where len(categories) > 0""")
 def categorise_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sets by n-gram join."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     found = L.categorise_ngram(docs, L.lexicon_frame(spark, LEXICON), "doc_id")
     return found.select("doc_id", F.array_join("categories", ",").alias("categories"))
 
@@ -187,7 +188,7 @@ def sql_failure(value: str, score: str) -> str:
 
 @query("quality_score", f"select doc_id, {sql_score('text')} as score from documents")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     return docs.select("doc_id", P.quality_score(F.col("text")).alias("score"))
 
 
@@ -195,7 +196,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, {sql_failure("lower(text)", sql_score("text"))} as fail_reason from documents""")
 def classify_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First failure status whose phrase a low-score text holds."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", P.quality_score(F.col("text")).alias("score"))
     return docs.select("doc_id", L.classify_failure(F.lower("text"), F.col("score"), PHRASES).alias("fail_reason"))
 
@@ -206,7 +207,7 @@ with scored as (select doc_id, text, {sql_score('text', 'doc_id % 3')} as score,
 select doc_id, score, length(case when trim(reason) <> '' or score <= 2 then '' else text end) as kept_chars from scored""")
 def declutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of failed and low-score records are blanked."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     score = P.quality_score(F.col("text"), (F.col("doc_id") % 3).cast("int"))
     docs = docs.select("doc_id", "text", score.alias("hydration_score"))
     docs = docs.withColumn("fail_reason", L.classify_failure(F.lower("text"), F.col("hydration_score"), PHRASES))
@@ -237,7 +238,7 @@ select doc_id, {sql_words(sql_fold(), [X.normalise_keyword(t) for t in GENERAL])
 {" or ".join(f"contains({sql_fold()}, '{t}')" for t in GENERAL)} as contained from documents""")
 def mentions_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """General terms as words, and anywhere."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = docs.select("doc_id", X.fold(X.strip_tag_marks(F.lower("text"))).alias("t"))
     return docs.select("doc_id", L.mentions_any(F.col("t"), GENERAL).alias("mentioned"),
                        L.mentions_any(F.col("t"), GENERAL, compat=True).alias("contained"))
@@ -249,7 +250,7 @@ case when contains(v, 'http://') or contains(v, 'https://') or contains(v, 't.co
 length(regexp_replace(v, '{EDGE}+', '', 'g')) as word_chars from (select page_id, url || ' ' || html as v from pages)""")
 def tags_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags, link flag and word characters of address and markup."""
-    pages = load(spark, sf_dir, "pages", "page_id").select("page_id", F.concat_ws(" ", "url", "html").alias("v"))
+    pages = load(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("v"))
     return pages.select("page_id", X.extract_hashtags(F.col("v")).alias("hashtags"), X.has_link(F.col("v")).alias("has_link"),
                         X.word_char_count(F.col("v")).cast("long").alias("word_chars"))
 
@@ -275,7 +276,7 @@ case when coalesce(a, '') <> '' then 3 when coalesce(title, '') <> '' then 2 els
 from (select page_id, {sql_inner(sql_element('article'))} as a from pages) p join {SQL_TITLE} t using (page_id)""")
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text cascade with the article as the text element."""
-    pages = load(spark, sf_dir, "pages", "page_id")
+    pages = load(spark, sf_dir, "pages")
     fields = pages.select("page_id", P.page_fields(F.col("html"), "article", "").alias("f"))
     found = fields.select("page_id", P.extraction_cascade(F.col("f")).alias("x"))
     return found.select("page_id", F.md5("x.text").alias("text_md5"), F.col("x.points").alias("points"))
@@ -284,7 +285,7 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_title_text", f"select page_id, title from {SQL_TITLE}")
 def page_title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title stage of the cascade: first title there is, quoted part, part after the marker."""
-    pages = load(spark, sf_dir, "pages", "page_id")
+    pages = load(spark, sf_dir, "pages")
     fields = pages.select("page_id", P.page_fields(F.col("html")).alias("f"))
     return fields.select("page_id", P.title_text(F.col("f")).alias("title"))
 
@@ -295,7 +296,7 @@ with items as (select page_id, [x for x in [{sql_inner('y')} for y in regexp_ext
 select page_id, len(kept) as fragments, array_to_string(kept, ' ') as joined from items""")
 def page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of a page without junk phrases, joined; list items stand in for spans."""
-    pages = load(spark, sf_dir, "pages", "page_id")
+    pages = load(spark, sf_dir, "pages")
     items = F.transform(F.regexp_extract_all("html", F.lit("(?is)<li>(.*?)</li>"), F.lit(1)), P.inner_text)
     kept = X.drop_junk(items, ("the", "and", "de", "la", "der", "die"))
     pages = pages.select("page_id", kept.alias("kept"))
@@ -308,7 +309,7 @@ coalesce({sql_inner(sql_element('div', '[^>]*class="ad"[^>]*'))}, 'N/A') as view
 coalesce({sql_inner(sql_element('aside', '[^>]*class="ad"[^>]*'))}, 'N/A') as likes from pages""")
 def page_media_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media flag and metric texts, with markers that occur in the pages."""
-    pages = load(spark, sf_dir, "pages", "page_id")
+    pages = load(spark, sf_dir, "pages")
     elements = {"views": ("div", 'class="ad"'), "likes": ("aside", 'class="ad"')}
     found = pages.select("page_id", P.media_flag(F.col("html"), ["<b>"]).alias("media"), *P.metrics(F.col("html"), elements))
     return found.select("page_id", "media", *[P.metric_or_na(F.col(c)).alias(c) for c in elements])
@@ -346,7 +347,7 @@ def to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model fitted on the labelled ones; counts of right and wrong."""
-    docs = load(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = M.fit_language_model(docs)
     found = M.identify_language(docs, model)
     return found.groupBy("lang", "detected_language").agg(F.count("*").alias("n"))
@@ -362,5 +363,32 @@ from (select doc_id, regexp_extract_all(lower(text), '{WORD}{{2,}}') as w from d
 select doc_id, case when s < 0 then 'LABEL_0' when s > 0 then 'LABEL_2' else 'LABEL_1' end as sentiment from scored""")
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-class label from the balance of two word lists."""
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     return docs.select("doc_id", M.lexicon_sentiment(F.col("text"), POSITIVE, NEGATIVE).alias("sentiment"))
+
+
+@query("case_sensitive_rule", f"""
+select doc_id, regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])The($|[^\\p{{L}}\\p{{N}}_])') as found from documents""")
+def case_sensitive_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword that counts only as written."""
+    docs = L.categorise(load(spark, sf_dir, "documents"), [L.Entry("strict", 0, "The", "case_sensitive")])
+    return docs.select("doc_id", (F.size("categories") > 0).alias("found"))
+
+
+@query("after_marker", """
+select doc_id, case when doc_id % 2 = 0 then trim(source) else source || ' / ' || lang end as title from documents""")
+def after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows the marker of a page title, the whole title where there is none."""
+    docs = load(spark, sf_dir, "documents")
+    marked = F.concat(F.lit("Name"), F.lit(fixed.TITLE_MARKER), F.lit(" "), F.col("source"), F.lit(" "))
+    title = F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.concat("source", F.lit(" / "), "lang"))
+    return docs.select("doc_id", X.after_marker(title).alias("title"))
+
+
+@query("language_is_multi", """
+select doc_id, doc_id % 3 = 0 as multi, case when doc_id % 3 = 2 then 'unknown' else lang end as first from documents""")
+def language_is_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether several languages are candidates, and the likeliest."""
+    kind = F.col("doc_id") % 3
+    found = F.when(kind == 0, F.array("lang", F.lit("xx"))).when(kind == 1, F.array("lang")).otherwise(F.array().cast("array<string>"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.is_multi_language(found).alias("multi"), X.primary_language(found).alias("first"))

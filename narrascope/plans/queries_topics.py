@@ -33,7 +33,7 @@ SQL_TOP = f"""{SQL_WEIGHTS}, ranked as (select *, row_number() over (partition b
 
 
 def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", (F.substring("source", 4, 9).cast("int") - 1).alias("topic"))
     return T.tokenise_ngrams(docs, "text", STOP_WORDS)
 
@@ -128,23 +128,19 @@ blended as (select topic, bin, term, sum(w) as w from (
     select topic, bin, term, w * case when follows then 0.5 else 1.0 end * 0.5 as w from local join follows using (topic, bin)
     union all select l.topic, l.bin + 1, term, w * 0.25 from local l join follows f on f.topic = l.topic and f.bin = l.bin + 1 and follows
     union all select topic, bin, term, w * 0.5 from overall join cells using (topic)) group by topic, bin, term),
-words as (select topic, bin, round(sum(w), 6) as top_weight from (select *, row_number() over
-    (partition by topic, bin order by w desc, term) as r from blended) where r <= 5 group by topic, bin)"""
+words as (select topic, bin, string_agg(term, ' | ' order by r) as words from (select *, row_number() over
+    (partition by topic, bin order by round(w, 9) desc, term) as r from blended) where r <= 5 group by topic, bin)"""
 
 
-@query("topics_over_time", f"with {SQL_TIMES} select topic, bin, frequency, top_weight from frequency left join words using (topic, bin)")
+@query("topics_over_time", f"""with {SQL_TIMES} select topic, bin, frequency, words,
+floor(case when bin = 0 then lo - (hi - lo) * 0.001 else lo + bin * (hi - lo) / 5 end)::bigint as micros
+from frequency left join words using (topic, bin), span""")
 def topics_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and weight of the five top words per topic and time bin, blended with the bin before and with all time.
-
-    Blended weights add up in no fixed order, so equal ones may rank either way; their sum is compared.
-    """
+    """Documents, the five top words and the start of each topic's time bins, blended with the bin before and with all time."""
     times = load(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    docs = topic_docs(spark, sf_dir)
     weights = cut_lineage(topic_weights(spark, sf_dir))
-    binned = T.add_time_bin(docs.join(times, "doc_id"), "ts")
-    blended = T.bin_weights(binned, weights, blend_previous=True)
-    top = T.top_terms(blended, 5, ["topic", "bin"]).groupBy("topic", "bin").agg(F.round(F.sum("weight"), 6).alias("top_weight"))
-    return T.topic_frequency_over_time(binned).select("topic", "bin", "frequency").join(top, ["topic", "bin"], "left")
+    lines = T.topics_over_time(topic_docs(spark, sf_dir).join(times, "doc_id"), weights)
+    return lines.select("topic", "bin", "frequency", F.array_join("words", " | ").alias("words"), F.unix_micros("timestamp").alias("micros"))
 
 
 @query("prepare_corpus", f"""
@@ -161,7 +157,7 @@ def prepare_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts: events give the time, labels the repost count and the duplicate flag."""
-    docs = load(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", F.col("lang").alias("language"), "source")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"), "source")
     times = load(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("tweetcreatedts"))
     labels = load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("retweetcount"), (1 - F.col("quality")).alias("is_duplicate"))
     return docs.join(times, "doc_id", "left").join(labels, "doc_id", "left")
@@ -170,7 +166,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("density_cluster")
 def density_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of the embeddings after reduction; -1 for outliers."""
-    points = load(spark, sf_dir, "embeddings", "vec_id")
+    points = load(spark, sf_dir, "embeddings")
     reduced = C.reduce_dimensions(points, 3).select(F.col("vec_id").alias("doc_id"), "reduced")
     found = C.density_cluster(reduced, dims=3, levels=7)
     return found.select("doc_id", "topic", F.round("prob", 6).alias("prob"))

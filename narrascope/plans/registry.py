@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -26,8 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def load(spark: SparkSession, sf_dir: str, table: str, *spread_by: str) -> DataFrame:
-    """A table; zone-less times become UTC times. `spread_by` spreads a small table over all cores by id."""
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; zone-less times become UTC times."""
     # The tables carry zone-less UTC times.
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -35,4 +33,4 @@ def load(spark: SparkSession, sf_dir: str, table: str, *spread_by: str) -> DataF
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))
-    return spread(df, *spread_by) if spread_by else df
+    return df

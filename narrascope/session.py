@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_INPUT_BYTES = 256 << 20
-BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "narrascope", master: str | None = None, **settings: str) -> SparkSession:
@@ -61,20 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Planner's size estimate; reads no data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Ask for a broadcast of a written table whose files are below the limit; leave a larger one to a shuffle join."""
-    return F.broadcast(df) if planned_bytes(df) <= limit else df
-
-
-def spread(df: DataFrame, *keys: str, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spread a small input with few row groups over all cores; leave a large one as it is scanned."""
-    if planned_bytes(df) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

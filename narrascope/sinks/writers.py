@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
@@ -33,9 +37,14 @@ def write_routed(df: DataFrame, path: str, mode: str = "append", rows_per_file:
     routed.write.mode(mode).partitionBy(*ROUTE).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def ensure_outputs(df: DataFrame, path: str) -> None:
-    """An empty table with the output schema, so that readers find one before the first match."""
-    route(df).limit(0).write.mode("append").parquet(f"{path}/category=none/lang_bucket=none")
+def ensure_outputs(df: DataFrame, path: str, categories: Sequence[str], buckets: Sequence[str] = ("en", "ru", "other")) -> None:
+    """An empty table for each category and language, so that readers find every output before its first match."""
+    kinds = route(df).schema
+    fields = StructType([f for f in kinds.fields if f.name not in ROUTE])
+    for category in categories:
+        for bucket in buckets:
+            df.sparkSession.createDataFrame([], fields).write.mode("append").parquet(
+                f"{path}/category={category}/lang_bucket={bucket}")
 
 
 def append_ledger(tally: DataFrame, path: str) -> None:
@@ -52,10 +61,29 @@ def spreadsheet_safe(records: DataFrame) -> DataFrame:
     return table
 
 
-def write_merged(records: DataFrame, path: str, one_file: bool = False) -> None:
-    """Merged records as CSV per input date; a single file per run only for a small hand-off."""
+def finished_dates(spark: SparkSession, path: str) -> DataFrame:
+    """(source_date) of the dates that have output below a path. Only the listing is read."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    except AnalysisException:
+        return spark.createDataFrame([], "source_date string")
+    return files.select(F.url_decode(F.regexp_extract("path", "/source_date=([^/]+)/", 1)).alias("source_date")).where(
+        "source_date != ''").distinct()
+
+
+def write_merged(records: DataFrame, path: str, one_file: bool = False, redo: bool = False) -> None:
+    """Merged records as CSV per input date; a single file per run only for a small hand-off.
+
+    Dates that have output already are left as they are; with `redo` those among the records are replaced. Other
+    dates' output always stays.
+    """
+    if not redo:
+        # Read before the write, which would change it.
+        done = [r.source_date for r in finished_dates(records.sparkSession, path).collect()]
+        records = records.where(~F.coalesce(F.col("source_date").cast("string").isin(done), F.lit(False)))
     table = records.coalesce(1) if one_file else records.hint("rebalance", "source_date")
-    table.write.mode("overwrite").partitionBy("source_date").options(**CSV_OPTIONS).csv(path)
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_date").options(
+        **CSV_OPTIONS).csv(path)
 
 
 def write_dead_letters(failed: DataFrame, path: str) -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import functools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,44 +13,112 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
-from narrascope.operators.predicates import null_tokens
+from narrascope.operators.predicates import find_column, null_tokens
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in dict.fromkeys(columns)])
 
 
+def header_groups(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line, in the order given; files without a line are left out.
+
+    A few bytes of each file are read by the driver, through the file system that the file lies in, as Spark does
+    itself to infer a schema. A repeated or blank name gets its position as suffix.
+    """
+    context = spark.sparkContext
+
+    def names_of(file: str) -> tuple[str, ...] | None:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        stream = path.getFileSystem(context._jsc.hadoopConfiguration()).open(path)
+        try:
+            line = context._jvm.java.io.BufferedReader(context._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if not line:
+            return None
+        names: list[str] = []
+        for i, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")]))):
+            names.append(name if name.strip() and name not in names else f"{name}_{i}")
+        return tuple(names)
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for file, names in zip(files, pool.map(names_of, files), strict=True):
+            if names is not None:
+                groups.setdefault(names, []).append(file)
+    return groups
+
+
+def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> list[str]:
+    """Files of folders or single files, by path. Only the listing is read."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+              .load(list(paths) if not isinstance(paths, str) else paths).select("path"))
+    return sorted(r.path for r in listed.collect())
+
+
+def read_by_header(spark: SparkSession, files: Sequence[str], columns: Sequence[str] | None = None, multiline: bool = True,
+                   lineage: bool = False, tolerant: bool = False, text_names: Sequence[str] = ()) -> DataFrame:
+    """CSV files whose columns are named by each file's own header, all as text, missing-value tokens as null.
+
+    Files of equal headers are one scan; the scans are united by name, absent columns being null. `text_names` are
+    names any of which stands for `text`; `columns` fixes the columns of the result.
+    """
+    tables = []
+    for names, group in header_groups(spark, files).items():
+        reader = (spark.read.schema(text_schema(names)).option("header", True).option("enforceSchema", True)
+                  .option("multiLine", multiline).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+                  .option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant).option("recursiveFileLookup", True))
+        table = reader.csv(group)
+        if lineage:
+            # The metadata has to be selected next to the scan.
+            order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("row"))
+            table = table.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"),
+                                 order.alias("ingest_order"))
+        found = find_column(table, text_names) if text_names else None
+        if found not in (None, "text"):
+            table = table.withColumnRenamed("text", "text_other").withColumnRenamed(found, "text")
+        tables.append(table)
+    if tables:
+        table = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    else:
+        table = spark.createDataFrame([], text_schema(columns or ["text"]))
+        if lineage:
+            table = table.select("*", F.lit("").alias("source_file"), F.lit("").alias("source_path"), F.struct(
+                F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")).alias("ingest_order"))
+    if columns is not None:
+        kept = [*columns, *(("source_file", "source_path", "ingest_order") if lineage else ())]
+        table = table.select(*[F.col(f"`{c}`") if c in table.columns else F.lit(None).cast("string").alias(c) for c in kept])
+    return null_tokens(table)
+
+
 def read_posts_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
                    multiline: bool = True, lineage: bool = True, glob: str | None = None,
                    tolerant: bool = False) -> DataFrame:
-    """UTF-8 CSV with a header, all columns as text, missing-value tokens as null.
+    """UTF-8 CSV files, each read by its own header, all columns as text, missing-value tokens as null.
 
-    Without a schema the header names the columns; no data is read to infer types. Quoted newlines
-    need `multiline`, which makes one task per file: switch it off where posts hold none, so that
-    large files are split, and land the result as Parquet once. `lineage` adds the file name and
-    the position of a row in the input as `source_file` and `ingest_order`, taken before any shuffle.
-    `tolerant` skips files that cannot be read instead of failing the run.
+    The text column becomes `text` whichever of its names a file uses; no data is read to infer types. A schema
+    fixes the columns of the result. Quoted newlines need `multiline`, which makes one task per file: switch it
+    off where posts hold none, so that large files are split, or land the result once by `land`. `lineage` adds the
+    file's name and path and the position of a row in the input as `source_file`, `source_path` and
+    `ingest_order`, taken before any shuffle. `tolerant` skips files that cannot be read instead of failing the run.
     """
-    reader = (spark.read.option("header", True).option("multiLine", multiline).option("quote", '"')
-              .option("escape", '"').option("encoding", "UTF-8").option("ignoreCorruptFiles", tolerant))
-    if glob:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    if schema is not None:
-        reader = reader.schema(schema)
-    posts = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    if lineage:
-        # The metadata has to be selected next to the scan.
-        order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("row"))
-        posts = posts.select("*", F.col("_metadata.file_name").alias("source_file"), order.alias("ingest_order"))
-    return null_tokens(posts)
-
-
-def read_corpus(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV corpus with typed columns; give a schema to spare the pass that infers it."""
-    reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"'))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return null_tokens(reader.csv(path))
+    columns = None if schema is None else list(dict.fromkeys("text" if c.strip().lower() in fixed.TEXT_COLUMN_NAMES else c for c in schema.names))
+    return read_by_header(spark, list_files(spark, paths, glob or "*"), columns, multiline, lineage, tolerant, fixed.TEXT_COLUMN_NAMES)
+
+
+def land(table: DataFrame, path: str) -> DataFrame:
+    """Write a table read from CSV once as Parquet, which later reads split freely, and read it back."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.parquet(path)
+
+
+def read_corpus(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = True) -> DataFrame:
+    """CSV corpus with typed columns, each file read by its own header. Values that do not fit a type are null."""
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    table = read_by_header(spark, list_files(spark, path), wanted.names, multiline)
+    return table.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -64,17 +135,15 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
             .select("file", "name", "length"))
 
 
-def read_shards(spark: SparkSession, folder: str, tolerant: bool = True, glob: str = fixed.SHARD_GLOB) -> DataFrame:
-    """All shards of fetched records as one scan; unreadable ones are skipped if tolerant."""
-    reader = (spark.read.schema(text_schema(fixed.RECORD_COLUMNS)).option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("ignoreCorruptFiles", tolerant)
-              .option("ignoreMissingFiles", tolerant).option("recursiveFileLookup", True).option("pathGlobFilter", glob))
-    return null_tokens(reader.csv(folder))
+def read_shards(spark: SparkSession, folder: str, tolerant: bool = True, glob: str = fixed.SHARD_GLOB,
+                multiline: bool = True) -> DataFrame:
+    """All shards of fetched records, each by its own header; unreadable ones are skipped if tolerant."""
+    return read_by_header(spark, list_files(spark, folder, glob), fixed.RECORD_COLUMNS, multiline, tolerant=tolerant)
 
 
-def read_seen_ids(spark: SparkSession, folder: str, glob: str = fixed.SHARD_GLOB) -> DataFrame:
+def read_seen_ids(spark: SparkSession, folder: str, glob: str = fixed.SHARD_GLOB, multiline: bool = True) -> DataFrame:
     """Distinct ids of all shards, without their spreadsheet guard."""
-    return read_shards(spark, folder, glob=glob).select(X.strip_guard(F.col("tweet_id")).alias("id")).where("id is not null").distinct()
+    return read_shards(spark, folder, glob=glob, multiline=multiline).select(X.strip_guard(F.col("tweet_id")).alias("id")).where("id is not null").distinct()
 
 
 def read_page_snapshots(spark: SparkSession, path: str, id_column: str = "page_id") -> DataFrame:

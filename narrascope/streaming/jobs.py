@@ -5,13 +5,11 @@ Progress is kept in the checkpoint folder of each query; a rerun takes up only n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from narrascope import fixed_values as fixed
@@ -20,20 +18,16 @@ from narrascope.operators.lexicon import Entry
 from narrascope.operators.windows import failure_streak, open_streaks
 from narrascope.plans.flows import categorise_posts
 from narrascope.sinks.writers import write_routed
-from narrascope.sources.posts import text_schema
+from narrascope.sources.posts import header_groups, read_by_header
 
 
-def stream_posts(spark: SparkSession, folder: str, schema: StructType | None = None, multiline: bool = True,
-                 files_per_batch: int = 1000) -> DataFrame:
-    """Post files of a tree as a stream, outputs and logs excluded by name."""
-    posts = (spark.readStream.schema(schema or text_schema(fixed.POST_COLUMNS)).option("header", True)
-             .option("multiLine", multiline).option("quote", '"').option("escape", '"')
-             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-             .option("maxFilesPerTrigger", files_per_batch).csv(folder))
-    file = F.col("_metadata.file_path")
-    posts = posts.select("*", F.col("_metadata.file_name").alias("source_file"), file.alias("source_path"))
-    folder = F.regexp_replace("source_path", "/[^/]*$", "")
-    return posts.where(~F.col("source_file").contains("_cleaned") & ~folder.rlike("logs|filtered_output"))
+def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000, glob: str = "*.csv") -> DataFrame:
+    """Paths of the post files of a tree as a stream, outputs and logs excluded by name. No content is read."""
+    files = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+             .option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch)
+             .load(folder).select("path"))
+    name, place = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/[^/]*$", "")
+    return files.where(~name.contains("_cleaned") & ~place.rlike("logs|filtered_output"))
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType, glob: str | None = None) -> DataFrame:
@@ -44,17 +38,32 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, glob: str |
     return reader.parquet(path)
 
 
-def start_ingest(posts: DataFrame, output: str, checkpoint: str, entries: Iterable[Entry] | None = None,
-                 general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False) -> StreamingQuery:
-    """Categorise and route new files, and add them to the ledger, once each.
+def start_ingest(files: DataFrame, output: str, checkpoint: str, entries: Iterable[Entry] | None = None,
+                 general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False, multiline: bool = True) -> StreamingQuery:
+    """Categorise and route new files (see `stream_files`), and add them to the ledger, once each.
 
-    A batch is written below its own number and overwrites what a failed attempt left there, so a
-    replay changes nothing.
+    Each file is read by its own header. A file without a text column is not read and not entered in the ledger; it
+    is listed below `rejected`. A batch is written below its own number and overwrites what a failed attempt
+    left there, so a replay changes nothing; the ledger is written last.
     """
     entries = None if entries is None else list(entries)
 
     def write(batch: DataFrame, number: int) -> None:
-        done = categorise_posts(batch, entries, general_terms, compat).persist()
+        spark = batch.sparkSession
+        # The names of a batch's files: as many as the stream takes up at once.
+        names = sorted(r.path for r in batch.select("path").distinct().collect())
+        wanted = {n.lower() for n in fixed.TEXT_COLUMN_NAMES}
+        usable, rejected = [], []
+        for header, group in header_groups(spark, names).items():
+            (usable if any(c.strip().lower() in wanted for c in header) else rejected).extend(group)
+        if rejected:
+            spark.createDataFrame([(f, "no text column") for f in rejected], "file string, reason string").write.mode(
+                "overwrite").parquet(f"{output}/rejected/batch={number}")
+        if not usable:
+            return
+        posts = read_by_header(spark, usable, multiline=multiline, lineage=True, text_names=fixed.TEXT_COLUMN_NAMES)
+        absent = [F.lit(None).cast("string").alias(c) for c in fixed.POST_COLUMNS if c not in posts.columns]
+        done = categorise_posts(posts.select("*", *absent), entries, general_terms, compat).persist()
         try:
             write_routed(done, f"{output}/posts/batch={number}", mode="overwrite")
             tally = file_tally(done, "source_path")
@@ -62,7 +71,7 @@ def start_ingest(posts: DataFrame, output: str, checkpoint: str, entries: Iterab
         finally:
             done.unpersist()
 
-    return (posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -74,33 +83,9 @@ def dedup_stream(df: DataFrame, key: str, time: str | None = None, lateness: str
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def streak_stream(df: DataFrame, worker: str, time: str, event: str, failed: Column,
-                  limit: int = fixed.STREAK_LIMIT) -> DataFrame:
-    """(worker, event, streak, tripped) with one count of state per worker.
-
-    Batches have to come in time order; rows are put in order within a batch, for which a worker's
-    rows of one batch are held together: keep batches small, or use `start_streaks`.
-    """
-    kinds = dict(df.dtypes)
-    schema = f"{worker} {kinds[worker]}, {event} {kinds[event]}, streak long, tripped boolean"
-    narrow = df.select(worker, F.col(time).cast("timestamp").alias("_t"), event,
-                       F.coalesce(failed, F.lit(False)).alias("_failed"))
-
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["_t", event])
-        open_streak = state.get[0] if state.exists else 0
-        resets = (~rows["_failed"]).cumsum()
-        streak = rows["_failed"].astype("int64").groupby(resets).cumsum() + (resets == 0) * open_streak
-        state.update((int(streak.iloc[-1]),))
-        yield pd.DataFrame({worker: key[0], event: rows[event], "streak": streak, "tripped": streak >= limit})
-
-    return narrow.groupBy(worker).applyInPandasWithState(advance, schema, "streak long", "append",
-                                                         GroupStateTimeout.NoTimeout)
-
-
 def start_streaks(df: DataFrame, output: str, checkpoint: str, worker: str, order: Sequence[str], failed: Column,
                   piece: Column, limit: int = fixed.STREAK_LIMIT) -> StreamingQuery:
-    """Streaks batch by batch, for workers too busy to be held in one task.
+    """Streaks batch by batch, also for workers too busy to be held in one task.
 
     Every batch counts within parts of the time line and starts from the streaks the batch before
     left open. Both outputs are written below the batch's number, so a replay changes nothing.

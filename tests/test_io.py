@@ -61,8 +61,8 @@ def test_routed_outputs(spark, tmp_path):
                                   "tweetid string, text string, language string")
     done = flows.categorise_posts(posts)
     path = str(tmp_path / "out")
-    O.ensure_outputs(done, path)
-    assert spark.read.parquet(path).count() == 0
+    O.ensure_outputs(done, path, ["faith_based", "red_cross"])
+    assert spark.read.parquet(path).count() == 0 and len(S.list_files(spark, path, "*.parquet")) >= 6
     O.write_routed(done, path)
     routed = spark.read.parquet(path)
     assert set(fixed.POST_COLUMNS + fixed.LINEAGE_COLUMNS) <= set(routed.columns)
@@ -72,8 +72,8 @@ def test_routed_outputs(spark, tmp_path):
 
 
 def ingest(spark, root):
-    stream = J.stream_posts(spark, f"{root}/in", S.text_schema(["tweetid", "text", "language", "tweetcreatedts"]))
-    J.start_ingest(stream, f"{root}/out", f"{root}/check").awaitTermination()
+    files = J.stream_files(spark, f"{root}/in")
+    J.start_ingest(files, f"{root}/out", f"{root}/check").awaitTermination()
     return spark.read.parquet(f"{root}/out/posts").count(), sorted(r.total for r in I.read_ledger(spark, f"{root}/out/ledger").collect())
 
 
@@ -88,6 +88,40 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert ingest(spark, tmp_path) == (2, [1, 2])
 
 
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("tweetid,Tweet_Text,language,tweetcreatedts\n1,red cross here,en,2022-01-01\n")
+    (tmp_path / "in/b.csv").write_text("\ufefflanguage,tweetid,text\nru,2,caritas helps\n", encoding="utf-8")
+    (tmp_path / "in/c.csv").write_text("id,body\n3,red cross\n")
+    (tmp_path / "in/d.csv").write_text("")
+    posts = S.read_posts_csv(spark, str(tmp_path / "in"), S.text_schema(["tweetid", "text", "language"]))
+    assert sorted((r.tweetid or "", r.text or "", r.language or "") for r in posts.collect()) == [
+        ("", "", ""), ("1", "red cross here", "en"), ("2", "caritas helps", "ru")]
+    assert ingest(spark, tmp_path) == (2, [1, 1])
+    assert [r.file.split("/")[-1] for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == ["c.csv"]
+    assert {(r.category, r.lang_bucket) for r in spark.read.parquet(f"{tmp_path}/out/posts").collect()} == {
+        ("red_cross", "en"), ("faith_based", "ru")}
+
+
+def test_merged_dates_stay(spark, tmp_path):
+    path, columns = str(tmp_path / "merged"), "tweet_id string, text string, source_date string"
+    O.write_merged(spark.createDataFrame([("1", "a", "2024-1-1")], columns), path)
+    O.write_merged(spark.createDataFrame([("9", "z", "2024-1-1"), ("2", "b", "2024-1-2")], columns), path)
+    read = lambda: sorted((str(r.tweet_id), str(r.source_date)) for r in spark.read.option("header", True).csv(path).collect())
+    first = read()
+    assert [r[0] for r in first] == ["1", "2"]
+    O.write_merged(spark.createDataFrame([("9", "z", "2024-1-1")], columns), path, redo=True)
+    assert [r[0] for r in read()] == ["2", "9"]
+
+
+def test_typed_corpus(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,n,flag\nx,1,true\ny,bad,no\n")
+    (tmp_path / "b.csv").write_text("n,text\n7,z\n")
+    for multiline in (True, False):
+        rows = S.read_corpus(spark, str(tmp_path), "text string, n long, flag boolean", multiline).orderBy("text").collect()
+        assert [tuple(r) for r in rows] == [("x", 1, True), ("y", None, False), ("z", 7, None)]
+
+
 def test_stream_dedup_with_watermark(spark, tmp_path):
     rows = spark.range(100).select((F.col("id") % 10).cast("string").alias("key"), F.timestamp_seconds("id").alias("ts"))
     rows.write.parquet(str(tmp_path / "in"))

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from narrascope import fixed_values as fixed
@@ -55,10 +54,19 @@ def test_ngram_join_equals_regex_on_the_whole_lexicon(spark):
     assert regex == joined
 
 
-def test_large_lexicon_is_refused_by_the_regex_form(spark):
-    posts = spark.createDataFrame([(1, "x")], "i int, text string")
-    with pytest.raises(ValueError):
-        L.categorise(posts, [L.Entry("a", 0, f"word{i}") for i in range(1001)])
+def test_large_lexicons_give_equal_results_in_both_matchers(spark):
+    r = random.Random(9)
+    signs = [chr(0x4E00 + i) for i in range(60)]
+    words = list({"".join(r.choice(signs) for _ in range(r.choice([2, 3, 3, 4, 5]))) for _ in range(3200)})[:3000]
+    entries = [L.Entry(f"c{i % 4}", i % 4, w, "substring") for i, w in enumerate(words)]
+    entries += [L.Entry("c1", 1, f"Name{i}", "case_sensitive") for i in range(1200)] + [L.Entry("c5", 5, f"@tag{i}", "word") for i in range(600)]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) + r.choice(["", " Name7 x", " name7", " @tag599 y", " tag599"]) for _ in range(300)]
+    posts = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    plain = {r.i: r.categories for r in L.categorise(posts, entries).collect() if r.categories}
+    joined = {r.i: r.categories for r in L.categorise_ngram(posts, L.lexicon_frame(spark, entries), "i").collect()}
+    assert plain == joined and len(plain) > 150
+    want = {i: {e.category for e in entries[:3000] if e.keyword in t} for i, t in enumerate(texts)}
+    assert all(want[i] <= set(plain.get(i, [])) for i in want)
 
 
 def test_fallback(spark):

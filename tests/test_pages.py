@@ -30,3 +30,21 @@ def test_page_parts(spark):
     assert (got[1].media, got[1].likes) == ("no", None)
     na = spark.createDataFrame([(None,)], "v string").select(P.metric_or_na(F.col("v"))).first()[0]
     assert na == "N/A"
+
+
+def test_nested_elements_are_whole(spark):
+    pages = {
+        '<p><div data-testid="tweetText"><div>one</div> two <b>three</b></div> rest</p>': "one two three",
+        '<DIV class="x" data-testid="tweetText">a<div>b<div>c</div></div>d</DIV><div>e</div>': "a b c d",
+        '<div data-testid="tweetText">never <div>closed</div>': "never closed",
+        '<section><article data-testid="tweetText"><article>in</article>out<div/></article></section>': "in out",
+        '<div data-testid="tweetText"><divider>kept</divider> too</div>': "kept too",
+        "<p>none</p>": None,
+    }
+    found = spark.createDataFrame([(h,) for h in pages], "h string").select(
+        "h", P.inner_text(P.element_html(F.col("h"), r"\w+", 'data-testid="tweetText"')).alias("t")).collect()
+    assert {r.h: r.t for r in found} == pages
+    spans = {"<span>aa <span>bb</span> cc</span><span>d</span>": ["aa bb cc", "bb", "d"], "<spanner>x</spanner>": [],
+             "x<span a='1'>y": ["y"], "<SPAN><b>z</b></SPAN>": ["z"], "<span/>w": []}
+    found = spark.createDataFrame([(h,) for h in spans], "h string").select("h", P.spans(F.col("h")).alias("s")).collect()
+    assert {r.h: r.s for r in found} == spans

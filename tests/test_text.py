@@ -128,3 +128,7 @@ def test_times(spark):
 def test_equal_width_bins(spark, n, expected):
     bins = column(spark, [float(i) for i in range(n)], lambda c: equal_width_bin(c, F.lit(0.0), F.lit(float(n - 1)), 5), "double")
     assert [bins.count(b) for b in sorted(set(bins))] == expected
+
+
+def test_values_without_time_fall_in_no_bin(spark):
+    assert column(spark, [None, 3.0], lambda c: equal_width_bin(c, F.lit(3.0), F.lit(3.0), 5), "double") == [None, 0]
