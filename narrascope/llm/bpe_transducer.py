@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from narrascope.llm.spark import with_scores
 
 #: Fixed values of the tokenizer's file format: its pre-tokenising pattern, with white space spelled out.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + SPACE + "]+")
 #: Words of a worker's memory, and the longest word kept there.
 MEMORY, KEPT = 400_000, 48
@@ -97,7 +97,7 @@ class Merges:
         key = (a, b)
         known = self._beside.get(key)
         if known is None:
-            if len(self._beside) > 4 * MEMORY:
+            if len(self._beside) > MEMORY:
                 self._beside.clear()
             known = self._beside[key] = self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b]
         return known

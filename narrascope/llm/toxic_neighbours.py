@@ -8,7 +8,6 @@ opened in order of that bound until no unopened block can hold a nearer example
 from __future__ import annotations
 
 import dataclasses
-import functools
 from collections.abc import Callable, Iterator
 from typing import Any
 
