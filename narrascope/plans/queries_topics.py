@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.functions import text as X
 from narrascope.operators import aggregates as A
 from narrascope.operators import cluster as C
 from narrascope.operators import models as M

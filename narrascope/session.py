@@ -43,9 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths given out by this process, by application.
+_GIVEN: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written to its scratch paths; call it once results are stored. Gives their number."""
+    context, count = spark.sparkContext, 0
+    for name in _GIVEN.pop(context.applicationId, []):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        count += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+    return count
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -34,3 +34,9 @@ def test_cut_lineage_keeps_rows_and_types(spark):
     df = spark.range(10).select("id", F.array(F.col("id")).alias("a"), F.struct(F.lit("x").alias("s")).alias("t"))
     cut = S.cut_lineage(df)
     assert cut.dtypes == df.dtypes and sorted(map(tuple, cut.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_scratch_is_released(spark):
+    S.release_scratch(spark)
+    cut = S.cut_lineage(spark.range(5))
+    assert cut.count() == 5 and S.release_scratch(spark) == 1 and S.release_scratch(spark) == 0
