@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
+from narrascope.operators.rows import explode_rows
+from narrascope.session import cut_lineage
 
 UNKNOWN_LANGUAGE = "unknown"
 
@@ -77,6 +79,32 @@ def candidate_languages(df: DataFrame, model: PipelineModel, text: str = "text",
     return scored.select(*columns, likely.alias(to))
 
 
+def fit_language_profile(labelled: DataFrame, text: str = "text", language: str = "lang", n: int = 3) -> DataFrame:
+    """(lang, gram, gain, base): per language and character n-gram ln(count + 1), and ln of the language's n-grams and
+    all distinct ones together, which smooths by one. Plain counting, so SQL can repeat it."""
+    grams = explode_rows(labelled.where(F.col(language).isNotNull()).select(
+        F.col(language).alias("lang"), char_grams(X.text_or_empty(F.col(text)), n).alias("_g")), "_g", "gram", "lang")
+    counts = cut_lineage(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")))
+    distinct = counts.agg(F.countDistinct("gram")).scalar()
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    return counts.join(sums, "lang").select("lang", "gram", F.ln(F.col("n") + 1.0).alias("gain"),
+                                            F.ln((F.col("total") + distinct).cast("double")).alias("base"))
+
+
+def identify_by_profile(df: DataFrame, profile: DataFrame, id_column: str, text: str = "text", n: int = 3) -> DataFrame:
+    """(id, lang): the likeliest language of each text, ties to the first by name; texts that share no n-gram with any
+    language are left out. Only (id, language) sums are shuffled after the join by n-gram."""
+    grams = explode_rows(df.select(id_column, char_grams(X.text_or_empty(F.col(text)), n).alias("_g")), "_g", "gram", id_column)
+    counted = grams.groupBy(id_column, "gram").agg(F.count("*").alias("tf"))
+    length = counted.groupBy(id_column).agg(F.sum("tf").alias("_length"))
+    gains = counted.join(profile.select("lang", "gram", "gain"), "gram").groupBy(id_column, "lang").agg(
+        F.sum(F.col("tf") * F.col("gain")).alias("_gain"))
+    base = profile.groupBy("lang").agg(F.max("base").alias("base"))
+    scored = gains.join(length, id_column).join(base, "lang").withColumn("_score", F.round(F.col("_gain") - F.col("_length") * F.col("base"), 6))
+    best = scored.groupBy(id_column).agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("lang"))).alias("_b"))
+    return best.select(id_column, F.col("_b.lang").alias("lang"))
+
+
 def guarded_language(code: Column, value: Column, reason: Column, min_chars: int = fixed.MIN_LANGUAGE_CHARS) -> Column:
     """The code, but empty for failed records and short texts."""
     return F.when((reason == "") & (F.length(value) >= min_chars), F.coalesce(code, F.lit(""))).otherwise("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,12 +156,27 @@ def narrative_tables(docs: DataFrame, time: str = "tweetcreatedts", stop_words:
     return tables
 
 
-def save_topic_model(weights: DataFrame, path: str, embedding: PipelineModel | None = None) -> None:
-    """Topic weights as a table, and the embedding pipeline beside them."""
+def save_topic_model(weights: DataFrame, path: str, embedding: PipelineModel | None = None,
+                     reduction: PCAModel | None = None, density: tuple[DataFrame, DataFrame] | None = None) -> None:
+    """Topic weights as a table, and beside them what places new posts: embedding, reduction, cells and box."""
     weights.write.mode("overwrite").parquet(f"{path}/weights")
     if embedding is not None:
         embedding.write().overwrite().save(f"{path}/embedding")
+    if reduction is not None:
+        reduction.write().overwrite().save(f"{path}/reduction")
+    if density is not None:
+        for name, table in zip(("cells", "box"), density, strict=True):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_topic_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/weights")
+
+
+def assign_saved_topics(docs: DataFrame, path: str) -> DataFrame:
+    """Add topic and prob to docs (terms, or embedding) by a saved model; -1 where no topic was found."""
+    spark = docs.sparkSession
+    if "embedding" not in docs.columns:
+        docs = M.embed_text(docs, PipelineModel.load(f"{path}/embedding"))
+    docs = C.apply_reduction(docs, PCAModel.load(f"{path}/reduction"))
+    return C.assign_density(docs, spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/box")).drop("reduced")

@@ -225,6 +225,20 @@ def save_topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy("topic").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+@query("reuse_topic_model", "select vec_id, true as same from embeddings where embedding is not null")
+def reuse_topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cluster model saved, loaded and applied to the vectors it was fitted on: topic and strength are as fitted."""
+    path = scratch_path(spark, "model")
+    points = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    reduction = C.fit_reduction(points, 3)
+    reduced = C.apply_reduction(points, reduction)
+    density = C.fit_density(reduced, id_column="vec_id", dims=3, levels=6)
+    flows.save_topic_model(topic_weights(spark, sf_dir), path, reduction=reduction, density=density)
+    fitted = C.assign_density(reduced, *density).select("vec_id", "topic", "prob")
+    again = flows.assign_saved_topics(points, path).select("vec_id", F.col("topic").alias("t"), F.col("prob").alias("p"))
+    return fitted.join(again, "vec_id").select("vec_id", ((F.col("topic") == F.col("t")) & (F.col("prob") == F.col("p"))).alias("same"))
+
+
 @query("reduce_dimensions")
 def reduce_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first principal components of every vector."""
