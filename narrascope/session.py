@@ -54,6 +54,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def keep_scratch(spark: SparkSession) -> None:
+    """Leave what has been written so far out of the next release."""
+    _GIVEN.pop(spark.sparkContext.applicationId, None)
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete what this process has written to its scratch paths; call it once results are stored. Gives their number."""
     context, count = spark.sparkContext, 0
