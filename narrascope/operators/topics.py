@@ -16,7 +16,7 @@ from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
 from narrascope.functions import time as TM
 from narrascope.operators.aggregates import topic_counts
-from narrascope.operators.rows import explode_rows
+from narrascope.operators.rows import compute_once, explode_rows
 from narrascope.operators.windows import first_k
 from narrascope.session import cut_lineage
 
@@ -101,16 +101,25 @@ def topic_name(topic: Column, terms: Column, n: int = fixed.NAME_TERMS) -> Colum
     return F.concat_ws("_", topic.cast("string"), F.slice(terms, 1, n))
 
 
+def count_in_row(docs: DataFrame, terms: str, *keep: str) -> DataFrame:
+    """(keep, term, tf) of each row: its terms are sorted, and a run of equal ones is counted by where the next begins."""
+    docs = compute_once(docs, _sorted=F.array_sort(terms))
+    begins = F.filter(F.sequence(F.lit(1), F.size("_sorted")), lambda i: (i == 1) | (
+        F.get("_sorted", i - 1) != F.get("_sorted", i - 2)))
+    docs = compute_once(docs.where(F.size("_sorted") > 0), _begins=begins)
+    runs = F.transform("_begins", lambda at, k: F.struct(
+        F.get("_sorted", at - 1).alias("term"),
+        (F.coalesce(F.get("_begins", k + 1), F.size("_sorted") + 1) - at).cast("long").alias("tf")))
+    return explode_rows(docs, runs, "_run", *keep).select(*keep, "_run.term", "_run.tf")
+
+
 def doc_similarity(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", terms: str = "terms") -> DataFrame:
     """(doc_id, topic, similarity): cosine of a doc's term vector with the weights of its own topic.
 
-    Docs are brought together by id before their terms are counted, which moves less than counting
-    across tasks would. Weights below the broadcast limit meet the terms where they are; beyond it
-    the join shuffles, and adaptive execution splits skewed keys. Docs are summed right after it.
+    A doc is one row, so its terms are counted inside it and nothing moves for that. The weights meet them by the
+    planner's choice: a broadcast, or a shuffle join whose skewed keys adaptive execution splits.
     """
-    gathered = docs.select(doc_id, "topic", terms).repartition(doc_id)
-    counted = (explode_rows(gathered, terms, "term", doc_id, "topic")
-               .groupBy(doc_id, "topic", "term").agg(F.count("*").alias("tf")))
+    counted = count_in_row(docs.select(doc_id, "topic", terms), terms, doc_id, "topic")
     joined = counted.join(weights.select("topic", "term", "idf", "weight"), ["topic", "term"])
     part = F.col("tf") * F.col("idf")
     sums = joined.groupBy(doc_id, "topic").agg(F.sum(part * F.col("weight")).alias("_dot"),
