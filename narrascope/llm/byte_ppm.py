@@ -2,9 +2,12 @@
 
 A trie of byte contexts up to five bytes long holds how often each byte followed. A byte is coded in the longest known
 context that has seen it; each context that has not costs an escape, and the bytes it has seen are excluded from the
-shorter ones. Counts come from all training texts. Nodes are kept by their share of the corpus, which bounds their
-number whatever its size; as a context's bytes are then always kept in its suffixes too, what is excluded at a level
-depends on one longer context only and is worked out once for each.
+shorter ones. Counts come from all training texts, and every gram counts. As a context's bytes are always in its
+suffixes too, what is excluded at a level depends on one longer context only and is worked out once for each.
+
+What a byte costs depends on its gram alone. The costs of the most frequent grams go to all tasks; the other grams of
+each text are looked up by a join. Their costs are worked out where all counts with the same last LOW context bytes
+lie together; grams of up to LOW + 1 bytes, which the alphabet bounds, go to all of these tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ ORDER = 5
 #: Bytes that UTF-8 never holds: before the start of a text, and its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Bounds on the grams kept of each order, and on the words whose counts are sent to all tasks.
+#: Bytes of the longest context whose grams are sent to all tasks that work out costs.
+LOW = 2
+#: Bounds on the grams whose costs, and on the words whose counts are sent to all tasks. All others are joined.
 NODES, HEAD = 1 << 21, 1 << 20
 #: Values that a task gathers before it hands them on, and bytes of a text worked on at once.
 GATHER, PIECE = 1 << 20, 1 << 18
@@ -79,6 +84,14 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
         yield packed
 
 
+def summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, with the sums of their numbers."""
+    order = np.argsort(values, kind="stable")
+    values, n = values[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    return values[first], np.add.reduceat(n, first) if len(first) else n
+
+
 class Counter:
     """Counts of 64-bit values that stay within a bounded size: full ones are handed on for Spark to add up."""
 
@@ -92,12 +105,8 @@ class Counter:
         self.size += len(found)
 
     def _merge(self) -> None:
-        values, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(values, kind="stable")
-        values, n = values[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        self.parts = [(values[first], np.add.reduceat(n, first))]
-        self.size = len(first)
+        self.parts = [summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.size = len(self.parts[0][0])
 
     def overflow(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.size > 2 * GATHER:
@@ -147,8 +156,6 @@ class Level:
     contexts: np.ndarray
     total: np.ndarray
     distinct: np.ndarray
-    #: Occurrences whose gram was not kept. They count as escapes, as do the distinct bytes (method C).
-    lost: np.ndarray
     #: Total and escapes of the next shorter context without the bytes that this one has seen.
     rest_total: np.ndarray
     rest_escapes: np.ndarray
@@ -157,45 +164,49 @@ class Level:
 
 
 class Ppm:
-    """The trie, from the kept packed grams of each order with their counts, and the number of all occurrences.
-    Gives log10 probabilities of texts."""
+    """The trie, from all packed grams of each order with their counts. Gives log10 probabilities of texts."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], everything: int = 0):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
         self.levels: list[Level] = []
-        for k, (packed, counts) in enumerate(orders):
-            order = np.argsort(packed)
-            packed, counts = packed[order].astype(np.uint64), counts[order].astype(np.float64)
-            above = packed >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1]))) if len(packed) else np.empty(0, np.int64)
-            total = np.add.reduceat(counts, first) if len(first) else np.empty(0)
-            distinct = np.diff(np.append(first, len(packed))).astype(np.float64)
-            zero = np.zeros(len(first))
-            level = Level(packed, counts, above[first], total, distinct, np.maximum(0, everything - total) if k == 0 else zero,
-                          zero, zero, np.empty(0))
-            if k and len(first):
-                shorter = self.levels[-1]
-                # The context is itself a gram of the next shorter order, with all its occurrences.
-                whole = np.searchsorted(shorter.grams, level.contexts)
-                same = shorter.grams[np.minimum(whole, len(shorter.grams) - 1)] == level.contexts
-                level.lost = np.where(same, np.maximum(0, shorter.counts[np.minimum(whole, len(shorter.grams) - 1)] - total), 0)
-                mask = np.uint64((1 << (8 * (k - 1))) - 1)
-                parent = np.searchsorted(shorter.contexts, level.contexts & mask)
-                inner = np.searchsorted(shorter.grams, packed & np.uint64((1 << (8 * k)) - 1))
-                level.rest_total = np.maximum(0, shorter.total[parent] - np.add.reduceat(shorter.counts[inner], first))
-                level.rest_escapes = shorter.distinct[parent] - distinct + shorter.lost[parent]
-            below = np.repeat(total + distinct + level.lost, distinct.astype(np.int64))
-            level.logs = np.log10(counts / below)
-            self.levels.append(level)
-        self._tables: list[tuple[Table, Table]] | None = None
+        self._tables: list[tuple[Table, Table]] = []
+        for packed, counts in orders:
+            self._add(packed, counts)
+
+    def _add(self, packed: np.ndarray, counts: np.ndarray) -> None:
+        k, order = len(self.levels), np.argsort(packed)
+        packed, counts = packed[order].astype(np.uint64), counts[order].astype(np.float64)
+        above = packed >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1]))) if len(packed) else np.empty(0, np.int64)
+        total = np.add.reduceat(counts, first) if len(first) else np.empty(0)
+        distinct = np.diff(np.append(first, len(packed))).astype(np.float64)
+        zero = np.zeros(len(first))
+        level = Level(packed, counts, above[first], total, distinct, zero, zero, np.empty(0))
+        if k and len(first):
+            shorter = self.levels[-1]
+            mask = np.uint64((1 << (8 * (k - 1))) - 1)
+            parent = np.searchsorted(shorter.contexts, level.contexts & mask)
+            inner = np.searchsorted(shorter.grams, packed & np.uint64((1 << (8 * k)) - 1))
+            level.rest_total = np.maximum(0, shorter.total[parent] - np.add.reduceat(shorter.counts[inner], first))
+            level.rest_escapes = shorter.distinct[parent] - distinct
+        level.logs = np.log10(counts / np.repeat(total + distinct, distinct.astype(np.int64)))
+        self.levels.append(level)
+
+    def deeper(self, orders: list[tuple[np.ndarray, np.ndarray]]) -> Ppm:
+        """This trie with further orders below it; grams may be left out of them by whole contexts of this trie's grams."""
+        added = Ppm([])
+        added.levels, added._tables = list(self.levels), list(self.tables)
+        for packed, counts in orders:
+            added._add(packed, counts)
+        return added
 
     def __getstate__(self) -> dict:
-        return {"levels": self.levels, "_tables": None}
+        return {"levels": self.levels, "_tables": []}
 
     @property
     def tables(self) -> list[tuple[Table, Table]]:
         """Lookups of grams and contexts, made once in each worker."""
-        if self._tables is None:
-            self._tables = [(Table(x.grams), Table(x.contexts)) for x in self.levels]
+        for x in self.levels[len(self._tables):]:
+            self._tables.append((Table(x.grams), Table(x.contexts)))
         return self._tables
 
     def log10(self, packed: np.ndarray) -> np.ndarray:
@@ -224,7 +235,7 @@ class Ppm:
             t, e = total[rows], escapes[rows]
             fresh = np.isnan(t)
             t[fresh] = level.total[context[fresh]]
-            e[fresh] = level.distinct[context[fresh]] + level.lost[context[fresh]]
+            e[fresh] = level.distinct[context[fresh]]
             out = e > 0
             result[rows[out]] += np.log10(e[out] / (t[out] + e[out]))
             total[rows], escapes[rows] = level.rest_total[context], level.rest_escapes[context]
@@ -270,32 +281,93 @@ def train_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         F.sum("n").alias("n")), "counts")
 
 
-def fit_ppm(counts: DataFrame, nodes: int = NODES) -> Ppm:
-    """The trie of all grams whose share of the corpus is at least 1 / nodes: at most `nodes` of each order."""
-    packed = counts.where("kind = 1").select("value", "n")
+def _shortened(packed: DataFrame, order: int) -> DataFrame:
+    """Counts (value, n) of the grams' last order + 1 bytes."""
+    return packed.groupBy(F.col("value").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("value")).agg(F.sum("n").alias("n"))
+
+
+def fit_ppm(counts: DataFrame, order: int = ORDER) -> Ppm:
+    """The trie of all grams with contexts up to `order` bytes, on the driver. For low orders, or small corpora."""
+    packed, orders = counts.where("kind = 1").select("value", "n"), []
+    for k in range(order + 1):
+        found = bounded_rows(_shortened(packed, k))
+        orders.append((found["value"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)))
+    return Ppm(orders)
+
+
+def frequent_costs(counts: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest grams whose share of the corpus is at least 1 / nodes (at most `nodes`), and their log10 probabilities."""
+    packed = counts.where("kind = 1").select("value", "n", F.shiftright("value", 8).alias("context"))
     total = packed.agg(F.sum("n")).first()[0] or 0
-    orders = []
-    for k in range(ORDER + 1):
-        shorter = packed.groupBy(F.col("value").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("value")).agg(F.sum("n").alias("n"))
-        kept = bounded_rows(shorter.where(F.col("n") >= max(1, -(-total // nodes))))
-        orders.append((kept["value"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)))
-    return Ppm(orders, total)
+    contexts = packed.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+    found = bounded_rows(packed.where(F.col("n") >= max(1, -(-total // nodes))).join(contexts, "context").select(
+        "value", (F.col("n") / (F.col("total") + F.col("distinct"))).alias("p")))
+    return found["value"].to_numpy(np.int64).view(np.uint64), np.log10(found["p"].to_numpy(np.float64))
+
+
+def _cost_rows(low: Ppm):
+    """From rows (value, n) ordered by the last context bytes, the costs of the grams of n = 0."""
+    def near(values: np.ndarray) -> np.ndarray:
+        return (values >> np.uint64(8)) & np.uint64((1 << (8 * (LOW + 1))) - 1)
+
+    def costs(values: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        seen, asked = n > 0, values[n == 0]
+        if len(asked):
+            ppm = low.deeper([summed(values[seen] & np.uint64((1 << (8 * (k + 1))) - 1), n[seen]) for k in range(LOW + 1, ORDER + 1)])
+            for at in range(0, len(asked), PIECE):
+                part = asked[at:at + PIECE]
+                yield pd.DataFrame({"value": part.view(np.int64), "log": ppm.log10(part)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, limit = 0, GATHER
+        for batch in batches:
+            held.append((batch["value"].to_numpy(np.int64).view(np.uint64), batch["n"].to_numpy(np.int64)))
+            size += len(batch)
+            if size > limit:
+                values, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                # The last context may go on in the next batch.
+                at = near(values)
+                done = int(np.flatnonzero(at != at[-1])[-1]) + 1 if (at != at[-1]).any() else 0
+                yield from costs(values[:done], n[:done])
+                held, size = [(values[done:], n[done:])], len(values) - done
+                limit = max(GATHER, 2 * size)
+        if held:
+            yield from costs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def gram_costs(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """log10 probabilities (value, log) of distinct packed grams (value), from all counts."""
+    packed = counts.where("kind = 1").select("value", "n")
+    near = F.shiftright("value", 8).bitwiseAND(F.lit((1 << (8 * (LOW + 1))) - 1))
+    dealt = packed.union(asked.select("value", F.lit(0).cast("long").alias("n"))).withColumn("near", near).repartition(
+        "near").sortWithinPartitions("near")
+    return dealt.select("value", "n").mapInPandas(_cost_rows(fit_ppm(packed.withColumn("kind", F.lit(1)), LOW)), "value long, log double")
 
 
-def _score_rows(ppm: Ppm, head: np.ndarray, head_logs: np.ndarray, end_log: float, end_known: int):
-    """Rows with what the trie and the most frequent words give, and the other words' hashes and numbers."""
+def _score_rows(frequent: np.ndarray, costs: np.ndarray, head: np.ndarray, head_logs: np.ndarray, end_log: float, end_known: int):
+    """Rows with what the most frequent grams and words give, and the other words' (kind 0) and grams' (kind 1) values and numbers."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = Table(head)
-        logs = np.append(head_logs, 0.0)
+        table, gram_table = Table(head), Table(frequent)
+        logs, gram_logs = np.append(head_logs, 0.0), np.append(costs, 0.0)
         for batch in batches:
-            rows, scores = [], ppm.score_all(list(batch.iloc[:, 1]))
-            for (doc, text), score in zip(batch.itertuples(index=False), scores, strict=True):
+            rows = []
+            for doc, text in batch.itertuples(index=False):
                 words = word_hashes(text) if text else np.empty(0, np.uint64)
                 at = table.find(words)
                 rare, times = np.unique(words[at < 0], return_counts=True)
-                rows.append((doc, len(words) + 1, int((at >= 0).sum()) + end_known, float(logs[at[at >= 0]].sum() + end_log),
-                             float(score), rare.view(np.int64), times))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "known", "base", "score", "rare", "times"]).astype(
+                score, others = 0.0, Counter()
+                for part in grams(text):
+                    place = gram_table.find(part)
+                    score += float(gram_logs[place].sum())
+                    others.add(part[place < 0])
+                more, more_times = next(others.rest(), (rare[:0], times[:0]))
+                rows.append((doc, len(words) + 1, int((at >= 0).sum()) + end_known, float(logs[at[at >= 0]].sum() + end_log), score,
+                             np.repeat((0, 1), (len(rare), len(more))), np.concatenate((rare, more)).view(np.int64),
+                             np.concatenate((times, more_times))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "known", "base", "score", "kinds", "values", "times"]).astype(
                 {"doc_id": "Int64"})
 
     return run
@@ -304,9 +376,9 @@ def _score_rows(ppm: Ppm, head: np.ndarray, head_logs: np.ndarray, end_log: floa
 def score_documents(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """One row (doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
-    `train` chooses the rows to learn from. base_score is the smoothed unigram score over the words and one end; exact
-    counts of frequent words go to all tasks (at most HEAD words can hold a 1 / HEAD share of the corpus), those of
-    the others are joined. Null and empty texts consist of an end alone. Without training rows every count is 0.
+    `train` chooses the rows to learn from. base_score is the smoothed unigram score over the words and one end; what
+    frequent words and grams give goes to all tasks (at most HEAD words can hold a 1 / HEAD share of the corpus), the
+    others are joined; no score depends on how they are dealt out. Null and empty texts consist of an end alone. Without training rows every count is 0.
     Repeated rows come back as often as they stand in docs.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -320,17 +392,24 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text") -> DataF
     head = bounded_rows(words.where(F.col("n") >= max(1, -(-total // HEAD))))
     logs = np.log10((head["n"].to_numpy(np.float64) + 0.5) / below)
     end_log = float(np.log10((ends + 0.5) / below))
-    run = _score_rows(fit_ppm(counts), head["value"].to_numpy(np.int64).view(np.uint64), logs, end_log, int(ends > 0))
+    run = _score_rows(*frequent_costs(counts, NODES), head["value"].to_numpy(np.int64).view(np.uint64), logs, end_log, int(ends > 0))
     rows, _ = write_table(docs.select("doc_id", text).mapInPandas(
-        run, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>").withColumn(
-        "row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "r.rare", "r.times")
-    found = rare.join(words, rare["rare"] == words["value"], "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / below)).alias("more"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
+        run, "doc_id long, n_tokens long, known long, base double, score double, kinds array<int>, values array<long>, "
+        "times array<long>").withColumn("row", F.monotonically_increasing_id()), "scored")
+    rest = rows.select("row", F.explode(F.arrays_zip("kinds", "values", "times")).alias("r")).select(
+        "row", F.col("r.kinds").alias("kind"), F.col("r.values").alias("value"), "r.times")
+    costs = gram_costs(counts, rest.where("kind = 1").select("value").distinct())
+    known = words.select(F.lit(0).alias("kind"), "value", F.log10((F.col("n") + 0.5) / below).alias("log")).union(
+        costs.select(F.lit(1).alias("kind"), "value", "log"))
+    cost = F.col("times") * F.coalesce("log", F.lit(float(np.log10(0.5 / below))))
+    found = rest.join(known, ["kind", "value"], "left").groupBy("row").agg(
+        F.sum(F.when(F.col("kind") == 0, cost).otherwise(0.0)).alias("more"),
+        F.sum(F.when((F.col("kind") == 0) & F.col("log").isNotNull(), F.col("times")).otherwise(0)).alias("also"),
+        F.sum(F.when(F.col("kind") == 1, F.col("times") * F.col("log")).otherwise(0.0)).alias("rest"))
     return rows.join(found, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
 
 
 def ppm_query(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,17 @@ def test_base_score_and_counts(docs, table, no_docs, monkeypatch):
     assert all(r.score < 0 for r in rows) and ppm_query(no_docs).count() == 0
     nothing = ppm_query(docs.where("doc_id is null").withColumn("doc_id", F.lit(5))).first()
     assert nothing.train_tokens in (0, nothing.n_tokens)
+
+
+def test_rare_grams_count_in_a_corpus_of_over_two_megabytes(spark, monkeypatch):
+    import narrascope.llm.byte_ppm as module
+
+    monkeypatch.setattr(module, "GATHER", 50)
+    texts = ["the cat sat on the mat and ate " * 900] * 80 + ["the quick zebra saw a yak", "quick quartz"]
+    asked = ["quick zebra", "the quiet zebras", "quartz ü", "", None]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, t, False) for i, t in enumerate(asked)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    found = {r.doc_id: r.score for r in module.score_documents(frame, F.col("train")).collect()}
+    _, score = plain_scorer(texts)
+    for i, text in [(80, texts[80]), (81, texts[81]), *((1000 + i, t) for i, t in enumerate(asked))]:
+        assert found[i] == pytest.approx(score(text), rel=1e-9)
