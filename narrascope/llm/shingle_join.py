@@ -285,12 +285,12 @@ def near_duplicate_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns kept, with one row of each component: the one of the smallest doc_id.
 
     Of equal ids the smallest hash of the text stays, of repeated rows one. Rows without words all stay.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, words, percent)
     first = found.where("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("f"))
     kept, _ = write_table(first.select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), F.lit(False).alias("__wordless"))

@@ -99,3 +99,28 @@ def test_one_row_of_each_group_stays(docs, table, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == groups and {200, 201, 202} <= set(ids) and 206 not in ids and 3 in ids
     assert drop_near_duplicates(no_docs).count() == 0
+
+
+def test_stage_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    rows = []
+    for f in range(20):
+        words = [f"w{f}x{i}" for i in range(r.choice([3, 50, 54, 57, 150]))]
+        for c in range(4):
+            changed = list(words)
+            for at in r.sample(range(len(words)), min(c, len(words))):
+                changed[at] = f"y{c}"
+            rows.append((len(rows), " ".join(changed)))
+
+    def sets(n):
+        found = [r[1].split() for r in rows]
+        return [frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) for w in found]
+
+    component = plain_components(sets(5), 80)
+    assert len(set(component)) < len(set(plain_components(sets(3), 90)))
+    want = {min(i for i, c in enumerate(component) if c == x) for x in component}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
