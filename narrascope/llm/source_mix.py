@@ -97,14 +97,9 @@ def blocks_taken(sources: DataFrame, slots: DataFrame, block_words: int) -> Data
     return place.select("slot", "sid", "pass", block.alias("block"), taken.alias("words"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = 3, block_words: int = 1024) -> DataFrame:
-    """One row (doc_id, source, size, source_size, target, taken, row_hash) for each row of docs (doc_id, text, source).
-
-    `taken` is the number of words that the mix takes from a document, repeats counted. A source's words add up to its
-    target, rounded; no document gives more than `passes` times its size. Null and empty texts have size 0 and
-    give nothing; null sources form one source; a null doc_id has an order of its own. Equal rows come back as
-    often as they stand in docs. Reruns agree. A source may have up to 2 ** 31 blocks.
-    """
+def _placed(docs: DataFrame, weights: tuple[int, ...], passes: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources (sid, source, source_size, docs, weight, target, goal, slots), the sized rows of docs with their sid, and
+    these with the offset of their first word in the source's hashed order."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     sized, _ = write_table(docs.select("doc_id", "source", words().alias("size"), key.alias("key"),
                                        F.xxhash64("text").alias("row_hash")), "sized")
@@ -115,7 +110,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
     slots = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size")) * per_pass + F.ceil(
         (F.col("goal") % F.col("source_size")) / block_words)).otherwise(0)
     sources, _ = write_table(targets(totals, weights, passes).withColumn("goal", goal).withColumn("slots", slots), "sources")
-    taken = blocks_taken(sources, schedule(sources, block_words), block_words)
 
     # Places of the documents in their source's words: a running sum in two steps, over bounded chunks of hashed order.
     placed = sized.join(sources.select("source", "sid", "docs"), sized["source"].eqNullSafe(sources["source"])).select(
@@ -128,6 +122,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
     offset = placed.withColumn("own", F.coalesce(running, F.lit(0))).join(
         before.select("sid", "chunk", "before"), ["sid", "chunk"]).withColumn(
         "offset", F.col("own") + F.coalesce("before", F.lit(0)))
+    return sources, placed, offset
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = 3, block_words: int = 1024) -> DataFrame:
+    """One row (doc_id, source, size, source_size, target, taken, row_hash) for each row of docs (doc_id, text, source).
+
+    `taken` is the number of words that the mix takes from a document, repeats counted. A source's words add up to its
+    target, rounded; no document gives more than `passes` times its size. Null and empty texts have size 0 and
+    give nothing; null sources form one source; a null doc_id has an order of its own. Equal rows come back as
+    often as they stand in docs. Reruns agree. A source may have up to 2 ** 31 blocks.
+    """
+    sources, placed, offset = _placed(docs, weights, passes, block_words)
+    taken = blocks_taken(sources, schedule(sources, block_words), block_words)
     pieces = offset.where("size > 0").withColumn("block", F.explode(F.expr(
         f"sequence(offset div {block_words}, (offset + size - 1) div {block_words})")))
     first = F.greatest("offset", F.col("block") * block_words)
@@ -142,10 +149,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, each as often as passes of the mix take words of it; others are left out."""
+    """Whole rows of docs, all columns kept, so that the words of each source come to the goal of `mix_sources`.
+
+    Every row comes as often as the goal holds whole passes over its source. The rest of the goal goes to the first
+    documents in hashed order, up to the one in whose middle or after which it ends, so a source misses its goal
+    by at most half of one document. Rows without words are left out.
+    """
     same = ["doc_id", "source", "row_hash"]
-    taken = mix_sources(docs.select("doc_id", "text", "source")).where("taken > 0").groupBy(*same).agg(
-        F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).toDF("__id", "__source", "__hash", "__copies")
+    sources, _, offset = _placed(docs.select("doc_id", "text", "source"), WEIGHTS, 3, 1024)
+    once_more = 2 * F.col("offset") + F.col("size") <= 2 * (F.col("goal") % F.col("source_size"))
+    copies = F.floor(F.col("goal") / F.col("source_size")) + once_more.cast("int")
+    taken = offset.where("size > 0").join(sources.select("sid", "source_size", "goal"), "sid").groupBy(*same).agg(
+        F.sum(copies).cast("int").alias("__copies")).where("__copies > 0").toDF("__id", "__source", "__hash", "__copies")
     taken, _ = write_table(taken, "copies")
     own = docs.withColumn("__own_hash", F.xxhash64("text"))
     joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -82,3 +83,20 @@ def test_documents_come_as_often_as_they_are_taken(docs, table):
     for r in mix_sources(docs).collect():
         want[(r.doc_id, r.source)] += -(-r.taken // r.size) if r.size else 0
     assert Counter((r.doc_id, r.source) for r in mixed.collect()) == +want
+
+
+def test_words_of_whole_documents_meet_the_targets(spark):
+    r, rows = random.Random(6), []
+    for source, count in (("a", 120), ("b", 150), ("c", 150), (None, 40)):
+        rows += [(len(rows) + i, "w " * r.choice([3, 40, 300, 1500, 2500]), source) for i in range(count)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, longest, emitted = defaultdict(int), defaultdict(int), Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+        longest[source] = max(longest[source], len(text.split()))
+    texts = {i: text for i, text, _ in rows}
+    for row in mixed_documents(frame).collect():
+        assert row.text == texts[row.doc_id]
+        emitted[row.source] += len(row.text.split())
+    want = plain_targets(sizes)
+    assert all(abs(emitted[s] - want[s]) <= longest[s] / 2 + 1 for s in want)
