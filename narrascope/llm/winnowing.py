@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing (Schleimer, Wilkerson and Aiken 2003), with SQL functions only.
 
-The hashes of all runs of k words are cut into windows of w; each window keeps its least hash, the rightmost where
-several are equal, with its position. Any run of w + k - 1 words that two texts share leaves a common hash
-at matching positions in both.
+The hashes of all runs of k units are cut into windows of w; each window keeps its least hash, the rightmost where
+several are equal, with its position. Any run of w + k - 1 units that two texts share leaves a common hash
+at matching positions in both. A unit is a word, or a character where no blanks show where words end.
 """
 
 from __future__ import annotations
@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 #: A selected hash is kept as (hash << 31) | (2 ** 31 - 1 - position): the least value of a window is its least hash at
 #: its rightmost position.
 PLACE = (1 << 31) - 1
+#: Scripts without blanks: Thai, Lao, Tibetan, Burmese, Khmer, Han, kana.
+_DENSE = (r"฀-࿿က-႟ក-៿⺀-⿟々-〇ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿"
+          r"豈-﫿ｦ-ﾟ\x{20000}-\x{3FFFF}")
+_LOOSE = rf"[^\x20\x09-\x0D{_DENSE}]"
+#: A run of up to 64 other characters is a word; every character of a longer one, and of those scripts, is a unit of its
+#: own. The first choice within the brackets is the same as the second for the letters below them, and quicker.
+UNITS = rf"(?<!{_LOOSE})(?:[\x00-\x08\x0E-\x1F\x21-෿]{{1,64}}+(?!{_LOOSE})|{_LOOSE}{{1,64}}+(?!{_LOOSE}))|[^\x20\x09-\x0D]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,12 +46,12 @@ def _doubled(values: Column, size: int, join: Callable[[Column, Column], Column]
 def fingerprint(text: Column, k: int = 4, w: int = 8) -> Column:
     """Array of the selected (hash, position) pairs of a text in order, packed in longs.
 
-    Words are what lies between white space; a text with fewer than k words is one run, and one with fewer than w
-    runs one window. k and w are powers of two, so both the run hashes and the window minima are doubled up
+    Units are what lies between white space, but single characters in scripts without blanks and in anything longer
+    than 64 characters; a text with fewer than k units is one run, and one with fewer than w runs one window. k and w are powers of two, so both the run hashes and the window minima are doubled up
     from one step to the next. Null, empty and wordless texts have no pairs.
     """
     none = F.array().cast("array<long>")
-    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)),
+    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(0)),
                         lambda word: F.xxhash64(word))
 
     def runs(found: Column) -> Column:

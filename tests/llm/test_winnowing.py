@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from narrascope.llm.winnowing import PLACE, fingerprint, fingerprint_query, with_next
+from narrascope.llm.winnowing import PLACE, UNITS, fingerprint, fingerprint_query, with_next
 
 xxhash = pytest.importorskip("xxhash")
 
@@ -76,3 +77,24 @@ def test_query(docs, table, no_docs):
     texts = {r[0]: r[1] for r in table if r[0] is not None}
     prints = {r.doc_id: r.fingerprint for r in rows if r.doc_id is not None}
     assert prints[3] == prints[206] and texts[3] == texts[206] and prints[200] == prints[201] == ""
+
+
+def test_texts_without_blanks_keep_likeness_after_an_edit(spark):
+    r = random.Random(3)
+
+    def draw(first, last, n=200):
+        return "".join(chr(r.randint(first, last)) for _ in range(n))
+
+    rows = [(i, draw(*span)) for i, span in enumerate([(0x4E00, 0x9FFF), (0x3041, 0x3096), (0x0E01, 0x0E2E), (0x61, 0x7A),
+                                                        (0x20000, 0x2A000), (0x4E00, 0x9FFF)])]
+    found = {x.doc_id: x for x in fingerprint_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.15 < x.near_edited < 0.7 and x.near_next < 0.1 for x in found.values())
+
+
+def test_units(spark):
+    cases = {"two words": ["two", "words"], "a" * 64 + " b": ["a" * 64, "b"], "a" * 65 + " b": [*"a" * 65, "b"], "": [],
+             "see 你好 now": ["see", "你", "好", "now"], "x你y": ["x", "你", "y"], "“quoted” – dash": ["“quoted”", "–", "dash"],
+             "ÄÖ\u2029z \U00020001q": ["ÄÖ\u2029z", "\U00020001", "q"]}
+    rows = spark.createDataFrame([(t,) for t in cases], "text string").select(
+        "text", F.regexp_extract_all("text", F.lit(UNITS), F.lit(0)).alias("units")).collect()
+    assert {x.text: x.units for x in rows} == cases
