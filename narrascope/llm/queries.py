@@ -10,8 +10,11 @@ from narrascope.llm import (
     ball_tree,
     bpe_transducer,
     byte_ppm,
+    fill_middle,
     language_codes,
+    line_dedup,
     quality_svm,
+    shallot,
     shingle_join,
     source_mix,
     toxic_neighbours,
@@ -58,3 +61,6 @@ _register("op7_warc_index", warc_index.warc_query, "pages", sql=warc_index.WARC_
 _register("op8_source_mix", source_mix.mix_query, "documents", sql=source_mix.MIX_SQL)
 _register("op9_byte_ppm", byte_ppm.ppm_query, "documents")
 _register("op10_quality_svm", quality_svm.quality_query, "documents", "labels")
+_register("op11_displacement_scatter", fill_middle.fill_middle_query, "documents", sql=fill_middle.FILL_SQL)
+_register("op12_line_bitmaps", line_dedup.line_dedup_query, "documents", sql=line_dedup.LINES_SQL)
+_register("op13_shallot_search", shallot.cluster_query, "embeddings", sql=shallot.cluster_sql())
