@@ -1,23 +1,22 @@
 """Near-duplicate documents by an exact Jaccard join of their word n-gram sets over prefix trees.
 
-Sets are ordered by one global order of their n-grams (segment, then hash). Two sets whose sizes allow a link differ in
-at most k n-grams, so of k + 3 segments at least three are the same in both: both sets run through the same tree
-node at the end of such a segment. Nodes, named by a hash of their path, spread the work over the cluster. The
-sets that meet at a node are stored in a prefix tree there and looked up by a walk that shares partial overlaps
-and leaves a subtree once the remaining lengths cannot reach the required overlap.
-
-Only distinct sets take part; copies follow by their set's key. Components need no more links than those between
-sets that are not yet connected, so a large group of near copies costs one lookup for each set, not all pairs.
+Sets are ordered by one global order of their n-grams: by hash, with n-grams that are frequent in a sample last. Two linked
+sets of similarity t have one of the first n - ceil(t n) + 1 n-grams of each in common, so both run through that node;
+the nodes spread the work over the cluster. Sets that meet are stored in prefix trees and looked up by a walk that
+shares partial overlaps and leaves a subtree once the remaining lengths cannot reach the required overlap.
+
+Only distinct sets take part; copies follow by their set's key. Components need no more links than those between sets that
+are not yet connected: first each set is looked up against one center that it meets, a few times over, then the sets that
+still meet another component are compared in groups, where a task gives at most one link for each set.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.llm.spark import drop_table, small_batches, write_table
@@ -26,12 +25,31 @@ from narrascope.operators.components import connected_components
 
 #: Sets of one tree. Larger groups are cut into blocks of this size.
 BLOCK = 256
-#: Segments beyond the k + 1 that the pigeonhole needs, so that empty segments need not count.
-SLACK = 2
+#: How often each set is looked up against a center before all that still meet are compared.
+CENTERS = 3
+#: Texts of the sample that tells which n-grams are frequent, how often such a one stands in it, and how many are kept. They
+#: only shape the global order; the result is the same for any order.
+SAMPLE, FREQUENT, ORDERED = 8_000, 3, 1 << 16
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_LAST = np.uint64((1 << 64) - ORDERED)
 KEY = ["hi", "lo"]
 
 
+class GramOrder:
+    """The global order: frequent n-grams, given by rising frequency, take the largest numbers, others their hash."""
+
+    def __init__(self, frequent: np.ndarray = np.empty(0, np.uint64)):
+        rank = np.argsort(frequent, kind="stable")
+        self.known, self.place = frequent[rank], _LAST + rank.astype(np.uint64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The n-grams as sorted numbers."""
+        if not len(self.known) or not len(grams):
+            return grams
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return np.sort(np.where(self.known[at] == grams, self.place[at], grams))
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted hashes of the distinct word n-grams; a shorter text is one n-gram of all its words; none without words."""
     found = word_hashes(text) if text else np.empty(0, np.uint64)
@@ -48,38 +66,14 @@ def set_key(grams: np.ndarray) -> tuple[int, int]:
     return int(hi.view(np.int64)[0]), int(lo.view(np.int64)[0])
 
 
-@functools.cache
-def class_bounds(percent: int, longest: int) -> tuple[int, ...]:
-    """First sizes of the size classes: linked sets lie in the same class or in neighbouring ones."""
-    bounds = [1]
-    while bounds[-1] <= longest:
-        bounds.append(bounds[-1] * 100 // percent + 1)
-    return tuple(bounds)
-
-
 def allowed(total: int, percent: int) -> int:
     """Largest number of n-grams that only one of two linked sets holds, given the sum of their sizes."""
     return total * (100 - percent) // (100 + percent)
 
 
 def nodes(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the tree nodes at the ends of a set's segments, in its own size class and the one below."""
-    bounds = class_bounds(percent, 1 << (len(grams) - 1).bit_length() if len(grams) else 1)
-    own = int(np.searchsorted(bounds, len(grams), side="right")) - 1
-    values, found = mix(grams ^ _SALT), []
-    for c in (own, own - 1):
-        if c < 0:
-            continue
-        most = bounds[c + 1] - 1
-        segments = allowed(most + most * 100 // percent, percent) + 1 + SLACK
-        sums, held = np.zeros(segments, np.uint64), np.zeros(segments, bool)
-        place = (grams % np.uint64(segments)).astype(np.int64)
-        np.add.at(sums, place, values)
-        held[place] = True
-        # With at most SLACK empty segments one of the equal segments has n-grams; else the empty ones count too.
-        use = np.flatnonzero(held) if segments - held.sum() <= SLACK else np.arange(segments)
-        found.append(mix(sums[use] + mix(use.astype(np.uint64) + np.uint64((c + 1) << 32))))
-    return np.concatenate(found)
+    """The first n-grams of an ordered set, of which every linked set has one among its own first ones."""
+    return grams[:len(grams) + percent * len(grams) // -100 + 1]
 
 
 class PrefixTree:
@@ -120,13 +114,29 @@ class PrefixTree:
         return found
 
 
-def _describe(words: int, percent: int):
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """N-grams that are frequent among about SAMPLE distinct texts, at most ORDERED, by rising frequency."""
+    share = SAMPLE / max(1, docs.count())
+    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [shingles(t, words) for t in batch.iloc[:, 0]]
+            found, n = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_counts=True)
+            yield pd.DataFrame({"gram": found.view(np.int64), "n": n})
+
+    counted = drawn.select("text").distinct().mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "gram").limit(ORDERED).collect()
+    return np.array([r.gram for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _describe(words: int, percent: int, order: GramOrder):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
             for doc, name, text in batch.itertuples(index=False):
-                grams = shingles(text, words)
+                grams = order(shingles(text, words))
                 key, at = set_key(grams), None
                 if len(grams) and key not in seen:
                     seen.add(key)
@@ -137,91 +147,115 @@ def _describe(words: int, percent: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, order: GramOrder):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*set_key(g), g.tobytes()) for g in (shingles(t, words) for t in batch.iloc[:, 0])]
+            rows = [(*set_key(g), g.tobytes()) for g in (order(shingles(t, words)) for t in batch.iloc[:, 0])]
             yield pd.DataFrame(rows, columns=["hi", "lo", "grams"])
 
     return run
 
 
-def _name(hi: str = "hi", lo: str = "lo") -> Column:
-    return F.concat(F.lpad(F.hex(F.col(hi)), 16, "0"), F.lpad(F.hex(F.col(lo)), 16, "0"))
-
-
-def _sets_of(docs: DataFrame, described: DataFrame, keys: DataFrame, words: int) -> tuple[DataFrame, str]:
-    """The n-gram sets of the given keys, made again from one text for each key and partition."""
-    chosen = described.where("nodes is not null").join(keys, KEY, "left_semi").groupBy(KEY).agg(
+def _sets_of(docs: DataFrame, described: DataFrame, numbers: DataFrame, words: int, order: GramOrder) -> tuple[DataFrame, str]:
+    """(id, grams): the n-gram sets of the numbered keys, made again from one text for each key."""
+    # A key's text is told by its hash and its own key, so that texts of equal hash do not hide each other.
+    chosen = described.where("nodes is not null").join(numbers, KEY).groupBy(*KEY).agg(
         F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    # One text for each hash before anything moves, so that copies do not meet in one task.
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).groupBy("text_hash").agg(
-        F.first("text").alias("text")).join(chosen, "text_hash").select("text")
-    return write_table(texts.mapInPandas(_sets(words), "hi long, lo long, grams binary").join(keys, KEY, "left_semi"), "sets")
+    # One text for each hash and its length before anything moves, so that copies do not meet in one task.
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(chosen, "text_hash", "left_semi").groupBy(
+        "text_hash", F.xxhash64("text", F.lit(5)).alias("other_hash")).agg(F.first("text").alias("text")).select("text")
+    return write_table(texts.mapInPandas(_sets(words, order), "hi long, lo long, grams binary").join(numbers, KEY)
+                       .groupBy("id").agg(F.first("grams").alias("grams")), "sets")
 
 
 def _check_centers(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among candidate pairs of a set and its center: a center is looked up in trees of its sets.
+    """Links (u, v) among candidate pairs (id, center): a center is looked up in trees of its sets.
 
     A center's sets are dealt over blocks, each with a copy of the center, so none grows with the group.
     """
-    sizes = candidates.groupBy("c_hi", "c_lo").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = candidates.join(sizes, ["c_hi", "c_lo"]).withColumn("block", F.pmod(F.xxhash64(*KEY), "blocks").cast("int"))
-    members = members.join(sets, KEY).select("c_hi", "c_lo", "block", _name().alias("u"), "grams")
+    sizes = candidates.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = candidates.join(sizes, "center").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = members.join(sets, "id").select("center", "block", "id", "grams")
     centers = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(
-        sets.select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "grams"), ["c_hi", "c_lo"]).select(
-        "c_hi", "c_lo", "block", _name("c_hi", "c_lo"), "grams").toDF("k_hi", "k_lo", "k_block", "v", "center")
+        sets.withColumnRenamed("id", "center"), "center").select("center", "block", "grams").toDF("c", "b", "grams")
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"u": [], "v": []}, dtype=str)
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         tree = PrefixTree([np.frombuffer(g, np.uint64) for g in left["grams"]])
-        linked = tree.linked(np.frombuffer(right["center"].iloc[0], np.uint64), percent)
-        return pd.DataFrame({"u": left["u"].iloc[linked], "v": right["v"].iloc[0]})
+        linked = tree.linked(np.frombuffer(right["grams"].iloc[0], np.uint64), percent)
+        return pd.DataFrame({"u": left["id"].iloc[linked], "v": right["c"].iloc[0]})
+
+    return members.groupBy("center", "block").cogroup(centers.groupBy("c", "b")).applyInPandas(probe, "u long, v long")
 
-    return members.groupBy("c_hi", "c_lo", "block").cogroup(centers.groupBy("k_hi", "k_lo", "k_block")).applyInPandas(
-        probe, "u string, v string")
 
+class Union:
+    """Components that grow together by union and find."""
 
-def _families(opened: DataFrame) -> DataFrame:
-    """(key, component, family) of the sets that meet, at any node, one of another component; families share no node."""
-    least = opened.groupBy("node").agg(F.min(_name()).alias("v"))
-    edges = opened.join(least, "node").select(_name().alias("u"), "v").distinct()
-    family = connected_components(edges).select(F.col("node").alias("u"), F.col("component").alias("family"))
-    return opened.select(*KEY, "component").distinct().join(family, _name() == F.col("u")).select(*KEY, "component", "family")
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
 
+    def find(self, x: int) -> int:
+        top = x
+        while (up := self.root.get(top, top)) != top:
+            top = up
+        while (up := self.root.get(x, x)) != top:
+            self.root[x], x = top, up
+        return top
 
-def _check_families(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (u, v) between sets of different components in a family.
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart until now."""
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
 
-    A family is cut into blocks; each pair of blocks is a task's tree and queries.
+
+def _check_groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect all linked sets of different components that meet at a node.
+
+    Nodes with the same least set are one group: near copies share most of their nodes and so lie in few groups. A
+    group is cut into blocks and each pair of blocks is a task's tree and queries. A task joins components as it goes and gives only
+    links that join two.
     """
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64(*KEY), "blocks").cast("int"))
+    least = opened.groupBy("node").agg(F.min("id").alias("least"))
+    groups, _ = write_table(opened.join(least, "node").select("least", "id", "component").distinct(), "groups")
+    sizes = groups.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "least").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", *KEY, "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = paired.join(sets, KEY).select("family", "i", "j", "own", "component", _name().alias("u"), "grams")
+        "least", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = paired.join(sets, "id").select("least", "i", "j", "own", "component", "id", "grams")
 
     def probe(block: pd.DataFrame) -> pd.DataFrame:
         i, j = block["i"].iloc[0], block["j"].iloc[0]
-        stored, asked = block[block["own"] == i].reset_index(drop=True), block[block["own"] == j].reset_index(drop=True)
-        tree, found = PrefixTree([np.frombuffer(g, np.uint64) for g in stored["grams"]]), []
-        group, names = stored["component"].to_numpy(), stored["u"].to_numpy()
-        joined: set[tuple[str, str]] = set()
-        for g, c, u in zip(asked["grams"], asked["component"], asked["u"], strict=True):
-            for k in tree.linked(np.frombuffer(g, np.uint64), percent):
-                # One link is enough for two components.
-                pair = (min(group[k], c), max(group[k], c))
-                if group[k] != c and pair not in joined:
-                    joined.add(pair)
-                    found.append((u, names[k]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype=str)
-
-    return rows.groupBy("family", "i", "j").applyInPandas(probe, "u string, v string")
+        stored, asked = block[block["own"] == i], block[block["own"] == j]
+        found, together = [], Union()
+        if block["component"].nunique() > 1:
+            tree = PrefixTree([np.frombuffer(g, np.uint64) for g in stored["grams"]])
+            group, names = stored["component"].to_numpy(), stored["id"].to_numpy()
+            for g, c, u in zip(asked["grams"], asked["component"], asked["id"], strict=True):
+                found += [(u, names[k]) for k in tree.linked(np.frombuffer(g, np.uint64), percent) if together.join(group[k], c)]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return rows.groupBy("least", "i", "j").applyInPandas(probe, "u long, v long")
+
+
+def _opened(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(node, id, component) of the nodes where sets of several components meet."""
+    if component is None:
+        labelled = members.withColumn("component", F.col("id"))
+    else:
+        labelled = members.join(component.withColumnRenamed("node", "id"), "id", "left").select(
+            "node", "id", F.coalesce("component", "id").alias("component"))
+    several = labelled.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("node")
+    return labelled.join(several, "node", "left_semi")
 
 
-def _components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    return connected_components(links).select(F.col("node").alias("u"), "component")
+def _centers(opened: DataFrame, number: int) -> DataFrame:
+    """(id, center): for each set the first set of another component, in an order that changes by round, among the firsts of its nodes."""
+    order = F.struct(F.xxhash64("id", F.lit(number)).alias("o"), F.col("id"), F.col("component"))
+    first = opened.groupBy("node").agg(F.min(order).alias("c"))
+    met = opened.join(first, "node").where("component != c.component")
+    return met.groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.id").alias("center"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -236,42 +270,43 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described, described_at = write_table(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
-        _describe(words, percent), "doc_id long, text_hash long, n long, hi long, lo long, nodes array<long>"), "described")
-    # Both uses of the dealt nodes read the same shuffle.
-    at = described.where("nodes is not null").select(F.explode("nodes").alias("node"), *KEY).repartition("node")
+    order = GramOrder(_frequent(docs, words))
+    described, _ = write_table(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
+        _describe(words, percent, order), "doc_id long, text_hash long, n long, hi long, lo long, nodes array<long>"), "described")
+    at = described.where("nodes is not null").select(F.explode("nodes").alias("node"), *KEY)
     met = at.groupBy("node").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).where("a != b").select("node")
-    members, members_at = write_table(at.join(met, "node").distinct(), "members")
-    keys = members.select(*KEY).distinct()
-    sets, sets_at = _sets_of(docs, described, keys, words)
-
-    # First each set against the least set it meets anywhere; this connects nearly all that belongs together.
-    least = members.groupBy("node").agg(F.min(F.struct(*KEY)).alias("c"))
-    nearest = members.join(least, "node").groupBy(*KEY).agg(F.min("c").alias("c"))
-    candidates = nearest.where("not (hi = c.hi and lo = c.lo)").select(
-        *KEY, F.col("c.hi").alias("c_hi"), F.col("c.lo").alias("c_lo"))
-    links, _ = write_table(_check_centers(candidates, sets, percent), "links")
-    component = _components(spark, links)
-
-    # Then all sets that meet one of another component.
-    labelled = members.join(component, _name() == F.col("u"), "left").select(
-        "node", *KEY, F.coalesce("component", _name()).alias("component"))
-    several = labelled.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("node")
-    opened, opened_at = write_table(labelled.join(several, "node", "left_semi"), "opened")
-    more, _ = write_table(_check_families(_families(opened), sets, percent), "links")
-    if not more.isEmpty():
-        component = _components(spark, links.union(more))
-    drop_table(spark, opened_at)
-    for path in (members_at, sets_at):
+    named, named_at = write_table(at.join(met, "node", "left_semi"), "named")
+    numbers, numbers_at = write_table(named.select(*KEY).distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
+    members, members_at = write_table(named.join(numbers, KEY).select("node", "id").distinct(), "members")
+    drop_table(spark, named_at)
+    sets, sets_at = _sets_of(docs, described, numbers, words, order)
+
+    links, component, parts = None, None, [members_at, sets_at]
+    for number in range(CENTERS + 1):
+        opened, opened_at = write_table(_opened(members, component), "opened")
+        parts.append(opened_at)
+        if opened.isEmpty():
+            break
+        found = _check_centers(_centers(opened, number), sets, percent) if number < CENTERS else _check_groups(opened, sets, percent)
+        new, _ = write_table(found, "links")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            component = connected_components(links)
+    for path in parts:
         drop_table(spark, path)
-    return _label(described, component)
+    return _label(described, numbers, component)
 
 
-def _label(described: DataFrame, component: DataFrame) -> DataFrame:
-    """Documents with the smallest id of their component."""
+def _label(described: DataFrame, numbers: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Documents with the smallest id of their component, which is named by a set of it."""
     first = described.where("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("first"))
-    named = first.withColumn("u", _name()).join(component, "u", "left").select(
-        *KEY, "first", F.coalesce("component", "u").alias("component"))
+    if component is None:
+        rooted = numbers.select(*KEY, F.col("id").alias("component"))
+    else:
+        rooted = numbers.join(component.withColumnRenamed("node", "id"), "id", "left").select(
+            *KEY, F.coalesce("component", "id").alias("component"))
+    named = first.join(rooted, KEY, "left").select(*KEY, "first", F.coalesce(
+        F.concat(F.lit("c"), F.col("component")), F.concat_ws("-", "hi", "lo")).alias("component"))
     root = named.groupBy("component").agg(F.min("first").alias("component_id"))
     table = named.join(root, "component").select(*KEY, "component", "component_id")
     return described.select("doc_id", "text_hash", "n", *KEY).join(table, KEY, "left").select(
@@ -288,14 +323,17 @@ def near_duplicate_query(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns kept, with one row of each component: the one of the smallest doc_id.
 
-    Of equal ids the smallest hash of the text stays, of repeated rows one. Rows without words all stay.
+    Of equal ids the smallest hash of the text stays, of rows equal in both the smallest hash of all columns. Rows without words all stay.
     """
     found = near_duplicates(docs, words, percent)
     first = found.where("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("f"))
-    kept, _ = write_table(first.select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), F.lit(False).alias("__wordless"))
+    kept, _ = write_table(first.select("f.doc_id", "f.text_hash", F.lit(False).alias("wordless"))
                           .union(found.where("component is null").select("doc_id", "text_hash", F.lit(True))).distinct(), "kept")
-    own = docs.withColumn("__own_hash", F.xxhash64("text"))
-    joined = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")))
-    once = Window.partitionBy("__id", "__hash").orderBy(F.lit(1))
-    return joined.withColumn("__row", F.row_number().over(once)).where("__wordless or __row = 1").select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                      F.xxhash64("text").alias("hash"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("full"))
+    joined = own.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    # The limit of the window is taken before the shuffle too, so that repeated rows do not meet in one task.
+    once = Window.partitionBy("id", "hash").orderBy("full")
+    worded = joined.where("not wordless").withColumn("place", F.row_number().over(once)).where("place = 1")
+    return worded.select("row.*").unionByName(joined.where("wordless").select("row.*"))
