@@ -2,8 +2,10 @@
 
 Sets are ordered by one global order of their n-grams: by hash, with n-grams that are frequent in a sample last. Two linked
 sets of similarity t have one of the first n - ceil(t n) + 1 n-grams of each in common, so both run through that node;
-the nodes spread the work over the cluster. Sets that meet are stored in prefix trees and looked up by a walk that
-shares partial overlaps and leaves a subtree once the remaining lengths cannot reach the required overlap.
+the nodes spread the work over the cluster. Sets that meet are first compared by parity bitmaps, a 32nd of their size, whose
+difference is never larger than that of the sets, so that a shared passage alone moves no set. The rest are stored in prefix trees
+and looked up by a walk that shares partial overlaps and leaves a subtree once the remaining lengths cannot reach the required
+overlap.
 
 Only distinct sets take part; copies follow by their set's key. Components need no more links than those between sets that
 are not yet connected: first each set is looked up against one center that it meets, a few times over, then the sets that
@@ -12,7 +14,7 @@ still meet another component are compared in groups, where a task gives at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,10 @@ from narrascope.operators.components import connected_components
 
 #: Sets of one tree. Larger groups are cut into blocks of this size.
 BLOCK = 256
+#: Words of bitmaps that are compared at once.
+CHUNK = 1 << 21
 #: How often each set is looked up against a center before all that still meet are compared.
-CENTERS = 3
+CENTERS = 1
 #: Texts of the sample that tells which n-grams are frequent, how often such a one stands in it, and how many are kept. They
 #: only shape the global order; the result is the same for any order.
 SAMPLE, FREQUENT, ORDERED = 8_000, 3, 1 << 16
@@ -76,6 +80,52 @@ def nodes(grams: np.ndarray, percent: int) -> np.ndarray:
     return grams[:len(grams) + percent * len(grams) // -100 + 1]
 
 
+def signature(grams: np.ndarray) -> np.ndarray:
+    """Parity bitmap in 64-bit words: a bit is set if an odd number of n-grams falls on it. At least two bits for each n-gram."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((mix(grams ^ _SALT) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], other_sizes: np.ndarray, other_maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets (a row for each of the first) may be linked by their sizes and parity bitmaps.
+
+    Sets that differ in d n-grams have bitmaps that differ in at most d bits, and so have bitmaps folded to half their length.
+    """
+    found = np.zeros((len(sizes), len(other_sizes)), bool)
+    levels = [np.array([len(m) for m in side]) for side in (maps, other_maps)]
+    for a in np.unique(levels[0]):
+        rows = np.flatnonzero(levels[0] == a)
+        for b in np.unique(levels[1]):
+            # Linked sets are of similar size: their bitmaps are at most two foldings apart.
+            if max(a, b) > 4 * min(a, b) * 100 // percent:
+                continue
+            columns, words = np.flatnonzero(levels[1] == b), int(min(a, b))
+            left, right = np.stack([maps[i] for i in rows]), np.stack([other_maps[i] for i in columns])
+            while left.shape[1] > words:
+                left = left[:, :left.shape[1] // 2] ^ left[:, left.shape[1] // 2:]
+            while right.shape[1] > words:
+                right = right[:, :right.shape[1] // 2] ^ right[:, right.shape[1] // 2:]
+            step = max(1, CHUNK // (len(columns) * words))
+            for i in range(0, len(rows), step):
+                apart = np.bitwise_count(left[i:i + step, None, :] ^ right[None]).sum(2, dtype=np.int64)
+                own, other = sizes[rows[i:i + step], None], other_sizes[None, columns]
+                near = (apart <= (own + other) * (100 - percent) // (100 + percent)) & (100 * np.minimum(own, other) >= percent * np.maximum(own, other))
+                found[np.ix_(rows[i:i + step], columns)] = near
+    return found
+
+
+def chained(near: np.ndarray, names: np.ndarray, other_names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least name that each side's sets reach over near pairs; -1 for sets without any."""
+    own, other, none = names.copy(), other_names.copy(), np.iinfo(np.int64).max
+    while True:
+        new_own = np.minimum(own, np.where(near, other[None, :], none).min(1, initial=none))
+        new_other = np.minimum(other, np.where(near, new_own[:, None], none).min(0, initial=none))
+        if (new_own == own).all() and (new_other == other).all():
+            return np.where(near.any(1), own, -1), np.where(near.any(0), other, -1)
+        own, other = new_own, new_other
+
+
 class PrefixTree:
     """Sets as a prefix tree: in lexicographic order, each with the depth it shares with the one before."""
 
@@ -88,30 +138,35 @@ class PrefixTree:
             apart = np.flatnonzero(a[:n] != b[:n])
             self.shared.append(int(apart[0]) if len(apart) else n)
 
-    def linked(self, query: np.ndarray, percent: int) -> list[int]:
-        """Numbers of the stored sets whose Jaccard similarity with the query is at least percent / 100.
+    def walk(self, query: np.ndarray, percent: int, among: Callable[[int], bool] | None = None) -> Iterator[int]:
+        """Numbers of the stored sets whose Jaccard similarity with the query is at least percent / 100, as the walk meets them.
 
         The overlap of a path is carried on to all sets below it. With o of the first d n-grams of a path found
         among the p query n-grams passed, the overlap can reach no more than what the remaining lengths leave:
-        once d - o + p - o exceeds what any linked set may differ by, the subtree is left.
+        once d - o + p - o exceeds what any linked set may differ by, the subtree is left. Sets that `among` refuses,
+        asked when they are met, are passed by.
         """
-        size, found = len(query), []
+        size = len(query)
         most = allowed(size + size * 100 // percent, percent)
-        overlap, passed, dead = np.zeros(1, np.int64), np.zeros(1, np.int64), 1 << 60
-        for i, (own, shared) in enumerate(zip(self.sets, self.shared, strict=True)):
-            if shared >= dead:
+        # `carry` is how much of the last path looked at still leads to the set at hand.
+        overlap, passed, dead, carry = np.zeros(1, np.int64), np.zeros(1, np.int64), 1 << 60, 1 << 60
+        for i, own in enumerate(self.sets):
+            carry = min(carry, self.shared[i])
+            if carry >= dead or (among is not None and not among(self.order[i])):
                 continue
-            tail = own[shared:]
+            tail = own[carry:]
             at = np.searchsorted(query, tail)
             hit = query[np.minimum(at, size - 1)] == tail if size else np.zeros(len(tail), bool)
-            overlap = np.concatenate((overlap[:shared + 1], overlap[shared] + np.cumsum(hit)))
-            passed = np.concatenate((passed[:shared + 1], at + hit))
+            overlap = np.concatenate((overlap[:carry + 1], overlap[carry] + np.cumsum(hit)))
+            passed = np.concatenate((passed[:carry + 1], at + hit))
             over = np.flatnonzero(np.arange(len(own) + 1) + passed - 2 * overlap > most)
-            dead = int(over[0]) if len(over) else 1 << 60
+            dead, carry = int(over[0]) if len(over) else 1 << 60, 1 << 60
             both = int(overlap[-1])
             if dead > len(own) and 100 * both >= percent * (len(own) + size - both):
-                found.append(self.order[i])
-        return found
+                yield self.order[i]
+
+    def linked(self, query: np.ndarray, percent: int) -> list[int]:
+        return list(self.walk(query, percent))
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -137,12 +192,12 @@ def _describe(words: int, percent: int, order: GramOrder):
             rows = []
             for doc, name, text in batch.itertuples(index=False):
                 grams = order(shingles(text, words))
-                key, at = set_key(grams), None
+                key, at, bits = set_key(grams), None, None
                 if len(grams) and key not in seen:
                     seen.add(key)
-                    at = nodes(grams, percent).view(np.int64)
-                rows.append((doc, name, len(grams), *key, at))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "hi", "lo", "nodes"]).astype({"doc_id": "Int64"})
+                    at, bits = nodes(grams, percent).view(np.int64), signature(grams).tobytes()
+                rows.append((doc, name, len(grams), *key, at, bits))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "hi", "lo", "nodes", "bits"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -210,33 +265,84 @@ class Union:
         return x != y
 
 
-def _check_groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect all linked sets of different components that meet at a node.
+def _by_group(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `run` makes of the rows of each key; for many small groups lighter than a call from the JVM for each."""
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
+            values = rows[keys].to_numpy()
+            edges = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1 if len(rows) else []
+            if len(edges):
+                found = [run(rows.iloc[a:b]) for a, b in zip((0, *edges[:-1]), edges)]
+                yield pd.concat(found, ignore_index=True)
+                rows = rows.iloc[edges[-1]:]
+            rest = rows
+        if rest is not None and len(rest):
+            yield run(rest)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
+
+
+def _blocks(groups: DataFrame, number: int = 0, pairs: bool = True) -> DataFrame:
+    """Rows (node, id, ...) dealt to the pairs of blocks (i, j) of their node, or to their own blocks only; `own` is a row's block."""
+    sizes = groups.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("id", F.lit(number)), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if pairs else F.col("own")
+    paired = dealt.withColumn("other", other)
+    return paired.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def _narrow(members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """(node, id): sets that may be linked, by their bitmaps, share a node again, and hardly any others do.
+
+    Nodes with the same least set are one group: near copies share most of their nodes and so lie in few groups. Within a group
+    sets are chained by near bitmaps, and the least set of a chain names the new node.
+    """
+    least = members.groupBy("node").agg(F.min("id").alias("least"))
+    groups, _ = write_table(members.join(least, "node").select(F.col("least").alias("node"), "id").distinct(), "groups")
+    rows = _blocks(groups).join(bitmaps, "id").select("node", "i", "j", "own", "id", "n", "bits")
 
-    Nodes with the same least set are one group: near copies share most of their nodes and so lie in few groups. A
-    group is cut into blocks and each pair of blocks is a task's tree and queries. A task joins components as it goes and gives only
-    links that join two.
+    def probe(block: pd.DataFrame) -> pd.DataFrame:
+        i, j = block["i"].iloc[0], block["j"].iloc[0]
+        sides = [(x["n"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["bits"]], x["id"].to_numpy())
+                 for x in (block[block["own"] == i], block[block["own"] == j])]
+        near = may_link(*sides[0][:2], *sides[1][:2], percent)
+        if i == j:
+            np.fill_diagonal(near, False)
+        names = np.concatenate(chained(near, sides[0][2], sides[1][2]))
+        ids = np.concatenate((sides[0][2], sides[1][2]))
+        return pd.DataFrame({"node": names[names >= 0], "id": ids[names >= 0]})
+
+    found, _ = write_table(_by_group(rows, ["node", "i", "j"], probe, "node long, id long").distinct(), "chains")
+    # The chains of a large group come from many pairs of blocks: those that share a set take the least name around.
+    around = found.join(found.groupBy("id").agg(F.min("node").alias("own")), "id").groupBy("node").agg(F.min("own").alias("name"))
+    return found.join(around, "node").select(F.col("name").alias("node"), "id").distinct()
+
+
+def _check_groups(opened: DataFrame, sets: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Links (u, v) between linked sets of different components that meet at a node, for all of them (`pairs`) or within its blocks.
+
+    Each pair of blocks of a node is a task's tree and queries. A task joins components as it goes and gives only links that join
+    two; sets that are already joined are not compared.
     """
-    least = opened.groupBy("node").agg(F.min("id").alias("least"))
-    groups, _ = write_table(opened.join(least, "node").select("least", "id", "component").distinct(), "groups")
-    sizes = groups.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "least").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "least", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = paired.join(sets, "id").select("least", "i", "j", "own", "component", "id", "grams")
+    rows = _blocks(opened, 1, pairs).join(sets, "id").select("node", "i", "j", "own", "component", "id", "grams")
 
     def probe(block: pd.DataFrame) -> pd.DataFrame:
         i, j = block["i"].iloc[0], block["j"].iloc[0]
         stored, asked = block[block["own"] == i], block[block["own"] == j]
         found, together = [], Union()
         if block["component"].nunique() > 1:
-            tree = PrefixTree([np.frombuffer(g, np.uint64) for g in stored["grams"]])
-            group, names = stored["component"].to_numpy(), stored["id"].to_numpy()
-            for g, c, u in zip(asked["grams"], asked["component"], asked["id"], strict=True):
-                found += [(u, names[k]) for k in tree.linked(np.frombuffer(g, np.uint64), percent) if together.join(group[k], c)]
+            sides = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (stored, asked)]
+            near = may_link(*(x for side in sides for x in (np.array([len(g) for g in side]), [signature(g) for g in side])), percent)
+            tree, group, names = PrefixTree(sides[0]), stored["component"].to_numpy(), stored["id"].to_numpy()
+            for q, (g, c, u) in enumerate(zip(sides[1], asked["component"], asked["id"], strict=True)):
+                for k in tree.walk(g, percent, lambda k: near[k, q] and together.find(group[k]) != together.find(c)):
+                    together.join(group[k], c)
+                    found.append((u, names[k]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return rows.groupBy("least", "i", "j").applyInPandas(probe, "u long, v long")
+    return _by_group(rows, ["node", "i", "j"], probe, "u long, v long")
 
 
 def _opened(members: DataFrame, component: DataFrame | None) -> DataFrame:
@@ -272,23 +378,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = GramOrder(_frequent(docs, words))
     described, _ = write_table(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
-        _describe(words, percent, order), "doc_id long, text_hash long, n long, hi long, lo long, nodes array<long>"), "described")
+        _describe(words, percent, order), "doc_id long, text_hash long, n long, hi long, lo long, nodes array<long>, bits binary"), "described")
     at = described.where("nodes is not null").select(F.explode("nodes").alias("node"), *KEY)
     met = at.groupBy("node").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).where("a != b").select("node")
     named, named_at = write_table(at.join(met, "node", "left_semi"), "named")
-    numbers, numbers_at = write_table(named.select(*KEY).distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
-    members, members_at = write_table(named.join(numbers, KEY).select("node", "id").distinct(), "members")
+    numbers, _ = write_table(named.select(*KEY).distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
+    bitmaps = described.where("nodes is not null").join(numbers, KEY).groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    members, members_at = write_table(_narrow(named.join(numbers, KEY).select("node", "id").distinct(), bitmaps, percent), "members")
     drop_table(spark, named_at)
-    sets, sets_at = _sets_of(docs, described, numbers, words, order)
+    near = members.select("id").distinct().join(numbers, "id")
+    sets, sets_at = _sets_of(docs, described, near, words, order)
 
+    # Against one center of each node, then within blocks, then all that still meet: most sets are joined before many are compared.
+    steps = [*[lambda rows, n=n: _check_centers(_centers(rows, n), sets, percent) for n in range(CENTERS)],
+             lambda rows: _check_groups(rows, sets, percent, False), lambda rows: _check_groups(rows, sets, percent, True)]
     links, component, parts = None, None, [members_at, sets_at]
-    for number in range(CENTERS + 1):
+    for step in steps:
         opened, opened_at = write_table(_opened(members, component), "opened")
         parts.append(opened_at)
         if opened.isEmpty():
             break
-        found = _check_centers(_centers(opened, number), sets, percent) if number < CENTERS else _check_groups(opened, sets, percent)
-        new, _ = write_table(found, "links")
+        new, _ = write_table(step(opened), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             component = connected_components(links)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from narrascope.llm.shingle_join import PrefixTree, drop_near_duplicates, near_duplicate_query, nodes
+from narrascope.llm.shingle_join import PrefixTree, Union, chained, drop_near_duplicates, may_link, near_duplicate_query, nodes, signature
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -124,3 +124,51 @@ def test_stage_takes_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_bitmaps_never_part_linked_sets():
+    r = np.random.default_rng(5)
+    sets = []
+    for size in [1, 2, 5, 30, 64, 130, 500, 3000]:
+        base = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        for share in (0, 0.01, 0.05, 0.1, 0.2, 0.5):
+            new = r.integers(0, 2**63, int(r.integers(0, 1 + size // 10)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((base[r.random(len(base)) >= share], new))))
+    sets = [s for s in sets if len(s)]
+    sizes, maps = np.array([len(s) for s in sets]), [signature(s) for s in sets]
+    for percent in (60, 80, 90):
+        near = may_link(sizes, maps, sizes, maps, percent)
+        linked = np.array([[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets])
+        assert not (linked & ~near).any() and near.sum() < 1.5 * linked.sum()
+
+
+def test_chains_over_near_pairs():
+    near = np.array([[True, False, False], [True, True, False], [False, False, False]])
+    own, other = chained(near, np.array([7, 5, 1]), np.array([9, 3, 2]))
+    assert own.tolist() == [3, 3, -1] and other.tolist() == [3, 3, -1]
+    together = Union()
+    assert [together.join(1, 2), together.join(3, 2), together.join(1, 3), together.find(3)] == [True, True, False, 1]
+
+
+def test_links_of_a_drifting_group_grow_with_its_sets(spark, monkeypatch):
+    import narrascope.llm.shingle_join as module
+
+    written = {}
+
+    def keep(df, name="table", inner=module.write_table):
+        out = inner(df, name)
+        if name == "links":
+            written[name] = written.get(name, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(module, "write_table", keep)
+    for size in (150, 300):
+        words, rows = [f"w{i}" for i in range(80)], []
+        r = random.Random(size)
+        for i in range(size):
+            words = list(words)
+            words[r.randrange(80)] = f"y{i}"
+            rows.append((i, " ".join(words)))
+        written.clear()
+        check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+        assert written["links"] <= 4 * size
