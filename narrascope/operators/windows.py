@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope.session import cut_lineage
+
 
 def _columns(names: Sequence[str] | str) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -61,58 +63,42 @@ def share_within_group(counts: DataFrame, group: Sequence[str] | str, n: str = "
     return counts.withColumn(to, F.col(n) / F.sum(n).over(window))
 
 
-def range_piece(df: DataFrame, column: str, rows: int = 100_000) -> Column:
-    """Number of the range of a column's values that a row lies in, ranges in order with about `rows` rows each.
+def in_ranges(df: DataFrame, order: Sequence[str] | str, piece: str = "_piece") -> DataFrame:
+    """The rows with the number of the range of the order that they lie in, as a written table; ranges follow each other.
 
-    The bounds are values drawn by their hash, about one for `rows` rows.
+    The planner cuts the ranges by a sample, as for a sort. Rows that are equal in the order are told apart by a hash of all their
+    columns, so that many of them spread over several ranges too.
     """
-    drawn = df.where(F.pmod(F.xxhash64(column), F.lit(rows)) == 0).select(column).distinct().orderBy(column)
-    bounds = [r[0] for r in drawn.collect() if r[0] is not None]
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column)))
-
-
-def running_totals(df: DataFrame, order: Sequence[str] | str, values: Sequence[str],
-                   coarse: Column | Sequence[Column], prefix: str = "running_") -> DataFrame:
-    """Cumulative sums along the order, in levels.
-
-    `coarse` cuts the order into consecutive pieces (a date, a name prefix), and pieces into smaller
-    ones if it has several columns: none may decrease along the order within the one before. Sums
-    run within the smallest pieces; of larger pieces only the totals are added up. No task holds
-    more than a smallest piece, or the pieces of one larger piece. The input is read once per level,
-    so write out a costly one first.
+    order = _columns(order)
+    ranged = df.repartitionByRange(*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return cut_lineage(ranged.withColumn(piece, F.spark_partition_id()))
+
+
+def running_totals(df: DataFrame, order: Sequence[str] | str, values: Sequence[str], prefix: str = "running_") -> DataFrame:
+    """Cumulative sums along the order.
+
+    The rows are dealt to ranges of the order; sums run within a range, and one row of totals for each range carries on what stands
+    before it. No task holds more than a range, or one row for each of them.
     """
     order = _columns(order)
-    levels = [coarse] if isinstance(coarse, Column) else list(coarse)
-    names = [f"_piece{i}" for i in range(len(levels))]
-    df = df.select("*", *[c.alias(n) for n, c in zip(names, levels)])
-    within = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    result = df.select("*", *[F.sum(v).over(within).alias(prefix + v) for v in values])
-    for depth in range(len(names), 0, -1):
-        keys = names[:depth]
-        # Totals of the pieces at this level that come before, inside the same larger piece.
-        before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        totals = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-        offsets = totals.select(*[F.col(k).alias(f"{k}_") for k in keys],
-                                *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
-        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-        result = result.join(offsets, same).drop(*[f"{k}_" for k in keys])
-        for v in values:
-            result = result.withColumn(prefix + v, F.col(prefix + v) + F.col(f"_before_{v}")).drop(f"_before_{v}")
-    return result.drop(*names)
+    placed = in_ranges(df, order)
+    within = Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    result = placed.select("*", *[F.sum(v).over(within).alias(prefix + v) for v in values])
+    totals = placed.groupBy("_piece").agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_piece", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
+    # As many rows as there are ranges.
+    result = result.join(F.broadcast(carry), "_piece")
+    for v in values:
+        result = result.withColumn(prefix + v, F.col(prefix + v) + F.col(f"_before_{v}")).drop(f"_before_{v}")
+    return result.drop("_piece")
 
 
 def renumber_by_size(sizes: DataFrame, cluster: str = "cluster", size: str = "n", tie: str = "min_id",
                      to: str = "topic", noise: int = -1) -> DataFrame:
-    """Clusters numbered from 0, largest first, ties by the id; noise keeps -1.
-
-    A global numbering in levels: by size (of n points there are fewer than sqrt(2n) sizes), then by
-    range of ids, which may be texts.
-    """
+    """Clusters numbered from 0, largest first, ties by the id, which may be a text; noise keeps -1."""
     real = sizes.where(F.col(cluster) != noise).withColumn("_one", F.lit(1).cast("long")).withColumn("_descending", -F.col(size))
-    pieces = [-F.col(size), range_piece(real, tie)]
-    numbered = running_totals(real, ["_descending", tie], ["_one"], pieces, prefix="_n")
+    numbered = running_totals(real, ["_descending", tie], ["_one"], prefix="_n")
     numbered = numbered.withColumn(to, (F.col("_n_one") - 1).cast("int")).drop("_n_one", "_one", "_descending")
     return numbered.unionByName(sizes.where(F.col(cluster) == noise).withColumn(to, F.lit(noise)))
 

@@ -6,6 +6,7 @@ reader under test and returns what was read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
 from narrascope.functions.time import file_date
 from narrascope.operators import aggregates as A
+from narrascope.operators import joins
 from narrascope.operators import models as M
 from narrascope.operators import predicates as R
 from narrascope.operators import windows as W
@@ -29,6 +31,7 @@ from narrascope.plans.queries_text import (CATEGORY_ORDER, GENERAL, LEXICON, SQL
                                            sql_strip, sql_words, tagged)
 from narrascope.plans.registry import load, query
 from narrascope.session import scratch_path
+from narrascope.sinks import commits as C
 from narrascope.sinks import writers as O
 from narrascope.sources import ids as I
 from narrascope.sources import lexicons
@@ -207,7 +210,7 @@ def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     O.failure_lines(failed).write.text(path)
     reasons = I.read_failures(spark, path, "*").groupBy("id").agg(F.min("reason").alias("reason"))
     ones = reasons.withColumn("one", F.lit(1).cast("long"))
-    return W.running_totals(ones, "id", ["one"], W.range_piece(ones, "id")).select("id", "reason", F.col("running_one").alias("position"))
+    return W.running_totals(ones, "id", ["one"]).select("id", "reason", F.col("running_one").alias("position"))
 
 
 @query("dead_letters", "select distinct user_id::varchar as id from events where event_type = 'error'")
@@ -370,12 +373,51 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         files = J.stream_files(spark, f"{path}/in", files_per_batch=24)
         J.start_ingest(files, f"{path}/out", f"{path}/checkpoint", LEXICON, general_terms=("surely no such term",)).awaitTermination()
-    routed = spark.read.parquet(f"{path}/out/posts")
-    ledger = I.read_ledger(spark, f"{path}/out/ledger")
+    routed = C.read_committed(spark, f"{path}/out", "posts")
+    ledger = C.read_committed(spark, f"{path}/out", "ledger", I.LEDGER_SCHEMA)
     counts = routed.groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
     return counts.withColumn("files", ledger.agg(F.count("*")).scalar())
 
 
+@query("ingest_tree", f"""with {SQL_TAGGED} select category, case when doc_id % 3 = 2 then 'other' else lang_bucket end as lang_bucket, count(*) as n,
+(select count(*) from (select distinct source, doc_id % 3 from documents)) as files
+from (select unnest(categories) as category, lang_bucket, doc_id from tagged) group by all""")
+def ingest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch run over a tree in two goes, the second after more files have come: the ledger itself tells what is done."""
+    path = scratch_path(spark, "ingest")
+    posts = posts_of(spark, sf_dir)
+    late = F.col("source") >= "src3"
+    for part in (posts.where(~late), posts.where(late)):
+        write_layouts(part, f"{path}/in/{uuid.uuid4().hex}")
+        J.ingest_tree(spark, f"{path}/in", f"{path}/out", 50, LEXICON, general_terms=("surely no such term",))
+    counts = C.read_committed(spark, f"{path}/out", "posts").groupBy("category", "lang_bucket").agg(F.count("*").alias("n"))
+    ledger = C.read_committed(spark, f"{path}/out", "ledger", I.LEDGER_SCHEMA)
+    return counts.withColumn("files", ledger.agg(F.count("*")).scalar())
+
+
+@query("seen_ids_table", "select distinct event_id::varchar as id from events where event_id % 3 <> 0 and user_id % 7 <> 0")
+def seen_ids_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids not seen in two earlier runs, told by a table of seen ids in buckets that is not shuffled."""
+    events = load(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_id", "user_id")
+    seen = joins.seen_table(spark, scratch_path(spark, "seen"), 16)
+    for part in (events.where("event_id % 3 = 0"), events.where("user_id % 7 = 0")):
+        joins.add_seen(part.select("id"), seen, buckets=16)
+    return joins.anti_seen_table(events.select("id").distinct(), seen, buckets=16)
+
+
+@query("deduplicate_in_place", f"""with {SQL_TAGGED}, routed as (select unnest(categories) as category, lang_bucket, source, doc_id from tagged)
+select category, lang_bucket, source as tweetid, min(doc_id) as first_doc, 1::bigint as n from routed group by all""")
+def deduplicate_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed outputs of two runs, deduplicated where they lie; the source stands in for a repeated post id."""
+    path = scratch_path(spark, "routed")
+    posts = tagged(spark, sf_dir).select("categories", "lang_bucket", "doc_id", F.col("source").alias("tweetid"))
+    routed = explode_rows(posts, "categories", "category", "lang_bucket", "doc_id", "tweetid")
+    for part in (0, 1):
+        routed.where(F.col("doc_id") % 2 == part).write.mode("append").partitionBy(*O.ROUTE).parquet(path)
+    O.deduplicate_in_place(spark, path, "tweetid", ["doc_id"])
+    return spark.read.parquet(path).groupBy("category", "lang_bucket", "tweetid").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+
+
 def feed_events(spark: SparkSession, sf_dir: str, path: str, run: Callable[[DataFrame], None], parts: int = 3) -> None:
     """Events arrive in consecutive parts of the time range; after each the stream takes up what is new."""
     events = load(spark, sf_dir, "events")
@@ -459,7 +501,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(f,) for f in S.list_files(spark, path)], "f string").select(
         F.regexp_extract("f", "name=([^/]+)/", 1).alias("name")).distinct()
     ones = names.select("name", file_date(F.col("name")).alias("source_date"), F.lit(1).cast("long").alias("one"))
-    return W.running_totals(ones, "name", ["one"], W.range_piece(ones, "name")).select(
+    return W.running_totals(ones, "name", ["one"]).select(
         "name", "source_date", F.col("running_one").alias("position"))
 
 

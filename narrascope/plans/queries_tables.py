@@ -76,7 +76,7 @@ from tally window w as (order by file)""")
 def running_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tallies added up in file order, with the match rate so far."""
     tally = cut_lineage(file_tally(spark, sf_dir))
-    running = W.running_totals(tally, "file", ["total", "matched"], W.range_piece(tally, "file"))
+    running = W.running_totals(tally, "file", ["total", "matched"])
     rated = A.with_match_rate(running, "running_matched", "running_total")
     return rated.select("file", "total", "running_total", "running_matched", F.round("match_rate", 6).alias("match_rate"))
 

@@ -14,6 +14,8 @@ from narrascope.functions import text as X
 from narrascope.functions.page import metric_or_na
 from narrascope.operators.predicates import project_output
 from narrascope.operators.rows import explode_rows
+from narrascope.operators.windows import flag_duplicates
+from narrascope.session import cut_lineage
 
 ROUTE = ("category", "lang_bucket")
 # The CSV writer would trim white space off every text by default.
@@ -86,6 +88,37 @@ def write_merged(records: DataFrame, path: str, one_file: bool = False, redo: bo
         **CSV_OPTIONS).csv(path)
 
 
+def deduplicate_in_place(spark: SparkSession, path: str, key: str, order: Sequence[str], outputs: Sequence[str] = ROUTE) -> int:
+    """Keep the first row per key in each output of a partitioned table; gives the number of partitions that changed.
+
+    `order` has to tell the rows of a key apart. Only partitions that hold a later row of a key are written again, so
+    the files of all others stay as they are; a partition that keeps no row is deleted. Null keys are no repeats.
+    """
+    read = spark.read.option("mergeSchema", True).parquet(path)
+    some = read.select(F.col("_metadata.file_path").alias("f")).first()
+    if some is None:
+        return 0
+    # Partition columns stand in the path of any file, its folder in that of its own.
+    by = [p.split("=")[0] for p in some.f.split("/")[:-1] if "=" in p and p.split("=")[0] in read.columns]
+    rows = read.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
+    flagged = flag_duplicates(rows.where(F.col(key).isNotNull()), [*outputs, key], list(order))
+    counts = flagged.groupBy(*by, "_folder").agg(F.count_if("is_duplicate").alias("later")).where("later > 0").select(*by, "_folder")
+    # One row for each partition that changes.
+    changed = cut_lineage(counts)
+    if changed.isEmpty():
+        return 0
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    hit = F.broadcast(changed.select(*[F.col(c).alias(f"_{c}") for c in by]))
+    kept = flagged.where(~F.col("is_duplicate")).select(*read.columns).unionByName(rows.where(F.col(key).isNull()).select(*read.columns))
+    kept = cut_lineage(kept.join(hit, same, "left_semi"))
+    kept.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    left = kept.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    for row in changed.join(left, same, "left_anti").collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["_folder"]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return changed.count()
+
+
 def write_dead_letters(failed: DataFrame, path: str) -> None:
     failed.select("id", "reason").write.mode("append").parquet(path)
 

@@ -45,10 +45,13 @@ def read_id_lines(lines: DataFrame, name: Column) -> DataFrame:
 
 
 def read_status_map(spark: SparkSession, path: str) -> DataFrame:
-    """(id, status_code, status_text) from `id,status` lines."""
+    """(id, status_code, status_text) from `id,status` lines, one row per id: of several lines the last one counts, by file and place."""
     rows = spark.read.schema("id string, status string").csv(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    placed = rows.select(X.strip(F.col("id")).alias("id"), "status", place.alias("place"))
+    last = placed.groupBy("id").agg(F.max_by(F.struct("status"), "place").alias("s")).select("id", "s.status")
     code, word = X.int_or_text(X.strip(F.col("status")))
-    return rows.select(X.strip(F.col("id")).alias("id"), code.alias("status_code"), word.alias("status_text"))
+    return last.select("id", code.alias("status_code"), word.alias("status_text"))
 
 
 def read_failures(spark: SparkSession, folder: str, glob: str = fixed.FAILURE_GLOB) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import functools
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,43 +10,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from narrascope import fixed_values as fixed
 from narrascope.functions import text as X
-from narrascope.operators.predicates import find_column, null_tokens
+from narrascope.operators.predicates import null_tokens
+from narrascope.session import cut_lineage
+from narrascope.sources.records import csv_lines, csv_records, file_layouts, header_names, parse_records
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in dict.fromkeys(columns)])
 
 
-def header_groups(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by the column names of their first line, in the order given; files without a line are left out.
-
-    A few bytes of each file are read by the driver, through the file system that the file lies in, as Spark does
-    itself to infer a schema. A repeated or blank name gets its position as suffix.
-    """
-    context = spark.sparkContext
-
-    def names_of(file: str) -> tuple[str, ...] | None:
-        path = context._jvm.org.apache.hadoop.fs.Path(file)
-        stream = path.getFileSystem(context._jsc.hadoopConfiguration()).open(path)
-        try:
-            line = context._jvm.java.io.BufferedReader(context._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-        finally:
-            stream.close()
-        if not line:
-            return None
-        names: list[str] = []
-        for i, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")]))):
-            names.append(name if name.strip() and name not in names else f"{name}_{i}")
-        return tuple(names)
-
-    groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for file, names in zip(files, pool.map(names_of, files), strict=True):
-            if names is not None:
-                groups.setdefault(names, []).append(file)
-    return groups
-
-
 def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> list[str]:
     """Files of folders or single files, by path. Only the listing is read."""
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
@@ -57,40 +26,56 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*")
     return sorted(r.path for r in listed.collect())
 
 
-def read_by_header(spark: SparkSession, files: Sequence[str], columns: Sequence[str] | None = None, multiline: bool = True,
-                   lineage: bool = False, tolerant: bool = False, text_names: Sequence[str] = ()) -> DataFrame:
+def has_text(header: str, text_names: Sequence[str] = fixed.TEXT_COLUMN_NAMES) -> bool:
+    """Whether one of a header's columns holds the text."""
+    return any(c.strip().lower() in {n.lower() for n in text_names} for c in header_names(header))
+
+
+def with_text_name(names: tuple[str, ...], text_names: Sequence[str]) -> tuple[str, ...]:
+    """Column names with the first that stands for the text as `text`; another column of that name becomes `text_other`."""
+    wanted = {n.lower() for n in text_names}
+    found = next((n for n in names if n.strip().lower() in wanted), None)
+    if found is None:
+        return names
+    return tuple("text" if n == found else "text_other" if n.lower() == "text" else n for n in names)
+
+
+def stored_records(spark: SparkSession, paths: str | Sequence[str], glob: str = "*", multiline: bool = True,
+                   tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records of CSV files and the layout of each file (see `records`). With `multiline` the joined records are written once."""
+    records = csv_records(csv_lines(spark, paths, glob, tolerant), multiline)
+    if multiline:
+        records = cut_lineage(records)
+    return records, cut_lineage(file_layouts(records))
+
+
+def read_by_header(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, multiline: bool = True,
+                   lineage: bool = False, tolerant: bool = False, text_names: Sequence[str] = (), glob: str = "*") -> DataFrame:
     """CSV files whose columns are named by each file's own header, all as text, missing-value tokens as null.
 
-    Files of equal headers are one scan; the scans are united by name, absent columns being null. `text_names` are
-    names any of which stands for `text`; `columns` fixes the columns of the result.
+    All files are one scan; absent columns are null. `text_names` are names any of which stands for `text`; `columns` fixes the
+    columns of the result, told apart without regard to case.
     """
-    tables = []
-    for names, group in header_groups(spark, files).items():
-        reader = (spark.read.schema(text_schema(names)).option("header", True).option("enforceSchema", True)
-                  .option("multiLine", multiline).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-                  .option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant).option("recursiveFileLookup", True))
-        table = reader.csv(group)
-        if lineage:
-            # The metadata has to be selected next to the scan.
-            order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                             F.monotonically_increasing_id().alias("row"))
-            table = table.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"),
-                                 order.alias("ingest_order"))
-        found = find_column(table, text_names) if text_names else None
-        if found not in (None, "text"):
-            table = table.withColumnRenamed("text", "text_other").withColumnRenamed(found, "text")
-        tables.append(table)
-    if tables:
-        table = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    records, layouts = stored_records(spark, paths, glob, multiline, tolerant)
+    return table_of(records, layouts, columns, lineage, text_names)
+
+
+def table_of(records: DataFrame, layouts: DataFrame, columns: Sequence[str] | None = None, lineage: bool = False,
+             text_names: Sequence[str] = ()) -> DataFrame:
+    """Records as a table; see `read_by_header`. The distinct headers come to the driver, not the files."""
+    headers = sorted(r.header for r in layouts.select("header").distinct().collect())
+    if headers:
+        table = parse_records(records, layouts, headers, lambda names: with_text_name(names, text_names))
     else:
-        table = spark.createDataFrame([], text_schema(columns or ["text"]))
-        if lineage:
-            table = table.select("*", F.lit("").alias("source_file"), F.lit("").alias("source_path"), F.struct(
-                F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")).alias("ingest_order"))
-    if columns is not None:
-        kept = [*columns, *(("source_file", "source_path", "ingest_order") if lineage else ())]
-        table = table.select(*[F.col(f"`{c}`") if c in table.columns else F.lit(None).cast("string").alias(c) for c in kept])
-    return null_tokens(table)
+        table = records.sparkSession.createDataFrame([], text_schema(columns or ["text"])).select(
+            "*", *[F.lit("").alias(c) for c in ("_file", "_name")], *[F.lit(0).cast("long").alias(c) for c in ("_block", "_record")])
+    present = {c.lower(): c for c in table.columns}
+    own = [c for c in table.columns if c not in ("_file", "_name", "_block", "_record")] if columns is None else columns
+    kept = [F.col(f"`{present[c.lower()]}`").alias(c) if c.lower() in present else F.lit(None).cast("string").alias(c) for c in own]
+    if lineage:
+        kept += [F.col("_name").alias("source_file"), F.col("_file").alias("source_path"),
+                 F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_record").alias("row")).alias("ingest_order")]
+    return null_tokens(table.select(*kept))
 
 
 def read_posts_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
@@ -99,13 +84,13 @@ def read_posts_csv(spark: SparkSession, paths: str | Sequence[str], schema: Stru
     """UTF-8 CSV files, each read by its own header, all columns as text, missing-value tokens as null.
 
     The text column becomes `text` whichever of its names a file uses; no data is read to infer types. A schema
-    fixes the columns of the result. Quoted newlines need `multiline`, which makes one task per file: switch it
-    off where posts hold none, so that large files are split, or land the result once by `land`. `lineage` adds the
-    file's name and path and the position of a row in the input as `source_file`, `source_path` and
-    `ingest_order`, taken before any shuffle. `tolerant` skips files that cannot be read instead of failing the run.
+    fixes the columns of the result. Large files are split over tasks; quoted newlines need `multiline`, which joins
+    the lines of a record again and writes the records once: switch it off where posts hold none. `lineage` adds the
+    file's name and path and the place of a row in the input (file, block of the file, record in it) as `source_file`, `source_path` and
+    `ingest_order`. `tolerant` skips files that cannot be read instead of failing the run.
     """
     columns = None if schema is None else list(dict.fromkeys("text" if c.strip().lower() in fixed.TEXT_COLUMN_NAMES else c for c in schema.names))
-    return read_by_header(spark, list_files(spark, paths, glob or "*"), columns, multiline, lineage, tolerant, fixed.TEXT_COLUMN_NAMES)
+    return read_by_header(spark, paths, columns, multiline, lineage, tolerant, fixed.TEXT_COLUMN_NAMES, glob or "*")
 
 
 def land(table: DataFrame, path: str) -> DataFrame:
@@ -117,7 +102,7 @@ def land(table: DataFrame, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = True) -> DataFrame:
     """CSV corpus with typed columns, each file read by its own header. Values that do not fit a type are null."""
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    table = read_by_header(spark, list_files(spark, path), wanted.names, multiline)
+    table = read_by_header(spark, path, wanted.names, multiline)
     return table.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
@@ -138,7 +123,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
 def read_shards(spark: SparkSession, folder: str, tolerant: bool = True, glob: str = fixed.SHARD_GLOB,
                 multiline: bool = True) -> DataFrame:
     """All shards of fetched records, each by its own header; unreadable ones are skipped if tolerant."""
-    return read_by_header(spark, list_files(spark, folder, glob), fixed.RECORD_COLUMNS, multiline, tolerant=tolerant)
+    return read_by_header(spark, folder, fixed.RECORD_COLUMNS, multiline, tolerant=tolerant, glob=glob)
 
 
 def read_seen_ids(spark: SparkSession, folder: str, glob: str = fixed.SHARD_GLOB, multiline: bool = True) -> DataFrame:

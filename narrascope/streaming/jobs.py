@@ -5,11 +5,13 @@ Progress is kept in the checkpoint folder of each query; a rerun takes up only n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from narrascope import fixed_values as fixed
@@ -17,8 +19,13 @@ from narrascope.operators.aggregates import file_tally
 from narrascope.operators.lexicon import Entry
 from narrascope.operators.windows import failure_streak, open_streaks
 from narrascope.plans.flows import categorise_posts
+from narrascope.session import cut_lineage
+from narrascope.sinks.commits import commit, new_batch, read_committed, stage
 from narrascope.sinks.writers import write_routed
-from narrascope.sources.posts import header_groups, read_by_header
+from narrascope.sources.ids import LEDGER_SCHEMA
+from narrascope.sources.posts import has_text, scan_tree, stored_records, table_of
+
+REJECTED = "file string, reason string"
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000, glob: str = "*.csv") -> DataFrame:
@@ -38,38 +45,68 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, glob: str |
     return reader.parquet(path)
 
 
-def start_ingest(files: DataFrame, output: str, checkpoint: str, entries: Iterable[Entry] | None = None,
-                 general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False, multiline: bool = True) -> StreamingQuery:
-    """Categorise and route new files (see `stream_files`), and add them to the ledger, once each.
+def _one_path(column: Column) -> Column:
+    """A path as text, however many slashes its scheme is written with."""
+    return F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
+
+
+def ingest_files(files: DataFrame, output: str, entries: Iterable[Entry] | None = None, general_terms: Sequence[str] = fixed.GENERAL_TERMS,
+                 compat: bool = False, multiline: bool = True) -> str | None:
+    """Categorise and route the files (path) that no committed batch holds; gives the name of the new batch, if there is one.
 
-    Each file is read by its own header. A file without a text column is not read and not entered in the ledger; it
-    is listed below `rejected`. A batch is written below its own number and overwrites what a failed attempt
-    left there, so a replay changes nothing; the ledger is written last.
+    Each file is read by its own header. A file without a text column is listed among the `rejected`, without a ledger row.
+    Posts, ledger and rejected files become visible together by one manifest (see `commits`): an attempt that is killed, or a
+    stream whose checkpoint is lost, adds no row twice.
+    """
+    spark = files.sparkSession
+    known = [read_committed(spark, output, table, kinds).select("file") for table, kinds in (("ledger", LEDGER_SCHEMA), ("rejected", REJECTED))]
+    asked = files.select(F.col("path"), _one_path(F.col("path")).alias("file")).distinct()
+    new = asked.join(known[0].union(known[1]).select(_one_path(F.col("file")).alias("file")), "file", "left_anti")
+    # As many paths as the caller takes up at once.
+    names = sorted(r.path for r in new.collect())
+    if not names:
+        return None
+    batch = new_batch()
+    records, layouts = stored_records(spark, names, multiline=multiline)
+    headers = [r.header for r in layouts.select("header").distinct().collect()]
+    usable = layouts.where(F.col("header").isin([h for h in headers if has_text(h)]))
+    rejected = layouts.join(usable, "file", "left_anti").select("file", F.lit("no text column").alias("reason"))
+    stage(rejected, output, "rejected", batch)
+    posts = table_of(records, cut_lineage(usable), lineage=True, text_names=fixed.TEXT_COLUMN_NAMES)
+    present = {c.lower() for c in posts.columns}
+    absent = [F.lit(None).cast("string").alias(c) for c in fixed.POST_COLUMNS if c.lower() not in present]
+    done = categorise_posts(posts.select("*", *absent), entries, general_terms, compat).persist()
+    try:
+        write_routed(done, f"{output}/posts/batch={batch}", mode="overwrite")
+        stage(file_tally(done, "source_path"), output, "ledger", batch)
+    finally:
+        done.unpersist()
+    commit(spark, output, batch)
+    return batch
+
+
+def ingest_tree(spark: SparkSession, root: str, output: str, files_per_batch: int = 1000, entries: Iterable[Entry] | None = None,
+                general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False, multiline: bool = True) -> list[str]:
+    """A run over the CSV files of a tree that the ledger does not hold, in batches of about `files_per_batch` files.
+
+    Gives the names of the new batches. A run that was broken off goes on with the files that are left.
     """
     entries = None if entries is None else list(entries)
+    files = cut_lineage(scan_tree(spark, root).select(F.col("file").alias("path")))
+    parts = max(1, -(-files.count() // files_per_batch))
+    found = [ingest_files(files.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == part), output, entries, general_terms, compat, multiline)
+             for part in range(parts)]
+    return [batch for batch in found if batch]
+
+
+def start_ingest(files: DataFrame, output: str, checkpoint: str, entries: Iterable[Entry] | None = None,
+                 general_terms: Sequence[str] = fixed.GENERAL_TERMS, compat: bool = False, multiline: bool = True) -> StreamingQuery:
+    """`ingest_files` for the new files of a stream (see `stream_files`). The committed ledger decides what is new, so that
+    replays and lost checkpoints change nothing."""
+    entries = None if entries is None else list(entries)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # The names of a batch's files: as many as the stream takes up at once.
-        names = sorted(r.path for r in batch.select("path").distinct().collect())
-        wanted = {n.lower() for n in fixed.TEXT_COLUMN_NAMES}
-        usable, rejected = [], []
-        for header, group in header_groups(spark, names).items():
-            (usable if any(c.strip().lower() in wanted for c in header) else rejected).extend(group)
-        if rejected:
-            spark.createDataFrame([(f, "no text column") for f in rejected], "file string, reason string").write.mode(
-                "overwrite").parquet(f"{output}/rejected/batch={number}")
-        if not usable:
-            return
-        posts = read_by_header(spark, usable, multiline=multiline, lineage=True, text_names=fixed.TEXT_COLUMN_NAMES)
-        absent = [F.lit(None).cast("string").alias(c) for c in fixed.POST_COLUMNS if c not in posts.columns]
-        done = categorise_posts(posts.select("*", *absent), entries, general_terms, compat).persist()
-        try:
-            write_routed(done, f"{output}/posts/batch={number}", mode="overwrite")
-            tally = file_tally(done, "source_path")
-            tally.write.mode("overwrite").parquet(f"{output}/ledger/batch={number}")
-        finally:
-            done.unpersist()
+        ingest_files(batch.select("path"), output, entries, general_terms, compat, multiline)
 
     return (files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -83,6 +120,36 @@ def dedup_stream(df: DataFrame, key: str, time: str | None = None, lateness: str
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
+def dedup_with_expiry(df: DataFrame, key: str, time: str, lifetime: str = "1 day", lateness: str = "1 hour", renew: bool = False) -> DataFrame:
+    """First row per id; an id is remembered for `lifetime` after it was first seen (last seen, with `renew`) and then leaves the state.
+
+    Times are event times. Rows older than the watermark (`lateness` behind the newest row) are dropped, so that a late copy of
+    an id that has left does not come through; a copy that is newer than the lifetime is a first row again. Rows without id or time are dropped.
+    """
+    kept = df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    span = int(pd.Timedelta(lifetime) / pd.Timedelta("1ms"))
+
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until, out = (state.get[0] if state.exists else None), []
+        rows = pd.concat(list(parts)).sort_values(time, kind="stable")
+        at = rows[time].dt.tz_localize(None).astype("datetime64[ms]").astype("int64").to_numpy()
+        for i, t in enumerate(at):
+            if until is None or t > until:
+                out.append(i)
+                until = int(t) + span
+            elif renew:
+                until = max(until, int(t) + span)
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[out]
+
+    return kept.withWatermark(time, lateness).groupBy(key).applyInPandasWithState(
+        step, kept.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def start_streaks(df: DataFrame, output: str, checkpoint: str, worker: str, order: Sequence[str], failed: Column,
                   piece: Column, limit: int = fixed.STREAK_LIMIT) -> StreamingQuery:
     """Streaks batch by batch, also for workers too busy to be held in one task.

@@ -12,7 +12,8 @@ def test_contract(spark):
     assert oracles <= names and len(names) > 70
     # Queries without SQL are the fitted models and what depends on them.
     assert names - oracles == {"language_id", "density_cluster", "sentiment_model", "narrative_analysis",
-                                               "record_languages", "reduce_dimensions"}
+                                               "record_languages", "reduce_dimensions",
+                                               "near_pairs_projected", "reachability_clusters", "language_segments"}
 
 
 def test_entry(spark):

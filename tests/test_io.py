@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from narrascope import fixed_values as fixed
 from narrascope.plans import flows
+from narrascope.sinks import commits as C
 from narrascope.sinks import writers as O
 from narrascope.sources import ids as I
 from narrascope.sources import posts as S
@@ -33,8 +34,8 @@ def test_id_lists_and_maps(spark, tmp_path):
     rows = I.read_id_list(spark, str(tmp_path)).orderBy("source_date", "pos").collect()
     assert [(r.source_date, r.id) for r in rows] == [("2022-10-02", "7"), ("2022-3-1", "7"), ("2022-3-1", "9"), ("2022-3-1", "8")]
     assert [r.source_date for r in I.list_id_files(spark, str(tmp_path)).collect()] == ["2022-10-02", "2022-3-1"]
-    (tmp_path / "map.txt").write_text("1,200\n2,timeout\n")
-    assert [tuple(r) for r in I.read_status_map(spark, str(tmp_path / "map.txt")).collect()] == [("1", 200, None), ("2", None, "timeout")]
+    (tmp_path / "map.txt").write_text("2,200\n1,200\n2,404\n 2 ,timeout\n")
+    assert [tuple(r) for r in I.read_status_map(spark, str(tmp_path / "map.txt")).orderBy("id").collect()] == [("1", 200, None), ("2", None, "timeout")]
     (tmp_path / "failed_worker_0.txt").write_text("5 — write error — again\n10 — empty result\n5 — x\n", encoding="utf-8")
     failed = I.read_failures(spark, str(tmp_path))
     assert failed.first().reason == "write error — again"
@@ -74,7 +75,8 @@ def test_routed_outputs(spark, tmp_path):
 def ingest(spark, root):
     files = J.stream_files(spark, f"{root}/in")
     J.start_ingest(files, f"{root}/out", f"{root}/check").awaitTermination()
-    return spark.read.parquet(f"{root}/out/posts").count(), sorted(r.total for r in I.read_ledger(spark, f"{root}/out/ledger").collect())
+    out = f"{root}/out"
+    return C.read_committed(spark, out, "posts").count(), sorted(r.total for r in C.read_committed(spark, out, "ledger", I.LEDGER_SCHEMA).collect())
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
@@ -98,8 +100,8 @@ def test_files_are_read_by_their_own_header(spark, tmp_path):
     assert sorted((r.tweetid or "", r.text or "", r.language or "") for r in posts.collect()) == [
         ("", "", ""), ("1", "red cross here", "en"), ("2", "caritas helps", "ru")]
     assert ingest(spark, tmp_path) == (2, [1, 1])
-    assert [r.file.split("/")[-1] for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == ["c.csv"]
-    assert {(r.category, r.lang_bucket) for r in spark.read.parquet(f"{tmp_path}/out/posts").collect()} == {
+    assert [r.file.split("/")[-1] for r in C.read_committed(spark, f"{tmp_path}/out", "rejected").collect()] == ["c.csv"]
+    assert {(r.category, r.lang_bucket) for r in C.read_committed(spark, f"{tmp_path}/out", "posts").collect()} == {
         ("red_cross", "en"), ("faith_based", "ru")}
 
 
