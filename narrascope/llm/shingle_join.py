@@ -29,6 +29,8 @@ from narrascope.operators.components import connected_components
 BLOCK = 256
 #: Words of bitmaps that are compared at once.
 CHUNK = 1 << 21
+#: Groups of up to so many sets are compared pair by pair, without arrays.
+FEW = 6
 #: How often each set is looked up against a center before all that still meet are compared.
 CENTERS = 1
 #: Texts of the sample that tells which n-grams are frequent, how often such a one stands in it, and how many are kept. They
@@ -126,6 +128,29 @@ def chained(near: np.ndarray, names: np.ndarray, other_names: np.ndarray) -> tup
         own, other = new_own, new_other
 
 
+def chained_few(sizes: list[int], maps: list[bytes], names: list[int], percent: int) -> tuple[list[int], list[int]]:
+    """(chain, name) of the sets of a small group that are near another: what `may_link` and `chained` find, pair by pair."""
+    bits, together, near = [int.from_bytes(m, "little") for m in maps], Union(), set()
+    for a in range(len(names)):
+        for b in range(a):
+            own, other = sizes[a], sizes[b]
+            if 100 * min(own, other) < percent * max(own, other):
+                continue
+            width = 8 * min(len(maps[a]), len(maps[b]))
+            if (_folded(bits[a], 8 * len(maps[a]), width) ^ _folded(bits[b], 8 * len(maps[b]), width)).bit_count() <= allowed(own + other, percent):
+                together.join(names[a], names[b])
+                near.update((a, b))
+    return [together.find(names[a]) for a in near], [names[a] for a in near]
+
+
+def _folded(bits: int, length: int, width: int) -> int:
+    """A bitmap of some length folded to a width."""
+    while length > width:
+        length //= 2
+        bits = (bits >> length) ^ (bits & ((1 << length) - 1))
+    return bits
+
+
 class PrefixTree:
     """Sets as a prefix tree: in lexicographic order, each with the depth it shares with the one before."""
 
@@ -265,21 +290,30 @@ class Union:
         return x != y
 
 
-def _by_group(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """What `run` makes of the rows of each key; for many small groups lighter than a call from the JVM for each."""
+def _by_group(df: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarray]], tuple[list, list]], schema: str) -> DataFrame:
+    """Rows of two long columns that `run` makes of the columns of each key. Most groups are of a few rows, so that a call from the JVM or
+    a frame for each would cost more than the work."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
+
+        def found(rows: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+            columns = {c: rows[c].to_numpy() for c in rows.columns}
+            out: tuple[list, list] = ([], [])
+            for a, b in zip(edges, edges[1:]):
+                for side, values in zip(out, run({c: v[a:b] for c, v in columns.items()})):
+                    side.extend(values)
+            return pd.DataFrame({n: np.array(v, np.int64) for n, v in zip(names, out)})
+
         for batch in batches:
             rows = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
             values = rows[keys].to_numpy()
-            edges = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1 if len(rows) else []
-            if len(edges):
-                found = [run(rows.iloc[a:b]) for a, b in zip((0, *edges[:-1]), edges)]
-                yield pd.concat(found, ignore_index=True)
-                rows = rows.iloc[edges[-1]:]
-            rest = rows
+            edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist()]
+            yield found(rows, edges)
+            rest = rows.iloc[edges[-1]:]
         if rest is not None and len(rest):
-            yield run(rest)
+            yield found(rest, [0, len(rest)])
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
 
@@ -303,16 +337,17 @@ def _narrow(members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     groups, _ = write_table(members.join(least, "node").select(F.col("least").alias("node"), "id").distinct(), "groups")
     rows = _blocks(groups).join(bitmaps, "id").select("node", "i", "j", "own", "id", "n", "bits")
 
-    def probe(block: pd.DataFrame) -> pd.DataFrame:
-        i, j = block["i"].iloc[0], block["j"].iloc[0]
-        sides = [(x["n"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["bits"]], x["id"].to_numpy())
-                 for x in (block[block["own"] == i], block[block["own"] == j])]
+    def probe(rows: dict[str, np.ndarray]) -> tuple[list, list]:
+        i, j, ids = rows["i"][0], rows["j"][0], rows["id"]
+        if len(ids) <= FEW and i == j:
+            return chained_few(rows["n"].tolist(), rows["bits"], ids.tolist(), percent)
+        sides = [(rows["n"][at], [np.frombuffer(b, np.uint64) for b in rows["bits"][at]], ids[at]) for at in (rows["own"] == i, rows["own"] == j)]
         near = may_link(*sides[0][:2], *sides[1][:2], percent)
         if i == j:
             np.fill_diagonal(near, False)
         names = np.concatenate(chained(near, sides[0][2], sides[1][2]))
-        ids = np.concatenate((sides[0][2], sides[1][2]))
-        return pd.DataFrame({"node": names[names >= 0], "id": ids[names >= 0]})
+        both = np.concatenate((sides[0][2], sides[1][2]))
+        return names[names >= 0].tolist(), both[names >= 0].tolist()
 
     found, _ = write_table(_by_group(rows, ["node", "i", "j"], probe, "node long, id long").distinct(), "chains")
     # The chains of a large group come from many pairs of blocks: those that share a set take the least name around.
@@ -328,19 +363,20 @@ def _check_groups(opened: DataFrame, sets: DataFrame, percent: int, pairs: bool)
     """
     rows = _blocks(opened, 1, pairs).join(sets, "id").select("node", "i", "j", "own", "component", "id", "grams")
 
-    def probe(block: pd.DataFrame) -> pd.DataFrame:
-        i, j = block["i"].iloc[0], block["j"].iloc[0]
-        stored, asked = block[block["own"] == i], block[block["own"] == j]
-        found, together = [], Union()
-        if block["component"].nunique() > 1:
-            sides = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (stored, asked)]
-            near = may_link(*(x for side in sides for x in (np.array([len(g) for g in side]), [signature(g) for g in side])), percent)
-            tree, group, names = PrefixTree(sides[0]), stored["component"].to_numpy(), stored["id"].to_numpy()
-            for q, (g, c, u) in enumerate(zip(sides[1], asked["component"], asked["id"], strict=True)):
-                for k in tree.walk(g, percent, lambda k: near[k, q] and together.find(group[k]) != together.find(c)):
-                    together.join(group[k], c)
-                    found.append((u, names[k]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    def probe(rows: dict[str, np.ndarray]) -> tuple[list, list]:
+        component, ids, left, right = rows["component"], rows["id"], [], []
+        if (component == component[0]).all():
+            return left, right
+        at = [np.flatnonzero(rows["own"] == rows[side][0]) for side in ("i", "j")]
+        sides = [[np.frombuffer(g, np.uint64) for g in rows["grams"][x]] for x in at]
+        near = may_link(*(x for side in sides for x in (np.array([len(g) for g in side]), [signature(g) for g in side])), percent)
+        tree, together, group, names = PrefixTree(sides[0]), Union(), component[at[0]].tolist(), ids[at[0]].tolist()
+        for q, (g, c, u) in enumerate(zip(sides[1], component[at[1]].tolist(), ids[at[1]].tolist(), strict=True)):
+            for k in tree.walk(g, percent, lambda k: near[k, q] and together.find(group[k]) != together.find(c)):
+                together.join(group[k], c)
+                left.append(u)
+                right.append(names[k])
+        return left, right
 
     return _by_group(rows, ["node", "i", "j"], probe, "u long, v long")
 

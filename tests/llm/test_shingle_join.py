@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from narrascope.llm.shingle_join import PrefixTree, Union, chained, drop_near_duplicates, may_link, near_duplicate_query, nodes, signature
+from narrascope.llm.shingle_join import PrefixTree, Union, chained, chained_few, drop_near_duplicates, may_link, near_duplicate_query, nodes, signature
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -140,6 +140,12 @@ def test_bitmaps_never_part_linked_sets():
         near = may_link(sizes, maps, sizes, maps, percent)
         linked = np.array([[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets])
         assert not (linked & ~near).any() and near.sum() < 1.5 * linked.sum()
+        for at in (list(range(0, len(sets), 9)), [0, 1], [len(sets) - 1, len(sets) - 2, 3], [4]):
+            part = near[np.ix_(at, at)] & ~np.eye(len(at), dtype=bool)
+            names = np.array(at) + 100
+            own, _ = chained(part, names, names)
+            few = chained_few(sizes[at].tolist(), [maps[i].tobytes() for i in at], names.tolist(), percent)
+            assert sorted(zip(*few)) == sorted((c, n) for c, n in zip(own.tolist(), names.tolist()) if c >= 0)
 
 
 def test_chains_over_near_pairs():
