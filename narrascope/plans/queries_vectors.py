@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.operators import cluster as C
@@ -36,9 +36,11 @@ def near_pairs_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thirds(points: DataFrame) -> DataFrame:
     """Three coordinates from all components: the sums of every third one."""
-    parts = [F.round(F.aggregate(F.filter(F.transform("embedding", lambda v, i, k=k: F.when(i % 3 == k, v.cast("double"))), lambda v: v.isNotNull()),
-                                 F.lit(0.0), lambda s, v: s + v), 9) for k in range(3)]
-    return points.select("vec_id", F.array(*parts).alias("x"))
+    def total(k: int) -> Column:
+        own = F.filter("embedding", lambda v, i: i % 3 == k)
+        return F.round(F.aggregate(own, F.lit(0.0), lambda s, v: s + v.cast("double")), 9)
+
+    return points.select("vec_id", F.array(*map(total, range(3))).alias("x"))
 
 
 SQL_THIRDS = "thirds as (select vec_id, " + ", ".join(

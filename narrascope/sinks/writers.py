@@ -91,7 +91,7 @@ def write_merged(records: DataFrame, path: str, one_file: bool = False, redo: bo
 def deduplicate_in_place(spark: SparkSession, path: str, key: str, order: Sequence[str], outputs: Sequence[str] = ROUTE) -> int:
     """Keep the first row per key in each output of a partitioned table; gives the number of partitions that changed.
 
-    `order` has to tell the rows of a key apart. Only partitions that hold a later row of a key are written again, so
+    `order` has to tell the rows of an output apart. Only partitions that hold a later row of a key are written again, so
     the files of all others stay as they are; a partition that keeps no row is deleted. Null keys are no repeats.
     """
     read = spark.read.option("mergeSchema", True).parquet(path)
@@ -101,7 +101,7 @@ def deduplicate_in_place(spark: SparkSession, path: str, key: str, order: Sequen
     # Partition columns stand in the path of any file, its folder in that of its own.
     by = [p.split("=")[0] for p in some.f.split("/")[:-1] if "=" in p and p.split("=")[0] in read.columns]
     rows = read.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
-    flagged = flag_duplicates(rows.where(F.col(key).isNotNull()), [*outputs, key], list(order))
+    flagged = flag_duplicates(rows.where(F.col(key).isNotNull()), [*outputs, key], [*order, *outputs])
     counts = flagged.groupBy(*by, "_folder").agg(F.count_if("is_duplicate").alias("later")).where("later > 0").select(*by, "_folder")
     # One row for each partition that changes.
     changed = cut_lineage(counts)
