@@ -12,6 +12,7 @@ lie together; grams of up to LOW + 1 bytes, which the alphabet bounds, go to all
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.spark import bounded_rows, remainder, small_batches, write_table
-from narrascope.llm.texts import LOWER_BYTES, word_hashes
+from narrascope.llm.texts import word_hashes
 
 ORDER = 5
 #: Bytes that UTF-8 never holds: before the start of a text, and its end.
@@ -30,7 +31,7 @@ SYMBOLS = 256
 #: Bytes of the longest context whose grams are sent to all tasks that work out costs.
 LOW = 2
 #: Bounds on the grams whose costs, and on the words whose counts are sent to all tasks. All others are joined.
-NODES, HEAD = 1 << 21, 1 << 20
+NODES, HEAD = 1 << 20, 1 << 20
 #: Values that a task gathers before it hands them on, and bytes of a text worked on at once.
 GATHER, PIECE = 1 << 20, 1 << 18
 
@@ -69,21 +70,51 @@ class Table:
         return found
 
 
-def lowered(text: str | None) -> np.ndarray:
-    return LOWER_BYTES[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+def lowered(text: str | None) -> bytes:
+    """The bytes of a text, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def _pack(raw: np.ndarray) -> np.ndarray:
+    """All runs of ORDER + 1 bytes as numbers."""
+    wide = raw.astype(np.uint64)
+    packed = wide[:len(wide) - ORDER].copy()
+    for i in range(1, ORDER + 1):
+        packed <<= np.uint64(8)
+        packed |= wide[i:len(wide) - ORDER + i]
+    return packed
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """For each byte of the lower-cased text and its end, the five bytes before it and itself, packed; in pieces."""
-    raw = np.concatenate((np.full(ORDER, START, np.uint8), lowered(text), np.full(1, END, np.uint8)))
-    for at in range(0, len(raw) - ORDER, PIECE):
-        part = raw[at:at + PIECE + ORDER].astype(np.uint64)
-        packed = np.zeros(len(part) - ORDER, dtype=np.uint64)
-        for i in range(ORDER + 1):
-            packed = (packed << np.uint64(8)) | part[i:len(part) - ORDER + i]
+    for packed, _ in packed_texts([lowered(text)]):
         yield packed
 
 
+def packed_texts(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, numbers of their texts) of lower-cased texts, in pieces: short texts are packed together, long ones cut."""
+    start, end = bytes([START]) * ORDER, bytes([END])
+    first = 0
+    while first < len(raws):
+        last, size = first, 0
+        while last < len(raws) and (last == first or size + len(raws[last]) <= PIECE):
+            size += len(raws[last])
+            last += 1
+        raw = np.frombuffer(start + (end + start).join(raws[first:last]) + end, np.uint8)
+        lengths = np.array([len(r) + 1 for r in raws[first:last]])
+        if last - first == 1:
+            for at in range(0, len(raw) - ORDER, PIECE):
+                packed = _pack(raw[at:at + PIECE + ORDER])
+                yield packed, np.full(len(packed), first)
+        else:
+            # Runs that end in the bytes before a text belong to none.
+            keep = np.ones(len(raw) - ORDER, bool)
+            edges = np.cumsum(lengths[:-1] + ORDER) - ORDER
+            keep[(edges[:, None] + np.arange(ORDER)).ravel()] = False
+            yield _pack(raw)[keep], np.repeat(np.arange(first, last), lengths)
+        first = last
+
+
 def summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, with the sums of their numbers."""
     order = np.argsort(values, kind="stable")
@@ -121,29 +152,40 @@ class Counter:
         self.parts, self.size = [], 0
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of lower-cased words."""
+    return word_hashes(b" ".join(words).decode("utf-8", "surrogatepass")) if words else np.empty(0, np.uint64)
+
+
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (kind, value, n): words by hash as kind 0, packed byte grams as kind 1."""
-    words, packed = Counter(), Counter()
+    words, packed = collections.Counter(), Counter()
 
     def rows(kind: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
         for values, n in found:
             yield pd.DataFrame({"kind": kind, "value": values.view(np.int64), "n": n})
 
+    def told() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield _hashes(list(words)), np.fromiter(words.values(), np.int64, len(words))
+        words.clear()
+
     for batch in batches:
         own: list[np.ndarray] = []
-        for text in batch.iloc[:, 0]:
-            if text:
-                words.add(word_hashes(text))
-            for part in grams(text):
-                own.append(part)
-                if sum(map(len, own)) > GATHER:
-                    packed.add(np.concatenate(own))
-                    own = []
+        raws = [lowered(text) for text in batch.iloc[:, 0]]
+        for raw in raws:
+            # Bytes are split at the same blanks as words are.
+            words.update(raw.split())
+        for part, _ in packed_texts(raws):
+            own.append(part)
+            if sum(map(len, own)) > GATHER:
+                packed.add(np.concatenate(own))
+                own = []
         if own:
             packed.add(np.concatenate(own))
-        yield from rows(0, words.overflow())
+        if len(words) > GATHER:
+            yield from rows(0, told())
         yield from rows(1, packed.overflow())
-    yield from rows(0, words.rest())
+    yield from rows(0, told())
     yield from rows(1, packed.rest())
 
 
@@ -248,26 +290,9 @@ class Ppm:
 
     def score_all(self, texts: list[str | None]) -> np.ndarray:
         """log10 probability of each text; short texts are worked on together."""
-        result, held, owners, size = np.zeros(len(texts)), [], [], 0
-
-        def flush() -> None:
-            nonlocal size
-            if held:
-                logs = self.log10(np.concatenate(held))
-                starts = np.cumsum([0, *map(len, held[:-1])])
-                np.add.at(result, owners, np.add.reduceat(logs, starts))
-            held.clear()
-            owners.clear()
-            size = 0
-
-        for i, text in enumerate(texts):
-            for part in grams(text):
-                held.append(part)
-                owners.append(i)
-                size += len(part)
-                if size >= PIECE:
-                    flush()
-        flush()
+        result = np.zeros(len(texts))
+        for packed, owners in packed_texts([lowered(t) for t in texts]):
+            result += np.bincount(owners, self.log10(packed), len(texts))
         return result
 
 
@@ -296,11 +321,20 @@ def fit_ppm(counts: DataFrame, order: int = ORDER) -> Ppm:
 
 
 def frequent_costs(counts: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest grams whose share of the corpus is at least 1 / nodes (at most `nodes`), and their log10 probabilities."""
-    packed = counts.where("kind = 1").select("value", "n", F.shiftright("value", 8).alias("context"))
-    total = packed.agg(F.sum("n")).first()[0] or 0
+    """The most frequent of the longest grams, at most `nodes`, and their log10 probabilities.
+
+    Where to cut is told by the number of grams in steps of an eighth of a doubling; grams of one step are taken or left together.
+    """
+    packed = counts.where("kind = 1").select("value", "n", F.shiftright("value", 8).alias("context"), F.floor(F.log2("n") * 8).alias("step"))
+    steps = sorted(packed.groupBy("step").agg(F.count("*").alias("grams")).collect(), reverse=True)
+    least, held = 1 << 20, 0
+    for row in steps:
+        held += row.grams
+        if held > nodes:
+            break
+        least = row.step
     contexts = packed.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
-    found = bounded_rows(packed.where(F.col("n") >= max(1, -(-total // nodes))).join(contexts, "context").select(
+    found = bounded_rows(packed.where(F.col("step") >= least).join(contexts, "context").select(
         "value", (F.col("n") / (F.col("total") + F.col("distinct"))).alias("p")))
     return found["value"].to_numpy(np.int64).view(np.uint64), np.log10(found["p"].to_numpy(np.float64))
 
@@ -352,21 +386,45 @@ def _score_rows(frequent: np.ndarray, costs: np.ndarray, head: np.ndarray, head_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, gram_table = Table(head), Table(frequent)
         logs, gram_logs = np.append(head_logs, 0.0), np.append(costs, 0.0)
+        known_words: dict[bytes, tuple[float, int]] = {}
+
+        def learn(words: list[bytes]) -> None:
+            """Remember for each word its log10 probability and no hash, or 1 and the hash to look up."""
+            hashes = _hashes(words)
+            at = table.find(hashes)
+            for word, value, place in zip(words, hashes.view(np.int64).tolist(), at.tolist()):
+                known_words[word] = (float(logs[place]), 0) if place >= 0 else (1.0, value)
+
         for batch in batches:
+            raws = [lowered(t) for t in batch.iloc[:, 1]]
+            score, others = np.zeros(len(raws)), [[] for _ in raws]
+            for part, owners in packed_texts(raws):
+                place = gram_table.find(part)
+                score += np.bincount(owners, gram_logs[place], len(raws))
+                missing = np.flatnonzero(place < 0)
+                if len(missing):
+                    of = owners[missing]
+                    edges = np.flatnonzero(np.diff(of)) + 1
+                    for own, values in zip(of[np.concatenate(([0], edges))], np.split(part[missing], edges)):
+                        others[own].append(values)
             rows = []
-            for doc, text in batch.itertuples(index=False):
-                words = word_hashes(text) if text else np.empty(0, np.uint64)
-                at = table.find(words)
-                rare, times = np.unique(words[at < 0], return_counts=True)
-                score, others = 0.0, Counter()
-                for part in grams(text):
-                    place = gram_table.find(part)
-                    score += float(gram_logs[place].sum())
-                    others.add(part[place < 0])
-                more, more_times = next(others.rest(), (rare[:0], times[:0]))
-                rows.append((doc, len(words) + 1, int((at >= 0).sum()) + end_known, float(logs[at[at >= 0]].sum() + end_log), score,
-                             np.repeat((0, 1), (len(rare), len(more))), np.concatenate((rare, more)).view(np.int64),
-                             np.concatenate((times, more_times))))
+            for doc, raw, own_score, more in zip(batch.iloc[:, 0], raws, score, others):
+                counts = collections.Counter(raw.split())
+                if len(known_words) > GATHER:
+                    known_words.clear()
+                learn([w for w in counts if w not in known_words])
+                base, known, rare, times = end_log, end_known, [], []
+                for word, n in counts.items():
+                    log, value = known_words[word]
+                    if log <= 0:
+                        base += n * log
+                        known += n
+                    else:
+                        rare.append(value)
+                        times.append(n)
+                values = np.concatenate((np.array(rare, np.int64), *(m.view(np.int64) for m in more)))
+                rows.append((doc, counts.total() + 1, known, base, own_score, np.repeat((0, 1), (len(rare), len(values) - len(rare))), values,
+                             np.concatenate((np.array(times, np.int64), np.ones(len(values) - len(rare), np.int64)))))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "known", "base", "score", "kinds", "values", "times"]).astype(
                 {"doc_id": "Int64"})
 
