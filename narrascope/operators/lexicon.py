@@ -15,7 +15,7 @@ from narrascope.functions import text as X
 from narrascope.operators.rows import compute_once, explode_rows
 
 LEXICON_SCHEMA = "category string, priority int, keyword string, match_mode string"
-# Above this many keywords, match by join.
+# Keywords of one pattern; a longer list becomes several.
 PATTERN_KEYWORDS = 500
 _NO_SPACES_SCRIPT = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 

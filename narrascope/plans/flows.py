@@ -21,6 +21,7 @@ from narrascope.operators import models as M
 from narrascope.operators import predicates as R
 from narrascope.operators import topics as T
 from narrascope.operators import windows as W
+from narrascope.operators.reachability import reachability_clusters
 from narrascope.operators.rows import compute_once
 from narrascope.session import cut_lineage
 
@@ -118,20 +119,27 @@ def prepare_corpus(corpus: DataFrame, keep_languages: Iterable[str] = ("en",), t
 def narrative_tables(docs: DataFrame, time: str = "tweetcreatedts", stop_words: Iterable[str] | None = None,
                      sentiment: Callable[[DataFrame], DataFrame] | None = None, dims: int = 3, levels: int = 8,
                      bins: int = fixed.TIME_BINS, min_cluster_size: int = fixed.MIN_CLUSTER_SIZE,
-                     labels: Sequence[str] = fixed.SENTIMENT_LABELS) -> dict[str, DataFrame]:
+                     labels: Sequence[str] = fixed.SENTIMENT_LABELS, clusters: str = "grid") -> dict[str, DataFrame]:
     """All analysis tables of prepared docs (doc_id, clean_text, time [, embedding] [, topic]).
 
     Docs are written out after the filters, after embedding and after clustering, as each of these
     results is read several times. A given `topic` column skips clustering, a given `embedding` column
-    the built-in embedding. `sentiment` adds a `sentiment` column to the docs.
+    the built-in embedding. `sentiment` adds a `sentiment` column to the docs. `clusters` is `grid`, whose model places new
+    posts too, or `reachability`, the clusters of the mutual-reachability tree.
     """
+    if clusters not in ("grid", "reachability"):
+        raise ValueError(f"no clusters of kind {clusters}")
     if "topic" not in docs.columns:
         docs = cut_lineage(docs)
         if "embedding" not in docs.columns:
             tokenised = T.tokenise_ngrams(docs, "clean_text", stop_words)
             docs = cut_lineage(M.embed_text(tokenised, M.fit_embedding(tokenised)).drop("terms"))
         docs = C.reduce_dimensions(docs, dims)
-        docs = C.density_cluster(docs, "reduced", "doc_id", dims, levels, min_cluster_size).drop("reduced")
+        if clusters == "grid":
+            docs = C.density_cluster(docs, "reduced", "doc_id", dims, levels, min_cluster_size).drop("reduced")
+        else:
+            found = reachability_clusters(docs, "reduced", "doc_id", dims, levels, min_cluster_size).withColumnRenamed("id", "doc_id")
+            docs = docs.drop("reduced").join(found, "doc_id", "left").na.fill(-1, ["topic"]).na.fill(0.0, ["prob"])
     elif "prob" not in docs.columns:
         docs = docs.withColumn("prob", F.when(F.col("topic") >= 0, 1.0).otherwise(0.0))
     docs = T.tokenise_ngrams(docs, "clean_text", stop_words)

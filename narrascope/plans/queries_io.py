@@ -30,7 +30,7 @@ from narrascope.plans.queries_tables import SQL_STATUS, status_table
 from narrascope.plans.queries_text import (CATEGORY_ORDER, GENERAL, LEXICON, SQL_TAGGED, WORD, sql_element, sql_inner, sql_score,
                                            sql_strip, sql_words, tagged)
 from narrascope.plans.registry import load, query
-from narrascope.session import scratch_path
+from narrascope.session import cut_lineage, scratch_path
 from narrascope.sinks import commits as C
 from narrascope.sinks import writers as O
 from narrascope.sources import ids as I
@@ -229,7 +229,7 @@ count(*) filter (len(categories) > 1) as multi_category from tagged group by sou
 def append_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows appended in two runs, the second for the files the first left out."""
     path = scratch_path(spark, "ledger")
-    tally = A.file_tally(tagged(spark, sf_dir), "source").persist()
+    tally = cut_lineage(A.file_tally(tagged(spark, sf_dir), "source"))
     O.append_ledger(tally.where("file < 'src3'"), path)
     O.append_ledger(anti_processed_files(tally, I.read_ledger(spark, path)), path)
     return I.read_ledger(spark, path).select("file", "total", "matched", "multi_category")

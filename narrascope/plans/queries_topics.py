@@ -171,26 +171,6 @@ def density_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "topic", F.round("prob", 6).alias("prob"))
 
 
-SQL_CELLS = """points as (select vec_id, [embedding[1]::double, embedding[2]::double] as x from embeddings),
-box as (select min(x[1]) as l1, min(x[2]) as l2, greatest(max(x[1]) - min(x[1]), max(x[2]) - min(x[2])) as s from points),
-placed as (select vec_id, least(floor((x[1] - l1) / s * 32), 31)::int as a, least(floor((x[2] - l2) / s * 32), 31)::int as b from points, box),
-cells as (select a, b, count(*) as n from placed group by a, b),
-dense as (select c.a, c.b, any_value(c.n) as n from cells c join cells d on abs(c.a - d.a) <= 1 and abs(c.b - d.b) <= 1
-    group by c.a, c.b having sum(d.n) >= 8),
-reach as (select a, b, a as ra, b as rb from dense union select r.a, r.b, d.a, d.b from reach r join dense d
-    on abs(r.ra - d.a) <= 1 and abs(r.rb - d.b) <= 1),
-regions as (select a, b, min(ra * 100 + rb) as region from reach group by a, b)"""
-
-
-@query("density_regions", f"""with recursive {SQL_CELLS}
-select count(*) as cells, sum(n)::bigint as points from regions join dense using (a, b) group by region""")
-def density_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected dense regions of one grid level, over the first two vector dimensions: cells and points of each."""
-    points = load(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 2).alias("x"))
-    regions = C.level_regions(points, "x", dims=2, level=5, min_points=8)
-    return regions.groupBy("region").agg(F.count("*").alias("cells"), F.sum("n").alias("points")).drop("region")
-
-
 @query("membership_strength", """
 with c as (select label, list(m order by i) as centroid from (select label, i, avg(embedding[i]::double) as m
     from embeddings, range(1, 65) r(i) group by label, i) group by label),

@@ -47,6 +47,25 @@ SQL_THIRDS = "thirds as (select vec_id, " + ", ".join(
     f"round(list_sum([embedding[i]::double for i in range({k + 1}, 65, 3)]), 9) as x{k}" for k in range(3)) + " from embeddings)"
 
 
+SQL_CELLS = f"""{SQL_THIRDS},
+box as (select min(x0) as l0, min(x1) as l1, min(x2) as l2, greatest(max(x0) - min(x0), max(x1) - min(x1), max(x2) - min(x2)) as s from thirds),
+placed as (select vec_id, """ + ", ".join(f"least(floor((x{k} - l{k}) / s * 8), 7)::int as c{k}" for k in range(3)) + """ from thirds, box),
+cells as (select c0, c1, c2, count(*) as n from placed group by all),
+dense as (select c.c0, c.c1, c.c2, any_value(c.n) as n from cells c join cells d on abs(c.c0 - d.c0) <= 1 and abs(c.c1 - d.c1) <= 1 and abs(c.c2 - d.c2) <= 1
+    group by c.c0, c.c1, c.c2 having sum(d.n) >= 40),
+reach as (select c0, c1, c2, c0 as r0, c1 as r1, c2 as r2 from dense union select r.c0, r.c1, r.c2, d.c0, d.c1, d.c2 from reach r join dense d
+    on abs(r.r0 - d.c0) <= 1 and abs(r.r1 - d.c1) <= 1 and abs(r.r2 - d.c2) <= 1),
+regions as (select c0, c1, c2, min(r0 * 10000 + r1 * 100 + r2) as region from reach group by all)"""
+
+
+@query("density_regions", f"""with recursive {SQL_CELLS}
+select count(*) as cells, sum(n)::bigint as points from regions join dense using (c0, c1, c2) group by region""")
+def density_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected dense regions of one grid level, over three coordinates made of all components: cells and points of each."""
+    regions = C.level_regions(thirds(load(spark, sf_dir, "embeddings")), "x", dims=3, level=3, min_points=40)
+    return regions.groupBy("region").agg(F.count("*").alias("cells"), F.sum("n").alias("points")).drop("region")
+
+
 @query("reachability_cut", f"""with recursive {SQL_THIRDS},
 far as (select a.vec_id as u, b.vec_id as v, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) as d from thirds a, thirds b),
 cores as (select u, d as core from far qualify row_number() over (partition by u order by d) = 5),
