@@ -148,6 +148,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
         "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "row_hash")
 
 
+def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = 3, block_words: int = 1024) -> DataFrame:
+    """The mix itself: (slot, source, pass, block, doc_id, row_hash, start, words), a row for each stretch of a document in a slot's block.
+
+    Sorted by slot, any stretch of the mix holds the sources near their shares. `start` counts the document's words before
+    the stretch. The words of a document add up to its `taken` in `mix_sources`.
+    """
+    sources, _, offset = _placed(docs, weights, passes, block_words)
+    taken = blocks_taken(sources, schedule(sources, block_words), block_words)
+    pieces = offset.where("size > 0").withColumn("block", F.explode(F.expr(
+        f"sequence(offset div {block_words}, (offset + size - 1) div {block_words})")))
+    first = F.greatest("offset", F.col("block") * block_words)
+    last = F.least(F.col("offset") + F.col("size"), F.col("block") * block_words + F.col("words"))
+    return pieces.join(taken, ["sid", "block"]).where(last > first).select(
+        "slot", "source", "pass", "block", "doc_id", "row_hash", (first - F.col("offset")).alias("start"), (last - first).alias("words"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Whole rows of docs, all columns kept, so that the words of each source come to the goal of `mix_sources`.
 

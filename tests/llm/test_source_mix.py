@@ -100,3 +100,31 @@ def test_words_of_whole_documents_meet_the_targets(spark):
         emitted[row.source] += len(row.text.split())
     want = plain_targets(sizes)
     assert all(abs(emitted[s] - want[s]) <= longest[s] / 2 + 1 for s in want)
+
+
+def test_points_give_the_order_of_the_mix_but_not_its_sums(spark, monkeypatch):
+    import narrascope.llm.source_mix as module
+
+    docs = spark.createDataFrame([(i, "w " * (20 + 7 * (i % 11)), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in module.mix_sources(docs, block_words=64).collect()}
+
+    def mixed():
+        rows = module.mixed_blocks(docs, block_words=64).collect()
+        sums, per_slot = Counter(), {}
+        for r in rows:
+            sums[r.doc_id] += r.words
+            per_slot.setdefault(r.slot, set()).add(r.source)
+            assert 0 <= r.start and r.start + r.words <= 20 + 7 * (r.doc_id % 11)
+        assert all(len(s) == 1 for s in per_slot.values())
+        return sums, [next(iter(per_slot[s])) for s in sorted(per_slot)]
+
+    sums, order = mixed()
+    assert {d: n for d, n in taken.items() if n} == dict(sums)
+    # Each stretch of 40 slots is near the shares of the whole.
+    whole = Counter(order)
+    for at in range(0, len(order) - 40, 40):
+        part = Counter(order[at:at + 40])
+        assert all(abs(part[s] - 40 * n / len(order)) <= 6 for s, n in whole.items())
+    monkeypatch.setattr(module, "GOLDEN", 1640531527)
+    other_sums, other = mixed()
+    assert other_sums == sums and other != order and Counter(other) == whole
