@@ -1,5 +1,9 @@
+import math
+from collections import Counter
+
 import numpy as np
 
+import narrascope.llm.quality_svm as module
 from narrascope.llm.quality_svm import coordinate_descent, fit_model, fit_quality, indicators, quality_query, score_quality
 
 
@@ -45,3 +49,33 @@ def test_odd_rows(docs, labels, no_docs, table):
     assert len(rows) == len(table) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert len({r.score for r in rows if r.doc_id in (200, 201, 202)}) == 1
     assert quality_query(no_docs, labels).count() == 0 and quality_query(docs, labels.limit(0)).count() == len(table)
+
+
+def test_ratios_and_calibration_against_loops():
+    r = np.random.default_rng(2)
+    size = 1 << module.BITS
+    labels = r.integers(0, 2, 150)
+    slots = [np.unique(r.choice(60, int(r.integers(1, 20))) * 17 + 400 * int(r.random() < 0.3 + 0.4 * y)) % size for y in labels]
+    share = {0: 0.8, 1: 0.2}
+    model = module.fit_model(slots, labels, share)
+
+    train = [i for i in range(150) if i % 5 != 4]
+    held = [i for i in range(150) if i % 5 == 4]
+    count = {1: Counter(), 0: Counter()}
+    for i in train:
+        count[int(labels[i])].update(slots[i].tolist())
+    total = {y: size + sum(count[y].values()) for y in count}
+    ratio = np.array([math.log((1 + count[1][s]) / total[1]) - math.log((1 + count[0][s]) / total[0]) for s in range(size)])
+    raw, bias = module.coordinate_descent([slots[i] for i in train], ratio, np.where(labels[train] == 1, 1.0, -1.0), 1.0, 30)
+    assert np.allclose(model.weights, raw * ratio, atol=1e-5) and abs(model.bias - bias) < 1e-9
+
+    # The calibration is where the slopes of the weighted loss, with smoothed targets and a light pull to 1 and 0, vanish.
+    own = {y: sum(int(labels[i]) == y for i in held) for y in (0, 1)}
+    goal = {1: (own[1] + 1) / (own[1] + 2), 0: 1 / (own[0] + 2)}
+    by_slope, by_intercept = 1e-3 * (model.slope - 1), 1e-3 * model.intercept
+    for i in held:
+        y = int(labels[i])
+        value = sum(float(model.weights[s]) for s in slots[i]) / math.sqrt(len(slots[i])) + model.bias
+        error = share[y] / own[y] * len(held) * (1 / (1 + math.exp(-model.slope * value - model.intercept)) - goal[y])
+        by_slope, by_intercept = by_slope + error * value, by_intercept + error
+    assert model.slope > 0.05 and abs(by_slope) < 1e-3 and abs(by_intercept) < 1e-3
