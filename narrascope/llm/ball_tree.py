@@ -118,15 +118,17 @@ def search_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     The score is the inner product; rows with the query's own vec_id are left out; equal scores go to the smaller
     vec_id. Only vectors of the query's length are candidates. Null vectors and ids, and empty vectors, take no part.
-    Every query meets every shard: the queries are dealt out in blocks, once to each shard. Rows repeated in full count
-    once.
+    Every query meets every shard: the queries are dealt out in blocks, once to each shard. Rows repeated in full are as many
+    candidates, and one query. Scores are exact below 2^53.
     """
+    # Repeated rows move once, with their number; more than k of them cannot be listed.
     usable, _ = write_table(vectors.where("vec_id is not null and x is not null and size(x) > 0").select(
-        "vec_id", "x", is_query.alias("asks"), F.size("x").alias("dims")).distinct(), "vectors")
+        "vec_id", "x", is_query.alias("asks"), F.size("x").alias("dims")).groupBy("vec_id", "x", "asks", "dims").agg(
+        F.least(F.count("*"), F.lit(k)).cast("int").alias("copies")), "vectors")
     counts = usable.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).first()
     shards, blocks = max(1, -(-counts.n // SHARD)), max(1, -(-(counts.q or 0) // BLOCK))
     place = F.xxhash64("vec_id", "x")
-    stored = usable.select("vec_id", "x", "dims", F.lit(0).alias("kind"), F.lit(float("-inf")).alias("known"),
+    stored = usable.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("vec_id", "x", "dims", F.lit(0).alias("kind"), F.lit(float("-inf")).alias("known"),
                            F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
                            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 

@@ -9,8 +9,8 @@ from narrascope.llm.ball_tree import BallTree, quantised, search_query, search_t
 def plain(rows, k=5):
     out = set()
     for q, x in {(i, tuple(x)) for i, x in rows if x and i is not None and i % 50 == 0}:
-        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in {(i, tuple(y)) for i, y in rows if y and i is not None}
-                      if i != q and len(y) == len(x))[:k]
+        # Every row but the query's own is a candidate, repeated ones too.
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if y and i is not None and i != q and len(y) == len(x))[:k]
         out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
     return out
 
@@ -22,7 +22,7 @@ def test_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, name, size)
     r = random.Random(6)
     rows = [(i, [r.randint(-3, 3) for _ in range(4)]) for i in range(700)]
-    rows += [(1000, None), (1001, []), (None, [1, 2, 3, 4]), (1002, [1, 2]), (1050, [1, 2]), rows[50], rows[51]]
+    rows += [(1000, None), (1001, []), (None, [1, 2, 3, 4]), (1002, [1, 2]), (1050, [1, 2]), rows[50], rows[51], *[(9, [9, 9, 9, 9])] * 7, *[(8, [-9, 9, -9, 9])] * 3]
     found = search_top_k(spark.createDataFrame(rows, "vec_id long, x array<long>"), F.col("vec_id") % 50 == 0)
     assert {tuple(r) for r in found.collect()} == plain(rows) and found.count() == len(plain(rows))
 
@@ -50,3 +50,9 @@ def test_bounds_hold():
     for n in range(len(tree.start)):
         assert (tree.points[tree.start[n]:tree.end[n]] @ queries.T <= bounds[:, n]).all()
     assert sorted(tree.order) == list(range(500))
+
+
+def test_repeated_rows_are_all_candidates(spark):
+    vectors = spark.createDataFrame([(0, [1, 1])] * 2 + [(1, [5, 5])] * 3 + [(2, [4, 4])] + [(3, [3, 3])] * 9, "vec_id long, x array<long>")
+    rows = search_top_k(vectors, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(1, 10)] * 3 + [(2, 8), (3, 6)]
