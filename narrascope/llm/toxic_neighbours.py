@@ -1,226 +1,213 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples lie in an inverted index cut into blocks. Each (term, block) keeps the largest weight it holds, so the
-cosine of a query with a whole block is bounded from above (Ding and Suel 2011, block-max indexes). Blocks are
-opened in order of that bound until no unopened block can hold a nearer example than the k-th found.
+Every word of every example is a term; none is left out. A term weighs its inverse document frequency times the root
+of its log-likelihood ratio between the classes (Dunning 1993), so words that both classes use alike are light, but
+still count. The examples lie in an inverted index cut into blocks. Each (term, block) keeps the largest weight it
+holds, so the cosine of a query with a whole block is bounded from above (Ding and Suel 2011, block-max indexes).
+Blocks are opened in order of that bound until no unopened block can hold a nearer example than the k-th found.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.spark import bounded_rows, drop_table, labelled_sample, remainder, small_batches, with_scores, write_table
-from narrascope.llm.texts import char_grams, code_points
+from narrascope.llm.spark import bounded_rows, labelled_sample, remainder, small_batches, with_scores
+from narrascope.llm.texts import word_hashes
 
-ORDERS = (5, 6)
-#: A gram counts once more as a term of its own from these shares of a text's grams on. One chance occurrence in a
-#: long text so differs from an insult in a short one.
-LEVELS = (0.0, 0.0004, 0.002)
-PIECE = 1 << 16
+PIECE = 1 << 20
+#: Added to each log-likelihood ratio, so that a term without any lean keeps a share of its weight.
+LEAN_FLOOR = 0.1
 SCHEMA = "score double, votes double, neighbours array<struct<example: long, label: int, cosine: double>>"
+_BREAKS = re.compile(r"[\W_]+")
+#: Runs of scripts that write no blanks between words: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[฀-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 
 
-def text_grams(text: str) -> Iterator[np.ndarray]:
-    """Hashed character n-grams of a lower-cased text between single spaces, in pieces of bounded size."""
-    codes = code_points(" " + " ".join(text.lower().split()) + " ").astype(np.uint64)
-    for at in range(0, len(codes), PIECE):
-        for n in ORDERS:
-            yield char_grams(codes[at:at + PIECE + n - 1], n)
+def _pairs(run: re.Match[str]) -> str:
+    signs = run.group()
+    return " " + (" ".join(map("".join, zip(signs, signs[1:], strict=False))) or signs) + " "
 
 
-def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per gram, the number of toxic and other documents that hold it, summed over a batch of documents."""
-    for batch in batches:
-        found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for label, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-            grams = [np.unique(g) for g in text_grams(text)]
-            found[label].append(np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64))
-        for label, sets in found.items():
-            if sets:
-                grams, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pd.DataFrame({"gram": grams.view(np.int64), "other": n * (label == 0), "toxic": n * (label == 1)})
+def text_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the text's distinct terms and how often it holds each.
+
+    Terms are the lower-cased runs of letters and digits; in scripts without blanks, pairs of neighbouring signs. The
+    text is hashed in pieces that end between words.
+    """
+    words = _BREAKS.sub(" ", _UNSPACED.sub(_pairs, text.lower()))
+    pieces, at = [], 0
+    while at < len(words):
+        end = words.find(" ", at + PIECE)
+        end = len(words) if end < 0 else end
+        pieces.append(word_hashes(words[at:end], lower=False))
+        at = end
+    return np.unique(np.concatenate([*pieces, np.empty(0, np.uint64)]), return_counts=True)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of the half-open ranges, one range after another, and the lengths of the ranges."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum()), sizes
+
+
+def _damped(counts: np.ndarray) -> np.ndarray:
+    return 1.0 + np.log(counts)
 
 
 @dataclasses.dataclass
 class ToxicIndex:
-    """grams: sorted hashes of the terms; idf: by gram and level; starts, terms, weights: the examples' unit vectors,
-    one after another; labels, sources: by example, ordered so that like examples share a block."""
+    """grams: sorted hashes of the terms; weight: by term; examples, weights: postings in order of term and example;
+    run_starts, run_blocks, run_tops: first posting, block and largest weight of each (term, block); term_runs: first
+    run of each term; labels, example_ids: by example, ordered so that like examples share a block."""
 
     grams: np.ndarray
-    idf: np.ndarray
-    starts: np.ndarray
-    terms: np.ndarray
+    weight: np.ndarray
+    term_runs: np.ndarray
+    run_starts: np.ndarray
+    run_blocks: np.ndarray
+    run_tops: np.ndarray
+    examples: np.ndarray
     weights: np.ndarray
     labels: np.ndarray
     example_ids: np.ndarray
     class_weight: tuple[float, float]
-    empty_rate: float
-    block: int = 64
+    prior: float
+    block: int
     k: int = 15
     power: float = 2.0
     smoothing: float = 0.4
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of a text's unit vector; empty if it holds no term."""
-        counts, size = np.zeros(len(self.grams), dtype=np.int64), 0
-        if text and len(self.grams):
-            table = _sieve(self)
-            for grams in text_grams(text):
-                size += len(grams)
-                grams = grams[table[(grams >> np.uint64(44)).astype(np.int64)]]
-                at = np.searchsorted(self.grams, grams)
-                at = at[self.grams[np.minimum(at, len(self.grams) - 1)] == grams]
-                np.add.at(counts, at, 1)
-        held = np.flatnonzero(counts)
-        terms = np.concatenate([held[counts[held] >= least * size] * len(LEVELS) + i for i, least in enumerate(LEVELS)])
-        weights = self.idf[terms]
+        """Term numbers and weights of a text's unit vector; empty if it holds no term of any example."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if not text or not len(self.grams):
+            return none
+        grams, counts = text_terms(text)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        known = self.grams[at] == grams
+        terms = at[known]
+        weights = self.weight[terms] * _damped(counts[known])
         length = np.sqrt((weights ** 2).sum())
-        return (terms, weights / length) if length else (terms[:0], weights[:0])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above zero, ties to the earlier example; `skip` leaves one out."""
-        blocks, tops = _blocks(self)
-        bounds = weights @ tops[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == self.k and bounds[b] < best[-1][0] - 1e-6):
-                break
-            cosines = weights @ blocks[b][terms]
-            near = np.flatnonzero(cosines > 1e-9)
-            best += [(float(cosines[i]), int(b * self.block + i)) for i in near if b * self.block + i != skip]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[self.k:]
-        return [(i, c) for c, i in best]
+        return (terms, weights / length) if length else none
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[int, float]]:
+        """The k examples of largest cosine above zero, ties to the earlier example.
+
+        Each round opens twice as many blocks as the one before, and only such whose bound reaches the k-th cosine.
+        """
+        runs, sizes = _ranges(self.term_runs[terms], self.term_runs[terms + 1])
+        asked, where = np.repeat(weights, sizes), self.run_blocks[runs]
+        bounds = np.bincount(where, asked * self.run_tops[runs], -(-len(self.labels) // self.block))
+        order = np.argsort(-bounds, kind="stable")
+        cosines = np.zeros(len(self.labels))
+        kth, at, many = 0.0, 0, 4
+        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= kth - 1e-9:
+            opened = np.zeros(len(order), dtype=bool)
+            opened[order[at:at + many]] = bounds[order[at:at + many]] >= kth - 1e-9
+            chosen = np.flatnonzero(opened[where])
+            postings, sizes = _ranges(self.run_starts[runs[chosen]], self.run_starts[runs[chosen] + 1])
+            cosines += np.bincount(self.examples[postings], np.repeat(asked[chosen], sizes) * self.weights[postings], len(cosines))
+            if len(cosines) > self.k:
+                kth = np.partition(cosines, -self.k)[-self.k]
+            at, many = at + many, many * 2
+        best = np.lexsort((np.arange(len(cosines)), -cosines))[:self.k] if kth <= 0 else self._best(cosines, kth)
+        return [(int(i), float(cosines[i])) for i in best if cosines[i] > 1e-9]
+
+    def _best(self, cosines: np.ndarray, kth: float) -> np.ndarray:
+        near = np.flatnonzero(cosines >= kth)
+        return near[np.lexsort((near, -cosines[near]))][:self.k]
 
     def score(self, text: str | None) -> tuple[float, float, list[dict[str, Any]]]:
-        """Share of the toxic votes, each weighted by its cosine and its class's share of all documents; all votes;
-        the neighbours as evidence. Without any term it is the rate of toxic examples that hold none either."""
+        """Share of the toxic votes, each weighted by its cosine and its class's share of all documents and drawn
+        towards the share of toxic labels; all votes; the neighbours as evidence. Without any term it is that share."""
         terms, weights = self.vector(text)
         if not len(terms):
-            return self.empty_rate, 0.0, []
+            return self.prior, 0.0, []
         found = self.nearest(terms, weights)
         votes = [0.0, 0.0]
         for i, cosine in found:
             votes[self.labels[i]] += cosine ** self.power * self.class_weight[self.labels[i]]
-        prior = self.smoothing * self.empty_rate * self.class_weight[1]
-        total = sum(votes) + self.smoothing * self.class_weight[1]
-        return (votes[1] + prior) / total, sum(votes), [
-            {"example": int(self.example_ids[i]), "label": int(self.labels[i]), "cosine": float(c)} for i, c in found]
-
+        drawn = self.smoothing * self.class_weight[1]
+        return (votes[1] + drawn * self.prior) / (sum(votes) + drawn), sum(votes), [
+            {"example": int(self.example_ids[i]), "label": int(self.labels[i]), "cosine": c} for i, c in found]
 
-_CACHE: dict[str, Any] = {}
 
-
-def _once(index: ToxicIndex, name: str, make: Callable[[], Any]) -> Any:
-    """What a worker derives from the index, made once for each index it holds."""
-    if _CACHE.get("of") is not index:
-        _CACHE.clear()
-        _CACHE["of"] = index
-    if name not in _CACHE:
-        _CACHE[name] = make()
-    return _CACHE[name]
-
-
-def _sieve(index: ToxicIndex) -> np.ndarray:
-    """Whether any term's hash starts with given 20 bits, so that nearly all grams of a text need no search."""
-    def make() -> np.ndarray:
-        table = np.zeros(1 << 20, dtype=bool)
-        table[(index.grams >> np.uint64(44)).astype(np.int64)] = True
-        return table
-
-    return _once(index, "sieve", make)
-
-
-def _blocks(index: ToxicIndex) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per block the weights by (term, example), and the largest of each (term, block)."""
-    def make() -> tuple[list[np.ndarray], np.ndarray]:
-        size, blocks = len(index.grams) * len(LEVELS), []
-        for first in range(0, len(index.labels), index.block):
-            held = np.zeros((size, index.block), dtype=np.float32)
-            for i in range(first, min(first + index.block, len(index.labels))):
-                part = slice(index.starts[i], index.starts[i + 1])
-                held[index.terms[part], i - first] = index.weights[part]
-            blocks.append(held)
-        tops = np.stack([b.max(1) for b in blocks], 1) if blocks else np.zeros((size, 0), dtype=np.float32)
-        return blocks, tops
-
-    return _once(index, "blocks", make)
+def _example_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        held = [text_terms(t) for t in batch["text"]]
+        yield pd.DataFrame({"label": batch["label"], "example": batch["example"],
+                            "grams": [g.view(np.int64) for g, _ in held], "counts": [c for _, c in held]})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, terms: int = 2048,
-                 least_ratio: float = 25.0) -> ToxicIndex:
-    """Index a hashed sample of about `per_class` labelled texts of each class (labels 0 and 1).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, block: int = 32) -> ToxicIndex:
+    """Index a hashed sample of about `per_class` labelled texts of each class (labels 0 and 1), with all their terms.
 
-    Terms are the character n-grams held by significantly more toxic than other examples (log-likelihood ratio of
-    `least_ratio` or more, at most the `terms` strongest). Their document frequencies are summed by Spark; the driver gets the chosen
-    terms and the examples' vectors over them, both bounded by the parameters.
+    Terms are counted by Spark; the driver gets the examples' term counts, as many as the sampled texts have distinct
+    words. Texts without any term (empty ones) are no examples.
     """
     small_batches(docs.sparkSession)
     found, counts = labelled_sample(docs, labels, label, per_class)
-    text = "text"
-    sample, path = write_table(found.withColumn("example", F.xxhash64(label, text)))
-    drawn = {r[0]: r[1] for r in sample.groupBy(label).count().collect()}
-    n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
-    rates = sample.select(label, text).mapInPandas(_document_frequencies, "gram long, other long, toxic long").groupBy("gram").agg(
-        F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where("toxic >= 5")
-    held, size = F.col("toxic") + F.col("other"), float(max(1, n0 + n1))
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-
-    # Log-likelihood ratio of a gram's presence in both classes (Dunning 1993).
-    ratio = 2 * (part(F.col("toxic"), held * n1 / size) + part(F.col("other"), held * n0 / size)
-                 + part(n1 - F.col("toxic"), (size - held) * n1 / size) + part(n0 - F.col("other"), (size - held) * n0 / size))
-    strong = rates.where((F.col("toxic") + 0.5) / (n1 + 1.0) >= 4 * (F.col("other") + 0.5) / (n0 + 1.0)).withColumn(
-        "ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "gram").limit(terms).select("gram")
-    strong = bounded_rows(strong)
-    grams = np.sort(strong["gram"].to_numpy(dtype=np.int64).view(np.uint64))
-    index = ToxicIndex(grams, np.ones(len(grams) * len(LEVELS)), np.zeros(1, np.int64), np.empty(0, np.int64),
-                       np.empty(0), np.empty(0, np.int8), np.empty(0, np.int64),
-                       (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)), 0.0)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"label": batch.iloc[:, 0], "example": batch.iloc[:, 2],
-                                "terms": [index.vector(t)[0].tolist() for t in batch.iloc[:, 1]]})
-
-    rows = bounded_rows(sample.select(label, text, "example").mapInPandas(vectors, "label int, example long, terms array<long>"))
-    drop_table(docs.sparkSession, path)
-    return _indexed(index, rows, n0, n1)
-
-
-def _indexed(index: ToxicIndex, rows: pd.DataFrame, n0: int, n1: int) -> ToxicIndex:
-    """The index with the examples' weights, ordered by strongest term so that blocks hold like examples."""
-    held = [np.array(t, dtype=np.int64) for t in rows["terms"]]
-    df = np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=len(index.idf))
-    idf = np.log1p(len(rows) / np.maximum(df, 1))
-    empty = rows["label"].to_numpy()[[len(t) == 0 for t in held]] if len(rows) else np.empty(0)
-    toxic, other = (empty == 1).sum() * index.class_weight[1], (empty == 0).sum() * index.class_weight[0]
-    keep = [i for i, t in enumerate(held) if len(t)]
-    keep.sort(key=lambda i: (int(held[i][np.argmax(idf[held[i]])]), -len(held[i]), int(rows["example"].iloc[i])))
-    sizes = [len(held[i]) for i in keep]
-    weights = [idf[held[i]] / np.sqrt((idf[held[i]] ** 2).sum()) for i in keep]
-    return dataclasses.replace(
-        index, idf=idf, starts=np.concatenate(([0], np.cumsum(sizes))).astype(np.int64),
-        terms=np.concatenate([*(held[i] for i in keep), np.empty(0, np.int64)]),
-        weights=np.concatenate([*weights, np.empty(0)]), labels=rows["label"].to_numpy(dtype=np.int8)[keep],
-        example_ids=rows["example"].to_numpy(dtype=np.int64)[keep],
-        empty_rate=float((toxic + 0.5) / (toxic + other + 1)) if n0 + n1 else 0.0)
+    sample = found.select(F.col(label).alias("label"), "text", F.xxhash64(label, "text").alias("example"))
+    rows = bounded_rows(sample.mapInPandas(_example_terms, "label int, example long, grams array<long>, counts array<long>"))
+    return _indexed(rows[rows["grams"].map(len) > 0], counts, block)
+
+
+def _term_weights(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Inverse document frequency times the root of the log-likelihood ratio of a term's presence in both classes."""
+    held, size = df1 + df0, n1 + n0
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1.0) / np.where(seen > 0, expected, 1.0))
+
+    lean = 2 * (part(df1, held * n1 / size) + part(df0, held * n0 / size)
+                + part(n1 - df1, (size - held) * n1 / size) + part(n0 - df0, (size - held) * n0 / size))
+    return np.log1p(size / held) * np.sqrt(np.maximum(lean, 0.0) + LEAN_FLOOR)
+
+
+def _indexed(rows: pd.DataFrame, counts: dict[int, int], block: int) -> ToxicIndex:
+    """The index of the examples' term counts, ordered by strongest term so that blocks hold like examples."""
+    rows = rows.sort_values(["example", "label"], ignore_index=True)
+    labels, sizes = rows["label"].to_numpy(dtype=np.int8), rows["grams"].map(len).to_numpy(dtype=np.int64)
+    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
+    grams, terms = np.unique(np.concatenate([*rows["grams"], np.empty(0, np.int64)]).astype(np.int64).view(np.uint64), return_inverse=True)
+    own = np.repeat(np.arange(len(rows)), sizes)
+    df = np.bincount(terms, minlength=len(grams)).astype(float)
+    df1 = np.bincount(terms, labels[own] == 1, len(grams))
+    weight = _term_weights(df1, df - df1, n1, n0)
+    weights = weight[terms] * _damped(np.concatenate([*rows["counts"], np.empty(0, np.int64)]))
+    weights /= np.sqrt(np.bincount(own, weights ** 2, len(rows)))[own]
+    # The last posting of an example in order of weight is its strongest term.
+    by_weight = np.lexsort((weights, own))
+    order = np.lexsort((np.arange(len(rows)), terms[by_weight[np.cumsum(sizes) - 1]]))
+    place = np.empty(len(rows), dtype=np.int64)
+    place[order] = np.arange(len(rows))
+    sorted_by = np.lexsort((place[own], terms))
+    terms, examples, weights = terms[sorted_by], place[own][sorted_by], weights[sorted_by].astype(np.float32)
+    first = np.flatnonzero(np.diff(terms * (len(rows) + 1) + examples // block, prepend=-1))
+    return ToxicIndex(
+        grams, weight, np.searchsorted(terms[first], np.arange(len(grams) + 1)).astype(np.int64),
+        np.append(first, len(terms)).astype(np.int64), (examples[first] // block).astype(np.int32),
+        np.maximum.reduceat(weights, first) if len(first) else weights, examples.astype(np.int32), weights,
+        labels[order], rows["example"].to_numpy(dtype=np.int64)[order],
+        (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)),
+        counts.get(1, 0) / sum(counts.values()) if counts else 0.0, block)
 
 
 def score_toxicity(docs: DataFrame, index: ToxicIndex, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add a struct column (score, votes, neighbours). Every text is read whole; neighbours name the hash of the
     example's label and text, its label and the cosine.
 
-    Null and empty texts, and texts without any indexed term, get the rate of toxic examples that hold no term
-    (0 without any example). Equal cosines go to the earlier example of the index.
+    Null and empty texts, and texts without any term of an example, get the share of toxic labels (0 without labels).
+    Equal cosines go to the earlier example of the index.
     """
     def make() -> Callable[[str | None], tuple[Any, ...]]:
         return index.score
