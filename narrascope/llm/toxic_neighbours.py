@@ -67,7 +67,7 @@ def _damped(counts: np.ndarray) -> np.ndarray:
 class ToxicIndex:
     """grams: sorted hashes of the terms; weight: by term; examples, weights: postings in order of term and example;
     run_starts, run_blocks, run_tops: first posting, block and largest weight of each (term, block); term_runs: first
-    run of each term; labels, example_ids: by example, ordered so that like examples share a block."""
+    run and largest weight of each term (term_tops); labels, example_ids: by example, ordered so that like examples share a block."""
 
     grams: np.ndarray
     weight: np.ndarray
@@ -75,6 +75,7 @@ class ToxicIndex:
     run_starts: np.ndarray
     run_blocks: np.ndarray
     run_tops: np.ndarray
+    term_tops: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
     labels: np.ndarray
@@ -84,7 +85,9 @@ class ToxicIndex:
     block: int
     k: int = 15
     power: float = 2.0
-    smoothing: float = 0.4
+    smoothing: float = 0.2
+    ahead: int = 4
+    light: float = 0.02
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a text's unit vector; empty if it holds no term of any example."""
@@ -102,29 +105,44 @@ class ToxicIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[int, float]]:
         """The k examples of largest cosine above zero, ties to the earlier example.
 
-        Each round opens twice as many blocks as the one before, and only such whose bound reaches the k-th cosine.
+        The lightest terms, which together add at most `light` to any cosine, are left for last. The other terms open
+        the blocks of largest bound first, then all whose bound reaches the k-th cosine found. The light terms are
+        looked up only in blocks that still hold an example within reach of it.
         """
-        runs, sizes = _ranges(self.term_runs[terms], self.term_runs[terms + 1])
-        asked, where = np.repeat(weights, sizes), self.run_blocks[runs]
-        bounds = np.bincount(where, asked * self.run_tops[runs], -(-len(self.labels) // self.block))
-        order = np.argsort(-bounds, kind="stable")
+        most = weights * self.term_tops[terms]
+        by_most = np.argsort(most, kind="stable")
+        added = np.cumsum(most[by_most])
+        cut = int(np.searchsorted(added, self.light, side="right"))
+        rest = float(added[cut - 1]) if cut else 0.0
+        late, early = by_most[:cut], by_most[cut:]
+        runs, asked, where = self._runs(terms[early], weights[early])
+        bounds = np.bincount(where, asked * self.run_tops[runs], -(-len(self.labels) // self.block)) + rest
         cosines = np.zeros(len(self.labels))
-        kth, at, many = 0.0, 0, 4
-        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= kth - 1e-9:
-            opened = np.zeros(len(order), dtype=bool)
-            opened[order[at:at + many]] = bounds[order[at:at + many]] >= kth - 1e-9
-            chosen = np.flatnonzero(opened[where])
-            postings, sizes = _ranges(self.run_starts[runs[chosen]], self.run_starts[runs[chosen] + 1])
-            cosines += np.bincount(self.examples[postings], np.repeat(asked[chosen], sizes) * self.weights[postings], len(cosines))
-            if len(cosines) > self.k:
-                kth = np.partition(cosines, -self.k)[-self.k]
-            at, many = at + many, many * 2
-        best = np.lexsort((np.arange(len(cosines)), -cosines))[:self.k] if kth <= 0 else self._best(cosines, kth)
+        first = np.zeros(len(bounds), dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:self.ahead]] = True
+        self._open(cosines, first, runs, asked, where)
+        opened = (bounds >= self._kth(cosines) - 1e-9) & ~first
+        self._open(cosines, opened, runs, asked, where)
+        near = np.flatnonzero(cosines >= self._kth(cosines) - rest - 1e-9)
+        within = np.zeros(len(bounds), dtype=bool)
+        within[near // self.block] = True
+        self._open(cosines, within, *self._runs(terms[late], weights[late]))
+        best = near[np.lexsort((near, -cosines[near]))][:self.k]
         return [(int(i), float(cosines[i])) for i in best if cosines[i] > 1e-9]
 
-    def _best(self, cosines: np.ndarray, kth: float) -> np.ndarray:
-        near = np.flatnonzero(cosines >= kth)
-        return near[np.lexsort((near, -cosines[near]))][:self.k]
+    def _runs(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The (term, block) runs of terms, with the weight asked and the block of each."""
+        runs, sizes = _ranges(self.term_runs[terms], self.term_runs[terms + 1])
+        return runs, np.repeat(weights, sizes), self.run_blocks[runs]
+
+    def _open(self, cosines: np.ndarray, blocks: np.ndarray, runs: np.ndarray, asked: np.ndarray, where: np.ndarray) -> None:
+        """Add what the runs hold for the examples of some blocks."""
+        chosen = np.flatnonzero(blocks[where])
+        postings, sizes = _ranges(self.run_starts[runs[chosen]], self.run_starts[runs[chosen] + 1])
+        cosines += np.bincount(self.examples[postings], np.repeat(asked[chosen], sizes) * self.weights[postings], len(cosines))
+
+    def _kth(self, cosines: np.ndarray) -> float:
+        return float(np.partition(cosines, -self.k)[-self.k]) if len(cosines) > self.k else 0.0
 
     def score(self, text: str | None) -> tuple[float, float, list[dict[str, Any]]]:
         """Share of the toxic votes, each weighted by its cosine and its class's share of all documents and drawn
@@ -148,7 +166,7 @@ def _example_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "grams": [g.view(np.int64) for g, _ in held], "counts": [c for _, c in held]})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, block: int = 32) -> ToxicIndex:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, block: int = 64) -> ToxicIndex:
     """Index a hashed sample of about `per_class` labelled texts of each class (labels 0 and 1), with all their terms.
 
     Terms are counted by Spark; the driver gets the examples' term counts, as many as the sampled texts have distinct
@@ -193,10 +211,12 @@ def _indexed(rows: pd.DataFrame, counts: dict[int, int], block: int) -> ToxicInd
     sorted_by = np.lexsort((place[own], terms))
     terms, examples, weights = terms[sorted_by], place[own][sorted_by], weights[sorted_by].astype(np.float32)
     first = np.flatnonzero(np.diff(terms * (len(rows) + 1) + examples // block, prepend=-1))
+    tops = np.zeros(len(grams))
+    np.maximum.at(tops, terms, weights)
     return ToxicIndex(
         grams, weight, np.searchsorted(terms[first], np.arange(len(grams) + 1)).astype(np.int64),
         np.append(first, len(terms)).astype(np.int64), (examples[first] // block).astype(np.int32),
-        np.maximum.reduceat(weights, first) if len(first) else weights, examples.astype(np.int32), weights,
+        np.maximum.reduceat(weights, first) if len(first) else weights, tops, examples.astype(np.int32), weights,
         labels[order], rows["example"].to_numpy(dtype=np.int64)[order],
         (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)),
         counts.get(1, 0) / sum(counts.values()) if counts else 0.0, block)

@@ -29,9 +29,9 @@ def _dense(index, labelled):
 
 
 def test_neighbours_are_the_exact_ones_over_all_terms(docs, labels, table):
-    for block, k in ((4, 3), (32, 15)):
+    for block, k, light in ((4, 3, 0.5), (4, 3, 0.0), (64, 15, 0.02)):
         index = fit_toxicity(docs, labels, block=block)
-        index.k = k
+        index.k, index.light, index.ahead = k, light, 2
         marks = {r.doc_id: r.toxic for r in labels.where("toxic is not null and doc_id is not null").collect()}
         examples, vector = _dense(index, {(marks[r[0]], r[1]) for r in table if marks.get(r[0]) is not None and r[1]})
         assert len(index.labels) == len(examples) and len(index.grams) == len({w for v in examples.values() for w in v})
