@@ -15,7 +15,8 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
+from operator import itemgetter
 from typing import Any
 
 import regex
@@ -28,6 +29,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + SPACE + "]+")
 #: Words of a worker's memory, and the longest word kept there.
 MEMORY, KEPT = 400_000, 48
+#: Ids that go from the encoder to the digests and the decoder at a time, and characters that are split at a time.
+BATCH, STRETCH = 4096, 1 << 14
 
 
 @functools.cache
@@ -136,7 +139,10 @@ class Encoder:
         if len(last) % merges.longest or len(last) == merges.longest:
             return []
         self.peak = max(self.peak, len(last))
-        return self._stable()
+        stable = self._stable()
+        if len(self.last) > merges.lookahead:
+            raise ValueError("not a merge list: a prefix is open beyond its lookahead")
+        return stable
 
     def finish(self) -> list[str]:
         """The tokens that are left at the end of the word."""
@@ -190,22 +196,36 @@ class Decoder:
         return "" if self.joined else self.bytes.decode(b"", final=True)
 
 
+def _words(text: str) -> Iterator[Iterable[str]]:
+    """The words of a text in lists of bounded stretches, which end at blanks. Where none is near they come one by one."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + STRETCH)
+        end = len(text) if end < 0 else end
+        yield WORDS.findall(text, at, end) if end - at <= 2 * STRETCH else map(itemgetter(0), WORDS.finditer(text, at, end))
+        at = end
+
+
 class _Words(dict):
-    """Ids of the words met lately. When full it becomes the elder half, from which words still in use are taken over."""
+    """Ids of the words met lately. When full it becomes the elder half, from which words still in use are taken over.
+
+    Words of more than `KEPT` characters are not kept: their ids come one by one.
+    """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], Iterator[int]]):
         super().__init__()
         self.encode, self.elder = encode, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> Iterable[int]:
+        if len(word) > KEPT:
+            return self.encode(word)
         found = self.elder.get(word)
         if found is None:
             found = tuple(self.encode(word))
-        if len(word) <= KEPT:
-            if len(self) >= MEMORY:
-                self.elder = dict(self)
-                self.clear()
-            self[word] = found
+        if len(self) >= MEMORY:
+            self.elder = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
 
@@ -223,7 +243,7 @@ class Codec:
         self.names = {i: t for t, i in {**model["vocab"], **self.special}.items()}
         value = {s: b for b, s in enumerate(self.symbols)}
         self.raw = {i: self._bytes(t, value) for i, t in self.names.items()}
-        self.words = _Words(self._word)
+        self.words = _Words(self.stream_word)
 
     def _bytes(self, token: str, value: dict[str, int]) -> bytes:
         if token in self.special:
@@ -241,11 +261,8 @@ class Codec:
         for token in chain(encoder.feed(self.symbols[raw[-1]] + self.merges.end), encoder.finish()):
             yield ids[token]
 
-    def _word(self, word: str) -> list[int]:
-        return list(self.stream_word(word))
-
     def stream(self, text: str) -> Iterator[Iterable[int]]:
-        """Ids of a text, word by word."""
+        """Ids of a text, word by word; those of long words one by one, as they become stable."""
         for i, part in enumerate(self.split.split(text) if "<|" in text else [text]):
             if i % 2:
                 yield (self.special[part],)
@@ -253,8 +270,8 @@ class Codec:
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
             # Lower-casing goes character by character, so a sigma never becomes a final one.
-            words = WORDS.findall(part.replace("\u03a3", "\u03c3").lower())
-            yield chain.from_iterable(map(self.words.__getitem__, words))
+            for words in _words(part.replace("\u03a3", "\u03c3").lower()):
+                yield chain.from_iterable(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.stream(text))) if text else []
@@ -303,8 +320,11 @@ def decode_ids(docs: DataFrame, ids: str, out: str = "decoded", joined: bool = F
 
 
 def digests(docs: DataFrame, text: str = "text", out: str = "bpe", path: str | None = None) -> DataFrame:
-    """Add a struct column (n_tokens, ids_sha256, decoded_sha256): ids and decoded text are made in the task and only
-    their digests leave it. Null counts as the empty text."""
+    """Add a struct column (n_tokens, ids_sha256, decoded_sha256) of each whole text. Null counts as the empty text.
+
+    Ids pass from the encoder through the decoder into running digests, `BATCH` at a time, so that besides the text
+    itself no memory grows with its length.
+    """
     file_text = read_file(path)
 
     def make() -> Callable[[str | None], tuple[Any, ...]]:
@@ -312,10 +332,14 @@ def digests(docs: DataFrame, text: str = "text", out: str = "bpe", path: str | N
         numbers = {i: str(i) for i in codec.names}
 
         def digest(value: str | None) -> tuple[Any, ...]:
-            ids = codec.encode(value)
-            text_ids = " ".join(map(numbers.__getitem__, ids))
-            decoded = codec.decode(ids, joined=True)
-            return len(ids), hashlib.sha256(text_ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+            decoder, ids = Decoder(codec, joined=True), chain.from_iterable(codec.stream(value or ""))
+            while batch := list(islice(ids, BATCH)):
+                ids_sha.update(((" " if n else "") + " ".join(map(numbers.__getitem__, batch))).encode())
+                text_sha.update(decoder.feed(batch).encode())
+                n += len(batch)
+            text_sha.update(decoder.finish().encode())
+            return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
         return digest
 

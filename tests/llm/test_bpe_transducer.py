@@ -51,6 +51,14 @@ def test_decoder_keeps_unfinished_characters(codec):
     assert codec.decode(ids[:-3] + [codec.encode("中")[0]]).endswith("�")
 
 
+def test_digests_of_batches_are_those_of_the_whole(spark, library):
+    texts = [*TEXTS, "one two " * 3000, "it's," * 9000, "it's two " * 5000 + "x,y" * 20_000 + " it's", "\u4e2d" * 5000]
+    for row, text in zip(sorted(bpe_query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()), texts, strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_columns(spark, docs, table, no_docs, codec):
     found = encode_texts(docs)
     assert found.columns == [*docs.columns, "tokens"]
