@@ -49,6 +49,23 @@ def test_recall_of_random_projections_and_each_pair_once(spark, monkeypatch):
     assert N.pair_recall(N.near_pairs(df, 0.95, bits=6), N.near_pairs_exact(df, 0.95)) >= 0.9
 
 
+def written_rows(monkeypatch):
+    rows, write = [], N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: [rows.append(df.count()), write(df)][1])
+    return rows
+
+
+def test_exact_search_writes_no_copies_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 150)
+    df, rows = table(spark)
+    written = written_rows(monkeypatch)
+    found = N.near_pairs_exact(df, 0.5)
+    assert max(written) <= len(rows)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in text and "Generate" not in text
+    assert {(r.a, r.b) for r in found.collect()} == set(plain(rows, 0.5))
+
+
 def test_copies_stand_as_one(spark):
     df, rows = table(spark)
     reps = {}
