@@ -66,6 +66,17 @@ def test_exact_search_writes_no_copies_of_vectors(spark, monkeypatch):
     assert {(r.a, r.b) for r in found.collect()} == set(plain(rows, 0.5))
 
 
+def test_projected_search_writes_each_vector_once_and_takes_whole_buckets(spark, monkeypatch):
+    df, rows = table(spark, 1)
+    written = written_rows(monkeypatch)
+    dealt, real = [], N.block_pairs
+    monkeypatch.setattr(N, "block_pairs", lambda d, *a: [dealt.append(real(d, *a)), dealt[-1]][1])
+    N.near_pairs(df, 0.8, bits=1)
+    assert max(written) <= len(rows)
+    vectors = len({x for _, x in ((i, tuple(x or ())) for i, x in rows)})
+    assert dealt[0].count() <= vectors * N.tables_for(0.8, 1, 0.95)
+
+
 def test_copies_stand_as_one(spark):
     df, rows = table(spark)
     reps = {}
