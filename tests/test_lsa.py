@@ -30,6 +30,26 @@ def test_rows_are_tf_idf(spark):
         assert dict(zip(r.places, map(lambda v: round(v, 9), r.weights))) == {p: round(v, 9) for p, v in want.items()}
 
 
+def test_only_frequent_terms_are_counted(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, [f"w{w:02d}" for w in r.choice(40, 12)] + [f"rare-{i}-{k}" for k in range(40)]) for i in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(4)
+    df = {}
+    for _, terms in rows:
+        for t in set(terms):
+            df[t] = df.get(t, 0) + 1
+    want = sorted(df, key=lambda t: (-df[t], t))
+    for buckets, features in ((1 << 18, 10), (1 << 18, 60), (64, 10), (64, 5000), (1, 3)):
+        monkeypatch.setattr(lsa, "BUCKETS", buckets)
+        found = [v.term for v in sorted(lsa.fit_vocabulary(table, features=features).collect(), key=lambda v: v.place)]
+        assert found == want[:features]
+    monkeypatch.setattr(lsa, "BUCKETS", 1 << 18)
+    assert lsa._frequent(table, "terms", 10).count() < 100
+    # Unknown terms leave before the first shuffle.
+    plan = lsa.term_rows(table, lsa.fit_vocabulary(table, features=10))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and all("hashpartitioning(doc_id" in line and "term" not in line for line in plan.split("\n") if "Exchange hash" in line)
+
+
 def test_subspace_is_that_of_a_full_decomposition(spark):
     table = docs(spark)
     rows = lsa.term_rows(table, lsa.fit_vocabulary(table, features=60))
