@@ -164,27 +164,41 @@ def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: in
         "slot", "source", "pass", "block", "doc_id", "row_hash", (first - F.col("offset")).alias("start"), (last - first).alias("words"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Whole rows of docs, all columns kept, so that the words of each source come to the goal of `mix_sources`.
+def mixed_documents(docs: DataFrame, block_words: int = 1024) -> DataFrame:
+    """Whole rows of docs, all columns kept, in the order of the mix, so that the words of each source come to the goal of `mix_sources`.
 
-    Every row comes as often as the goal holds whole passes over its source. The rest of the goal goes to the first
-    documents in hashed order, up to the one in whose middle or after which it ends, so a source misses its goal
-    by at most half of one document. Rows without words are left out.
+    A row comes with the slot of the block in which it begins, once for each pass. The schedule lists the last pass in full; of its rows, in slot
+    order, those up to the one in whose middle or after which the goal ends are kept, so a source misses its goal by at most half
+    of one document. Rows without words are left out.
     """
-    same = ["doc_id", "source", "row_hash"]
-    sources, _, offset = _placed(docs.select("doc_id", "text", "source"), WEIGHTS, 3, 1024)
-    once_more = 2 * F.col("offset") + F.col("size") <= 2 * (F.col("goal") % F.col("source_size"))
-    copies = F.floor(F.col("goal") / F.col("source_size")) + once_more.cast("int")
-    taken = offset.where("size > 0").join(sources.select("sid", "source_size", "goal"), "sid").groupBy(*same).agg(
-        F.sum(copies).cast("int").alias("__copies")).where("__copies > 0").toDF("__id", "__source", "__hash", "__copies")
-    taken, _ = write_table(taken, "copies")
-    own = docs.withColumn("__own_hash", F.xxhash64("text"))
-    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-                      & (F.col("__own_hash") == F.col("__hash")))
-    # Repeated rows share their copies.
-    once = Window.partitionBy("__id", "__source", "__hash").orderBy(F.lit(1))
-    return joined.withColumn("__row", F.row_number().over(once)).where("__row = 1").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    same = F.struct("doc_id", "source", "row_hash").alias("__same")
+    sources, _, offset = _placed(docs.select("doc_id", "text", "source"), WEIGHTS, 3, block_words)
+    per_pass, whole = F.ceil(F.col("source_size") / block_words), F.floor(F.col("goal") / F.col("source_size"))
+    passes = sources.withColumn("slots", F.when(F.col("source_size") > 0, F.ceil(F.col("goal") / F.col("source_size")) * per_pass).otherwise(0))
+    slots = blocks_taken(passes, schedule(passes, block_words), block_words).select("slot", "sid", "pass", "block")
+    begun = offset.where("size > 0").select("sid", same, "size", "offset", F.expr(f"offset div {block_words}").alias("block"))
+    goals = F.broadcast(sources.where("source_size > 0").select("sid", whole.alias("whole"), (F.col("goal") % F.col("source_size")).alias("rest")))
+    placed, _ = write_table(begun.join(slots, ["sid", "block"]).join(goals, "sid").select(
+        "sid", "__same", "size", "offset", "slot", F.expr("slot div 512").alias("chunk"), (F.col("pass") < F.col("whole")).alias("full"), "rest"), "placed")
+
+    # Words of the last pass before a row: a running sum in two steps, over bounded chunks of the schedule.
+    last = placed.where("not full")
+    before = last.groupBy("sid", "chunk").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(
+        Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
+    own = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "chunk").orderBy("slot", "offset").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    kept = last.withColumn("own", own).join(before, ["sid", "chunk"]).where("2 * (own + before) + size <= 2 * rest")
+    columns = ["__same", F.col("slot").alias("__slot"), F.col("offset").alias("__offset")]
+    taken, _ = write_table(placed.where("full").select(*columns).unionByName(kept.select(*columns)), "copies")
+    size = taken.agg(F.count("*").alias("rows"), F.max("__slot").alias("last")).first()
+
+    # Repeated rows share their places.
+    once = Window.partitionBy("__same").orderBy(F.lit(1))
+    single = docs.withColumn("__same", F.struct(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("row_hash"))).withColumn(
+        "__row", F.row_number().over(once)).where("__row = 1")
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size.rows // 512)
+    part = F.expr(f"cast(__slot * {parts} div {(size.last or 0) + 1} as int)")
+    return single.join(taken, "__same").repartitionById(parts, part).sortWithinPartitions("__slot", "__offset").select(*docs.columns)
 
 
 def mix_query(docs: DataFrame) -> DataFrame:

@@ -128,3 +128,40 @@ def test_points_give_the_order_of_the_mix_but_not_its_sums(spark, monkeypatch):
     monkeypatch.setattr(module, "GOLDEN", 1640531527)
     other_sums, other = mixed()
     assert other_sums == sums and other != order and Counter(other) == whole
+
+
+def test_documents_come_in_the_order_of_the_schedule(spark, monkeypatch):
+    import narrascope.llm.source_mix as module
+
+    r = random.Random(9)
+    texts = {i: "w " * r.choice([3, 20, 45, 90]) for i in range(900)}
+    rows = [(i, t, (None, "a", "b")[i % 3]) for i, t in texts.items()]
+    docs = spark.createDataFrame([*rows, rows[4], rows[4]], "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, text, source in [*rows, rows[4], rows[4]]:
+        sizes[source] += len(text.split())
+    want = plain_targets(sizes)
+
+    def mixed():
+        out = [(x.doc_id, x.source) for x in module.mixed_documents(docs, block_words=64).collect()]
+        words = Counter()
+        for i, source in out:
+            words[source] += len(texts[i].split())
+        assert all(abs(words[s] - want[s]) <= 46 for s in want)
+        return out, words
+
+    order, words = mixed()
+    whole = sum(words.values())
+    for at in range(0, len(order) - 200, 50):
+        part = Counter()
+        for i, source in order[at:at + 200]:
+            part[source] += len(texts[i].split())
+        assert all(abs(part[s] / sum(part.values()) - words[s] / whole) <= 0.12 for s in words)
+    assert mixed()[0] == order
+    # Other points give another order of the same rows, another step other rows.
+    with monkeypatch.context() as m:
+        m.setattr(module, "GOLDEN", 1640531527)
+        other, _ = mixed()
+        assert other != order and Counter(other) == Counter(order)
+    monkeypatch.setattr(module, "STEP", 1000003)
+    assert Counter(mixed()[0]) != Counter(order)
