@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,34 +121,48 @@ def dedup_stream(df: DataFrame, key: str, time: str | None = None, lateness: str
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def dedup_with_expiry(df: DataFrame, key: str, time: str, lifetime: str = "1 day", lateness: str = "1 hour", renew: bool = False) -> DataFrame:
-    """First row per id; an id is remembered for `lifetime` after it was first seen (last seen, with `renew`) and then leaves the state.
-
-    Times are event times. Rows older than the watermark (`lateness` behind the newest row) are dropped, so that a late copy of
-    an id that has left does not come through; a copy that is newer than the lifetime is a first row again. Rows without id or time are dropped.
-    """
-    kept = df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    span = int(pd.Timedelta(lifetime) / pd.Timedelta("1ms"))
-
+def _expiry_step(time: str, span: int, renew: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        until, out = (state.get[0] if state.exists else None), []
-        rows = pd.concat(list(parts)).sort_values(time, kind="stable")
-        at = rows[time].dt.tz_localize(None).astype("datetime64[ms]").astype("int64").to_numpy()
-        for i, t in enumerate(at):
-            if until is None or t > until:
+        until, out, parts = (state.get[0] if state.exists else None), [], list(parts)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        # Plain arrays: a call for each key and batch, mostly of a few rows, has no time for frames.
+        micros = rows[time].to_numpy("datetime64[us]").astype("int64")
+        order = np.argsort(micros, kind="stable")
+        at = micros[order] // 1000
+        if renew:
+            for i, t in enumerate(at):
+                if until is None or t > until:
+                    out.append(i)
+                    until = int(t) + span
+                else:
+                    until = max(until, int(t) + span)
+        else:
+            i = 0 if until is None else int(np.searchsorted(at, until, "right"))
+            while i < len(at):
                 out.append(i)
-                until = int(t) + span
-            elif renew:
-                until = max(until, int(t) + span)
+                until = int(at[i]) + span
+                i = int(np.searchsorted(at, until, "right"))
         state.update((until,))
         state.setTimeoutTimestamp(max(until + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[out]
+        if out:
+            yield rows.iloc[order[out]]
+
+    return step
 
+
+def dedup_with_expiry(df: DataFrame, key: str, time: str, lifetime: str = "1 day", lateness: str = "1 hour", renew: bool = False) -> DataFrame:
+    """First row per id; an id is remembered for `lifetime` after it was first seen (last seen, with `renew`) and then leaves the state.
+
+    Times are event times. Rows older than the watermark (`lateness` behind the newest row) are dropped, so that a late copy of
+    an id that has left does not come through; a copy that is newer than the lifetime is a first row again. Rows without id or time are dropped.
+    """
+    kept = df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    span = int(pd.Timedelta(lifetime) / pd.Timedelta("1ms"))
     return kept.withWatermark(time, lateness).groupBy(key).applyInPandasWithState(
-        step, kept.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+        _expiry_step(time, span, renew), kept.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def start_streaks(df: DataFrame, output: str, checkpoint: str, worker: str, order: Sequence[str], failed: Column,

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from narrascope.streaming import jobs as J
@@ -37,3 +38,25 @@ def test_renewed_ids_stay(spark, tmp_path):
         stream = J.stream_table(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
         J.run_to_table(J.dedup_with_expiry(stream, "id", "ts", "10 hours", renew=renew), str(tmp_path / f"out{renew}"), str(tmp_path / f"check{renew}"))
         assert sorted(r.n for r in spark.read.parquet(str(tmp_path / f"out{renew}")).select(F.col("n")).collect()) == want
+
+
+def test_known_id_gives_no_frame():
+    class State:
+        hasTimedOut, exists, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    rows = pd.DataFrame({"n": range(4), "ts": pd.to_datetime(["2024-01-03", "2024-01-01", "2024-01-02", "2024-02-01"])})
+    day = 86_400_000
+    for renew, want in ((False, [1, 0, 3]), (True, [1, 3])):
+        step, state = J._expiry_step("ts", day, renew), State()
+        out = list(step((), iter([rows.iloc[:2], rows.iloc[2:]]), state))
+        assert [n for part in out for n in part["n"]] == want
+        assert list(step((), iter([rows.iloc[:2]]), state)) == []
