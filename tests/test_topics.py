@@ -97,3 +97,32 @@ def test_model_round_trip_and_assignment(spark, docs, tmp_path):
     new = spark.createDataFrame([(1, "red cross aid for people"), (2, "flowers in the park house"), (3, "nothing known")], "doc_id long, clean_text string")
     out = {r.doc_id: r.topic for r in T.assign_by_terms(T.tokenise_ngrams(new, "clean_text", STOP), loaded).collect()}
     assert (out[1], out[2], out[3]) == (0, 1, -1)
+
+
+def test_chunks_add_up_to_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 5)
+    monkeypatch.setattr(T, "READ_ROWS", 2)
+    rows = [(1, ["a", "b", "a"]), (None, ["a"]), (2, None), (2, []), (1, ["a", "é", None]), (2, ["b"]), (1, ["a", "b", "a"])]
+    docs = spark.createDataFrame(rows, "topic int, terms array<string>").coalesce(1)
+    assert T.partial_counts(docs).count() > len({(t, w) for t, ws in rows for w in ws or [] if w})
+    plain = Counter((t, w) for t, ws in rows for w in ws or [] if w)
+    assert {(r.topic, r.term): r.n for r in T.class_term_frequency(docs).collect()} == plain
+
+
+def test_spread_in_small_tables_keeps_topics_of_rare_terms(spark, monkeypatch):
+    monkeypatch.setattr(T, "SORTED_ROWS", 3)
+    rows = [(t, f"w{i}", 1) for i in range(40) for t in range(i % 4)] * 2 + [(9, "only here", 5)]
+    counts = spark.createDataFrame(rows, "topic int, term string, n long")
+    spread = T.spread_of_terms(counts)
+    got = {(r.topic, r.term): (r.n, r.df, r.f) for r in spread.where("term is not null").collect()}
+    assert got == {(t, f"w{i}"): (2, i % 4, 2 * (i % 4)) for i in range(40) if i % 4 >= 2 for t in range(i % 4)}
+    assert {r.topic for r in spread.select("topic").collect()} == {0, 1, 2, 9}
+    assert {(r.term, r.df, r.f) for r in T.prune_vocabulary(counts).collect()} == {(f"w{i}", i % 4, 2 * (i % 4)) for i in range(40) if i % 4 >= 2}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_not_exploded(docs):
+    assert "Generate" not in plan_of(T.class_term_frequency(docs))
