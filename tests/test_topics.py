@@ -126,3 +126,13 @@ def plan_of(df):
 
 def test_counts_are_not_exploded(docs):
     assert "Generate" not in plan_of(T.class_term_frequency(docs))
+
+
+def test_bins_carry_what_the_next_one_lacks(spark, monkeypatch):
+    monkeypatch.setattr(T, "SORTED_ROWS", 2)
+    rows = [(0, 0, ["a", "a", "b"]), (0, 1, ["b"]), (0, 3, ["a", "new"]), (1, 0, ["a"]), (None, 0, ["a"])]
+    binned = spark.createDataFrame(rows, "topic int, bin int, terms array<string>")
+    weights = spark.createDataFrame([(0, "a", 1.0, 3.0), (0, "b", 2.0, 1.0), (1, "a", 1.0, 5.0)], "topic int, term string, idf double, weight double")
+    got = {(r.topic, r.bin, r.term): round(r.weight, 9) for r in T.bin_weights(binned, weights, True, True, k=1).collect()}
+    # Shares of bin 0 are a 1/2, b 1/2; over all time a 3/4, b 1/4. Bin 3 follows none; its term b is not listed.
+    assert got == {(0, 0, "a"): 0.625, (0, 0, "b"): 0.375, (0, 1, "a"): 0.5, (0, 1, "b"): 0.5, (0, 3, "a"): 0.875, (1, 0, "a"): 1.0}
