@@ -44,8 +44,6 @@ def stored_records(spark: SparkSession, paths: str | Sequence[str], glob: str =
                    tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records of CSV files and the layout of each file (see `records`). With `multiline` the joined records are written once."""
     records = csv_records(csv_lines(spark, paths, glob, tolerant), multiline)
-    if multiline:
-        records = cut_lineage(records)
     return records, cut_lineage(file_layouts(records))
 
 

@@ -102,3 +102,24 @@ def test_no_files(spark, tmp_path):
     (tmp_path / "head.csv").write_text("a,b")
     for multiline in (True, False):
         assert S.read_by_header(spark, str(tmp_path), multiline=multiline).count() == 0
+
+
+def test_records_over_several_arrow_batches(spark, tmp_path, small_blocks):
+    write(tmp_path / "a.csv", 3, 200, long=30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = S.null_tokens(S.read_by_header(spark, str(tmp_path)))
+        assert sorted(map(str, found.collect())) == sorted(map(str, S.null_tokens(whole_files(spark, str(tmp_path))).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_are_not_shuffled_and_parsed_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,a,b,c\n1,"x\ny",p,q\n')
+    (tmp_path / "b.csv").write_text("c,id\nz,2\n")
+    records, layouts = S.stored_records(spark, str(tmp_path))
+    assert "Exchange" not in records._jdf.queryExecution().executedPlan().toString()
+    table = S.table_of(records, layouts)
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert sorted(map(str, table.select("id", "a", "b", "c").collect())) == sorted(map(str, spark.createDataFrame(
+        [("1", "x\ny", "p", "q"), ("2", None, None, "z")], "id string, a string, b string, c string").collect()))
