@@ -64,3 +64,14 @@ def test_sentiment(spark):
     assert scored.where("expected = sentiment").count() == docs.count()
     row = spark.createDataFrame([("good good bad",), ("bad",), ("none",)], "t string").coalesce(1)
     assert [r[0] for r in row.select(M.lexicon_sentiment(F.col("t"), ["good"], ["bad"])).collect()] == ["LABEL_2", "LABEL_0", "LABEL_1"]
+
+
+def test_sentiment_is_scored_once_where_a_filter_follows(spark):
+    docs = spark.createDataFrame([(i, ["good" if i % 2 else "bad", "day"], "up" if i % 2 else "down") for i in range(8)], "id long, words array<string>, sentiment string")
+    docs = docs.withColumn("terms", F.filter("words", lambda w: w != "day"))
+    model = M.fit_sentiment(docs)
+    scored = M.score_sentiment(docs.drop("sentiment"), model).where("sentiment is not null")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "UDF(" in line] and plan.count("filter(words") == 1
+    assert [r.sentiment for r in scored.orderBy("id").collect()] == ["down", "up"] * 4
+    assert scored.columns == ["id", "words", "terms", "sentiment"]
