@@ -39,3 +39,21 @@ def test_mixed_posts_give_both_languages(spark):
     assert found[20] == [("en", 0, 0)] and found[24] == [("en", 0, 40)]
     within = {x.id: (x.languages, x.language) for x in G.languages_within(segments, "id").collect()}
     assert within[1] == (["de", "en"], "en") and within[0] == (["de"], "de") and within[20] == ([], "en")
+
+
+def test_paths_found_together_are_those_of_each_table():
+    def plain(scores, cost):
+        total, came = scores[0].copy(), []
+        for row in scores[1:]:
+            top = int(total.argmax())
+            came.append([top if total[top] - cost > t else k for k, t in enumerate(total)])
+            total = np.array([max(t, total[top] - cost) for t in total]) + row
+        path = [int(total.argmax())]
+        for back in reversed(came):
+            path.append(back[path[-1]])
+        return path[::-1]
+
+    rng = np.random.default_rng(4)
+    tables = [rng.integers(-9, 9, (n, 3)).astype(float) for n in (5, 1, 40, 40, 2, 17, 1)]
+    for some in (tables, tables[:1], tables[1:2], tables[2:4]):
+        assert [p.tolist() for p in G.likeliest_paths(some, 6.0)] == [plain(t, 6.0) for t in some]
