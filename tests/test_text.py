@@ -132,3 +132,9 @@ def test_equal_width_bins(spark, n, expected):
 
 def test_values_without_time_fall_in_no_bin(spark):
     assert column(spark, [None, 3.0], lambda c: equal_width_bin(c, F.lit(3.0), F.lit(3.0), 5), "double") == [None, 0]
+
+
+def test_marks_are_searched_for_and_not_translated(spark):
+    df = spark.createDataFrame([("#a@b##c",), ("plain",), ("",), (None,)], "t string").select(X.strip_tag_marks(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == ["abc", "plain", "", None]
+    assert "translate(" not in spark.range(1).select(X.strip_tag_marks(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
