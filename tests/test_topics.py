@@ -136,3 +136,10 @@ def test_bins_carry_what_the_next_one_lacks(spark, monkeypatch):
     got = {(r.topic, r.bin, r.term): round(r.weight, 9) for r in T.bin_weights(binned, weights, True, True, k=1).collect()}
     # Shares of bin 0 are a 1/2, b 1/2; over all time a 3/4, b 1/4. Bin 3 follows none; its term b is not listed.
     assert got == {(0, 0, "a"): 0.625, (0, 0, "b"): 0.375, (0, 1, "a"): 0.5, (0, 1, "b"): 0.5, (0, 3, "a"): 0.875, (1, 0, "a"): 1.0}
+
+
+def test_terms_of_a_row_are_sorted_without_comparator(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "é", "b a"]), (2, []), (3, None)], "doc_id long, terms array<string>")
+    counted = T.count_in_row(docs, "terms", "doc_id")
+    assert sorted(tuple(r) for r in counted.collect()) == [(1, "a", 1), (1, "b", 2), (1, "b a", 1), (1, "é", 1)]
+    assert "array_sort" not in counted._jdf.queryExecution().optimizedPlan().toString()
