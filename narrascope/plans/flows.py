@@ -37,19 +37,24 @@ def extract_records(pages: DataFrame, id_column: str = "id", text_tag: str = r"\
     table = compute_once(table, _found=P.extraction_cascade(F.col("_fields"), compat=compat))
     table = table.withColumn("text", F.col("_found.text"))
     table = table.withColumn("hydration_score", P.quality_score(F.col("text"), F.col("_found.points")))
-    reason = L.classify_failure(P.page_search_text(html), F.col("hydration_score"))
+    # Each status has a regex of its own: the text that all of them search is made once, and only where a reason is asked for.
+    low = F.col("hydration_score") <= fixed.LOW_SCORE
+    table = compute_once(table, _search=F.when(low, P.page_search_text(html)))
+    table = compute_once(table, fail_reason=L.classify_failure(F.col("_search"), F.col("hydration_score")))
     return table.select(
         "tweet_id", "text", X.extract_hashtags(F.col("text")).alias("hashtags"), P.media_flag(html).alias("media"),
         X.has_link(F.col("text")).alias("has_link"), *P.metrics(html), X.permalink(F.col("tweet_id")).alias("URL"),
-        reason.alias("fail_reason"), "hydration_score")
+        "fail_reason", "hydration_score")
 
 
 def add_language(records: DataFrame, model: PipelineModel | None) -> DataFrame:
     """Guarded language code; empty without a model."""
     if model is None:
         return records.withColumn("language", F.lit(""))
-    found = M.identify_language(records, model, to="_code")
-    return found.withColumn("language", M.guarded_language(F.col("_code"), F.col("text"), F.col("fail_reason"))).drop("_code")
+    # Texts whose code would be emptied do not go through the model.
+    used = M.guarded_language(F.col("text"), F.col("text"), F.col("fail_reason"))
+    found = M.identify_language(records.withColumn("_used", used), model, text="_used", to="_code")
+    return found.withColumn("language", M.guarded_language(F.col("_code"), F.col("text"), F.col("fail_reason"))).drop("_code", "_used")
 
 
 def fetch_plan(ids: DataFrame, seen: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:

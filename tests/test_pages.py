@@ -48,3 +48,12 @@ def test_nested_elements_are_whole(spark):
              "x<span a='1'>y": ["y"], "<SPAN><b>z</b></SPAN>": ["z"], "<span/>w": []}
     found = spark.createDataFrame([(h,) for h in spans], "h string").select("h", P.spans(F.col("h")).alias("s")).collect()
     assert {r.h: r.s for r in found} == spans
+
+
+def test_search_text_is_made_once(spark):
+    from narrascope.plans import flows
+
+    rows = [("1", "<p>Tweet Unavailable</p>"), ("2", "<article>good words #tag http://x</article>"), ("3", None)]
+    records = flows.extract_records(spark.createDataFrame(rows, "id string, html string"), text_tag="article", text_attribute="")
+    search = records.select("fail_reason")._jdf.queryExecution().optimizedPlan().toString().count("lower(concat_ws( , html")
+    assert search == 1 and [r.fail_reason == "" for r in records.orderBy("tweet_id").collect()][1]
