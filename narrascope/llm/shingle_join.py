@@ -239,13 +239,16 @@ def _sets(words: int, order: GramOrder):
 def _sets_of(docs: DataFrame, described: DataFrame, numbers: DataFrame, words: int, order: GramOrder) -> tuple[DataFrame, str]:
     """(id, grams): the n-gram sets of the numbered keys, made again from one text for each key."""
     # A key's text is told by its hash and its own key, so that texts of equal hash do not hide each other.
-    chosen = described.where("nodes is not null").join(numbers, KEY).groupBy(*KEY).agg(
-        F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    # They are written, so that the planner knows how few they are and sends them to the texts instead of moving these.
+    chosen, chosen_at = write_table(described.where("nodes is not null").join(numbers, KEY).groupBy(*KEY).agg(
+        F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "chosen")
     # One text for each hash and its length before anything moves, so that copies do not meet in one task.
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(chosen, "text_hash", "left_semi").groupBy(
         "text_hash", F.xxhash64("text", F.lit(5)).alias("other_hash")).agg(F.first("text").alias("text")).select("text")
-    return write_table(texts.mapInPandas(_sets(words, order), "hi long, lo long, grams binary").join(numbers, KEY)
+    sets = write_table(texts.mapInPandas(_sets(words, order), "hi long, lo long, grams binary").join(numbers, KEY)
                        .groupBy("id").agg(F.first("grams").alias("grams")), "sets")
+    drop_table(docs.sparkSession, chosen_at)
+    return sets
 
 
 def _check_centers(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from narrascope.session import scratch_path
+from narrascope.session import scratch_path, write_once
 
 #: Rows of an Arrow batch. Texts can be long, so a batch of the default size could outgrow a worker.
 BATCH_ROWS = 512
@@ -91,7 +91,7 @@ def bounded_rows(df: DataFrame) -> pd.DataFrame:
 def write_table(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write a table below the shared folder; give what reads it, and its path for `drop_table`."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,18 @@ def test_scratch_is_released(spark):
     S.release_scratch(spark)
     cut = S.cut_lineage(spark.range(5))
     assert cut.count() == 5 and S.release_scratch(spark) == 1 and S.release_scratch(spark) == 0
+
+
+def test_shuffle_files_go_with_the_table(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in (blocks.apply(i).name() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    cut = S.cut_lineage(spark.range(100_000).repartition(3, "id").groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("n")))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and cut.count() == 1000 and spark.conf.get(key, None) == was
