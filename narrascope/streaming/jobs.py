@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegralType, StringType, StructType
 
 from narrascope import fixed_values as fixed
 from narrascope.operators.aggregates import file_tally
@@ -27,6 +28,9 @@ from narrascope.sources.ids import LEDGER_SCHEMA
 from narrascope.sources.posts import has_text, scan_tree, stored_records, table_of
 
 REJECTED = "file string, reason string"
+#: States that ids with an expiry share; a checkpoint keeps to it.
+STATE_BUCKETS = 1 << 10
+_NEVER = np.iinfo(np.int64).min
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000, glob: str = "*.csv") -> DataFrame:
@@ -153,16 +157,78 @@ def _expiry_step(time: str, span: int, renew: bool) -> Callable[[tuple, Iterator
     return step
 
 
+def _held(ids: pd.Index, until: np.ndarray) -> bytes:
+    return pa.ipc.serialize_pandas(pd.DataFrame({"id": ids, "until": until}), preserve_index=False).to_pybytes()
+
+
+def _passing(code: np.ndarray, at: np.ndarray, until: np.ndarray, span: int, renew: bool) -> np.ndarray:
+    """Which rows are first rows, of rows ordered by id and time; moves `until`, the end of each id's memory, on."""
+    found = np.zeros(len(at), bool)
+    if not len(at):
+        return found
+    begins = np.flatnonzero(np.diff(code, prepend=-1))
+    ids, ends = code[begins], np.append(begins[1:], len(code))
+    if renew:
+        # Times rise, so the row before tells until when an id is remembered.
+        known = np.concatenate(([_NEVER], at[:-1] + span))
+        known[begins] = _NEVER
+        found[:] = at > np.maximum(until[code], known)
+        until[ids] = np.maximum(until[ids], at[ends - 1] + span)
+        return found
+    times, rank = np.unique(at, return_inverse=True)
+    place = code * (len(times) + 1) + rank
+    while len(ids):
+        first = np.searchsorted(place, ids * (len(times) + 1) + np.searchsorted(times, until[ids], "right"))
+        some = first < ends
+        ids, ends, first = ids[some], ends[some], first[some]
+        found[first] = True
+        until[ids] = at[first] + span
+    return found
+
+
+def _bucket_step(time: str, span: int, renew: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """`_expiry_step` for all ids of a bucket, told by the column `_id`: its state holds the ids that are remembered."""
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pa.ipc.deserialize_pandas(state.get[0]) if state.exists else pd.DataFrame({"id": pd.Series(dtype=object), "until": np.empty(0, np.int64)})
+        ids, until = pd.Index(held["id"]), held["until"].to_numpy()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts), ignore_index=True)
+            code, names = pd.factorize(np.concatenate((ids.to_numpy(object), rows["_id"].to_numpy(object))))
+            # Ids that are remembered come first and so keep their places.
+            code, ids = code[len(until):], pd.Index(names)
+            until = np.concatenate((until, np.full(len(ids) - len(until), _NEVER)))
+            micros = rows[time].to_numpy("datetime64[us]").astype("int64")
+            order = np.lexsort((micros, code))
+            out = order[_passing(code[order], micros[order] // 1000, until, span, renew)]
+            if len(out):
+                yield rows.iloc[out].drop(columns=["_id", "_bucket"])
+        now = state.getCurrentWatermarkMs()
+        kept = until >= now
+        if not kept.any():
+            if state.exists:
+                state.remove()
+            return
+        state.update((_held(ids[kept], until[kept]),))
+        state.setTimeoutTimestamp(max(int(until[kept].min()) + 1, now + 1))
+
+    return step
+
+
 def dedup_with_expiry(df: DataFrame, key: str, time: str, lifetime: str = "1 day", lateness: str = "1 hour", renew: bool = False) -> DataFrame:
     """First row per id; an id is remembered for `lifetime` after it was first seen (last seen, with `renew`) and then leaves the state.
 
     Times are event times. Rows older than the watermark (`lateness` behind the newest row) are dropped, so that a late copy of
     an id that has left does not come through; a copy that is newer than the lifetime is a first row again. Rows without id or time are dropped.
+    Plain ids share STATE_BUCKETS states, as a call for each id and batch costs much more than its rows; ids of other kinds have one each.
     """
     kept = df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(key).isNotNull() & F.col(time).isNotNull())
     span = int(pd.Timedelta(lifetime) / pd.Timedelta("1ms"))
-    return kept.withWatermark(time, lateness).groupBy(key).applyInPandasWithState(
-        _expiry_step(time, span, renew), kept.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+    if not isinstance(kept.schema[key].dataType, (StringType, IntegralType, DateType)):
+        return kept.withWatermark(time, lateness).groupBy(key).applyInPandasWithState(
+            _expiry_step(time, span, renew), kept.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = kept.withColumn("_id", F.col(key).cast("string")).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int"))
+    return dealt.withWatermark(time, lateness).groupBy("_bucket").applyInPandasWithState(
+        _bucket_step(time, span, renew), kept.schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def start_streaks(df: DataFrame, output: str, checkpoint: str, worker: str, order: Sequence[str], failed: Column,

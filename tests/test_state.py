@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -60,3 +61,39 @@ def test_known_id_gives_no_frame():
         out = list(step((), iter([rows.iloc[:2], rows.iloc[2:]]), state))
         assert [n for part in out for n in part["n"]] == want
         assert list(step((), iter([rows.iloc[:2]]), state)) == []
+
+
+def test_ids_of_a_bucket_pass_as_each_alone(monkeypatch):
+    class State:
+        hasTimedOut, exists, get, now = False, False, None, 0
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutTimestamp(self, at):
+            assert at > self.now
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+    rng, calls = random.Random(3), 0
+    for renew in (False, True):
+        state, alone = State(), {}
+        step, one = J._bucket_step("ts", 1000, renew), J._expiry_step("ts", 1000, renew)
+        for batch in range(6):
+            state.now = 3000 * batch
+            rows = pd.DataFrame([(f"k{rng.randrange(12)}", 0, 3000 * batch + rng.randrange(4000)) for _ in range(40)], columns=["_id", "_bucket", "ms"])
+            rows["n"], rows["ts"] = range(40), pd.to_datetime(rows["ms"], unit="ms")
+            got = [n for part in step((), iter([rows.iloc[:15], rows.iloc[15:]]), state) for n in part["n"]]
+            calls += 1
+            want = []
+            for name, own in rows.groupby("_id"):
+                want += [n for part in one((), iter([own]), alone.setdefault(name, State())) for n in part["n"]]
+            assert sorted(got) == sorted(want)
+        state.now, state.hasTimedOut = 10**9, True
+        assert list(step((), iter([]), state)) == [] and not state.exists
+    # One call for a bucket and batch, not one for each id.
+    assert calls == 12
